@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,7 +81,7 @@ def slices(batch: pa.RecordBatch, at: int, most: int):
     if not n:
         return
     col = batch.column(at)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False).cumsum()
+    sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).cumsum()
     done = 0
     while begin < n:
         end = max(begin + 1, int(sizes.searchsorted(done + most, side="right")))
