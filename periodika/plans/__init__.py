@@ -1,0 +1,6 @@
+"""Registered queries of the archive: importing this package fills the registry."""
+
+from . import catalogue
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "catalogue"]
