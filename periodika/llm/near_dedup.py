@@ -13,8 +13,8 @@ From the sketches to the components:
 3. Shingles that no other set on those keys has can't be in an intersection. With s of its n shingles shared, a set is
    compared only where the sizes n and s allow 0.8; a set with s < 0.8 n has no links at all. This bound loses nothing.
 4. On each key, all sets are compared with the set that shares most (a star, not all pairs). Then components.
-5. Only where a key still holds several components, pairs of different components that pass the bound are compared.
-   Nothing is capped.
+5. Only where a key still holds several components, pairs of different components are compared: those that share a rare
+   shingle, and those that the bound allows on frequent shingles alone (``_crossing``). Nothing is capped.
 
 Every comparison is exact, over the full sets of 64-bit shingle hashes.
 
@@ -38,6 +38,8 @@ from .common import Saved, sized, with_text_columns
 from .components import connected_components
 
 ROWS, BANDS = 7, 50
+#: Sets that may have a shingle which counts as rare.
+RARE = 64
 COORDINATES = ROWS * BANDS
 _ROUND = tv.mix(np.arange(1, 2 * COORDINATES + 1, dtype=tv.U) * tv.U(0xD1342543DE82EF95))
 _COLUMN = tv.mix(np.arange(1, ROWS + 1, dtype=tv.U) * tv.U(0xA0761D6478BD642F)) | tv.U(1)
@@ -121,6 +123,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.size("items_a") + F.size("items_b") - shared)).select("a", "b")
 
 
+def _crossing(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a, b) of different components among ``rest`` (key, id, n, component) that may be a link.
+
+    A shingle is rare if 2 to ``RARE`` sets of ``rest`` have it, frequent if more do. Two sets either share a rare shingle,
+    which is an equi-join whose groups hold ``RARE`` rows at most, or all they share is frequent, which bounds their
+    intersection by their numbers of frequent shingles; then sharing a key is asked for as well. Other pairs can't be links.
+    """
+    ids = Saved(rest.select("id", "n", "component").distinct(), "rest-ids")
+    items = sets.join(sized(ids.df.select("id"), ids.count()), "id", "left_semi").select("id", F.explode("items").alias("item"))
+    counts = Saved(items.groupBy("item").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter(F.col("c") <= RARE), "rest-items")
+    rare = Saved(items.join(counts.df.filter("c > 1").select("item").hint("merge"), "item"), "rare")
+    alone = counts.df.filter("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    few = rare.df.groupBy("id").agg(F.count("*").alias("rare"))
+    numbered = ids.df.join(alone.hint("merge"), "id", "left").join(few.hint("merge"), "id", "left").fillna(0, ["alone", "rare"])
+    known = Saved(numbered.select("id", "n", "component", (F.col("n") - F.col("alone")).alias("s"), (F.col("n") - F.col("alone") - F.col("rare")).alias("f")), "rest-known")
+
+    def meeting(rows: DataFrame, on: str, shared: str) -> DataFrame:
+        rows = rows.join(known.df.hint("merge"), "id").select(on, "id", "n", "component", F.col(shared).alias("s"))
+        one, two = (rows.select(F.col(on).alias(f"on_{i}"), *(F.col(c).alias(f"{c}_{i}") for c in ("id", "n", "s", "component"))) for i in (1, 2))
+        fits = (one["on_1"] == two["on_2"]) & (one["component_1"] < two["component_2"]) & _may_link(one["n_1"], one["s_1"], two["n_2"], two["s_2"], percent)
+        return one.join(two.hint("merge"), fits).select(F.col("id_1").alias("a"), F.col("id_2").alias("b"))
+
+    frequent = known.df.filter(100 * F.col("f") >= percent * F.col("n")).select("id")
+    by_key = rest.select("key", "id").join(frequent.hint("merge"), "id", "left_semi")
+    return meeting(rare.df, "item", "s").unionByName(meeting(by_key, "key", "f")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id and kept of each row of ``docs``."""
     source = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
@@ -159,13 +188,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     # pairs of different components on one key
     placed = able.df.join(found.df.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    rest = Saved(placed.join(mixed.hint("merge"), "key", "left_semi"), "rest")
-    one, two = (rest.df.select("key", *(F.col(c).alias(f"{c}_{i}") for c in ("id", "n", "s", "component"))) for i in (1, 2))
-    crossed = one.join(
-        two.hint("merge"),
-        (one["key"] == two["key"]) & (one["component_1"] < two["component_2"]) & _may_link(one["n_1"], one["s_1"], two["n_2"], two["s_2"], percent),
-    )
-    pairs = Saved(crossed.select(F.col("id_1").alias("a"), F.col("id_2").alias("b")).distinct(), "pairs")
+    rest = Saved(placed.join(mixed.hint("merge"), "key", "left_semi").select("key", "id", "n", "component"), "rest")
+    pairs = Saved(_crossing(rest.df, sets.df, percent), "pairs")
     more = Saved(_verified(pairs.df, sets.df, percent), "verified")
     if more.count():
         found.drop()
