@@ -1,6 +1,6 @@
 """Registered queries of the archive: importing this package fills the registry."""
 
-from . import catalogue
+from . import catalogue, contents
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalogue"]
+__all__ = ["ORACLES", "QUERIES", "catalogue", "contents"]
