@@ -124,6 +124,7 @@ def duck(sql: str) -> str:
     """``sql`` with a WITH clause for the views it names."""
     names = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
     clause = ", ".join(_with("duck", names))
-    if re.match(r"\s*WITH\b", sql):
-        return re.sub(r"^\s*WITH\b", f"WITH {clause}, ", sql, count=1) if clause else sql
+    own = re.match(r"\s*WITH( RECURSIVE)?\b", sql)
+    if own and clause:
+        return f"WITH{own[1] or ''} {clause}, {sql[own.end() :]}"
     return f"WITH {clause} {sql}" if clause else sql
