@@ -5,8 +5,9 @@ A classifier learnt from the label table gives each document a posterior over th
 targets: least squares by projected gradient, starting from r = 1, in the metric that weighs documents by their tokens, so
 that rates depend on what a document is and not on how long it is.
 
-Each round is one distributed sum; what moves between rounds is one number for each domain. A document's rate is
-the fold of all rounds' steps, r <- max(0, r - sum_k p_k y_k), so rounds leave no state on executors.
+Each round is one distributed sum of residuals; the projection is lazy: gradient steps add up in one number y_k for each
+domain, and a document's rate is the projection max(0, 1 - sum_k p_k y_k) of the whole step. So rounds leave no state on executors, and of all
+rates that meet the targets the fit finds those nearest to 1.
 
 Defined results: null and empty texts have 0 tokens, a posterior and a rate; without labels every document is ``clean`` for
 lack of anything else; repeated rows are equal; an empty table gives an empty result. Domains without any tokens are left out
@@ -112,11 +113,8 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     return Posteriors(odds.astype(np.float32), low_trees, toxic_trees)
 
 
-def _rate(p: list[Column], steps: list[list[float]]) -> Column:
-    if not steps:
-        return F.lit(1.0)
-    history = F.array(*(F.array(*map(F.lit, y)) for y in steps))
-    return F.aggregate(history, F.lit(1.0), lambda r, y: F.greatest(F.lit(0.0), r - sum((c * F.element_at(y, k + 1) for k, c in enumerate(p)), F.lit(0.0))))
+def _rate(p: list[Column], y: np.ndarray) -> Column:
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((c * float(v) for c, v in zip(p, y, strict=True)), F.lit(0.0)))
 
 
 def fit_rates(members: DataFrame, tokens: str, posteriors: list[str], targets: list[float], rounds: int = ROUNDS) -> Column:
@@ -133,17 +131,15 @@ def fit_rates(members: DataFrame, tokens: str, posteriors: list[str], targets: l
     wanted = np.where(alive, targets, 0.0)
     wanted = wanted / wanted.sum() if wanted.sum() > 0 else shares
     metric = np.array([[row[f"m{min(i, j)}_{max(i, j)}"] / total for j in range(k)] for i in range(k)]) + 1e-9 * np.eye(k)
-    steps: list[list[float]] = []
-    got = shares
+    total_step, got = np.zeros(k), shares
     for _ in range(rounds):
         miss = np.where(alive, got - wanted, 0.0)
         if np.abs(miss).max() < TOLERANCE:
             break
-        steps.append([float(v) for v in np.where(alive, np.linalg.solve(metric, miss), 0.0)])
-        rate = _rate(p, steps)
-        row = members.agg(*(F.sum(t * p[i] * rate).alias(f"s{i}") for i in range(k))).first()
+        total_step = total_step + np.where(alive, np.linalg.solve(metric, miss), 0.0)
+        row = members.agg(*(F.sum(t * p[i] * _rate(p, total_step)).alias(f"s{i}") for i in range(k))).first()
         got = np.array([row[f"s{i}"] / total for i in range(k)])
-    return _rate(p, steps)
+    return _rate(p, total_step)
 
 
 def mix(docs: DataFrame, labels: DataFrame, keep: list[str], text: str = "text", id: str = "doc_id", targets: dict[str, float] | None = None) -> DataFrame:
