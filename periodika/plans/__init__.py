@@ -1,6 +1,6 @@
 """Registered queries of the archive: importing this package fills the registry."""
 
-from . import catalogue, contents, taxonomy
+from . import catalogue, contents, streaming, taxonomy
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalogue", "contents", "taxonomy"]
+__all__ = ["ORACLES", "QUERIES", "catalogue", "contents", "streaming", "taxonomy"]
