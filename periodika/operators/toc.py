@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions import text as X
 from .quality import without_repeated_lines
@@ -51,7 +52,7 @@ def is_heading(line: Column) -> Column:
     return c.rlike(r"^\p{Lu}") & (F.length(c) <= MAX_HEADING) & c.rlike(starts)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _near_heading(token: pd.Series) -> pd.Series:
     return token.map(lambda t: t is not None and any(SequenceMatcher(None, t, w).ratio() >= MIN_RATIO for w in HEADINGS))
 

@@ -67,10 +67,10 @@ def _(v):
 
 
 def _observed(e):
-    return e.select(F.concat(F.lit("f"), (F.col("event_id") % 2).cast("string")).alias("path"), (F.col("event_id") % 6).alias("size"), F.lit(0).alias("mtime"), "ts")
+    return e.select(F.concat(F.lit("f"), (F.col("event_id") % 2).cast("string")).alias("path"), F.floor(F.col("event_id") / 4).alias("size"), F.lit(0).alias("mtime"), "ts")
 
 
-@query("st3_stable_files", """SELECT strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M:%S') AS start, 'f' || CAST(event_id % 2 AS STRING) AS path, min(event_id % 6) AS size FROM events GROUP BY 1, 2 HAVING count(*) >= 2 AND min(event_id % 6) = max(event_id % 6)""")
+@query("st3_stable_files", """SELECT strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M:%S') AS start, 'f' || CAST(event_id % 2 AS STRING) AS path, min(event_id // 4) AS size FROM events GROUP BY 1, 2 HAVING count(*) >= 2 AND min(event_id // 4) = max(event_id // 4)""")
 def _(v):
     return J.stable_file_stream(_observed(_events(v))).withColumn("start", F.date_format("start", _STAMP))
 
