@@ -321,8 +321,8 @@ def _(v):
 _LOG_TIME = "CASE WHEN event_id % 10 = 7 THEN 'broken' WHEN event_id % 10 < 5 THEN strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || '+00:00' ELSE strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') END"
 
 
-@query("s7_read_logs", """SELECT event_id AS id, event_type AS message FROM events WHERE event_type IN ('error', 'view') AND user_id % 2 = 0 AND event_type = 'error' AND event_id % 10 <> 7
-    ORDER BY date_trunc('second', ts) DESC, CAST(event_id AS STRING) LIMIT 200""")
+@query("s7_read_logs", """SELECT event_id AS id, event_type AS message FROM events WHERE event_type IN ('error', 'view') AND user_id % 2 = 0 AND event_type = 'error'
+    ORDER BY CASE WHEN event_id % 10 <> 7 THEN date_trunc('second', ts) END DESC NULLS LAST, CAST(event_id AS STRING) LIMIT 200""")
 def _(v):
     e = v.table("events")
     plain = F.date_format(e["ts"], "yyyy-MM-dd'T'HH:mm:ss")
