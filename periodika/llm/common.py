@@ -90,7 +90,7 @@ def slices(batch: pa.RecordBatch, at: int, most: int):
 
 
 def with_text_columns(
-    df: DataFrame, keep: list[str], compute: Callable[[pa.Array], list[pa.Array]], fields: list[T.StructField], text: str = "text", most: int = 2 << 20
+    df: DataFrame, keep: list[str], compute: Callable[[pa.Array], list[pa.Array]], fields: list[T.StructField], text: str = "text", most: int = 1 << 20
 ) -> DataFrame:
     """Columns ``keep`` of ``df`` and new ``fields`` that ``compute`` derives from each piece of whole texts.
 

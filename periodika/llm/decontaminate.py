@@ -113,7 +113,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], text:
             keys = {size: np.sort(np.array([k for m, k in block if m == size], tv.U)) for size in {m for m, _ in block}}
             at_text = held.index(text)
             for batch in batches:
-                for piece in slices(batch, at_text, 2 << 20):
+                for piece in slices(batch, at_text, 1 << 20):
                     counts, at, hit, items = _scan(piece.column(at_text), block, keys)
                     hits = [np.flatnonzero(hit[at[i] : at[i + 1]]) for i in range(len(counts))]
                     if before:

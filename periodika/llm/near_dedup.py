@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     """id, n_shingles, component_id and kept of each row of ``docs``."""
     source = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     fields = [T.StructField("n", T.LongType()), T.StructField("print", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
-    base = Saved(with_text_columns(source, ["id"], _described(k), fields), "sets")
+    base = Saved(with_text_columns(source, ["id"], _described(k), fields, most=2 << 20), "sets")
     named = base.df.filter(F.col("print").isNotNull() & F.col("id").isNotNull())
     holders = Saved(named.groupBy("print").agg(F.min(F.struct("id", "n", "keys")).alias("h")).select("print", "h.id", "h.n", "h.keys"), "holders")
 

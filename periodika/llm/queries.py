@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import decontaminate as dc
 from . import language_id, license_scan, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, url_filter, warc
 from .common import held_out, table
+from .oracles import ORACLES
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +79,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
