@@ -73,8 +73,9 @@ VIEWS = {
         UNION ALL SELECT id {div} 10, CAST(1 + id % 10 AS INT), 1000, 'Archive ' || CAST(id {div} 10 AS STRING) || ' ... ' || CAST(1 + id % 10 AS STRING) FROM v_article WHERE id < 1000000
         UNION ALL SELECT id {div} 10, CAST(1 + id % 10 AS INT), 900, 'prose about ' || title FROM v_article WHERE id < 1000000)""",
     "v_theme": "SELECT * FROM (VALUES (1, 'Hardware'), (2, 'Colour'), (3, 'Size'), (4, 'Temperature'), (5, 'Empty')) AS t(id, name)",
-    "v_subtheme": """SELECT id, theme_id, name, {keywords} AS keywords FROM (VALUES (10, 1, 'Rings', 'ring|anvil'), (11, 1, 'Bolts', 'bolt|rod'), (12, 1, 'Gear', 'géar|gizmo'),
-        (20, 2, 'Red', 'red'), (21, 2, 'Blue', 'blue'), (30, 3, 'Small gizmo', 'small gizmo|Large  Bolt'), (40, 4, 'Hot', 'hot|zzz'), (41, 4, 'Sterile', 'quark|bol'), (42, 4, 'Blank', ' |cold')) AS t(id, theme_id, name, k)""",
+    "v_subtheme": """SELECT id, theme_id, name, {keywords} AS keywords FROM (SELECT * FROM (VALUES (10, 1, 'Rings', 'ring|anvil'), (11, 1, 'Bolts', 'bolt|rod'), (12, 1, 'Gear', 'géar|gizmo'),
+        (20, 2, 'Red', 'red'), (21, 2, 'Blue', 'blue'), (30, 3, 'Small gizmo', 'small gizmo|Large  Bolt'), (40, 4, 'Hot', 'hot|zzz'), (41, 4, 'Sterile', 'quark|bol'), (42, 4, 'Blank', ' |cold')) AS t(id, theme_id, name, k)
+        UNION ALL SELECT 100 + CAST(substr(p_brand, 7) AS INT), 3, p_brand, min(p_name) || '|' || max(p_name) FROM part GROUP BY p_brand)""",
     "v_link": """SELECT 20 AS subtheme_id, id AS article_id, 'mots_cles' AS source FROM v_article WHERE title LIKE 'red%' AND id % 3 <> 0
         UNION ALL SELECT 21, id, 'mots_cles' FROM v_article WHERE title LIKE 'blue%' AND id % 4 <> 0
         UNION ALL SELECT 10, id, 'mots_cles' FROM v_article WHERE title LIKE '%ring' AND id % 5 <> 0
