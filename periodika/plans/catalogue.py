@@ -158,7 +158,8 @@ def _(v):
     return v("v_page").select("magazine_id", "page_number", X.highlight(F.col("raw_text"), ["the", "c++"]).alias("marked"))
 
 
-@query("x9_snippet")
+@query("x9_snippet", """WITH w AS (SELECT magazine_id, page_number, list_filter(string_split_regex(raw_text, '\\s+'), lambda x: x <> '') AS w FROM v_page), a AS (SELECT *, list_position(list_transform(w, lambda x: contains(strip_accents(lower(x)), 'tion')), true) AS spot FROM w)
+    SELECT magazine_id, page_number, array_to_string(CASE WHEN coalesce(spot, 0) > 0 THEN w[greatest(1, spot - 20) : greatest(1, spot - 20) + 39] ELSE w[1:40] END, ' ') AS snippet FROM a""")
 def _(v):
     return v("v_page").select("magazine_id", "page_number", X.snippet(F.col("raw_text"), "tion").alias("snippet"))
 

@@ -331,7 +331,8 @@ def _(v):
     return S.latest_logs(logs, "error", "worker").select(F.col("message").cast("long").alias("id"), F.col("event_type").alias("message"))
 
 
-@query("s9_corpus_json")
+@query("s9_corpus_json", f"""SELECT CAST(to_json({{'chars': chars, 'collection': collection, 'magazines': magazines, 'titles': titles}}) AS STRING) AS value FROM (SELECT collection, count(*) FILTER (r = 1) AS titles,
+    CAST(sum(length(clean)) FILTER (r = 1) AS BIGINT) AS chars, count(DISTINCT magazine_id) AS magazines FROM ({_CORPUS}) GROUP BY 1)""")
 def _(v):
     return S.corpus_json(K.corpus_by_collection(v("v_article"), v("v_magazine"), v("v_collection")))
 
