@@ -15,9 +15,17 @@ from pyspark.sql import types as T
 #: A side of a join is broadcast only if it was written out first and has at most so many (narrow) rows.
 BROADCAST_ROWS = 500_000
 
+#: Bytes of an Arrow batch between the JVM and Python; Spark's own bound is 64 MB, and each task holds several at a time.
+BATCH_BYTES = 4 << 20
+
 _LOCAL: list[str] = []
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Has this session send Arrow batches of ``BATCH_BYTES`` or so to Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,7 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path there, with the scheme of its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 class Saved:
@@ -97,6 +108,7 @@ def with_text_columns(
     ``compute`` gets a string array (nulls allowed) and returns one array for each field. A kept column whose name a new
     field has gives way to it.
     """
+    bounded_batches(df.sparkSession)
     new = {f.name for f in fields}
     keep = [c for c in keep if c not in new]
     source = [F.col(f"`{c}`") for c in keep]

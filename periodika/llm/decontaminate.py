@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import Saved, slices, with_text_columns
+from .common import Saved, bounded_batches, slices, with_text_columns
 
 WINDOW = 13
 #: About 150 bytes each in a task: 60 MB.
@@ -97,6 +97,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], text:
     blocks = max(1, math.ceil(saved.count() / block_windows))
     out_fields = [T.StructField("n_words", T.LongType()), *_HIT_FIELDS]
     keep = [c for c in keep if c not in {"n_words", "n_hit", "hits", "items", "contaminated"}]
+    bounded_batches(docs.sparkSession)
     held = keep if text in keep else [*keep, text]
     df = docs.select(*held)
     context = docs.sparkSession.sparkContext

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import bounded_sample, slices, with_text_columns
+from .common import bounded_batches, bounded_sample, slices, with_text_columns
 
 SAMPLE = 1500
 GRAMS = 20_000
@@ -100,6 +100,7 @@ def _gram_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
                     found, n = np.unique(g, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([one] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
+    bounded_batches(df.sparkSession)
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
     return df.select(F.col(lang), F.col(text)).mapInArrow(run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 

@@ -123,7 +123,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.size("items_a") + F.size("items_b") - shared)).select("a", "b")
 
 
-def _crossing(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _crossing(rest: DataFrame, sets: DataFrame, percent: int) -> Saved:
     """Every pair (a, b) of different components among ``rest`` (key, id, n, component) that may be a link.
 
     A shingle is rare if 2 to ``RARE`` sets of ``rest`` have it, frequent if more do. Two sets either share a rare shingle,
@@ -147,7 +147,10 @@ def _crossing(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     frequent = known.df.filter(100 * F.col("f") >= percent * F.col("n")).select("id")
     by_key = rest.select("key", "id").join(frequent.hint("merge"), "id", "left_semi")
-    return meeting(rare.df, "item", "s").unionByName(meeting(by_key, "key", "f")).distinct()
+    pairs = Saved(meeting(rare.df, "item", "s").unionByName(meeting(by_key, "key", "f")).distinct(), "pairs")
+    for done in (ids, counts, rare, known):
+        done.drop()
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -189,7 +192,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     placed = able.df.join(found.df.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     rest = Saved(placed.join(mixed.hint("merge"), "key", "left_semi").select("key", "id", "n", "component"), "rest")
-    pairs = Saved(_crossing(rest.df, sets.df, percent), "pairs")
+    pairs = _crossing(rest.df, sets.df, percent)
     more = Saved(_verified(pairs.df, sets.df, percent), "verified")
     if more.count():
         found.drop()
@@ -200,6 +203,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     # holders -> classes -> documents
     held = Saved(holders.df.select("print", "id").join(found.df.hint("merge"), "id", "left").select("print", F.coalesce("component", "id").alias("component")), "held")
     holders.drop()
+    found.drop()
     out = base.df.drop("keys").join(held.df.hint("merge"), "print", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Saved, fresh_path, sized, slices
+from .common import Saved, bounded_batches, fresh_path, sized, slices
 
 MIN_REVISIT = 100
 PACKAGE_BYTES = 64 << 20
@@ -204,6 +204,7 @@ def read_package(source, length: int, package: str) -> Iterator[dict]:
 
 def write_packages(pages: DataFrame, to: str, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes every row of ``pages`` into packages under ``to``; package, records and bytes of each."""
+    bounded_batches(pages.sparkSession)
     payload = F.coalesce(F.encode(html, "utf-8"), F.lit(b""))
     rows = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).alias("url"), F.sha2(payload, 256).alias("digest"), F.col(html).alias("html"))
     # the responses that others revisit: one row for each payload that occurs twice or more
