@@ -141,6 +141,29 @@ def test_randomness_battery_tells_keys_from_words(spark):
     assert not any(out[i] for i in range(40, 240))
 
 
+def test_randomness_battery_knows_each_encoding(spark):
+    rng = random.Random(4)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    some = lambda symbols, n: "".join(rng.choice(symbols) for _ in range(n))
+    kinds = [
+        *((a, n) for a in (lower + digits, upper + digits, upper + "234567", lower + upper, lower + upper + digits) for n in (80, 128)),
+        ("0123456789ABCDEF", 16), ("0123456789ABCDEF", 19), ("0123456789ABCDEF", 32),
+    ]
+    keys = [some(a, n) for a, n in kinds for _ in range(20)]
+    glued = ["-".join(some("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)) for _ in range(20)]
+    glued += ["the-user-key-of-the-service=" + some(lower + upper + digits, 64) for _ in range(20)]
+    words = ["-".join(rng.choice(["tion", "ment", "enter", "ation", "eau", "scher", "heit", "ung"]) for _ in range(12)) for _ in range(100)]
+    words += [f"20{rng.randrange(10, 30)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}/20{rng.randrange(10, 30)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}" for _ in range(100)]
+    df = spark.createDataFrame([(i, f"see {w} now") for i, w in enumerate(keys + glued + words)], "doc_id long, text string")
+    out = {r["doc_id"]: r["spans"] for r in secret_scan.scan(df, ["doc_id"]).collect()}
+    n = len(keys) + len(glued)
+    for first in range(0, n, 20):
+        assert sum(bool(out[i]) for i in range(first, first + 20)) >= 17, first // 20
+    assert not any(out[i] for i in range(n, n + 200))
+    at = len(keys) + 20
+    assert all(max(s["end"] for s in out[i]) == 4 + len(glued[i - len(keys)]) for i in range(at, n) if out[i])
+
+
 def test_redaction_leaves_no_secret_and_nothing_else_changes(odd):
     before = {(r["doc_id"]): r["text"] for r in odd.collect()}
     out = secret_scan.redact(odd)
