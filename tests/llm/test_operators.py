@@ -290,6 +290,20 @@ def test_licences(spark, odd):
     assert license_scan.scan(odd.limit(0)).count() == 0
 
 
+def test_licences_without_cue_wrapped_and_repeated(spark, docs):
+    gpl = "This program is free software: you can\nredistribute it and/or modify it under the\nterms of the GNU General Public License as\npublished by the Free Software Foundation"
+    prose = " ".join(f"word{i % 97}" for i in range(200))
+    rows = [
+        (1, "Distributed under the GNU GPL v3"), (2, "Terms: Apache 2.0"), (3, "text\nCC-BY-SA 4.0"), (4, gpl), (5, prose + "\n" + gpl + "\n" + prose), (6, "Released under the MIT License.\nwords\nReleased under the MIT License."),
+        (7, prose), (8, prose + " Released under the MIT License. " + prose), (9, "The public office is closed.\n\nCopyright 1990 by nobody."), (9, "The public office is closed.\n\nCopyright 1990 by nobody."),
+    ]
+    model = license_scan.LicenceModel(docs)
+    got = {r["doc_id"]: (r["n_notices"], r["n_unknown"], r["licences"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), model=model).collect()}
+    assert got == {
+        1: (1, 0, "GPL"), 2: (1, 0, "Apache-2.0"), 3: (1, 0, "CC-BY-SA"), 4: (1, 0, "GPL"), 5: (1, 0, "GPL"), 6: (2, 0, "MIT"), 7: (0, 0, ""), 8: (1, 0, "MIT"), 9: (0, 1, ""),
+    }
+
+
 def test_licences_in_documents(spark, small, texts):
     lines = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC": "Licensed under CC BY-NC 4.0."}
     for r in queries.op9_license_scan(spark, small).collect():
