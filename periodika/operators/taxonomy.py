@@ -6,6 +6,8 @@ never moved to find their keywords.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -210,22 +212,91 @@ def fold_batches(costs: Column, most_items: int, most_cost: int) -> Column:
 
 
 MAX_ITEMS, MAX_TOKENS, MAX_TITLE = 300, 100_000, 500
+#: Rows that one task packs at a time.
+PACK_ROWS = 1 << 16
+
+
+def _numbered(rows: DataFrame, by: str, width: int = 4096) -> DataFrame:
+    """``rows`` (``by``, id, cost) with ``rn``, from 0 in the order of (id, cost) inside each ``by``; ids are ranked in ranges of ``width``."""
+    ranged = rows.withColumn("__range", F.floor(F.col("id") / width))
+    sizes = ranged.groupBy(by, "__range").agg(F.count("*").alias("n"))
+    offsets = sizes.select(F.col(by).alias("__by"), F.col("__range").alias("__at"), (F.sum("n").over(Window.partitionBy(by).orderBy("__range")) - F.col("n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(by, "__range").orderBy("id", "cost")) - 1
+    numbered = ranged.withColumn("__rn", inside).join(offsets.hint("merge"), F.col(by).eqNullSafe(F.col("__by")) & (F.col("__range") == F.col("__at")))
+    return numbered.select(by, "id", "cost", (F.col("__rn") + F.col("__before")).alias("rn"))
+
+
+def _next_starts(costs: np.ndarray, own: int, most_items: int, most_cost: int) -> np.ndarray:
+    """For each of the first ``own`` items, where the next batch begins if one begins there."""
+    total = np.concatenate([[0], np.cumsum(costs)])
+    i = np.arange(own)
+    return np.maximum(i + 1, np.minimum(np.minimum(i + most_items, len(costs)), np.searchsorted(total, total[:own] + most_cost, "right") - 1))
+
+
+def pack_ranges(rows: DataFrame, by: str, most_items: int, most_cost: int, width: int = PACK_ROWS) -> DataFrame:
+    """``by``, id and batch of ``rows`` (``by``, id, cost): greedy packing in the order of ids inside each ``by``, in parallel ranges.
+
+    A batch holds ``most_items`` at most, so a range of rows depends on what came before only by the place, one of its first
+    ``most_items`` + 1, where its first batch begins. Each range, with the first rows of the next one, gives the place in the next
+    range and the number of batches for every such place; one row for a range then carries the open batch on, and the ranges
+    are numbered in parallel.
+    """
+    width = max(width, most_items)
+    numbered = _numbered(rows, by)
+    own = numbered.withColumn("range", F.floor(F.col("rn") / width))
+    lent = own.filter((F.col("range") > 0) & (F.col("rn") % width < most_items)).withColumn("range", F.col("range") - 1)
+    shared = own.withColumn("own", F.lit(True)).unionByName(lent.withColumn("own", F.lit(False)))
+    kind = rows.schema[by].dataType.simpleString()
+
+    def ends(part):
+        part = part.sort_values("rn")
+        n = int(part["own"].sum())
+        after = _next_starts(part["cost"].to_numpy(np.int64), n, most_items, most_cost)
+        exits, counts = np.arange(n + most_items + 1), np.zeros(n + most_items + 1, np.int64)
+        for i in range(n - 1, -1, -1):
+            exits[i], counts[i] = exits[after[i]], counts[after[i]] + 1
+        first = slice(0, most_items + 1)
+        return pd.DataFrame({by: part[by].iloc[:1].to_numpy(), "range": part["range"].iloc[:1].to_numpy(), "exits": [(exits[first] - n).tolist()], "counts": [counts[first].tolist()]})
+
+    def carry(part):
+        part = part.sort_values("range")
+        place, batch, entries, bases = 0, 0, [], []
+        for exits, counts in zip(part["exits"], part["counts"], strict=True):
+            entries.append(place)
+            bases.append(batch)
+            place, batch = int(exits[place]), batch + int(counts[place])
+        return pd.DataFrame({by: part[by].to_numpy(), "range": part["range"].to_numpy(), "entry": entries, "base": bases})
+
+    def number(part):
+        part = part.sort_values("rn")
+        n, place = int(part["own"].sum()), int(part["entry"].iloc[0])
+        after = _next_starts(part["cost"].to_numpy(np.int64), n, most_items, most_cost)
+        starts = np.zeros(n, np.int64)
+        while place < n:
+            starts[place] = 1
+            place = int(after[place])
+        batch = int(part["base"].iloc[0]) - 1 + np.cumsum(starts)
+        return pd.DataFrame({by: part[by].iloc[:n].to_numpy(), "id": part["id"].iloc[:n].to_numpy(), "batch": batch})
+
+    tables = shared.groupBy(by, "range").applyInPandas(ends, f"`{by}` {kind}, range long, exits array<long>, counts array<long>")
+    entries = tables.groupBy(by).applyInPandas(carry, f"`{by}` {kind}, range long, entry long, base long").select(F.col(by).alias("__by"), F.col("range").alias("__at"), "entry", "base")
+    known = shared.join(entries.hint("merge"), F.col(by).eqNullSafe(F.col("__by")) & (F.col("range") == F.col("__at"))).drop("__by", "__at")
+    return known.groupBy(by, "range").applyInPandas(number, f"`{by}` {kind}, id {rows.schema['id'].dataType.simpleString()}, batch int")
 
 
 def pack_batches(articles: DataFrame, base_cost: int, partition_by: str | None = None) -> DataFrame:
     """K13. Articles in batches of 300 items and 100 000 tokens at most, in the order of their ids.
 
     While 300 of the longest titles fit beside ``base_cost``, only the count can close a batch, and row numbers give the batch.
-    Otherwise packing depends on all that came before; it is folded inside each value of ``partition_by``.
+    Otherwise packing depends on all that came before; it is done inside each value of ``partition_by``, in ranges of rows.
     """
     worst = MAX_ITEMS * ((MAX_TITLE + 3) // 4)
     if partition_by is None:
         if base_cost + worst > MAX_TOKENS:
             raise ValueError("the fixed cost leaves no room for 300 long titles: pack by a column")
         return ranked(articles, "id").select("id", F.floor((F.col("rn") - 1) / MAX_ITEMS).alias("batch"))
-    rows = articles.groupBy(partition_by).agg(F.array_sort(F.collect_list(F.struct("id", X.estimate_tokens(F.col("title")).cast("int").alias("cost")))).alias("items"))
-    numbered = rows.withColumn("batches", fold_batches(F.transform("items", lambda i: i["cost"]), MAX_ITEMS, MAX_TOKENS - base_cost))
-    return numbered.select(partition_by, F.explode(F.arrays_zip(F.transform("items", lambda i: i["id"]).alias("id"), F.col("batches").alias("batch"))).alias("x")).select(partition_by, "x.id", "x.batch")
+    rows = articles.select(partition_by, "id", F.coalesce(X.estimate_tokens(F.col("title")).cast("int"), F.lit(0)).alias("cost"))
+    return pack_ranges(rows, partition_by, MAX_ITEMS, MAX_TOKENS - base_cost)
 
 
 def split_failed_batch(batch: DataFrame) -> DataFrame:

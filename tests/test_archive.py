@@ -223,6 +223,23 @@ def test_batches(spark):
     assert costs.select(K.fold_batches(F.col("c"), 2, 100).alias("b")).first()["b"] == [0, 1, 1, 2, 3]
 
 
+def test_packing_in_ranges_is_greedy_packing(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(c, i * 3, rng.choice([0, 1, 5, 9, 30, 120])) for c, n in ((1, 900), (2, 1), (3, 20), (None, 70)) for i in range(n)]
+    want, state = {}, {}
+    for c, i, cost in rows:
+        batch, n, total = state.get(c, (0, 0, 0))
+        batch, n, total = (batch + 1, 1, cost) if n and (n >= 7 or total + cost > 100) else (batch, n + 1, total + cost)
+        state[c] = want[c, i] = (batch, n, total)
+    df = spark.createDataFrame(rows, "c int, id long, cost int").repartition(5)
+    got = {(r["c"], r["id"]): r["batch"] for r in K.pack_ranges(df, "c", 7, 100, width=16).collect()}
+    assert got == {k: v[0] for k, v in want.items()}
+    plan = K.pack_batches(df.withColumn("title", F.lit("x")), 99_900, "c")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
 def test_scan_classes(spark):
     files = spark.createDataFrame([("a", "h1", 1, 100), ("b", "h9", 2, 100), ("c", "h2", 3, 100), ("d", "h3", 4, 1), ("e", "h3", 4, 1), ("f", "h4", 5, 1)], "path string, file_hash string, size long, mtime long")
     known = spark.createDataFrame([(1, "a", "h1", 1, 100), (2, "b", "h8", 2, 50), (3, "old", "h2", 3, 100), (4, "gone", "h7", 1, 1)], "id long, path string, file_hash string, size long, mtime long")
