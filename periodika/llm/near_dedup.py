@@ -13,8 +13,8 @@ From the sketches to the components:
 3. Shingles that no other set on those keys has can't be in an intersection. With s of its n shingles shared, a set is
    compared only where the sizes n and s allow 0.8; a set with s < 0.8 n has no links at all. This bound loses nothing.
 4. On each key, all sets are compared with the set that shares most (a star, not all pairs). Then components.
-5. Only where a key still holds several components, pairs of different components are compared: those that share a rare
-   shingle, and those that the bound allows on frequent shingles alone (``_crossing``). Nothing is capped.
+5. Only where a key still holds several components, sets of different components are compared, through the prefixes of
+   their sets in the order of rising frequency (``_crossing``). Nothing is capped.
 
 Every comparison is exact, over the full sets of 64-bit shingle hashes.
 
@@ -29,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,34 +123,97 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.size("items_a") + F.size("items_b") - shared)).select("a", "b")
 
 
+def _need(n: Column, percent: int) -> Column:
+    """The least overlap of a set of size n with any set that is ``percent`` alike: that with a set of size 0.8 n."""
+    return F.ceil(n * percent / 100)
+
+
+def _meet(one: DataFrame, two: DataFrame, others: Column, percent: int) -> DataFrame:
+    """Pairs of prefix rows (item, id, n, s, pos, component) with one item that sizes and places allow, as a < b.
+
+    Two sets with one item at places i and j share at most min(i, j) items up to there and min(s - i, s' - j) after it.
+    """
+    one, two = (side.select(*(F.col(c).alias(f"{c}_{i}") for c in side.columns)) for i, side in ((1, one), (2, two)))
+    most = F.least("pos_1", "pos_2") + F.least(F.col("s_1") - F.col("pos_1"), F.col("s_2") - F.col("pos_2"))
+    fits = (F.col("item_1") == F.col("item_2")) & others & (100 * most >= percent * (F.col("n_1") + F.col("n_2") - most))
+    return one.join(two.hint("merge"), fits).select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b")).distinct()
+
+
+def _frequent_pairs(able: DataFrame, placed: DataFrame, percent: int) -> list[Saved]:
+    """Pairs (a, b) that connect what frequent items alone can connect; ``able`` has id, n, f, h1, h2 and component.
+
+    Sets with the same frequent items (h1, h2) are a class, and the smaller a set, the more it links with: if any two
+    sets of two classes are linked, so are the smallest ones. So in each class the smallest set of each component is
+    compared with the smallest of all (``top``), tops are compared with each other, and a set too large for its own top with the
+    other class's top that leaves most room. Their overlaps are those of the classes.
+    """
+    by_component = able.groupBy("h1", "h2", "f", "component").agg(F.min(F.struct("n", "id")).alias("r"))
+    tops = by_component.groupBy("h1", "h2").agg(F.min(F.struct("r.n", "r.id", "component")).alias("top"))
+    linked = percent * (F.col("n") + F.col("top.n") - F.col("f")) <= 100 * F.col("f")
+    members = Saved(
+        by_component.select("h1", "h2", "f", "component", "r.*").join(tops.hint("merge"), ["h1", "h2"])
+        .select("id", "n", "f", "component", F.col("top.id").alias("top"), F.col("top.n").alias("top_n"), F.col("top.component").alias("top_component"), linked.alias("linked")),
+        "members",
+    )
+    inside = members.df.filter("id <> top AND linked").select(F.least("id", "top").alias("a"), F.greatest("id", "top").alias("b"))
+    heads = Saved(
+        members.df.groupBy(F.col("top").alias("id"), F.col("top_n").alias("n"), F.col("f").alias("s"), F.col("top_component").alias("component")).agg(F.max(~F.col("linked")).alias("heavy")), "tops"
+    )
+    frequent = placed.filter(F.col("c") > RARE)
+    mine = frequent.join(heads.df.hint("merge"), "id").withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("c", "item")))
+    prefix = Saved(mine.filter(F.col("pos") <= F.col("s") - _need(F.col("n"), percent) + 1).drop("c"), "prefixes")
+    # pairs inside an item's largest component are not asked for: the others meet all
+    per = prefix.df.groupBy("item", "component").agg(F.count("*").alias("c")).groupBy("item").agg(F.max(F.struct("c", "component"))["component"].alias("largest"))
+    fewer = prefix.df.join(per.hint("merge"), "item").filter("component <> largest OR heavy").drop("largest")
+    others = (F.col("id_1") != F.col("id_2")) & ((F.col("component_1") != F.col("component_2")) | F.col("heavy_1") | F.col("heavy_2"))
+    met = Saved(_meet(fewer, prefix.df, others, percent), "met")
+    held = heads.df.join(frequent.hint("merge"), "id").groupBy("id", "n", "component").agg(F.collect_list("item").alias("items"))
+    held = Saved(held.join(met.df.select(F.col("a").alias("id")).union(met.df.select("b")).distinct().hint("merge"), "id", "left_semi"), "held-items")
+    one, two = (held.df.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "component", "items"))) for x in "ab")
+    shared = met.df.join(one.hint("merge"), "a").join(two.hint("merge"), "b").withColumn("both", F.size(F.array_intersect("items_a", "items_b"))).drop("items_a", "items_b")
+    crossed = Saved(shared.filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))), "crossed")
+    between = crossed.df.filter("component_a <> component_b").select("a", "b")
+    room = lambda x, y: crossed.df.select(F.col(x).alias("top"), ((100 + percent) * F.col("both") - percent * F.col(f"n_{y}")).alias("room"), F.col(y).alias("other"))
+    best = room("a", "b").unionByName(room("b", "a")).groupBy("top").agg(F.max(F.struct("room", "other")).alias("best"))
+    heavy = members.df.filter("id <> top AND NOT linked").join(best.hint("merge"), "top").filter(percent * F.col("n") <= F.col("best.room"))
+    heavy = heavy.select(F.least("id", "best.other").alias("a"), F.greatest("id", "best.other").alias("b")).filter("a <> b")
+    out = Saved(inside.unionByName(between).unionByName(heavy).distinct(), "frequent-pairs")
+    for done in (members, heads, prefix, met, held, crossed):
+        done.drop()
+    return [out]
+
+
 def _crossing(rest: DataFrame, sets: DataFrame, percent: int) -> Saved:
-    """Every pair (a, b) of different components among ``rest`` (key, id, n, component) that may be a link.
+    """Pairs (a, b) of different components among ``rest`` (id, n, component) that connect all that links connect.
 
-    A shingle is rare if 2 to ``RARE`` sets of ``rest`` have it, frequent if more do. Two sets either share a rare shingle,
-    which is an equi-join whose groups hold ``RARE`` rows at most, or all they share is frequent, which bounds their
-    intersection by their numbers of frequent shingles; then sharing a key is asked for as well. Other pairs can't be links.
+    Items that two sets or more have are put in the order of their number of sets. Two linked sets share an item of their
+    prefixes, the first s - 0.8 n + 1 of a set's s shared items, and the first item that they share is there. If it is rare (at
+    most ``RARE`` sets have it), the pair comes from an equi-join whose groups hold ``RARE`` rows at most. Else all that they share is
+    frequent, and ``_frequent_pairs`` goes by classes.
     """
     ids = Saved(rest.select("id", "n", "component").distinct(), "rest-ids")
     items = sets.join(sized(ids.df.select("id"), ids.count()), "id", "left_semi").select("id", F.explode("items").alias("item"))
-    counts = Saved(items.groupBy("item").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter(F.col("c") <= RARE), "rest-items")
-    rare = Saved(items.join(counts.df.filter("c > 1").select("item").hint("merge"), "item"), "rare")
-    alone = counts.df.filter("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    few = rare.df.groupBy("id").agg(F.count("*").alias("rare"))
-    numbered = ids.df.join(alone.hint("merge"), "id", "left").join(few.hint("merge"), "id", "left").fillna(0, ["alone", "rare"])
-    known = Saved(numbered.select("id", "n", "component", (F.col("n") - F.col("alone")).alias("s"), (F.col("n") - F.col("alone") - F.col("rare")).alias("f")), "rest-known")
-
-    def meeting(rows: DataFrame, on: str, shared: str) -> DataFrame:
-        rows = rows.join(known.df.hint("merge"), "id").select(on, "id", "n", "component", F.col(shared).alias("s"))
-        one, two = (rows.select(F.col(on).alias(f"on_{i}"), *(F.col(c).alias(f"{c}_{i}") for c in ("id", "n", "s", "component"))) for i in (1, 2))
-        fits = (one["on_1"] == two["on_2"]) & (one["component_1"] < two["component_2"]) & _may_link(one["n_1"], one["s_1"], two["n_2"], two["s_2"], percent)
-        return one.join(two.hint("merge"), fits).select(F.col("id_1").alias("a"), F.col("id_2").alias("b"))
-
-    frequent = known.df.filter(100 * F.col("f") >= percent * F.col("n")).select("id")
-    by_key = rest.select("key", "id").join(frequent.hint("merge"), "id", "left_semi")
-    pairs = Saved(meeting(rare.df, "item", "s").unionByName(meeting(by_key, "key", "f")).distinct(), "pairs")
-    for done in (ids, counts, rare, known):
+    counts = items.groupBy("item").agg(F.count("*").alias("c")).filter("c > 1")
+    placed = Saved(items.join(counts.hint("merge"), "item"), "rest-items")
+    own = F.when(F.col("c") > RARE, F.col("item"))
+    profile = placed.df.groupBy("id").agg(
+        F.count("*").alias("s"), F.count(own).alias("f"), F.bit_xor(F.when(own.isNotNull(), F.xxhash64(own))).alias("h1"), F.bit_xor(F.when(own.isNotNull(), F.xxhash64(F.lit(1), own))).alias("h2")
+    )
+    known = Saved(profile.join(ids.df.hint("merge"), "id").filter(F.col("s") >= _need(F.col("n"), percent)), "rest-known")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("c", "item"))
+    rare = placed.df.filter(F.col("c") <= RARE).withColumn("pos", place).join(known.df.select("id", "n", "s", "component").hint("merge"), "id")
+    rare = Saved(rare.filter(F.col("pos") <= F.col("s") - _need(F.col("n"), percent) + 1).select("item", "id", "n", "s", "pos", "component"), "rare")
+    pairs = [Saved(_meet(rare.df, rare.df, F.col("component_1") < F.col("component_2"), percent), "rare-pairs")]
+    able = known.df.filter(F.col("f") >= _need(F.col("n"), percent))
+    if able.limit(1).count():
+        pairs += _frequent_pairs(able, placed.df, percent)
+    out = pairs[0].df
+    for more in pairs[1:]:
+        out = out.unionByName(more.df)
+    out = Saved(out.distinct(), "pairs")
+    for done in (ids, placed, known, rare, *pairs):
         done.drop()
-    return pairs
+    return out
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -191,12 +254,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     # pairs of different components on one key
     placed = able.df.join(found.df.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    rest = Saved(placed.join(mixed.hint("merge"), "key", "left_semi").select("key", "id", "n", "component"), "rest")
+    rest = Saved(placed.join(mixed.hint("merge"), "key", "left_semi").select("id", "n", "component").distinct(), "rest")
     pairs = _crossing(rest.df, sets.df, percent)
     more = Saved(_verified(pairs.df, sets.df, percent), "verified")
     if more.count():
-        found.drop()
-        found = connected_components(links.df.unionByName(more.df))
+        # the first run's stars stand for its links
+        stars_found, found = found, connected_components(found.df.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more.df))
+        stars_found.drop()
     for done in (able, rest, pairs, more, links, stars, sets, sizes, ids):
         done.drop()
 

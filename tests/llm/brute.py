@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -91,3 +92,45 @@ def secrets(text: str | None) -> list[tuple]:
             if (kind == "assign" and len(m[2]) >= 12) or (kind == "access" and len(m[0]) >= 18) or (kind == "hex" and len(m[0]) >= 16):
                 found.append((m.start(), rank, kind, m.end()))
     return [f"{kind}:{start}:{end}" for start, _, kind, end in sorted(found)]
+
+
+def licences(text: str | None, model, cues: str, confirm: float, window: int) -> tuple[int, int, set]:
+    """Notices, unknown ones and family numbers of one text, paragraph by paragraph; nothing is ruled out beforehand."""
+
+    def words(x):
+        return re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", re.sub(r"\bcc-by\b", "cc by", x))
+
+    def judged(ws):
+        grams = {" ".join(ws[i : i + n]) for n in (1, 2, 3) for i in range(len(ws) - n + 1)}
+        z = [b + sum(model.weights[g][k] for g in grams if g in model.weights) for k, b in enumerate(model.bias)]
+        best = max(range(1, len(z)), key=lambda k: (z[k], -k))
+        p = 1 / sum(math.exp(x - z[best]) for x in z)
+        held = {k: max(len(pairs & grams) / len(pairs) for pairs, f in zip(model.pairs, model.family, strict=True) if f == k) for k in range(1, len(z))}
+        return best, p >= model.least, held
+
+    notices, unknown, families = 0, 0, set()
+    for block in re.split(r"\n(?:[^\S\n]*\n)+", (text or "").lower()):
+        lines, at = [], 0
+        for line in block.split("\n"):
+            ws = words(line)
+            lines.append((at, at + len(ws), bool(re.search(cues, line)), *judged(ws)))
+            at += len(ws)
+        every = words(block)
+        half = window // 2
+        found = []
+        for k in range(max(-(-len(every) // half) - 1, 1)):
+            best, named, held = judged(every[half * k : half * k + window])
+            if named and held[best] >= confirm:
+                found.append((half * k, min(half * k + window, len(every)), best))
+        sure = [(a, b, f) for a, b, _, f, named, held in lines if named and held[f] >= confirm]
+        apart = [(a, b, f) for a, b, f in found if not any(f == g and x < b and y > a for x, y, g in sure)]
+        until: dict = {}
+        for a, b, f in apart:
+            notices += a >= until.get(f, 0)
+            until[f] = b
+        notices += len(sure)
+        families |= {f for _, _, f in sure + apart}
+        for a, b, cue, f, named, held in lines:
+            if (cue or named) and not (named and held[f] >= confirm):
+                unknown += not any(x < b and y > a and held[g] > 0 for x, y, g in apart)
+    return notices, unknown, families

@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute
 
 from periodika.llm import decontaminate as dc
-from periodika.llm import language_id, license_scan, mixing, near_dedup, quality_classifier, quality_rules, queries, secret_scan, url_filter, warc
+from periodika.llm import components, language_id, license_scan, mixing, near_dedup, quality_classifier, quality_rules, queries, secret_scan, url_filter, warc
 from periodika.llm.common import table
 
 HEX = hashlib.sha256(b"x").hexdigest()
@@ -101,6 +101,50 @@ def test_near_duplicates_of_a_large_group_of_edits(spark):
     assert got == brute.components(texts)
 
 
+def _blocks(n, ordered, words=40):
+    """Texts of 9 of 12 blocks each: they meet on most band keys and share what most others have."""
+    rng = random.Random(1)
+    blocks = [" ".join(f"b{i}w{j}" for j in range(words)) for i in range(12)]
+    picks = [rng.sample(range(12), 9) for _ in range(n)]
+    return {d + 1: " ".join(blocks[i] for i in (sorted(p) if ordered else p)) for d, p in enumerate(picks)}
+
+
+def test_near_duplicates_of_boilerplate(spark, monkeypatch):
+    """Pairs compared grow with the different texts and their links, not with the square of the documents."""
+    compared, verified = [], near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, sets, percent: (compared.append(pairs.count()), verified(pairs, sets, percent))[1])
+    totals = []
+    for n in (200, 400):
+        texts = _blocks(n, True)
+        compared.clear()
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), k=4).collect()}
+        assert got == brute.components(texts)
+        totals.append(sum(compared))
+    assert totals[1] < 2.2 * totals[0] and totals[1] < 400 * 399 / 2 / 8
+
+
+def test_near_duplicates_with_frequent_parts_of_several_sizes(spark):
+    """Texts that share only frequent passages, with more or fewer words of their own: links depend on the sizes alone."""
+    rng = random.Random(4)
+    texts = {}
+    for d in range(300):
+        parts = rng.choice([[0, 1, 2, 3, 4], [0, 1, 2, 3, 4, 5], [1, 2, 3, 4, 5], [6, 7, 8], [6, 7, 8, 9]])
+        texts[d] = " ".join(" ".join(f"b{i}w{j}" for j in range(25)) for i in parts) + " " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(rng.choice([0, 5, 12, 18, 22, 30])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), k=4).collect()}
+    assert got == brute.components(texts)
+
+
+def test_components_of_long_paths(spark, monkeypatch):
+    rounds, unfinished = [], components._unfinished
+    monkeypatch.setattr(components, "_unfinished", lambda edges: (rounds.append(1), unfinished(edges))[1])
+    ids = list(range(5000))
+    random.Random(1).shuffle(ids)
+    links = [*zip(ids, ids[1:], strict=False), (6000, 6001), (6001, 6001), (6001, 6000), (None, 3), (7000, 7000)]
+    got = {r["id"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).df.collect()}
+    assert got == {**dict.fromkeys(ids, 0), 6000: 6000, 6001: 6000} and len(rounds) < 20
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).df.count() == 0
+
+
 def test_near_duplicates_of_odd_documents(spark, odd):
     got = {r["doc_id"]: r for r in near_dedup.near_duplicates(odd, k=4).collect()}
     assert [got[i]["component_id"] for i in (1, 2, 3, 4, 8, 9, 10)] == [1, 2, 3, 4, 8, 9, 9]
@@ -304,6 +348,24 @@ def test_licences_without_cue_wrapped_and_repeated(spark, docs):
     }
 
 
+def test_licences_equal_a_walk_over_all_paragraphs(spark, small, texts, docs):
+    """The same model in plain Python over every paragraph: nothing that could be named is ruled out beforehand."""
+    rng = random.Random(6)
+    templates = [t for family in license_scan.TEMPLATES.values() for t in family] + license_scan.DISTRACTORS
+    model = license_scan.LicenceModel(docs)
+    assert model.anchors and len(model.anchors) < len({w for g in model.vocabulary for w in g.split(" ")}) / 2
+    cases = dict(texts)
+    prose = [w for t in list(texts.values())[:20] for w in (t or "").split(" ")][:4000]
+    for i in range(250):
+        words = [*rng.sample(prose, rng.randrange(0, 150)), *rng.choice(templates).split(" "), *rng.sample(prose, rng.randrange(0, 60)), *rng.choice(templates).split(" ")[rng.randrange(3) :]]
+        cases[10**6 + i] = "".join(w + rng.choice([" "] * 7 + ["\n", "\n \n"]) for w in words)
+    df = spark.createDataFrame(list(cases.items()), "doc_id long, text string")
+    names = license_scan.FAMILIES
+    for r in license_scan.scan(df, model=model).collect():
+        notices, unknown, families = brute.licences(cases[r["doc_id"]], model, license_scan.CUES, license_scan.CONFIRM, license_scan.WINDOW)
+        assert (r["n_notices"], r["n_unknown"], r["licences"]) == (notices, unknown, ",".join(sorted(names[f - 1] for f in families))), cases[r["doc_id"]]
+
+
 def test_licences_in_documents(spark, small, texts):
     lines = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC": "Licensed under CC BY-NC 4.0."}
     for r in queries.op9_license_scan(spark, small).collect():
