@@ -59,8 +59,8 @@ _PATH = r"regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
 
 
 def op8_sql() -> str:
-    """Rules and eight rounds of trust and distrust, each a view of its own."""
-    from .url_filter import DAMPING, LEAST, RATIO, ROUNDS, RULES
+    """Rules and as many rounds of trust and distrust as convergence can take, each a view of its own."""
+    from .url_filter import DAMPING, LEAST, MOST_ROUNDS, RATIO, RULES
 
     ordered = sorted(RULES, key=lambda r: -len(r.name))
     fits = lambda what: "CASE " + " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, what)}'" for r in ordered) + " END"
@@ -80,10 +80,11 @@ def op8_sql() -> str:
     for way, edges, column in (("t", "fw", "a"), ("d", "bw", "b")):
         views.append(f"{way}s AS (SELECT names.host, coalesce({column} / nullif((SELECT sum({column}) FROM c), 0), 0) AS seed FROM names LEFT JOIN c USING (host))")
         views.append(f"{way}0 AS (SELECT host, seed AS rank FROM {way}s)")
-        for i in range(ROUNDS):
+        for i in range(MOST_ROUNDS):
             got = f"SELECT x.dst AS host, sum(r.rank * x.share) AS got FROM {edges} x JOIN {way}{i} r ON r.host = x.src GROUP BY 1"
             views.append(f"{way}{i + 1} AS MATERIALIZED (SELECT s.host, {1 - DAMPING!r} * seed + {DAMPING!r} * coalesce(got, 0) AS rank FROM {way}s s LEFT JOIN ({got}) USING (host))")
-    bad = f"SELECT t.host FROM t{ROUNDS} t JOIN d{ROUNDS} d USING (host) WHERE d.rank > {RATIO} * t.rank AND d.rank > {LEAST} / (SELECT count(*) FROM names)"
+        views.append(f"{way} AS (SELECT host, coalesce(rank / nullif((SELECT sum(rank) FROM {way}{MOST_ROUNDS}), 0), 0) AS rank FROM {way}{MOST_ROUNDS})")
+    bad = f"SELECT t.host FROM t JOIN d USING (host) WHERE d.rank > {RATIO} * t.rank AND d.rank > {LEAST} / (SELECT count(*) FROM names)"
     return "WITH " + ",\n".join(views) + f"\nSELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN ({bad}) THEN 'block' ELSE 'allow' END) AS verdict FROM j"
 
 
