@@ -31,9 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests on one machine), a temporary one."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset and all runs on this machine, a temporary one."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _LOCAL:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="periodika-"))
         at = _LOCAL[0]
@@ -86,6 +88,12 @@ def bounded_sample(df: DataFrame, key: str, most: int, by: str | None = None) ->
     return df.filter(unit < share)
 
 
+def one_label(labels: DataFrame, id: str, *names: str) -> DataFrame:
+    """A row for each non-null id with its 0/1 labels ``names``: of rows that disagree the majority holds, 0 on a tie; null if all are."""
+    counted = lambda c: F.when(F.count(c) > 0, F.when(2 * F.sum(F.col(c)) > F.count(c), 1).otherwise(0)).alias(c)
+    return labels.filter(F.col(id).isNotNull()).groupBy(id).agg(*(counted(c) for c in names))
+
+
 def slices(batch: pa.RecordBatch, at: int, most: int):
     """Pieces of a batch with at most ``most`` bytes of text in column ``at`` (a longer text is a piece of its own)."""
     n, begin = batch.num_rows, 0

@@ -6,7 +6,9 @@ bins and the trees grow on gradient histograms. Scoring flattens all trees into
 value) and walks every document of a batch through a tree at once.
 
 Defined results: a null or empty text has statistics 0 and a score like any other; with no labels, or labels of one kind
-only, the score is that kind's smoothed share; repeated rows have equal scores; an empty table gives an empty result.
+only, the score is that kind's smoothed share; of labels that disagree on a document the majority holds, 0 on a tie
+(``one_label``); repeated rows have equal scores; long texts are read whole; an empty table gives an empty result. Equal gains of a split go to the
+first statistic and the lowest bin. Columns score and predicted of the input give way to the operator's.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import bounded_sample, with_text_columns
+from .common import bounded_sample, one_label, with_text_columns
 
 SAMPLE = 20_000
 BINS = 64
@@ -161,7 +163,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) -
 
 def learn(docs: DataFrame, labels: DataFrame, allowed: Column, id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Trees:
     """Trees from the labelled documents for which ``allowed`` (a column of the label table) holds."""
-    rows = bounded_sample(labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull() & allowed).select(id, label).dropDuplicates([id]), id, sample)
+    rows = bounded_sample(one_label(labels.filter(F.col(label).isNotNull() & allowed), id, label), id, sample)
     field = T.StructField("x", T.ArrayType(T.DoubleType()))
 
     def compute(column: pa.Array) -> list[pa.Array]:
