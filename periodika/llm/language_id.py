@@ -10,7 +10,9 @@ chooses); classifying reads every text whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every text if no labels are there. A
 text with letters but no known n-gram gets the language with most labelled texts and score 0. Ties go to the language
-first in alphabetical order. At most 64 languages; more raise an error.
+first in alphabetical order. Beyond 64 languages a cell is several words, one for each 64. Repeated rows, and labels that disagree
+on one text, each count; texts are read whole; empty tables give empty results; columns lang_pred and score of the input give
+way to the operator's.
 """
 
 from __future__ import annotations
@@ -67,7 +69,7 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    cells: np.ndarray
+    cells: np.ndarray  # a row for each 8 or 64 languages
     false_positives: np.ndarray
     fallback: int
 
@@ -75,15 +77,18 @@ class Model:
         """The place of the language of each text, and its share of the corrected votes."""
         g, at = grams(column)
         x = g.astype(tv.U)
-        mask = None
-        for seed in _SEED[:HASHES]:
-            cell = self.cells[((x * seed) >> tv.U(64 - 20)).astype(np.int64)]
-            mask = cell if mask is None else mask & cell
+        places = [((x * seed) >> tv.U(64 - 20)).astype(np.int64) for seed in _SEED[:HASHES]]
         n = np.diff(at)
         votes = np.zeros((len(n), len(self.languages)))
-        for i, f in enumerate(self.false_positives):
-            got = tv.sums_by_text(((mask >> self.cells.dtype.type(i)) & self.cells.dtype.type(1)).astype(np.int64), at)
-            votes[:, i] = np.maximum(0.0, (got - n * f) / (1 - f))
+        kind, wide = self.cells.dtype.type, 8 * self.cells.itemsize
+        for word, cells in enumerate(self.cells):
+            mask = cells[places[0]]
+            for place in places[1:]:
+                mask = mask & cells[place]
+            for i in range(word * wide, min((word + 1) * wide, len(self.languages))):
+                f = self.false_positives[i]
+                got = tv.sums_by_text(((mask >> kind(i % wide)) & kind(1)).astype(np.int64), at)
+                votes[:, i] = np.maximum(0.0, (got - n * f) / (1 - f))
         total = votes.sum(axis=1)
         best = votes.argmax(axis=1)
         share = np.divide(votes[np.arange(len(n)), best], total, out=np.zeros(len(n)), where=total > 0)
@@ -116,16 +121,17 @@ def learn(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str
     languages = sorted({r["lang"] for r in got})
     if not languages:
         return None
-    if len(languages) > 64:
-        raise ValueError(f"{len(languages)} languages; a mask has 64 bits")
-    kind = np.uint8 if len(languages) <= 8 else np.uint64
-    cells = np.zeros(CELLS, kind)
+    kind, wide = (np.uint8, 8) if len(languages) <= 8 else (np.uint64, 64)
+    cells = np.zeros((-(-len(languages) // wide), CELLS), kind)
     place = {name: i for i, name in enumerate(languages)}
-    for name in languages:
-        x = np.array([r["gram"] for r in got if r["lang"] == name], tv.U)
+    grams_of: dict[str, list[int]] = {name: [] for name in languages}
+    for r in got:
+        grams_of[r["lang"]].append(r["gram"])
+    for name, i in place.items():
+        x = np.array(grams_of[name], tv.U)
         for seed in _SEED[:HASHES]:
-            cells[((x * seed) >> tv.U(64 - 20)).astype(np.int64)] |= kind(1 << place[name])
-    fill = np.array([((cells >> kind(i)) & kind(1)).mean() for i in range(len(languages))])
+            cells[i // wide, ((x * seed) >> tv.U(64 - 20)).astype(np.int64)] |= kind(1 << i % wide)
+    fill = np.array([((cells[i // wide] >> kind(i % wide)) & kind(1)).mean() for i in range(len(languages))])
     by_size = labelled.filter(F.col(lang).isin(languages)).groupBy(lang).count().orderBy(F.desc("count"), lang).first()
     return Model(languages, cells, fill**HASHES, place[by_size[0]])
 
@@ -134,7 +140,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str], text: str =
     """``keep`` columns of ``docs`` with lang_pred and score."""
     if model is None:
         return docs.select(*[c for c in keep if c not in ("lang_pred", "score")], F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB up to 8 languages, 8 MB up to 64
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB up to 8 languages, else 8 MB for each 64
     names = np.array([*model.languages, "und"], dtype=object)
 
     def compute(column: pa.Array) -> list[pa.Array]:
