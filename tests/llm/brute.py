@@ -134,3 +134,28 @@ def licences(text: str | None, model, cues: str, confirm: float, window: int) ->
             if (cue or named) and not (named and held[f] >= confirm):
                 unknown += not any(x < b and y > a and held[g] > 0 for x, y, g in apart)
     return notices, unknown, families
+
+
+def random_spans(texts: dict, battery, weights, lengths, shortest: int, fdr: float, bins: int) -> dict:
+    """The spans that weighted Benjamini-Hochberg control over every candidate of ``texts`` adds, candidate by candidate."""
+    family = []
+    for doc, text in texts.items():
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text or ""):
+            if m.end() - m.start() < shortest:
+                continue
+            whole = None
+            for start, end, p in battery.judged(m[0]):
+                b = min(bins, int(-10 * math.log10(p))) if p < 1 else 0
+                family.append((doc, m.start() + start, m.start() + end, b, weights[sum(end - start > x for x in lengths)], whole))
+                whole = whole or len(family)
+    mean = sum(f[4] for f in family) / len(family) if family else 1
+    q = [10 ** (-b / 10) * mean / w if b else math.inf for _, _, _, b, w, _ in family]
+    best = 0.0
+    for rank, x in enumerate(sorted(q), 1):
+        if x * len(family) <= fdr * rank:
+            best = x
+    out: dict = {doc: [] for doc in texts}
+    for (doc, start, end, b, _, whole), x in zip(family, q, strict=True):
+        if b and x <= best and not (whole and q[whole - 1] <= best):
+            out[doc].append(f"random:{start}:{end}")
+    return out

@@ -175,6 +175,69 @@ def test_secrets_match_brute_force(docs, texts, odd):
     assert secret_scan.scan(odd.limit(0), ["doc_id"]).count() == 0
 
 
+def test_random_spans_equal_a_step_up_over_all_candidates(spark, docs, texts):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = ["0123456789abcdef", letters + "0123456789", letters + letters.upper() + "0123456789", letters.upper() + "234567", letters + letters.upper() + "0123456789+/"]
+    cases = dict(list(texts.items())[:60])
+    for i in range(60):
+        keys = ["".join(rng.choice(a) for _ in range(rng.choice([7, 10, 15, 20, 30, 44, 64, 100]))) for a in rng.sample(alphabets, 2)]
+        cases[10**6 + i] = f"é see {keys[0]}, {'-'.join(keys)} and facade-decade_added 2024-01-{i + 1:02} tel +49/30/{rng.randrange(10**6)} ENDS-{keys[1][:6]}"
+    cases[1] = None
+    df = spark.createDataFrame(list(cases.items()), "doc_id long, text string")
+    natural = secret_scan.measure(docs)
+    monkey = secret_scan.measure
+    secret_scan.measure = lambda *a, **k: natural
+    try:
+        out = secret_scan.scan(df, ["doc_id"]).select("doc_id", secret_scan.spelt("spans").alias("s")).collect()
+    finally:
+        secret_scan.measure = monkey
+    want = brute.random_spans(cases, secret_scan.Battery(natural), secret_scan.WEIGHTS, secret_scan.LENGTHS, secret_scan.SHORTEST, secret_scan.FDR, secret_scan.BINS)
+    got = {r["doc_id"]: [s for s in r["s"].split(",") if s.startswith("random")] for r in out}
+    assert {d: sorted(s) for d, s in got.items()} == {d: sorted(s) for d, s in want.items()}
+    assert sum(map(bool, got.values())) > 40
+
+
+def test_added_spans_of_the_given_documents_are_keys(docs, texts):
+    """No false discovery in the documents at hand: what the battery adds also looks like a key to the eye of a pattern."""
+    import re
+
+    rows = secret_scan.scan(docs, ["doc_id"]).select("doc_id", F.explode("spans").alias("s")).filter("s.kind = 3").select("doc_id", "s.start", "s.end").collect()
+    for r in rows:
+        assert re.fullmatch(r"[0-9a-f]{16,}|AKIA[A-Z0-9]{12,}|(?=.*[0-9])(?=.*[A-Z])[A-Za-z0-9+/_=-]{16,}", texts[r["doc_id"]][r["start"] : r["end"]]), r
+
+
+def test_lengths_that_no_threshold_allows(spark):
+    battery = secret_scan.Battery(secret_scan.Natural({}, {}))
+    for k, least in battery.least.items():
+        n = least - 1
+        if n >= secret_scan.SHORTEST:
+            assert battery.natural.p(k, n, secret_scan._most_even(k, n), 0.0, 0.0, k == 10 and n < secret_scan.NUMBER) > secret_scan.FDR
+
+
+def test_languages_equal_plain_sets(docs, texts):
+    """The filters as Python sets of cells, one language and one n-gram at a time; also with more languages than bits in a word."""
+    import pyarrow as pa
+
+    model = language_id.learn(docs)
+    many = language_id.learn(docs.withColumn("lang", F.concat("lang", (F.col("doc_id") % 30).cast("string"))))
+    assert len(many.languages) > 64 and len(many.cells) == 2
+    some = [t for t in list(texts.values())[:40]] + ["", "x", "été 12"]
+    for m in (model, many):
+        wide = 8 * m.cells.itemsize
+        sets = [{int(c) for c in ((m.cells[i // wide] >> m.cells.dtype.type(i % wide)) & m.cells.dtype.type(1)).nonzero()[0]} for i in range(len(m.languages))]
+        best, share = m.classify(pa.array(some))
+        for text, b, x in zip(some, best, share, strict=True):
+            letters = bytes(c if c >= 128 or 97 <= c < 123 else c + 32 if 65 <= c < 91 else 32 for c in text.encode())
+            grams = [g for i in range(len(letters) - 1) if not (g := (b" " + letters + b" ")[i : i + 4]).startswith(b"  ")]
+            votes = []
+            for cells, f in zip(sets, m.false_positives, strict=True):
+                got = sum(all(((int.from_bytes(g, "big") * int(seed)) % 2**64) >> 44 in cells for seed in language_id._SEED) for g in grams)
+                votes.append(max(0.0, (got - len(grams) * f) / (1 - f)))
+            if sum(votes):
+                assert abs(x - max(votes) / sum(votes)) < 1e-9 and votes[b] == max(votes)
+
+
 def test_randomness_battery_tells_keys_from_words(spark):
     rng = random.Random(3)
     keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(64)) for _ in range(40)]
