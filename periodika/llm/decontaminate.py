@@ -1,34 +1,42 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams against all windows of every text.
 
 Words are ASCII-lower-cased runs of digits, letters a-z and characters beyond ASCII. The windows of an item are its runs
-of 13 words (an item with fewer words is one window). The set is broadcast in blocks of at most ``BLOCK_WINDOWS``
-windows; each block is one more scan in the same stage, so a larger benchmark takes longer but not more memory. A window
-whose hash hits is compared word by word before it counts.
-
-Defined results: a null or wordless text has no windows and is clean; an item without words or without id is ignored; an
-empty benchmark leaves every document clean; repeated rows are each judged.
+of 13 words (an item with fewer words is one window). Up to ``BLOCK_WINDOWS`` windows, counted after they were written out, the set is
+broadcast whole, and a window whose hash hits is compared word by word before it counts. Beyond that, what is broadcast is
+a Bloom filter of the hashes with ``FILTER_BITS`` bits, whatever the number of windows; document windows that pass it are written out and
+joined with the table of windows on hash and words, which compares them word by word as well. Either way a task's memory has a bound
+that the benchmark doesn't move.
+
+Defined results: a null or wordless text has no windows and is clean; an item without words or without id is ignored; repeated items
+count once; an empty benchmark leaves every document clean; repeated rows are each judged; texts are read whole; a window of several
+items counts for all of them. Columns n_words, n_hit, hits, items and contaminated of the input give way to the operator's.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import Saved, bounded_batches, slices, with_text_columns
+from .common import Saved, with_text_columns
 
 WINDOW = 13
 #: About 150 bytes each in a task: 60 MB.
 BLOCK_WINDOWS = 400_000
+#: 4 MB; a larger benchmark lets more windows through to the join.
+FILTER_BITS = 1 << 25
 
 _ITEM_FIELDS = [T.StructField("windows", T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("words", T.BinaryType())])))]
-_HIT_FIELDS = [T.StructField("__hits", T.ArrayType(T.IntegerType())), T.StructField("__items", T.ArrayType(T.StringType()))]
+_HIT_FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("__hits", T.ArrayType(T.IntegerType())), T.StructField("__items", T.ArrayType(T.StringType()))]
+_MET = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), *_ITEM_FIELDS[0].dataType.elementType.fields]))
+_MET_FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("__row", T.LongType()), T.StructField("__met", _MET)]
+_COLUMNS = ("n_words", "n_hit", "hits", "items", "contaminated")
 
 
 def _words(column: pa.Array) -> tuple[bytes, tv.Words]:
@@ -87,50 +95,85 @@ def _scan(column: pa.Array, block: dict, keys: dict[int, np.ndarray]) -> tuple[n
     return words.counts, words.at, hit, items
 
 
+def _whole_set(docs: DataFrame, windows: Saved, keep: list[str], text: str) -> DataFrame:
+    """``keep`` with n_words, __hits and __items, by a broadcast of all ``windows``."""
+    block: dict = {}
+    for r in windows.df.collect():  # BLOCK_WINDOWS rows at most
+        block.setdefault((r["n"], r["key"] & (2**64 - 1)), {}).setdefault(bytes(r["words"]), set()).add(r["item"])
+    keys = {size: np.sort(np.array([k for m, k in block if m == size], tv.U)) for size in {m for m, _ in block}}
+    shipped = docs.sparkSession.sparkContext.broadcast((block, keys))
+
+    def compute(column: pa.Array) -> list[pa.Array]:
+        counts, at, hit, items = _scan(column, *shipped.value)
+        hits = [np.flatnonzero(hit[at[i] : at[i + 1]]) for i in range(len(counts))]
+        flat = np.concatenate(hits).astype(np.int32) if hits else np.zeros(0, np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, hits)]), pa.int32()), pa.array(flat))
+        return [pa.array(counts.astype(np.int64)), listed, pa.array([sorted(s) for s in items], pa.list_(pa.string()))]
+
+    return with_text_columns(docs, keep, compute, _HIT_FIELDS, text)
+
+
+def _places(keys: np.ndarray) -> list[np.ndarray]:
+    """Two bits of the filter for each key."""
+    return [(tv.mix(keys + tv.U(i)) % tv.U(FILTER_BITS)).astype(np.int64) for i in (1, 2)]
+
+
+def _filter_of(windows: DataFrame) -> np.ndarray:
+    """The Bloom filter of all keys: bits are set in bytes, which are put together by place, FILTER_BITS / 8 rows at most."""
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column(0).to_numpy().view(tv.U)
+            places = np.unique(np.concatenate(_places(keys)))
+            yield pa.RecordBatch.from_arrays([pa.array(places >> 3), pa.array((1 << (places & 7)).astype(np.int32))], names=["byte", "bit"])
+
+    rows = windows.select("key").mapInArrow(run, "byte long, bit int").groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    bits[rows.column("byte").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint8)
+    return bits
+
+
+def _by_join(docs: DataFrame, windows: Saved, keep: list[str], text: str) -> DataFrame:
+    """The same by a filter of bounded size and a join of what passes it."""
+    sizes = [r[0] for r in windows.df.select("n").distinct().collect()]  # 1 to 13
+    shipped = docs.sparkSession.sparkContext.broadcast(_filter_of(windows.df))
+    seen = {"rows": 0}
+
+    def compute(column: pa.Array) -> list[pa.Array]:
+        spelt, words = _words(column)
+        bits = shipped.value
+        met: list[list[dict]] = [[] for _ in words.counts]
+        for n in sizes:
+            at, keys = words.windows(n)
+            one, two = _places(keys)
+            for i in np.flatnonzero((bits[one >> 3] >> (one & 7)) & (bits[two >> 3] >> (two & 7)) & 1):
+                first = int(at[i])
+                doc = int(np.searchsorted(words.at, first, side="right")) - 1
+                met[doc].append({"at": first - int(words.at[doc]), "n": n, "key": int(keys[i : i + 1].view(np.int64)[0]), "words": _spelt(spelt, words, first, n)})
+        begin = (TaskContext.get().partitionId() << 40) + seen["rows"]
+        seen["rows"] += len(met)
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("words", pa.binary())]))
+        return [pa.array(words.counts.astype(np.int64)), pa.array(np.arange(begin, begin + len(met))), pa.array(met, kind)]
+
+    scanned = Saved(with_text_columns(docs, keep, compute, _MET_FIELDS, text), "scanned")  # row numbers are fixed from here on
+    met = scanned.df.select("__row", F.inline("__met")).join(windows.df.hint("merge"), ["n", "key", "words"])
+    spots = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1)))))
+    found = Saved(met.groupBy("__row").agg(spots.alias("__hits"), F.array_sort(F.collect_set("item")).alias("__items")), "found")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return scanned.df.drop("__met").join(found.df.hint("merge"), "__row", "left").select(*keep, "n_words", empty("__hits", "int"), empty("__items", "string"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item: str = "item_id", n: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """``keep`` columns of ``docs`` with n_words, n_hit, hits (positions of hit words), items (sorted ids) and contaminated.
 
     A document is contaminated if at least a twentieth of its words are hit. To cut only the hit words out, drop the words at
     ``hits``; to remove whole documents, filter on ``contaminated``.
     """
-    saved = Saved(benchmark_windows(benchmark, item, "text", n), "windows")
-    blocks = max(1, math.ceil(saved.count() / block_windows))
-    out_fields = [T.StructField("n_words", T.LongType()), *_HIT_FIELDS]
-    keep = [c for c in keep if c not in {"n_words", "n_hit", "hits", "items", "contaminated"}]
-    bounded_batches(docs.sparkSession)
-    held = keep if text in keep else [*keep, text]
-    df = docs.select(*held)
-    context = docs.sparkSession.sparkContext
-    for b in range(blocks):
-        rows = saved.df.filter(F.pmod(F.xxhash64("n", "key"), F.lit(blocks)) == b).collect()  # block_windows rows or so
-        block: dict = {}
-        for r in rows:
-            block.setdefault((r["n"], r["key"] & (2**64 - 1)), {}).setdefault(bytes(r["words"]), set()).add(r["item"])
-        shipped = context.broadcast(block)
-        before = ["__hits", "__items"] if b else []
-
-        def run(batches, shipped=shipped, before=before):
-            block = shipped.value
-            keys = {size: np.sort(np.array([k for m, k in block if m == size], tv.U)) for size in {m for m, _ in block}}
-            at_text = held.index(text)
-            for batch in batches:
-                for piece in slices(batch, at_text, 1 << 20):
-                    counts, at, hit, items = _scan(piece.column(at_text), block, keys)
-                    hits = [np.flatnonzero(hit[at[i] : at[i + 1]]) for i in range(len(counts))]
-                    if before:
-                        hits = [np.union1d(h, np.array(o or [], np.int64)) for h, o in zip(hits, piece.column("__hits").to_pylist(), strict=True)]
-                        items = [s | set(o) for s, o in zip(items, piece.column("__items").to_pylist(), strict=True)]
-                    ends = np.cumsum([0, *map(len, hits)])
-                    flat = np.concatenate(hits).astype(np.int32) if hits else np.zeros(0, np.int32)
-                    listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                    yield pa.RecordBatch.from_arrays(
-                        [*piece.columns[: len(held)], pa.array(counts.astype(np.int64)), listed, pa.array([sorted(s) for s in items], pa.list_(pa.string()))],
-                        names=[*held, "n_words", "__hits", "__items"],
-                    )
-
-        df = df.select(*held, *before).mapInArrow(run, T.StructType([docs.schema[c] for c in held] + out_fields))
+    keep = [c for c in keep if c not in _COLUMNS]
+    windows = Saved(benchmark_windows(benchmark, item, "text", n), "windows")
+    found = (_whole_set if windows.count() <= block_windows else _by_join)(docs, windows, keep, text)
     n_hit = F.size("__hits").cast("long")
-    return df.select(
+    return found.select(
         *keep, "n_words", n_hit.alias("n_hit"), F.col("__hits").alias("hits"), F.col("__items").alias("items"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )

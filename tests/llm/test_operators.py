@@ -69,7 +69,9 @@ def test_decontamination_matches_brute_force(spark, small, docs, texts, odd):
         expected = brute.contamination(texts, want)
         got = {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"]), dc.items_sha256(r["items"]), r["contaminated"]) for r in out}
         assert got == expected
-    for r in dc.decontaminate(odd, bench, ["doc_id", "text"]).collect():
+    plan = dc.decontaminate(docs.select("doc_id", "text"), bench, ["doc_id"], block_windows=50)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # the scan was written out; no task runs one Python node for each part of the benchmark
+    for r in [*dc.decontaminate(odd, bench, ["doc_id", "text"]).collect(), *dc.decontaminate(odd, bench.unionByName(bench), ["doc_id", "text"], block_windows=10).collect()]:
         assert brute.contamination({0: r["text"]}, want)[0] == (r["n_words"], r["n_hit"], len(r["items"]), dc.items_sha256(r["items"]), r["contaminated"])
     assert dc.decontaminate(docs, bench.limit(0), ["doc_id"]).filter("contaminated").count() == 0
     assert dc.decontaminate(docs.limit(0), bench, ["doc_id"]).count() == 0
