@@ -6,19 +6,25 @@ under a temporary name and renames them when complete, so a task that is run aga
 
 The reader takes a package's end record from its last bytes, follows the ZIP64 locator where there is one, parses the
 central directory, finds the stored members' data through their local headers, reads the index, and fetches runs of
-records of at most ``RANGE_BYTES`` each. Members that are compressed are refused: a range of them means nothing.
+records of at most ``RANGE_BYTES`` each. Members that are compressed are refused: a range of them means nothing. Packages of others
+are read as well: any record type and record id, numbers written as strings, gzipped indexes, plain or gzipped records, HTTP
+bodies without length or in chunks, and digests of other algorithms (``verified`` is null where the algorithm isn't known or the
+record has no digest). ``page_id`` and ``refers_to`` are those of our own ids (``urn:page:``), null for others.
 
 Defined results: a null html is an empty payload; payloads under ``MIN_REVISIT`` bytes are always responses; of rows that
 repeat the smallest page_id all are responses; a row without page_id is written with an empty id, is never referred to and
-is a response unless another page holds its payload; a null url is left out. Empty tables give no packages and no rows.
+is a response unless another page holds its payload; a null url is left out; long pages are records like any other. Empty tables
+give no packages and no rows. Columns of the input other than id, url and html are not looked at.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -35,6 +41,8 @@ from .common import Saved, bounded_batches, fresh_path, sized, slices
 MIN_REVISIT = 100
 PACKAGE_BYTES = 64 << 20
 RANGE_BYTES = 4 << 20
+#: Reading tasks for each core at most; a task reads several packages beyond that.
+READERS = 16
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -42,7 +50,7 @@ RECORDS = T.StructType(
     [
         T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()),
         T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("payload", T.BinaryType()),
-        T.StructField("package", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("verified", T.BooleanType()),
+        T.StructField("package", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("verified", T.BooleanType()), T.StructField("record_id", T.StringType()), T.StructField("refers_to_id", T.StringType()),
     ]
 )
 _PACKAGES = T.StructType([T.StructField("package", T.StringType()), T.StructField("records", T.LongType()), T.StructField("bytes", T.LongType())])
@@ -65,17 +73,49 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def _fields(lines: list[str]) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, sep, v in (x.partition(":") for x in lines) if sep}
+
+
 def parse_record(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
-    """WARC fields, HTTP fields and payload of one record."""
+    """WARC fields, HTTP fields and payload (the body, or the whole block of records that aren't HTTP) of one record."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    first, *lines = head.decode().split("\r\n")
+    first, *lines = head.decode("utf-8", "replace").split("\r\n")
     if not first.startswith("WARC/"):
         raise ValueError(f"no WARC record: {first[:40]!r}")
-    warc = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
+    warc = _fields(lines)
     block = rest[: int(warc["content-length"])]
+    if not warc.get("content-type", "").startswith("application/http"):
+        return warc, {}, block
     http_head, _, payload = block.partition(b"\r\n\r\n")
-    http = {k.lower(): v for k, _, v in (x.partition(": ") for x in http_head.decode().split("\r\n")[1:])}
-    return warc, http, payload
+    return warc, _fields(http_head.decode("utf-8", "replace").split("\r\n")[1:]), payload
+
+
+def unchunked(body: bytes) -> bytes:
+    """A body in chunks put together; what isn't in chunks stays."""
+    out, at = [], 0
+    while found := re.compile(rb"([0-9A-Fa-f]+)[^\r\n]*\r\n").match(body, at):
+        size = int(found[1], 16)
+        if not size:
+            return b"".join(out)
+        out.append(body[found.end() : found.end() + size])
+        at = found.end() + size + 2
+    return body
+
+
+def digest_holds(digest: str | None, payload: bytes) -> bool | None:
+    """Whether ``algorithm:value`` (hexadecimal or base 32) is the payload's digest; null if that can't be told."""
+    name, _, value = (digest or "").partition(":")
+    name = name.lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    found = hashlib.new(name, payload).digest()
+    return value.lower() == found.hex() or value.upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=")
+
+
+def _own_id(name: str | None) -> int | None:
+    found = re.fullmatch(r"<urn:page:(-?[0-9]+)>", name or "")
+    return int(found[1]) if found else None
 
 
 class PackageWriter:
@@ -172,33 +212,49 @@ def data_range(source, member: tuple[int, int, int]) -> tuple[int, int]:
     return place + 30 + n_name + n_extra, size
 
 
+def _entries(data: bytes) -> list[dict]:
+    """Lines of an index, gzipped or not, that have a place; header lines are passed over."""
+    text = (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode()
+    rows = [json.loads(line[line.index("{") :]) for line in text.split("\n") if "{" in line and not line.startswith("!")]
+    return [{"filename": r["filename"], "offset": int(r["offset"]), "length": int(r["length"])} for r in rows if "offset" in r and "length" in r]
+
+
+def _described(data: bytes) -> dict:
+    """One record, gzipped or not."""
+    warc, http, payload = parse_record(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+    revisit = warc.get("warc-type") == "revisit"
+    digest = warc.get("warc-payload-digest") or (None if http else warc.get("warc-block-digest"))
+    verified = None if revisit else digest_holds(digest, payload)
+    if not revisit and "chunked" in http.get("transfer-encoding", "").lower():
+        plain = unchunked(payload)
+        payload, verified = plain, None if verified is None else verified or digest_holds(digest, plain)
+    stated = http.get("content-length", "")
+    size = (int(stated) if stated.isdigit() else None) if revisit else len(payload)
+    bare = digest.partition(":")[2] if digest else None
+    return {
+        "page_id": _own_id(warc.get("warc-record-id")), "url": warc.get("warc-target-uri"), "record_type": warc.get("warc-type"), "refers_to": _own_id(warc.get("warc-refers-to")) if revisit else None,
+        "payload_bytes": size, "payload_digest": bare, "payload": None if revisit else payload, "verified": bool(digest) if revisit else verified,
+        "record_id": warc.get("warc-record-id"), "refers_to_id": warc.get("warc-refers-to"),
+    }
+
+
 def read_package(source, length: int, package: str) -> Iterator[dict]:
     """All records of one package, through its index."""
     members = directory(source, length)
-    places = {name: data_range(source, m) for name, m in members.items() if name.startswith(("archive/", "indexes/"))}
-    entries = []
-    for name, (at, size) in places.items():
-        if name.startswith("indexes/"):
-            entries += [json.loads(line.split(" ", 2)[2]) for line in source.read_at(size, at).decode().split("\n") if line]
+    places = {name: data_range(source, m) for name, m in members.items() if name.startswith(("archive/", "indexes/")) and not name.endswith(("/", ".idx"))}
+    entries = [e for name, (at, size) in places.items() if name.startswith("indexes/") for e in _entries(source.read_at(size, at))]
     entries.sort(key=lambda e: (e["filename"], e["offset"]))
     i = 0
     while i < len(entries):
         name, begin = entries[i]["filename"], entries[i]["offset"]
         j, end = i, begin
         while j < len(entries) and entries[j]["filename"] == name and (j == i or entries[j]["offset"] + entries[j]["length"] - begin <= RANGE_BYTES):
-            end = entries[j]["offset"] + entries[j]["length"]
+            end = max(end, entries[j]["offset"] + entries[j]["length"])
             j += 1
-        block = source.read_at(end - begin, places[f"archive/{name}"][0] + begin)
+        at = places[name] if name in places else places[f"archive/{name}"]
+        block = source.read_at(end - begin, at[0] + begin)
         for e in entries[i:j]:
-            warc, http, payload = parse_record(gzip.decompress(block[e["offset"] - begin : e["offset"] - begin + e["length"]]))
-            revisit = warc["warc-type"] == "revisit"
-            digest = warc["warc-payload-digest"].removeprefix("sha256:")
-            page, refers = warc["warc-record-id"][10:-1], warc.get("warc-refers-to", "<urn:page:>")[10:-1]
-            yield {
-                "page_id": int(page) if page else None, "url": warc.get("warc-target-uri"), "record_type": warc["warc-type"], "refers_to": int(refers) if revisit and refers else None,
-                "payload_bytes": int(http["content-length"]) if revisit else len(payload), "payload_digest": digest, "payload": None if revisit else payload,
-                "package": package, "offset": e["offset"], "verified": revisit or hashlib.sha256(payload).hexdigest() == digest,
-            }
+            yield _described(block[e["offset"] - begin : e["offset"] - begin + e["length"]]) | {"package": package, "offset": e["offset"]}
         i = j
 
 
@@ -264,7 +320,7 @@ def read_packages(spark: SparkSession, packages: DataFrame, package: str = "pack
                     kept: list[dict] = []
                     weight = 0
                     for r in read_package(source, f.size(), path):
-                        weight += r["payload_bytes"] + 500
+                        weight += len(r["payload"] or b"") + 500
                         if not payloads:
                             r["payload"] = None
                         kept.append(r)
@@ -274,11 +330,11 @@ def read_packages(spark: SparkSession, packages: DataFrame, package: str = "pack
                     if kept:
                         yield _batch(kept)
 
-    n = max(1, packages.count())
-    return packages.select(F.col(package)).repartition(n).mapInArrow(run, RECORDS)
+    most = READERS * spark.sparkContext.defaultParallelism
+    return packages.select(F.col(package)).repartition(max(1, min(packages.count(), most))).mapInArrow(run, RECORDS)
 
 
-_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("package", pa.string()), ("offset", pa.int64()), ("verified", pa.bool_())])
+_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("package", pa.string()), ("offset", pa.int64()), ("verified", pa.bool_()), ("record_id", pa.string()), ("refers_to_id", pa.string())])
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:

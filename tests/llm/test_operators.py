@@ -523,6 +523,47 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_packages_of_others(spark, tmp_path):
+    """Foreign ids, types and digests, string offsets, plain and gzipped records, a gzipped index, bodies in chunks."""
+    import base64
+    import gzip
+    import io
+    import json
+    import zipfile
+
+    body, chunks = b"<p>hello</p>", b"5\r\n<p>he\r\n7;x=1\r\nllo</p>\r\n0\r\n\r\n"
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = lambda head, b: b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + b
+
+    def record(kind, block, *more, kind_of="application/http;msgtype=response"):
+        fields = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}>", f"Content-Type: {kind_of}", *more, f"Content-Length: {len(block)}"]
+        return b"WARC/1.0\r\n" + "\r\n".join(fields).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    records = [
+        record("warcinfo", b"software: other\r\n", kind_of="application/warc-fields"), record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", kind_of="application/http;msgtype=request"),
+        record("response", http(b"Content-Type: text/html", body), f"WARC-Payload-Digest: {sha1}", "WARC-Target-URI: http://a/"),
+        record("response", http(b"Transfer-Encoding: chunked", chunks), f"WARC-Payload-Digest: {sha1}"), record("response", http(b"X: y", b"other"), f"WARC-Payload-Digest: {sha1}"),
+        record("revisit", http(b"Content-Type: text/html", b""), f"WARC-Payload-Digest: {sha1}", "WARC-Refers-To: <urn:uuid:response>"), record("resource", b"data", "WARC-Block-Digest: blake9:00", kind_of="text/plain"),
+    ]
+    with zipfile.ZipFile(tmp_path / "other.wacz", "w", zipfile.ZIP_STORED) as z:
+        for name, pack in (("a.warc.gz", gzip.compress), ("b.warc", bytes)):
+            parts, lines, at = [], ["!meta 0 {}"], 0
+            for r in records:
+                data = pack(r)
+                lines.append("com,a)/ 2024 " + json.dumps({"offset": str(at), "length": str(len(data)), "filename": name}))
+                parts.append(data)
+                at += len(data)
+            z.writestr(f"archive/{name}", b"".join(parts))
+            z.writestr(f"indexes/{name}.cdx.gz", gzip.compress("\n".join(lines).encode()))
+    packages = spark.createDataFrame([(f"file://{tmp_path}/other.wacz",)], "package string")
+    out = warc.read_packages(spark, packages).orderBy("payload_bytes").collect()
+    assert len(out) == 14 and all(r["page_id"] is None and r["record_id"].startswith("<urn:uuid:") for r in out)
+    kinds = lambda kind: [(bytes(r["payload"]) if r["payload"] is not None else None, r["verified"]) for r in out if r["record_type"] == kind]
+    assert sorted(kinds("response")) == sorted(2 * [(body, True), (body, True), (b"other", False)])
+    assert kinds("warcinfo") == 2 * [(b"software: other\r\n", None)] and kinds("resource") == 2 * [(b"data", None)] and kinds("request") == 2 * [(b"", None)]
+    assert [(r["payload_bytes"], r["refers_to"], r["refers_to_id"]) for r in out if r["record_type"] == "revisit"] == 2 * [(None, None, "<urn:uuid:response>")]
+
+
 def test_warc_query_round_trips_all_pages(spark, small):
     pages = {r["page_id"]: (r["html"] or "").encode() for r in table(spark, small, "pages").collect()}
     out = queries.op6_warc(spark, small).collect()
