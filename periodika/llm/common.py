@@ -70,6 +70,13 @@ def sized(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df.hint("merge")
 
 
+def set_apart(df: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all columns but ``needed`` under names that no operator gives, and a function that puts names and order back."""
+    apart = {c: c if c in needed else f"__kept_{i}" for i, c in enumerate(df.columns)}
+    inner = df.select(*(F.col(f"`{c}`").alias(name) for c, name in apart.items()))
+    return inner, lambda out: out.select(*(F.col(name).alias(c) for c, name in apart.items()))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the documents that no model may learn from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -274,14 +274,48 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
 
 
 def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component, once each; rows without id stay."""
-    found = Saved(near_duplicates(docs, id, text, k, percent).filter(F.col(id).isNotNull()), "near")
-    gone = Saved(found.df.filter(~F.col("kept")).select(id).distinct(), "gone")
-    repeated = Saved(found.df.filter("kept").groupBy(id).agg(F.count("*").alias("c")).filter("c > 1").select(id), "repeated")
-    found.drop()
-    n_gone, n_repeated = gone.count(), repeated.count()
-    left = docs.join(sized(gone.df, n_gone), id, "left_anti").select(docs.columns)
-    if not n_repeated:
-        return left
-    again = sized(repeated.df, n_repeated)
-    return left.join(again, id, "left_anti").unionByName(left.join(again, id, "left_semi").dropDuplicates([id])).select(docs.columns)
+    """The rows of ``docs`` that are the smallest id of their component, once each; rows without id stay.
+
+    Of rows with one id and equal texts the least by all columns' hash stays. Rows with one id and different texts are different
+    documents: each is grouped by its own text, so none goes because another row of its id is a copy.
+    """
+    source = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL")
+    doubles = Saved(source.groupBy("id").agg(F.count_distinct(F.xxhash64(F.coalesce("text", F.lit("")))).alias("n")).filter("n > 1").select("id"), "doubles")
+    n_doubles = doubles.count()
+    plain = docs if not n_doubles else docs.join(sized(doubles.df.withColumnRenamed("id", id), n_doubles), id, "left_anti").select(docs.columns)
+    if n_doubles:
+        # every text of such an id by itself: its vertex is a number of its own, below 0
+        odd = docs.join(sized(doubles.df.withColumnRenamed("id", id), n_doubles), id, "left_semi").select(docs.columns)
+        texts = Saved(odd.select(F.col(id).alias("own"), F.col(text).alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t")).dropDuplicates(["own", "t"]).withColumn("v", -1 - F.monotonically_increasing_id()), "texts")
+        every = plain.select(F.col(id).cast("long").alias("v"), F.col(text).alias("text")).unionByName(texts.df.select("v", "text"))
+    else:
+        every = docs.select(F.col(id).alias("v"), F.col(text).alias("text"))
+    found = Saved(near_duplicates(every, "v", "text", k, percent).filter(F.col("v").isNotNull()).select("v", "component_id", "kept"), "near")
+    if n_doubles:
+        # components are named by their least vertex; the least document id among their members is what stays
+        named = found.df.distinct().join(texts.df.select("v", "own", "t").hint("merge"), "v", "left").withColumn("own", F.coalesce("own", "v"))
+        least = named.groupBy("component_id").agg(F.min(F.struct("own", "v")).alias("least"))
+        judged = Saved(named.join(least.hint("merge"), "component_id").select("v", "own", "t", (F.col("v") == F.col("least.v")).alias("kept")), "judged")
+        out_of = judged.df.filter("NOT kept")
+    else:
+        judged, out_of = None, found.df.filter("NOT kept").select("v", F.col("v").alias("own"), F.lit(None).cast("long").alias("t"))
+    gone = Saved(out_of.filter("t IS NULL").select(F.col("own").alias(id)).distinct(), "gone")
+    left = plain.join(sized(gone.df, gone.count()), id, "left_anti").select(docs.columns)
+    repeated = Saved(left.filter(F.col(id).isNotNull()).groupBy(id).agg(F.count("*").alias("c")).filter("c > 1").select(id), "repeated")
+    n_repeated = repeated.count()
+    if n_repeated:
+        again = sized(repeated.df, n_repeated)
+        once = left.join(again, id, "left_semi").select(docs.columns)
+        left = left.join(again, id, "left_anti").select(docs.columns).unionByName(_once(once, [id]))
+    if n_doubles:
+        kept = judged.df.filter("kept AND t IS NOT NULL").select(F.col("own").alias(id), F.col("t").alias("__t"))
+        odd = odd.withColumn("__t", F.xxhash64(F.coalesce(text, F.lit("")))).join(kept.hint("merge"), [id, "__t"], "left_semi")
+        left = left.unionByName(_once(odd, [id, "__t"]).select(docs.columns))
+    return left
+
+
+def _once(rows: DataFrame, by: list[str]) -> DataFrame:
+    """One row of each value of ``by``: the least by the hash of all columns."""
+    columns = rows.columns
+    whole = F.struct(F.xxhash64(*(F.col(f"`{c}`") for c in columns)).alias("h"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
+    return rows.groupBy(*by).agg(F.min_by(whole["row"], whole["h"]).alias("r")).select("r.*").select(columns)

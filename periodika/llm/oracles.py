@@ -47,7 +47,7 @@ s AS (SELECT t.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(ar
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
 h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (base_failed) AS DOUBLE) AS f FROM b WHERE source IS NOT NULL GROUP BY 1),
 m AS (SELECT (sum(f) + 0.5) / (sum(n) + 1) AS mean, greatest(0, sum(f * f / n) / sum(n) - pow(sum(f) / sum(n), 2)) AS spread, count(*) / sum(n) AS share FROM h),
-v AS (SELECT mean, least(1000, greatest(2, mean * (1 - mean) / greatest(spread - mean * (1 - mean) * share, 1e-12) - 1)) AS weight FROM m),
+v AS (SELECT mean, greatest(0, mean * (1 - mean) / greatest(spread - mean * (1 - mean) * share, 1e-12) - 1) AS weight FROM m),
 r AS (SELECT source, (f + mean * weight) / (n + weight) AS rate FROM h, v)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(rate, 0) <= 0.5 AS kept FROM b LEFT JOIN r USING (source)
 """

@@ -5,7 +5,8 @@ host (here: the column ``source``), each host's rate is shrunk towards the corpu
 the host's verdict goes back to its documents.
 
 Defined results: a null text has no words and fails; a null host has no verdict of its own (only the document's rules
-count); repeated rows are judged and returned like any other; an empty table gives an empty result.
+count); repeated rows are judged, returned and counted like any other; a rate of exactly the limit is kept; texts are read whole; an
+empty table gives an empty result. Columns of the input with the names of the result's give way to them.
 """
 
 from __future__ import annotations
@@ -67,7 +68,8 @@ def statistics(column: pa.Array) -> list[pa.Array]:
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     """Alpha and beta of the prior from the hosts' counts (``n``, ``failures``), by the method of moments.
 
-    The spread between hosts beyond what chance gives sets the prior's weight: at most 1 000 documents, at least 2.
+    The spread between hosts beyond what chance gives sets the prior's weight, in documents: nothing where hosts differ as much as they
+    can, without bound where they differ by chance alone, so that every host then has the corpus' rate.
     """
     row = hosts.agg(
         F.sum("n").alias("n"), F.sum("failures").alias("f"), F.count("*").alias("k"),
@@ -79,7 +81,7 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     spread = max(0.0, row["q"] / row["n"] - (row["f"] / row["n"]) ** 2)
     chance = mean * (1 - mean) * row["k"] / row["n"]
     between = max(spread - chance, 1e-12)
-    weight = min(1000.0, max(2.0, mean * (1 - mean) / between - 1))
+    weight = max(0.0, mean * (1 - mean) / between - 1)
     return mean * weight, (1 - mean) * weight
 
 

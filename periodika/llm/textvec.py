@@ -1,7 +1,8 @@
 """Words, lines and shingles of many texts at once, as numpy arrays over their UTF-8 bytes.
 
-A word is known by a 64-bit hash: the polynomial sum of random values of its bytes, from prefix sums over the whole piece,
-mixed with its length. No word becomes a Python object.
+A word is known by a 64-bit hash of two polynomial sums of random values of its bytes, modulo 2^64 and modulo the prime 2^31 - 1, and of its
+length; both come from prefix sums over the whole piece. Strings that collide by their structure modulo a power of two don't modulo a
+prime. No word becomes a Python object.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ _RNG = np.random.Generator(np.random.PCG64(20240611))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POW: dict[str, np.ndarray] = {"up": np.ones(1, U), "down": np.ones(1, U)}
+_PRIME, _ROOT = (1 << 31) - 1, 1_220_703_125
+_POW: dict[str, np.ndarray] = {name: np.ones(1, U) for name in ("up", "down", "prime up", "prime down")}
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -34,14 +36,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Values below 2^63 modulo the prime, up to one prime too much."""
+    x = (x & U(_PRIME)) + (x >> U(31))
+    return (x & U(_PRIME)) + (x >> U(31))
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base, of its inverse, and of the root and its inverse modulo the prime."""
     if len(_POW["up"]) < n:
         size = max(n, 1 << 20)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, U)
             steps[0] = 1
             _POW[name] = np.multiply.accumulate(steps)
-    return _POW["up"][:n], _POW["down"][:n]
+        for name, base in (("prime up", _ROOT), ("prime down", pow(_ROOT, -1, _PRIME))):
+            got = np.ones(1, U)
+            while len(got) < size:  # doubling: the second half is the first times base^len
+                got = np.concatenate([got, _folded(got * U(pow(base, len(got), _PRIME)))])
+            _POW[name] = got[:size]
+    return [_POW[name][:n] for name in _POW]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -56,16 +70,23 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_, offsets - offsets[0]
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
+def prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums from which ``span_hash`` takes the hash of any run of bytes."""
-    out = np.zeros(len(data) + 1, U)
-    np.cumsum(_BYTE[data] * _powers(len(data))[0], out=out[1:])
-    return out
+    up, _, prime_up, _ = _powers(len(data))
+    values = _BYTE[data]
+    out = np.zeros((2, len(data) + 1), U)
+    np.cumsum(values * up, out=out[0, 1:])
+    np.cumsum(_folded((values >> U(34)) * prime_up), out=out[1, 1:])
+    return out[0], out[1]
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    down = _powers(len(sums))[1]
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(_BASE))
+def span_hash(sums: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    one, two = sums
+    _, down, _, prime_down = _powers(len(one))
+    first = (one[ends] - one[starts]) * down[starts] + (ends - starts).astype(U) * U(_BASE)
+    second = _folded(_folded(two[ends] - two[starts]) * prime_down[starts])
+    second[second >= U(_PRIME)] -= U(_PRIME)
+    return mix(first ^ mix(second + U(0x632BE59BD9B4E019)))
 
 
 def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +105,7 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Words:
     """starts, ends: of each word, in bytes; hash: of each word; at: n + 1 indices, where each text's words begin."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, mask: np.ndarray, sums: np.ndarray | None = None):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, mask: np.ndarray, sums: tuple[np.ndarray, np.ndarray] | None = None):
         self.starts, self.ends = runs(mask, offsets)
         self.hash = span_hash(prefix(data) if sums is None else sums, self.starts, self.ends)
         self.at = np.searchsorted(self.starts, offsets)

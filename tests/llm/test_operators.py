@@ -157,6 +157,26 @@ def test_near_duplicates_of_odd_documents(spark, odd):
     assert near_dedup.near_duplicates(odd.limit(0)).count() == 0 and near_dedup.deduplicate(odd.limit(0)).columns == odd.columns
 
 
+def test_an_id_with_two_texts_loses_neither(spark):
+    long = lambda x, n=40: " ".join(f"{x}{i}" for i in range(n))
+    rows = [(2, long("a"), "x"), (5, long("a"), "copy"), (5, long("b"), "own"), (6, long("b"), "copy of 5"), (7, long("c"), "y"), (7, long("c"), "y"), (None, long("a"), "no id"), (8, None, "none"), (8, None, "none")]
+    got = near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, note string")).collect()
+    assert sorted((r["doc_id"] or 0, r["note"]) for r in got) == [(0, "no id"), (2, "x"), (5, "own"), (7, "y"), (8, "none")]
+
+
+def test_hashes_of_structured_strings_differ():
+    """Thue-Morse strings collide modulo a power of two, whatever the base."""
+    import numpy as np
+
+    from periodika.llm import textvec as tv
+
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    data = np.frombuffer(f"{one} {two} {one}".encode(), np.uint8)
+    words = tv.Words(data, np.array([0, len(data)]), ~tv.BLANK[data])
+    assert words.hash[0] == words.hash[2] != words.hash[1]
+
+
 def test_sketches_estimate_similarity_and_fill_every_bin():
     import numpy as np
 

@@ -73,3 +73,39 @@ def test_secrets_are_replaced(staged):
 def test_rates_are_positive(staged):
     rows = staged[4][2].collect()
     assert rows and all(r["rate"] > 0 for r in rows)
+
+
+CLASH = ["score", "predicted", "n_words", "n_hit", "hits", "items", "contaminated", "base", "spans", "id", "kept", "rate", "print", "n", "keys", "__text"]
+
+
+@pytest.mark.parametrize("at", range(len(cp.STAGES)))
+def test_odd_rows_and_clashing_columns(spark, small, at):
+    """Nulls, empty and long texts, repeated rows and an empty table; columns named like the operators' own come back as they were."""
+    from pyspark.sql import functions as F
+
+    name, stage = cp.STAGES[at]
+    long = " ".join(f"word{i % 977}" for i in range(20_000))
+    good = table(spark, small, "documents").orderBy("doc_id").limit(20).collect()
+    rows = [(None, None, None, None), (900_001, None, "en", "s"), (900_002, "", "en", "s"), (900_003, long, "en", "s"), (900_004, long + " end", None, None), (900_005, "twice here", "en", "s"), (900_005, "twice here", "en", "s")]
+    rows += [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in good]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    df = df.withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASH})
+    out = stage(spark, df, small)
+    last = at == len(cp.STAGES) - 1
+    assert last or out.columns == df.columns
+    got = out.collect()
+    for r in got:
+        for c in CLASH if not last else [c for c in CLASH if c != "rate"]:
+            assert r[c] == f"{c} of {'none' if r['doc_id'] is None else r['doc_id']}"
+    ids = [r["doc_id"] for r in got]
+    if name in ("near-duplicates", "decontamination", "secrets"):
+        assert {None, 900_001, 900_002, 900_003} <= set(ids)
+        assert ids.count(900_005) == (1 if name == "near-duplicates" else 2) and (900_004 in ids) == (name != "near-duplicates")
+        assert next(r["text"] for r in got if r["doc_id"] == 900_003) == long
+    empty = stage(spark, df.limit(0), small)
+    assert empty.count() == 0 and set(df.columns) <= set(empty.columns) | ({"rate"} if last else set())
+
+
+def test_run_is_the_stages_one_after_another(spark, small, staged):
+    got = sorted((r["doc_id"], r["rate"]) for r in cp.run(spark, small).select("doc_id", "rate").collect())
+    assert got == sorted((r["doc_id"], r["rate"]) for r in staged[-1][2].select("doc_id", "rate").collect())
