@@ -6,6 +6,7 @@ marks; other scripts pass through unchanged but for case.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -81,7 +82,7 @@ def issue_metadata(title: Column, collection: Column) -> Column:
     cut = F.when(starts, F.regexp_replace(F.substring(title, F.length(name) + 1, F.length(title)), r"^[ \-–—:|]+", "")).otherwise(title)
     rest = norm(cut)
     names, month, year = "|".join(sorted(MONTHS, key=lambda m: (-len(m), m))), "(0[1-9]|1[0-2])", r"((?:19|20)\d{2})"
-    # pattern, group of the year, of the first and of the second month
+    # Forms of a date, fixed values: pattern, group of the year, of the first and of the second month
     forms = [
         (rf"(?U)\b({names})(?:[\s-]+({names}))?\s+{year}\b", 3, 1, 2),
         (rf"\b{month}-{month}-{year}\b", 3, 1, 2),
@@ -118,15 +119,23 @@ def issue_metadata(title: Column, collection: Column) -> Column:
     return F.element_at(F.transform(F.array(found), finish), 1)
 
 
-def issue_type(text: Column) -> Column:
-    """hs (special issue out of the series), sp (special) or normal."""
-    n = F.lower(text)
-    return F.when(n.rlike(r"(?U)\bhors[- ]s[ée]ries?\b|\bhs\b"), "hs").when(n.rlike(r"(?U)\bsp[ée]cia(?:l|ux)\b|\bsp\b"), "sp").otherwise("normal")
+# What names special issues, in a title or a directory: fixed values.
+OUT_OF_SERIES, SPECIAL = r"(?U)\bhors[- ]s[ée]ries?\b|\bhs\b", r"(?U)\bsp[ée]cia(?:l|ux)\b|\bsp\b"
+
+
+def issue_type(title: Column, directories: Column | None = None) -> Column:
+    """hs (special issue out of the series), sp (special) or normal, by the title and the directories below the collection's."""
+    n = F.lower(title if directories is None else F.concat_ws(" ", title, F.replace(directories, F.lit("/"), F.lit(" "))))
+    return F.when(n.rlike(OUT_OF_SERIES), "hs").when(n.rlike(SPECIAL), "sp").otherwise("normal")
+
+
+# File names that a layout leaves in titles: fixed values.
+LAYOUT_FILE = r"(?Ui)\s*\S*\.(?:indd|pdf|jpe?g|png|tiff?|eps|psd|ai|qxd)\s*$"
 
 
 def clean_title(c: Column) -> Column:
     """Without a layout file's name at the end; what is left after that is blanked below 15 characters."""
-    cut = F.regexp_replace(c, r"(?Ui)\s*\S*\.(?:indd|pdf|jpe?g|png|tiff?|eps|psd|ai|qxd)\s*$", "")
+    cut = F.regexp_replace(c, LAYOUT_FILE, "")
     tidy = F.regexp_replace(cut, r"^[ .·…\-–—:]+|[ .·…\-–—:]+$", "")
     return F.when(cut == c, c).when(F.length(tidy) < 15, F.lit("")).otherwise(tidy)
 
@@ -158,14 +167,33 @@ def highlight(c: Column, terms: list[str]) -> Column:
     return F.regexp_replace(out, f"(?iu)({pattern})", "<mark>$1</mark>")
 
 
-def snippet(c: Column, term: str, width: int = 40) -> Column:
-    """About ``width`` words around the first word that holds ``term``."""
+def plain_terms(q: str) -> list[str]:
+    """The words of a query as the index has them: accent-free, in lower case, split at everything but letters and digits."""
+    out = "".join(c for c in unicodedata.normalize("NFKD", q.lower()) if not unicodedata.combining(c)).replace("ß", "ss")
+    return re.findall(r"[^\W_]+", out)
+
+
+def snippet(c: Column, terms: str | list[str], width: int = 40) -> Column:
+    """About ``width`` words around the first word that holds one of ``terms``, accents and case aside."""
+    wanted = [t for one in ([terms] if isinstance(terms, str) else terms) for t in plain_terms(one)]
     words = F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
-    at = F.array_position(F.transform(words, lambda w: norm(w).contains(F.lit(term.lower()))), F.lit(True)).cast("int")
+
+    def holds(w: Column) -> Column:
+        out = F.lit(False)
+        for t in wanted:
+            out = out | norm(w).contains(F.lit(t))
+        return out
+
+    at = F.array_position(F.transform(words, holds), F.lit(True)).cast("int")
     first = F.greatest(F.lit(1), at - F.lit(width // 2))
     return F.when(at > 0, F.array_join(F.slice(words, first, F.lit(width)), " ")).otherwise(F.array_join(F.slice(words, F.lit(1), F.lit(width)), " "))
 
 
+def occurrence_scale(count: Column, most: Column) -> Column:
+    """X10. A count as a share of the greatest one, 0 to 1."""
+    return F.when(most > 0, F.least(F.greatest(count / most, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+
+
 def heading(collection: Column, number: Column, label: Column, year: Column, title: Column) -> Column:
     """``collection - number - Month year``; the title where there is no collection."""
     when_ = F.concat_ws(" ", label, year.cast("string"))

@@ -91,11 +91,13 @@ def error_census(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 
 def list_magazines(magazines: DataFrame, pages: DataFrame, articles: DataFrame, *, sort: str = "date", page: int = 1, limit: int = 50) -> DataFrame:
     """A1. Magazines with their numbers of pages and articles; sort is date, added or updated."""
-    n_pages = pages.groupBy("magazine_id").agg(F.count("*").alias("page_count"))
-    n_articles = articles.groupBy("magazine_id").agg(F.count("*").alias("article_count"))
     keys = {"date": F.desc_nulls_last("publication_date"), "added": F.desc("created_s"), "updated": F.desc("updated_s")}
     top = magazines.orderBy(keys[sort], "title", "id").offset((page - 1) * limit).limit(limit)
-    out = top.withColumnRenamed("id", "magazine_id").join(n_pages, "magazine_id", "left").join(n_articles, "magazine_id", "left")
+    # only the pages and articles of these magazines are counted: a page of the list is at most ``limit`` rows
+    shown = F.broadcast(top.select(F.col("id").alias("magazine_id")))
+    n_pages = pages.join(shown, "magazine_id", "left_semi").groupBy("magazine_id").agg(F.count("*").alias("page_count"))
+    n_articles = articles.join(shown, "magazine_id", "left_semi").groupBy("magazine_id").agg(F.count("*").alias("article_count"))
+    out = top.withColumnRenamed("id", "magazine_id").join(n_pages.hint("merge"), "magazine_id", "left").join(n_articles.hint("merge"), "magazine_id", "left")
     return out.fillna(0, ["page_count", "article_count"]).orderBy(keys[sort], "title", "magazine_id")
 
 
@@ -199,20 +201,33 @@ def group_by_issue_type(magazines: DataFrame, collection_id: int) -> DataFrame:
     return rows.select(rank.alias("group_rank"), "issue_type", F.row_number().over(w).alias("position"), "id", "title")
 
 
-def set_collection_tags(collection_tags: DataFrame, tags: DataFrame, collection_id: int, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A13. The bridge with the collection's tags replaced by ``wanted`` (tag_id), and the ids that are no tags."""
-    unknown = wanted.join(tags.select(F.col("id").alias("tag_id")), "tag_id", "left_anti")
-    known = wanted.join(tags.select(F.col("id").alias("tag_id")), "tag_id", "left_semi").distinct()
-    others = collection_tags.filter(F.col("collection_id") != collection_id)
-    return others.unionByName(known.select(F.lit(collection_id).alias("collection_id"), "tag_id")), unknown
+def articles_by_magazine(rows: DataFrame, order: str) -> DataFrame:
+    """A12. Articles with the place of their magazine's group (in the order of its first article) and their place inside it."""
+    first = F.min(order).over(Window.partitionBy("magazine_id"))
+    ranked = rows.withColumn("first", first).withColumn("position", F.row_number().over(Window.partitionBy("magazine_id").orderBy(order)))
+    groups = ranked.select("magazine_id", "first").distinct()
+    return ranked.join(groups.withColumn("group_rank", F.col("first")).hint("merge"), ["magazine_id", "first"]).drop("first")
 
 
-def cascade_delete(magazines: DataFrame, articles: DataFrame, links: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A14. Magazines, articles and links that are left when the magazines ``gone`` (id) go."""
-    left = magazines.join(gone, "id", "left_anti")
-    kept = articles.join(gone.select(F.col("id").alias("magazine_id")), "magazine_id", "left_anti")
-    lost = articles.join(gone.select(F.col("id").alias("magazine_id")), "magazine_id", "left_semi").select(F.col("id").alias("article_id"))
-    return left, kept, links.join(lost, "article_id", "left_anti")
+def set_collection_tags(collection_tags: DataFrame, tags: DataFrame, magazines: DataFrame, collection_id: int, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A13. The bridge with the collection's tags replaced by ``wanted`` (tag_id), the ids that are no tags, and the magazines whose search documents must be
+    refreshed (magazine_id). With an unknown id nothing is replaced."""
+    unknown = wanted.join(tags.select(F.col("id").alias("tag_id")), "tag_id", "left_anti").distinct()
+    refused = unknown.agg((F.count("*") > 0).alias("refused"))  # one row
+    mine = F.col("collection_id") == collection_id
+    old = collection_tags.select("collection_id", "tag_id", F.lit(False).alias("new"))
+    new = wanted.join(tags.select(F.col("id").alias("tag_id")), "tag_id", "left_semi").distinct().select(F.lit(collection_id).cast(collection_tags.schema["collection_id"].dataType).alias("collection_id"), "tag_id", F.lit(True).alias("new"))
+    both = old.unionByName(new).crossJoin(F.broadcast(refused))
+    bridge = both.filter((F.col("new") & ~F.col("refused")) | (~F.col("new") & (~mine | F.col("refused")))).select("collection_id", "tag_id")
+    refresh = magazines.filter(mine).crossJoin(F.broadcast(refused)).filter("NOT refused").select(F.col("id").alias("magazine_id"))
+    return bridge, unknown, refresh
+
+
+def cascade_delete(magazines: DataFrame, pages: DataFrame, articles: DataFrame, links: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A14. Magazines, pages, articles and links that are left when the magazines ``gone`` (id) go."""
+    of = gone.select(F.col("id").alias("magazine_id"))
+    lost = articles.join(of, "magazine_id", "left_semi").select(F.col("id").alias("article_id"))
+    return magazines.join(gone, "id", "left_anti"), pages.join(of, "magazine_id", "left_anti"), articles.join(of, "magazine_id", "left_anti"), links.join(lost, "article_id", "left_anti")
 
 
 def drop_collection(magazines: DataFrame, gone: DataFrame) -> DataFrame:
@@ -234,10 +249,20 @@ def backfill(magazines: DataFrame, articles: DataFrame, links: DataFrame) -> Dat
 
 
 def classification_status(articles: DataFrame, links: DataFrame, requests: DataFrame, pauses: DataFrame, now: Column, per_day: int, reserve: int = 2) -> DataFrame:
-    """A16. Articles that wait, requests of the Pacific day of ``now`` against what the day allows, and the pause that holds."""
+    """A16. Articles that wait, requests of the Pacific day of ``now`` against what the day allows, and the pause that holds and until when."""
     waiting = articles.filter(~F.col("sent")).join(links.select(F.col("article_id").alias("id")), "id", "left_anti").agg(F.count("*").alias("pending"))
     day = lambda c: F.to_date(F.from_utc_timestamp(c, "America/Los_Angeles"))
     today = requests.filter(day(F.col("ts")) == day(now)).agg(F.count("*").alias("today"))
-    pause = pauses.filter(F.col("until") > now).agg(F.max_by("reason", "until").alias("paused"))
+    pause = pauses.filter(F.col("until") > now).agg(F.max_by("reason", "until").alias("paused"), F.max("until").alias("until"))
+    key = F.lit(1).alias("k")
+    return waiting.select("*", key).join(today.select("*", key), "k").join(pause.select("*", key), "k").select("pending", "today", F.lit(per_day - reserve).alias("allowed"), "paused", "until")
+
+
+def run_figures(batch: DataFrame, links: DataFrame, created: DataFrame, articles: DataFrame, all_links: DataFrame) -> DataFrame:
+    """A16. What one classification run did: articles attached, subthemes created, and articles that still wait."""
     key = F.lit(1).alias("k")
-    return waiting.select("*", key).join(today.select("*", key), "k").join(pause.select("*", key), "k").select("pending", "today", F.lit(per_day - reserve).alias("allowed"), "paused")
+    attached = links.join(batch.select("article_id"), "article_id", "left_semi").agg(F.count_distinct("article_id").alias("attached"))
+    made = created.agg(F.count("*").alias("created"))
+    known = all_links.select(F.col("article_id").alias("id")).unionByName(links.select(F.col("article_id").alias("id"))).unionByName(batch.select(F.col("article_id").alias("id")))
+    left = articles.filter(~F.col("sent")).join(known, "id", "left_anti").agg(F.count("*").alias("remaining"))
+    return attached.select("*", key).join(made.select("*", key), "k").join(left.select("*", key), "k").drop("k")

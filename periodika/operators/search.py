@@ -43,10 +43,15 @@ def build_inverted_index(docs: DataFrame) -> DataFrame:
     return parts.groupBy("term", "attr", "page_id", "magazine_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
 
 
+def store_index(index: DataFrame, path: str, partitions: int = 64) -> None:
+    """R1. Writes the index sorted by term in ``partitions`` ranges of terms: a query's literal terms skip files and row groups by their bounds."""
+    index.repartitionByRange(partitions, "term", "page_id").sortWithinPartitions("term", "page_id").write.mode("overwrite").parquet(path)
+
+
 def query_terms(q: str) -> tuple[list[str], list[list[str]]]:
-    """Single terms and phrases of a query, in lower case."""
-    phrases = [re.findall(r"\w+", p.lower()) for p in re.findall(r'"([^"]+)"', q)]
-    return re.findall(r"\w+", re.sub(r'"[^"]+"', " ", q).lower()), [p for p in phrases if p]
+    """Single terms and phrases of a query, in the index's form."""
+    phrases = [X.plain_terms(p) for p in re.findall(r'"([^"]+)"', q)]
+    return X.plain_terms(re.sub(r'"[^"]+"', " ", q)), [p for p in phrases if p]
 
 
 def _typos(term: str) -> int:
@@ -119,6 +124,11 @@ def group_by_magazine(hits: DataFrame, magazines: DataFrame, page: int = 1, limi
     return ordered.offset((page - 1) * limit).limit(limit).select("magazine_id", "occurrence_count", F.col("best.page_id").alias("page_id"), F.col("best.rank").alias("rank"))
 
 
+def count_groups(hits: DataFrame) -> DataFrame:
+    """R3. The number of magazines with hits: the total that pages of ``group_by_magazine`` are part of."""
+    return hits.agg(F.count_distinct("magazine_id").alias("total"))
+
+
 def hit_boxes(words: DataFrame, terms: list[str]) -> DataFrame:
     """R5. Word boxes whose bare lower form is one of the terms."""
     return words.filter(F.lower(F.regexp_replace("text", r"(?U)\W+", "")).isin(terms))

@@ -17,10 +17,12 @@ from ..functions import text as X
 MAX_TAXONOMY_BYTES = 2 * 1024 * 1024
 
 # Words too frequent to tell a subject: fixed values.
-STOP_WORDS = (
-    "avec sans pour dans chez tout tous toute toutes plus moins bien cette cet ces leur leurs notre nos votre vos mais donc quand comme faire fait etre avoir peut faut sont ont une des les que "
-    "qui quoi dont vous nous elle elles ils the and for with your you our this that from how what why all new best get are can has"
-).split()
+STOP_WORDS = [
+    "avec", "sans", "pour", "dans", "chez", "tout", "tous", "toute", "toutes", "plus", "moins", "bien", "cette", "cet", "ces", "leur", "leurs",
+    "notre", "nos", "votre", "vos", "mais", "donc", "quand", "comme", "faire", "fait", "etre", "avoir", "peut", "faut", "sont", "ont", "une", "des",
+    "les", "que", "qui", "quoi", "dont", "vous", "nous", "elle", "elles", "ils", "the", "and", "for", "with", "your", "you", "our", "this", "that",
+    "from", "how", "what", "why", "all", "new", "best", "get", "are", "can", "has",
+]
 
 
 def keywords_of(subthemes: DataFrame) -> DataFrame:
@@ -30,19 +32,30 @@ def keywords_of(subthemes: DataFrame) -> DataFrame:
     return rows.select("subtheme_id", "place", "keyword", X.keyword_pattern(k).alias("pattern"), X.block(k).alias("block")).filter("pattern IS NOT NULL")
 
 
+#: Keywords that are broadcast; more are joined by sort-merge.
+BROADCAST_KEYWORDS = 100_000
+
+
 def keyword_matches(articles: DataFrame, keywords: DataFrame) -> DataFrame:
     """subtheme_id, place, article_id of every keyword found in a title.
 
     A keyword is looked up by its first word among the title's words (also without a final s or x), and only then is its pattern
-    tried; keywords without a word, if any, are tried on every title.
+    tried. Keywords are counted first: up to ``BROADCAST_KEYWORDS`` they are broadcast, beyond that the same join is a sort-merge join. A keyword
+    without a word is looked up by its first character among the characters of the titles that are neither letters nor blanks.
     """
+    signs = r"[^\p{L}\p{N}_\s]"
+    of_word = lambda w: F.concat(F.lit("w"), F.regexp_replace(w, "[sx]$", ""))
+    of_sign = lambda c: F.concat(F.lit("-"), c)
+    key = F.when(F.col("block") != "", of_word(F.col("block"))).otherwise(of_sign(F.regexp_extract(X.norm(F.col("keyword")), signs, 0)))
+    blocked = keywords.withColumn("block", key).filter("block <> '-'").select("subtheme_id", "place", "pattern", "block")
+    counts = blocked.agg(F.count("*").alias("n"), F.count_if(F.col("block").startswith("-")).alias("odd")).first()
     titles = articles.select(F.col("id").alias("article_id"), X.norm(F.col("title")).alias("norm"))
-    blocked = keywords.filter("block <> ''").withColumn("block", F.regexp_replace("block", "[sx]$", ""))
-    words = titles.select("article_id", "norm", F.explode(F.array_distinct(F.transform(X.tokens(F.col("norm")), lambda w: F.regexp_replace(w, "[sx]$", "")))).alias("block"))
-    met = words.join(F.broadcast(blocked), "block").filter(F.expr("norm RLIKE pattern")).select("subtheme_id", "place", "article_id")
-    odd = F.broadcast(keywords.filter("block = ''").select("subtheme_id", "place", "pattern"))  # symbols only, from a file of bounded size
-    rare = titles.join(odd, F.expr("norm RLIKE pattern")).select("subtheme_id", "place", "article_id")
-    return met.unionByName(rare)
+    words = F.transform(X.tokens(F.col("norm")), of_word)
+    if counts["odd"]:
+        words = F.concat(words, F.transform(F.regexp_extract_all("norm", F.lit(signs), 0), of_sign))
+    spread = titles.select("article_id", "norm", F.explode(F.array_distinct(words)).alias("block"))
+    side = F.broadcast(blocked) if counts["n"] <= BROADCAST_KEYWORDS else blocked.hint("merge")
+    return spread.join(side, "block").filter(F.expr("norm RLIKE pattern")).select("subtheme_id", "place", "article_id")
 
 
 def attach_keywords(articles: DataFrame, subthemes: DataFrame) -> DataFrame:
@@ -59,24 +72,33 @@ def sterile_keywords(articles: DataFrame, subthemes: DataFrame) -> DataFrame:
     """K3. Keywords that no title has, with their places in their lists."""
     keywords = keywords_of(subthemes)
     found = keyword_matches(articles, keywords).select("subtheme_id", "place").distinct()
-    return keywords.join(found, ["subtheme_id", "place"], "left_anti").select("subtheme_id", "place", "keyword")
+    return keywords.join(found.hint("merge"), ["subtheme_id", "place"], "left_anti").select("subtheme_id", "place", "keyword")
+
 
+def _items(json: Column) -> Column:
+    """The elements of a JSON array as JSON texts; null for anything else."""
+    return F.from_json(F.when(json.rlike(r"^\s*\["), json), T.ArrayType(T.StringType()))
 
-TAXONOMY = T.StructType(
-    [T.StructField("thematiques", T.ArrayType(T.StructType([T.StructField("nom", T.StringType()), T.StructField("sous_thematiques", T.ArrayType(T.StructType([T.StructField("nom", T.StringType()), T.StructField("mots_cles", T.ArrayType(T.StringType()))])))])))]
-)
+
+def _text(json: Column, name: str) -> Column:
+    """A text field of a JSON object, stripped; empty if it isn't there, and for anything that is no object."""
+    return F.coalesce(X.strip(F.get_json_object(json, f"$.{name}")), F.lit(""))
 
 
 def parse_taxonomy(payloads: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """S8. Entries (theme, subtheme, keywords) of taxonomy documents, and what was refused and why."""
-    doc = payloads.select(F.octet_length(column).alias("size"), F.from_json(column, TAXONOMY).alias("d"))
-    bad_root = doc.filter((F.col("size") > MAX_TAXONOMY_BYTES) | F.col("d").isNull() | F.col("d.thematiques").isNull() | (F.size("d.thematiques") == 0))
-    refused = bad_root.select(F.lit(None).cast("string").alias("theme"), F.lit(None).cast("string").alias("subtheme"), F.when(F.col("size") > MAX_TAXONOMY_BYTES, "too large").otherwise("no list of themes").alias("reason"))
-    good = doc.filter((F.col("size") <= MAX_TAXONOMY_BYTES) & (F.size("d.thematiques") > 0))
-    themes = good.select(F.explode("d.thematiques").alias("t")).select(F.trim("t.nom").alias("theme"), F.explode_outer("t.sous_thematiques").alias("s"))
-    cleaned = F.filter(F.transform(F.coalesce(F.col("s.mots_cles"), F.array().cast("array<string>")), lambda k: F.trim(k)), lambda k: k.isNotNull() & (k != ""))
-    rows = themes.select("theme", F.trim("s.nom").alias("subtheme"), cleaned.alias("keywords"))
-    reason = F.when(F.coalesce("theme", F.lit("")) == "", "theme without name").when(F.coalesce("subtheme", F.lit("")) == "", "subtheme without name").when(F.size("keywords") == 0, "no keyword")
+    """S8. Entries (place, theme, subtheme, keywords) of taxonomy documents, and what was refused and why.
+
+    Every element is read by itself, so one that is malformed is refused and the others hold. ``place`` orders the entries of one document.
+    """
+    doc = payloads.select(F.octet_length(column).alias("size"), F.col(column).alias("d"), _items(F.get_json_object(column, "$.thematiques")).alias("themes"))
+    refused_root = (F.col("size") > MAX_TAXONOMY_BYTES) | F.col("themes").isNull() | (F.size("themes") == 0)
+    none = F.lit(None).cast("string")
+    refused = doc.filter(F.coalesce(refused_root, F.lit(True))).select(none.alias("theme"), none.alias("subtheme"), F.when(F.col("size") > MAX_TAXONOMY_BYTES, "too large").otherwise("no list of themes").alias("reason"))
+    good = doc.filter(~F.coalesce(refused_root, F.lit(True)))
+    themes = good.select(F.posexplode("themes").alias("i", "t")).select("i", _text(F.col("t"), "nom").alias("theme"), F.posexplode_outer(_items(F.get_json_object("t", "$.sous_thematiques"))).alias("j", "s"))
+    kept = F.filter(F.transform(F.coalesce(_items(F.get_json_object("s", "$.mots_cles")), F.array().cast("array<string>")), X.strip), lambda k: k.isNotNull() & (k != ""))
+    rows = themes.select(F.struct("i", "j").alias("place"), "theme", _text(F.col("s"), "nom").alias("subtheme"), kept.alias("keywords"))
+    reason = F.when(F.col("theme") == "", "theme without name").when(F.col("subtheme") == "", "subtheme without name").when(F.size("keywords") == 0, "no keyword")
     judged = rows.withColumn("reason", reason)
     return judged.filter("reason IS NULL").drop("reason"), refused.unionByName(judged.filter("reason IS NOT NULL").select("theme", "subtheme", "reason"))
 
@@ -84,37 +106,46 @@ def parse_taxonomy(payloads: DataFrame, column: str = "value") -> tuple[DataFram
 def import_taxonomy(entries: DataFrame, themes: DataFrame, subthemes: DataFrame) -> DataFrame:
     """K4. All subthemes after an import: listed ones get their new keywords, the others stay; new ones have no id yet.
 
-    Themes are matched whatever their case, subthemes by exact name in their theme. Nothing is written.
+    Themes are matched whatever their case and keep their stored spelling, new ones that of their first entry; subthemes are matched by exact
+    name in their theme. Of entries that repeat a subtheme the last one holds. Nothing is written.
     """
-    now = subthemes.join(themes.select(F.col("id").alias("theme_id"), F.lower("name").alias("key")), "theme_id").select("id", "key", F.col("name").alias("subtheme"), F.col("keywords").alias("old"))
-    new = entries.groupBy(F.lower("theme").alias("key"), "subtheme").agg(F.max("keywords").alias("new"))
-    both = now.join(new, ["key", "subtheme"], "full")
+    stored = themes.select(F.col("id").alias("theme_id"), F.col("name").alias("theme"), F.lower("name").alias("key"))
+    now = subthemes.join(stored.hint("merge"), "theme_id").select("id", "key", F.col("name").alias("subtheme"), F.col("keywords").alias("old"))
+    listed = entries.withColumn("key", F.lower("theme"))
+    new = listed.groupBy("key", "subtheme").agg(F.max_by("keywords", "place").alias("new"))
+    spelt = listed.groupBy("key").agg(F.min_by("theme", "place").alias("first")).join(stored.select("key", "theme").hint("merge"), "key", "full").select("key", F.coalesce("theme", "first").alias("theme"))
+    both = now.join(new.hint("merge"), ["key", "subtheme"], "full").join(spelt.hint("merge"), "key", "left")
     action = F.when(F.col("id").isNull(), "created").when(F.col("new").isNull(), "kept").otherwise("updated")
-    return both.select("id", F.col("key").alias("theme"), "subtheme", F.coalesce("new", "old").alias("keywords"), action.alias("action"))
+    return both.select("id", "theme", "subtheme", F.coalesce("new", "old").alias("keywords"), action.alias("action"))
 
 
 def import_report(articles: DataFrame, imported: DataFrame) -> DataFrame:
-    """K4. For each imported subtheme the articles it would hold; one row more with the corpus and its coverage."""
-    named = imported.withColumn("id", F.xxhash64("theme", "subtheme"))
-    links = attach_keywords(articles, named.filter("action <> 'kept'"))
-    per = named.filter("action <> 'kept'").join(links.groupBy(F.col("subtheme_id").alias("id")).agg(F.count("*").alias("n")), "id", "left")
+    """K4. For each imported subtheme the articles it would hold, and its keywords that no title has; the corpus, and how much of it is covered."""
+    named = imported.filter("action <> 'kept'").withColumn("id", F.xxhash64("theme", "subtheme"))
+    keywords = keywords_of(named)
+    hits = keyword_matches(articles, keywords)
+    links = hits.select("subtheme_id", "article_id").distinct()
+    per = named.join(links.groupBy(F.col("subtheme_id").alias("id")).agg(F.count("*").alias("n")).hint("merge"), "id", "left")
     lines = per.select(F.concat_ws(" > ", "theme", "subtheme").alias("line"), F.coalesce("n", F.lit(0)).alias("n"))
-    total = articles.agg(F.count("*").alias("n")).select(F.lit("corpus").alias("line"), "n")
-    covered = links.agg(F.count_distinct("article_id").alias("n")).select(F.lit("covered").alias("line"), "n")
-    return lines.unionByName(total).unionByName(covered)
+    sterile = keywords.join(hits.select("subtheme_id", "place").distinct().hint("merge"), ["subtheme_id", "place"], "left_anti")
+    sterile = sterile.join(named.select(F.col("id").alias("subtheme_id"), "theme", "subtheme").hint("merge"), "subtheme_id").select(F.concat_ws(" > ", F.lit("sterile"), "theme", "subtheme", "keyword").alias("line"), F.lit(0).cast("long").alias("n"))
+    total = articles.agg(F.count("*").alias("n")).withColumn("k", F.lit(1))
+    covered = links.agg(F.count_distinct("article_id").alias("c")).withColumn("k", F.lit(1))
+    figures = total.join(covered, "k").select(F.inline(F.array(*(F.struct(F.lit(name).alias("line"), n.alias("n")) for name, n in (("corpus", F.col("n")), ("covered", F.col("c")), ("uncovered", F.col("n") - F.col("c")))))))
+    return lines.unionByName(sterile).unionByName(figures)
 
 
 def recompute_all(articles: DataFrame, themes: DataFrame, subthemes: DataFrame) -> DataFrame:
     """K5. Keyword links of every subtheme, counted, by theme and name."""
     n = attach_keywords(articles, subthemes).groupBy(F.col("subtheme_id").alias("id")).agg(F.count("*").alias("n"))
-    named = subthemes.select("id", "theme_id", "name").join(themes.select(F.col("id").alias("theme_id"), F.col("name").alias("theme")), "theme_id").join(n, "id", "left")
+    named = subthemes.select("id", "theme_id", "name").join(themes.select(F.col("id").alias("theme_id"), F.col("name").alias("theme")), "theme_id").join(n.hint("merge"), "id", "left")
     return named.select("theme", "name", F.coalesce("n", F.lit(0)).alias("n")).orderBy("theme", "name")
 
 
 def merge_links(old: DataFrame, attached: DataFrame) -> DataFrame:
     """K6. Links after a recomputation: keyword links are replaced, the model's stay and aren't doubled."""
     kept = old.filter("source <> 'mots_cles'")
-    new = attached.select("subtheme_id", "article_id").distinct().join(kept.select("subtheme_id", "article_id"), ["subtheme_id", "article_id"], "left_anti")
+    new = attached.select("subtheme_id", "article_id").distinct().join(kept.select("subtheme_id", "article_id").hint("merge"), ["subtheme_id", "article_id"], "left_anti")
     return kept.select("subtheme_id", "article_id", "source").unionByName(new.select("subtheme_id", "article_id", F.lit("mots_cles").alias("source")))
 
 
@@ -181,7 +212,8 @@ def coverage_stats(articles: DataFrame, links: DataFrame, warn_below: float = 50
     a = articles.agg(F.count("*").alias("articles")).withColumn("k", F.lit(1))
     c = links.join(articles.select(F.col("id").alias("article_id")), "article_id", "left_semi").agg(F.count_distinct("article_id").alias("covered")).withColumn("k", F.lit(1))
     percent = F.when(F.col("articles") > 0, F.round(100 * F.col("covered") / F.col("articles"), 1)).otherwise(0.0)
-    return a.join(c, "k").drop("k").withColumn("percent", percent).withColumn("warn", F.col("percent") < warn_below)
+    warn = (F.col("articles") == 0) | (100 * F.col("covered") < warn_below * F.col("articles"))
+    return a.join(c, "k").drop("k").withColumn("percent", percent).withColumn("warn", warn)
 
 
 def ranked(df: DataFrame, key: str, width: int = 4096) -> DataFrame:
@@ -322,37 +354,60 @@ def valid_keywords(proposals: DataFrame, articles: DataFrame, most: int = 8, lea
     as_subthemes = first.select("keyword").distinct().select(F.xxhash64("keyword").alias("id"), F.array("keyword").alias("keywords"))
     hits = attach_keywords(articles, as_subthemes).groupBy(F.col("subtheme_id").alias("kid")).agg(F.count("*").alias("hits"))
     total = articles.agg(F.count("*").alias("total")).withColumn("k", F.lit(1))
-    rows = first.withColumn("kid", F.xxhash64("keyword")).join(hits, "kid", "left").withColumn("k", F.lit(1)).join(F.broadcast(total), "k")  # one row
+    rows = first.withColumn("kid", F.xxhash64("keyword")).join(hits.hint("merge"), "kid", "left").withColumn("k", F.lit(1)).join(F.broadcast(total), "k")  # one row
     usable = rows.filter(F.coalesce("hits", F.lit(0)) <= F.greatest(F.lit(float(floor)), share * F.col("total")))
     w = Window.partitionBy("proposal_id").orderBy("place")
     return usable.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).select("proposal_id", "keyword", F.col("r").alias("place"))
 
 
-ANSWER = T.ArrayType(
-    T.StructType(
-        [T.StructField("article_id", T.LongType()), T.StructField("sous_thematique_id", T.LongType()), T.StructField("nouvelle", T.StructType([T.StructField("thematique", T.StringType()), T.StructField("nom", T.StringType())]))]
-    )
-)
+ANSWER = T.StructType(
+    [
+        T.StructField("article_id", T.LongType()), T.StructField("sous_thematique_id", T.LongType()),
+        T.StructField("nouvelle", T.StructType([T.StructField("thematique", T.StringType()), T.StructField("nom", T.StringType()), T.StructField("mots_cles", T.StringType())])),
+    ]
+)
+
+
+def name_key(c: Column) -> Column:
+    """What two names share if they are one: no accents, case or double blanks."""
+    return F.regexp_replace(X.strip(X.norm(c)), r"(?U)\s+", " ")
 
 
-def apply_labels(batch: DataFrame, answers: DataFrame, themes: DataFrame, subthemes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_labels(batch: DataFrame, answers: DataFrame, themes: DataFrame, subthemes: DataFrame, articles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """K16. Links and new subthemes from a model's JSON answers (batch_id, answer) for a batch (batch_id, article_id).
 
-    Malformed answers, articles outside the batch, unknown ids and unknown themes are passed over; of several answers for
-    one article the first valid one counts. A new subtheme that exists under the same name (blanks aside) is that one.
+    Every element of an answer is read by itself: malformed ones, articles outside the batch, unknown ids and unknown themes are passed
+    over; of several answers for one article the first valid one counts. A new subtheme that exists under the same name (accents, case
+    and blanks aside) is that one; else it is created once, with the usable keywords (``valid_keywords`` over ``articles``) of its first proposal.
     """
-    rows = answers.select("batch_id", F.posexplode(F.from_json("answer", ANSWER)).alias("place", "a")).select("batch_id", "place", "a.*")
-    inside = rows.join(batch.select("batch_id", "article_id"), ["batch_id", "article_id"], "left_semi")
-    key = lambda c: F.lower(F.regexp_replace(X.strip(c), r"(?U)\s+", " "))
-    known = inside.join(subthemes.select(F.col("id").alias("sous_thematique_id"), F.lit(True).alias("known")), "sous_thematique_id", "left")
-    named = known.withColumn("theme_key", F.lower("nouvelle.thematique")).join(themes.select(F.col("id").alias("theme_id"), F.lower("name").alias("theme_key")), "theme_key", "left")
-    named = named.withColumn("name", X.strip(F.col("nouvelle.nom"))).withColumn("name_key", key(F.col("nouvelle.nom")))
+    rows = answers.select("batch_id", F.posexplode(_items(F.col("answer"))).alias("place", "x")).select("batch_id", "place", F.from_json("x", ANSWER).alias("a")).select("batch_id", "place", "a.*")
+    inside = rows.join(batch.select("batch_id", "article_id").hint("merge"), ["batch_id", "article_id"], "left_semi")
+    known = inside.join(subthemes.select(F.col("id").alias("sous_thematique_id"), F.lit(True).alias("known")).hint("merge"), "sous_thematique_id", "left")
+    of_theme = themes.select(F.col("id").alias("theme_id"), F.lower(X.strip(F.col("name"))).alias("theme_key"))
+    named = known.withColumn("theme_key", F.lower(X.strip(F.col("nouvelle.thematique")))).join(of_theme.hint("merge"), "theme_key", "left")
+    named = named.withColumn("name", X.strip(F.col("nouvelle.nom"))).withColumn("name_key", name_key(F.col("nouvelle.nom")))
     new_ok = F.col("theme_id").isNotNull() & (F.coalesce(F.length("name"), F.lit(0)) > 0) & (F.length("name") <= 255)
     valid = named.filter(F.coalesce("known", F.lit(False)) | new_ok)
     w = Window.partitionBy("batch_id", "article_id").orderBy("place")
     first = valid.withColumn("r", F.row_number().over(w)).filter("r = 1")
-    old = subthemes.select(F.col("id").alias("same_id"), "theme_id", key(F.col("name")).alias("name_key"))
-    placed = first.join(old, ["theme_id", "name_key"], "left").withColumn("subtheme_id", F.when(F.coalesce("known", F.lit(False)), F.col("sous_thematique_id")).otherwise(F.col("same_id")))
-    created = placed.filter("subtheme_id IS NULL").groupBy("theme_id", "name_key").agg(F.min_by("name", F.struct("batch_id", "place")).alias("name"))
-    links = placed.select("article_id", "subtheme_id", F.when(F.col("subtheme_id").isNull(), F.col("theme_id")).alias("new_theme_id"), F.when(F.col("subtheme_id").isNull(), F.col("name_key")).alias("new_key"), F.lit("gemini").alias("source"))
+    old = subthemes.groupBy("theme_id", name_key(F.col("name")).alias("name_key")).agg(F.min("id").alias("same_id"))
+    placed = first.join(old.hint("merge"), ["theme_id", "name_key"], "left").withColumn("subtheme_id", F.when(F.coalesce("known", F.lit(False)), F.col("sous_thematique_id")).otherwise(F.col("same_id")))
+    order = F.struct("batch_id", "place")
+    created = placed.filter("subtheme_id IS NULL").groupBy("theme_id", "name_key").agg(F.min_by("name", order).alias("name"), F.min_by("nouvelle.mots_cles", order).alias("proposed"))
+    if articles is None:
+        created = created.drop("proposed")
+    else:
+        keyed = created.withColumn("proposal_id", F.xxhash64("theme_id", "name_key"))
+        proposals = keyed.select("proposal_id", F.posexplode(_items(F.col("proposed"))).alias("place", "keyword"))
+        usable = valid_keywords(proposals, articles).groupBy("proposal_id").agg(F.array_sort(F.collect_list(F.struct("place", "keyword"))).alias("k"))
+        created = keyed.join(usable.hint("merge"), "proposal_id", "left").select("theme_id", "name_key", "name", F.coalesce(F.transform("k", lambda k: k["keyword"]), F.array().cast("array<string>")).alias("keywords"))
+    fresh = F.col("subtheme_id").isNull()
+    links = placed.select("article_id", "subtheme_id", F.when(fresh, F.col("theme_id")).alias("new_theme_id"), F.when(fresh, F.col("name_key")).alias("new_key"), F.lit("gemini").alias("source"))
     return links, created
+
+
+def stamp_batch(articles: DataFrame, batch: DataFrame, at: Column) -> DataFrame:
+    """K16. ``articles`` with ``sent`` and ``sent_at`` set for all articles of the batch, answered or not."""
+    marked = articles.join(batch.select(F.col("article_id").alias("id"), F.lit(True).alias("__sent")).distinct().hint("merge"), "id", "left")
+    before = F.col("sent_at") if "sent_at" in articles.columns else F.lit(None).cast("timestamp")
+    return marked.withColumn("sent_at", F.when(F.col("__sent"), at).otherwise(before)).withColumn("sent", F.coalesce("__sent", "sent")).drop("__sent")

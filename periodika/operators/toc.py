@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from ..functions import text as X
+from ..sources.archive import path_dimensions
 from .quality import without_repeated_lines
 
 # Patterns of lines of a table of contents: fixed values.
@@ -149,7 +150,7 @@ def parse_entries(classified: DataFrame) -> DataFrame:
 def plausible_entries(entries: DataFrame, pages: DataFrame) -> DataFrame:
     """T7. Entries that point inside the document, with its last page."""
     last = pages.groupBy("magazine_id").agg(F.max("page_number").alias("last_page"))
-    return entries.join(last, "magazine_id").filter((F.col("start_page") > 0) & (F.col("start_page") <= F.col("last_page")))
+    return entries.join(last.hint("merge"), "magazine_id").filter((F.col("start_page") > 0) & (F.col("start_page") <= F.col("last_page")))
 
 
 def best_strategy(strategies: list[DataFrame]) -> DataFrame:
@@ -161,7 +162,7 @@ def best_strategy(strategies: list[DataFrame]) -> DataFrame:
     counts = union.groupBy("magazine_id", "strategy").agg(F.count("*").alias("n"))
     w = Window.partitionBy("magazine_id").orderBy(F.desc("n"), "strategy")
     best = counts.withColumn("r", F.row_number().over(w)).filter("r = 1").select("magazine_id", "strategy")
-    return union.join(best, ["magazine_id", "strategy"], "left_semi")
+    return union.join(best.hint("merge"), ["magazine_id", "strategy"], "left_semi")
 
 
 def article_ranges(entries: DataFrame) -> DataFrame:
@@ -175,7 +176,7 @@ def toc_status(magazines: DataFrame, toc_pages: DataFrame, entries: DataFrame) -
     """T10. done or failed and why, for each magazine."""
     pages = toc_pages.groupBy("magazine_id").agg(F.array_sort(F.collect_set("page_number")).alias("pages"))
     n = entries.groupBy("magazine_id").agg(F.count("*").alias("n"))
-    rows = magazines.select(F.col("id").alias("magazine_id")).join(pages, "magazine_id", "left").join(n, "magazine_id", "left")
+    rows = magazines.select(F.col("id").alias("magazine_id")).join(pages.hint("merge"), "magazine_id", "left").join(n.hint("merge"), "magazine_id", "left")
     head, tail = UNREADABLE.split("{}")
     listed = F.concat(F.lit(head), F.array_join("pages", ", "), F.lit(tail))
     has = F.coalesce("n", F.lit(0)) > 0
@@ -200,20 +201,27 @@ def heading_candidates(lines: DataFrame, pages: int = 12) -> DataFrame:
     return lines.filter((F.col("page_number") <= pages) & F.length("line").between(3, 30)).groupBy(F.lower("line").alias("line")).agg(F.count("*").alias("n"))
 
 
-def rebuild_metadata(magazines: DataFrame, collections: DataFrame) -> DataFrame:
-    """T12. The magazines whose stored collection, type, number or date differ from what their path and title say."""
-    name = F.regexp_extract("file_path", "^([^/]+)/", 1)
-    m = X.issue_metadata(F.col("title"), name)
-    dims = collections.select(F.col("id").alias("new_collection_id"), F.col("name").alias("__name"))
-    rows = magazines.withColumn("__name", name).withColumn("m", m).join(dims, "__name", "left").select(
-        "id", "collection_id", "new_collection_id", "issue_type", X.issue_type(F.col("title")).alias("new_issue_type"), "issue_number", F.col("m.issue_number").alias("new_issue_number"),
-        "publication_date", F.col("m.publication_date").alias("new_publication_date"),
+def rebuild_metadata(magazines: DataFrame, collections: DataFrame, pages: DataFrame) -> DataFrame:
+    """T12. The magazines whose stored collection, type, number, date or label differ from what their path, title and cover say.
+
+    The collection is the first directory; ``new_collection_id`` is null where there is no such collection yet (``get_or_create_dimension`` of the
+    names makes it). Directories below it speak for the type. What the title lacks, date or number, is read from the first page.
+    """
+    named = path_dimensions(magazines).withColumn("m", X.issue_metadata(F.col("title"), F.col("collection")))
+    cover = pages.filter("page_number = 1").groupBy(F.col("magazine_id").alias("id")).agg(F.min("raw_text").alias("cover_text"))
+    dims = collections.select(F.col("id").alias("new_collection_id"), F.col("name").alias("collection"))
+    stored = collections.select(F.col("id").alias("collection_id"), F.col("name").alias("stored_collection"))
+    rows = named.join(cover.hint("merge"), "id", "left").join(dims, "collection", "left").join(stored, "collection_id", "left")
+    year = F.make_date(X.cover_year(F.col("cover_text")), F.lit(1), F.lit(1))
+    out = rows.select(
+        "id", "stored_collection", F.col("collection").alias("new_collection"), "new_collection_id", "issue_type", X.issue_type(F.col("title"), F.col("sub_dirs")).alias("new_issue_type"),
+        "issue_number", F.coalesce("m.issue_number", X.cover_number(F.col("cover_text"))).alias("new_issue_number"), "publication_date", F.coalesce("m.publication_date", year).alias("new_publication_date"),
+        "issue_month_label", F.col("m.label").alias("new_issue_month_label"),
     )
-    same = None
-    for c in ("collection_id", "issue_type", "issue_number", "publication_date"):
-        one = F.col(c).eqNullSafe(F.col(f"new_{c}"))
-        same = one if same is None else same & one
-    return rows.filter(~same)
+    same = F.col("stored_collection").eqNullSafe(F.col("new_collection"))
+    for c in ("issue_type", "issue_number", "publication_date", "issue_month_label"):
+        same = same & F.col(c).eqNullSafe(F.col(f"new_{c}"))
+    return out.filter(~same)
 
 
 def dedupe_articles(articles: DataFrame) -> DataFrame:

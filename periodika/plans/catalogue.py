@@ -164,11 +164,17 @@ def _(v):
     return v("v_page").select("magazine_id", "page_number", X.snippet(F.col("raw_text"), "tion").alias("snippet"))
 
 
+@query("x9_snippet_accents", """WITH w AS (SELECT magazine_id, page_number, list_filter(string_split_regex(raw_text, '\\s+'), lambda x: x <> '') AS w FROM v_page), a AS (SELECT *, list_position(list_transform(w, lambda x: contains(strip_accents(lower(x)), 'fur') OR contains(strip_accents(lower(x)), 'etre')), true) AS spot FROM w)
+    SELECT magazine_id, page_number, array_to_string(CASE WHEN coalesce(spot, 0) > 0 THEN w[greatest(1, spot - 20) : greatest(1, spot - 20) + 39] ELSE w[1:40] END, ' ') AS snippet FROM a""")
+def _(v):
+    return v("v_page").select("magazine_id", "page_number", X.snippet(F.col("raw_text"), ["FÜR", "être"]).alias("snippet"))
+
+
 @query("x10_occurrence_scale", "SELECT magazine_id, n / max(n) OVER () AS scale FROM (SELECT magazine_id, CAST(count(*) AS DOUBLE) AS n FROM v_page GROUP BY 1)")
 def _(v):
     n = v("v_page").groupBy("magazine_id").agg(F.count("*").cast("double").alias("n"))
     most = n.agg(F.max("n").alias("most"))
-    return n.withColumn("k", F.lit(1)).join(F.broadcast(most.withColumn("k", F.lit(1))), "k").select("magazine_id", (F.col("n") / F.col("most")).alias("scale"))  # one row
+    return n.withColumn("k", F.lit(1)).join(F.broadcast(most.withColumn("k", F.lit(1))), "k").select("magazine_id", X.occurrence_scale(F.col("n"), F.col("most")).alias("scale"))  # one row
 
 
 _COUNTED = "LEFT JOIN (SELECT magazine_id, count(*) AS pc FROM v_page GROUP BY 1) p ON p.magazine_id = m.id LEFT JOIN (SELECT magazine_id, count(*) AS ac FROM v_article GROUP BY 1) a ON a.magazine_id = m.id"
@@ -265,18 +271,34 @@ def _(v):
     return C.group_by_issue_type(v("v_magazine"), 4)
 
 
+def _wanted(v, *ids):
+    return v("v_tag").filter("id <= 2").select(F.element_at(F.array(*map(F.lit, ids)), F.col("id")).alias("tag_id"))
+
+
 @query("a13_set_collection_tags", "SELECT collection_id, tag_id FROM v_collection_tag WHERE collection_id <> 3 UNION ALL SELECT 3, id FROM v_tag WHERE id IN (1, 4)")
 def _(v):
-    wanted = v("v_tag").filter("id IN (1, 4)").select(F.col("id").alias("tag_id")).unionByName(v("v_tag").filter("id = 1").select((F.col("id") + 98).alias("tag_id")))
-    return C.set_collection_tags(v("v_collection_tag"), v("v_tag"), 3, wanted)[0]
+    return C.set_collection_tags(v("v_collection_tag"), v("v_tag"), v("v_magazine"), 3, _wanted(v, 1, 4))[0]
 
 
-@query("a14_cascade_delete", """SELECT 'magazines' AS what, count(*) AS n FROM v_magazine WHERE id % 10 <> 0 UNION ALL SELECT 'articles', count(*) FROM v_article WHERE magazine_id % 10 <> 0
+@query("a13_unknown_tags", "SELECT 'bridge' AS what, collection_id AS id, tag_id FROM v_collection_tag UNION ALL SELECT 'unknown', NULL, 99")
+def _(v):
+    bridge, unknown, refresh = C.set_collection_tags(v("v_collection_tag"), v("v_tag"), v("v_magazine"), 3, _wanted(v, 1, 99))
+    none = F.lit(None).cast("int")
+    rows = bridge.select(F.lit("bridge").alias("what"), F.col("collection_id").alias("id"), "tag_id").unionByName(unknown.select(F.lit("unknown").alias("what"), none.alias("id"), "tag_id"))
+    return rows.unionByName(refresh.select(F.lit("refresh").alias("what"), F.col("magazine_id").cast("int").alias("id"), none.alias("tag_id")))
+
+
+@query("a13_magazines_to_refresh", "SELECT id AS magazine_id FROM v_magazine WHERE collection_id = 3")
+def _(v):
+    return C.set_collection_tags(v("v_collection_tag"), v("v_tag"), v("v_magazine"), 3, _wanted(v, 1, 4))[2]
+
+
+@query("a14_cascade_delete", """SELECT 'magazines' AS what, count(*) AS n FROM v_magazine WHERE id % 10 <> 0 UNION ALL SELECT 'pages', count(*) FROM v_page WHERE magazine_id % 10 <> 0 UNION ALL SELECT 'articles', count(*) FROM v_article WHERE magazine_id % 10 <> 0
     UNION ALL SELECT 'links', count(*) FROM v_link WHERE article_id NOT IN (SELECT id FROM v_article WHERE magazine_id % 10 = 0)""")
 def _(v):
-    left = C.cascade_delete(v("v_magazine"), v("v_article"), v("v_link"), v("v_magazine").filter("id % 10 = 0").select("id"))
-    counts = [df.agg(F.lit(n).alias("what"), F.count("*").alias("n")) for n, df in zip(("magazines", "articles", "links"), left, strict=True)]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    left = C.cascade_delete(v("v_magazine"), v("v_page"), v("v_article"), v("v_link"), v("v_magazine").filter("id % 10 = 0").select("id"))
+    counts = [df.agg(F.lit(n).alias("what"), F.count("*").alias("n")) for n, df in zip(("magazines", "pages", "articles", "links"), left, strict=True)]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
 
 
 @query("a14_drop_collection", "SELECT id, CASE WHEN collection_id IN (2, 5) THEN NULL ELSE collection_id END AS collection_id FROM v_magazine")
@@ -295,8 +317,14 @@ def _(v):
 
 
 @query("a16_classification_status", """SELECT (SELECT count(*) FROM v_article WHERE NOT sent AND id NOT IN (SELECT article_id FROM v_link)) AS pending,
-    (SELECT count(*) FROM v_request WHERE CAST(ts - INTERVAL 8 HOUR AS DATE) = DATE '2024-01-15') AS today, 18 AS allowed, (SELECT max_by(event_type, ts) FROM events WHERE ts > TIMESTAMP '2024-01-15 20:00:00') AS paused""")
+    (SELECT count(*) FROM v_request WHERE CAST(ts - INTERVAL 8 HOUR AS DATE) = DATE '2024-01-15') AS today, 18 AS allowed, (SELECT max_by(event_type, ts) FROM events WHERE ts > TIMESTAMP '2024-01-15 20:00:00') AS paused, (SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM events WHERE ts > TIMESTAMP '2024-01-15 20:00:00') AS until""")
 def _(v):
     pauses = v.table("events").select(F.col("event_type").alias("reason"), F.col("ts").cast("timestamp").alias("until"))
     now = F.lit("2024-01-15 20:00:00").cast("timestamp")
-    return C.classification_status(v("v_article"), v("v_link"), v("v_request").withColumn("ts", F.col("ts").cast("timestamp")), pauses, now, 20)
+    out = C.classification_status(v("v_article"), v("v_link"), v("v_request").withColumn("ts", F.col("ts").cast("timestamp")), pauses, now, 20)
+    return out.withColumn("until", F.date_format("until", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("a12_articles_by_magazine", "SELECT id, magazine_id, min(id) OVER (PARTITION BY magazine_id) AS group_rank, row_number() OVER (PARTITION BY magazine_id ORDER BY id) AS position FROM v_article")
+def _(v):
+    return C.articles_by_magazine(v("v_article").select("id", "magazine_id"), "id").select("id", "magazine_id", "group_rank", "position")

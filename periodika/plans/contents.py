@@ -82,10 +82,12 @@ _KINDS = f"""tpl AS ({_TEMPLATES}), kinds AS (SELECT magazine_id, page_number, l
     WHEN regexp_matches(line, '^[0-9]{{1,3}}$') THEN 'bare' WHEN len(list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '')) <= 4 AND regexp_matches(line, '^[A-ZÀ-Ý0-9][A-ZÀ-Ý0-9 ?!''’.-]{{0,30}}$') AND regexp_matches(line, '\\pL') THEN 'label' ELSE 'text' END AS kind
     FROM (SELECT l.magazine_id, l.page_number, l.line_no, CASE WHEN t.template IS NULL THEN l.line ELSE '' END AS line FROM v_toc_line l LEFT JOIN tpl t ON t.magazine_id = l.magazine_id AND t.template = lower(regexp_replace(l.line, '[0-9]+', '#', 'g'))))"""
 _HEADING = "regexp_matches(line, '^\\p{Lu}') AND length(line) <= 30 AND regexp_matches(lower(line), '^(?:sommaire|contents|content|summary|table of contents|index)(?:[^\\pL]|$)')"
-_PAGES = f"""dens AS (SELECT magazine_id, page_number, count(*) FILTER (kind IN ('trailing', 'leading', 'bare')) AS entries, count(*) FILTER (kind = 'bare') AS bare FROM kinds GROUP BY 1, 2),
-    tier AS (SELECT DISTINCT magazine_id, page_number, 1 AS tier FROM kinds WHERE page_number <= 30 AND {_HEADING} UNION ALL SELECT magazine_id, page_number, 3 FROM (SELECT *, row_number() OVER (PARTITION BY magazine_id ORDER BY entries DESC, page_number) AS r FROM dens WHERE page_number <= 8 AND entries >= 4) WHERE r = 1),
-    chosen AS (SELECT magazine_id, page_number FROM (SELECT *, min(tier) OVER (PARTITION BY magazine_id) AS least FROM tier) WHERE tier = least),
+_DENSITY = "dens AS (SELECT magazine_id, page_number, count(*) FILTER (kind IN ('trailing', 'leading', 'bare')) AS entries, count(*) FILTER (kind = 'bare') AS bare FROM kinds GROUP BY 1, 2)"
+_CHOSEN = """chosen AS (SELECT magazine_id, page_number FROM (SELECT *, min(tier) OVER (PARTITION BY magazine_id) AS least FROM tier) WHERE tier = least),
     tocp AS (SELECT magazine_id, page_number FROM chosen UNION SELECT d.magazine_id, d.page_number FROM dens d JOIN chosen c ON c.magazine_id = d.magazine_id AND d.page_number = c.page_number + 1 WHERE d.entries >= 3)"""
+_PAGES = f"""{_DENSITY},
+    tier AS (SELECT DISTINCT magazine_id, page_number, 1 AS tier FROM kinds WHERE page_number <= 30 AND {_HEADING} UNION ALL SELECT magazine_id, page_number, 3 FROM (SELECT *, row_number() OVER (PARTITION BY magazine_id ORDER BY entries DESC, page_number) AS r FROM dens WHERE page_number <= 8 AND entries >= 4) WHERE r = 1),
+    {_CHOSEN}"""
 _ENTRIES = f"""s1 AS (SELECT *, sum(CASE WHEN kind IN ('blank', 'trailing', 'label', 'leading') THEN 1 ELSE 0 END) OVER w AS seg, sum(CASE WHEN kind <> 'text' THEN 1 ELSE 0 END) OVER w AS ent FROM kinds WINDOW w AS (PARTITION BY magazine_id, page_number ORDER BY line_no)),
     s2 AS (SELECT *, lag(kind) OVER (PARTITION BY magazine_id, page_number, seg ORDER BY line_no) AS prev FROM s1),
     s3 AS (SELECT *, min(CASE WHEN kind = 'bare' AND (prev IS NULL OR prev <> 'text') THEN line_no END) OVER g AS sw, bool_or(kind = 'leading') OVER g AS lead FROM s2 WINDOW g AS (PARTITION BY magazine_id, page_number, seg)),
@@ -116,7 +118,7 @@ def _(v):
     return v("v_toc_line").select("magazine_id", "page_number", "line_no", T.is_heading(F.col("line")).alias("heading"))
 
 
-@query("t3_is_heading_fuzzy")
+@query("t3_is_heading_fuzzy", "SELECT DISTINCT magazine_id, page_number, line_no FROM v_toc_line WHERE line = 'SOMMAIRE'")
 def _(v):
     spoilt = F.when(F.col("line") == "SOMMAIRE", "cm/contenis").otherwise(F.col("line"))
     return T.fuzzy_headings(v("v_toc_line").withColumn("line", spoilt))
@@ -132,9 +134,13 @@ def _(v):
     return T.find_toc_pages(v("v_toc_line"), fuzzy=False)
 
 
-@query("t5_find_toc_pages_fuzzy")
+@query("t5_find_toc_pages_fuzzy", f"""WITH {_KINDS}, {_DENSITY}, early AS (SELECT magazine_id, page_number FROM v_toc_line WHERE page_number <= 8 AND regexp_matches(line, '^[0-9]{{1,3}}$') GROUP BY 1, 2 HAVING count(*) >= 3),
+    near AS (SELECT magazine_id, min(page_number) AS page_number FROM early JOIN (SELECT DISTINCT magazine_id, page_number FROM v_toc_line WHERE line = 'SOMMAIRE') USING (magazine_id, page_number) GROUP BY 1),
+    tier AS (SELECT magazine_id, page_number, 2 AS tier FROM near UNION ALL SELECT magazine_id, page_number, 3 FROM (SELECT *, row_number() OVER (PARTITION BY magazine_id ORDER BY entries DESC, page_number) AS r FROM dens WHERE page_number <= 8 AND entries >= 4) WHERE r = 1), {_CHOSEN}
+    SELECT magazine_id, page_number FROM tocp""")
 def _(v):
-    return T.find_toc_pages(v("v_toc_line"))
+    spoilt = F.when(F.col("line") == "SOMMAIRE", "cm/contenis").otherwise(F.col("line"))
+    return T.find_toc_pages(v("v_toc_line").withColumn("line", spoilt))
 
 
 @query("t6_parse_entries", f"WITH {_KINDS}, {_ENTRIES} SELECT * FROM ent WHERE title <> ''")
@@ -172,7 +178,7 @@ def _(v):
 @query("t11_toc_diagnosis", """SELECT m.collection_id, c.name AS collection, count(*) FILTER (miss) AS missing, count(*) AS total, count(*) FILTER (miss AND toc_status = 'done') AS done, count(*) FILTER (miss AND toc_status = 'failed') AS failed,
     count(*) FILTER (miss AND toc_status = 'pending') AS pending FROM (SELECT *, id NOT IN (SELECT magazine_id FROM v_article) AS miss FROM v_magazine WHERE scan_status = 'done') m LEFT JOIN v_collection c ON c.id = m.collection_id GROUP BY 1, 2 HAVING count(*) FILTER (miss) > 0""")
 def _(v):
-    return T.toc_diagnosis(v("v_magazine"), v("v_article").filter("id % 2 = 0 OR id > 0"), v("v_collection"))
+    return T.toc_diagnosis(v("v_magazine"), v("v_article"), v("v_collection"))
 
 
 @query("t11_heading_candidates", "SELECT lower(line) AS line, count(*) AS n FROM v_toc_line WHERE page_number <= 12 AND length(line) BETWEEN 3 AND 30 GROUP BY 1")
@@ -180,12 +186,17 @@ def _(v):
     return T.heading_candidates(v("v_toc_line"))
 
 
-@query("t12_rebuild_metadata", """SELECT id, CAST(substr(split_part(file_path, '/', 1), 4) AS INT) AS new_collection_id, issue_type AS new_issue_type, CAST(100 + id % 800 AS STRING) AS new_issue_number,
-    CASE WHEN id % 6 < 5 THEN CAST(make_date(CAST(1990 + id % 30 AS INT), CASE WHEN id % 6 = 4 THEN 1 ELSE CAST(1 + id % 12 AS INT) END, 1) AS STRING) END AS new_publication_date FROM v_magazine
-    WHERE id % 17 = 0 OR id % 9 = 0 OR (id % 6 = 4 AND id % 12 <> 0)""")
+@query("t12_rebuild_metadata", """WITH new AS (SELECT m.*, c.name AS stored, split_part(file_path, '/', 1) AS new_collection, CASE WHEN id_ % 11 = 0 OR id_ % 13 = 0 THEN 'hs' WHEN id_ % 11 = 1 THEN 'sp' ELSE 'normal' END AS new_issue_type, CAST(100 + id_ % 800 AS STRING) AS new_issue_number,
+    make_date(CASE WHEN id_ % 6 = 5 THEN CAST(1900 + id_ % 120 AS INT) ELSE CAST(1990 + id_ % 30 AS INT) END, CASE WHEN id_ % 6 >= 4 THEN 1 ELSE CAST(1 + id_ % 12 AS INT) END, 1) AS new_publication_date,
+    CASE WHEN id_ % 6 IN (0, 2, 3) OR (id_ % 6 = 1 AND issue_month_label = 'Avril') THEN issue_month_label WHEN id_ % 6 = 1 THEN issue_month_label || '-Avril' END AS new_issue_month_label
+    FROM (SELECT *, id AS id_ FROM v_magazine) m LEFT JOIN v_collection c ON c.id = m.collection_id)
+    SELECT n.id, new_collection, CASE WHEN d.id % 3 <> 0 THEN d.id END AS new_collection_id, new_issue_type, new_issue_number, CAST(new_publication_date AS STRING) AS new_publication_date, new_issue_month_label FROM new n LEFT JOIN v_collection d ON d.name = new_collection
+    WHERE CASE WHEN n.collection_id % 3 <> 0 THEN stored END IS DISTINCT FROM new_collection OR issue_type <> new_issue_type OR issue_number IS DISTINCT FROM new_issue_number OR publication_date IS DISTINCT FROM new_publication_date OR issue_month_label IS DISTINCT FROM new_issue_month_label""")
 def _(v):
-    out = T.rebuild_metadata(v("v_magazine"), v("v_collection"))
-    return out.select("id", "new_collection_id", "new_issue_type", "new_issue_number", F.col("new_publication_date").cast("string").alias("new_publication_date"))
+    inner = F.when(F.col("id") % 13 == 0, F.regexp_replace("file_path", "^([^/]+)/", "$1/2019/Hors Séries/")).otherwise(F.col("file_path"))
+    covers = v("v_magazine").select(F.col("id").alias("magazine_id"), F.lit(1).alias("page_number"), F.concat(F.lit("paru en "), (1900 + F.col("id") % 120).cast("string")).alias("raw_text"))
+    out = T.rebuild_metadata(v("v_magazine").withColumn("file_path", inner), v("v_collection").filter("id % 3 <> 0"), covers)
+    return out.select("id", "new_collection", "new_collection_id", "new_issue_type", "new_issue_number", F.col("new_publication_date").cast("string").alias("new_publication_date"), "new_issue_month_label")
 
 
 @query("t13_dedupe_articles", "SELECT min(id) AS id, magazine_id, title, start_page FROM v_article GROUP BY 2, 3, 4")

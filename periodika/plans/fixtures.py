@@ -58,20 +58,19 @@ VIEWS = {
     "v_word": """SELECT magazine_id, page_number, CAST(n {div} 20 AS INT) AS block, CAST(n {div} 8 AS INT) AS line, CAST(n AS INT) AS n, w AS text,
         CAST((n % 8) * 40 + CASE WHEN n % 8 >= 4 AND (n {div} 8) % 2 = 0 THEN 120 ELSE 0 END AS DOUBLE) AS x0, CAST((n % 8) * 40 + CASE WHEN n % 8 >= 4 AND (n {div} 8) % 2 = 0 THEN 120 ELSE 0 END + 30 AS DOUBLE) AS x1,
         CAST((n {div} 8) * 12 AS DOUBLE) AS y0, CAST((n {div} 8) * 12 + 10 AS DOUBLE) AS y1 FROM ({words})""",
-    "v_article": """SELECT id, magazine_id, title, start_page, end_page, sent FROM (
-        SELECT p_partkey AS id, p_partkey % (SELECT count(*) FROM documents) AS magazine_id,
-          CASE WHEN p_partkey % 5 = 0 THEN replace(t, ' ', '  ') ELSE t END AS title, p_size AS start_page, CASE WHEN p_partkey % 6 = 0 THEN p_size + 3 END AS end_page, p_partkey % 20 = 0 AS sent
-        FROM (SELECT *, CASE WHEN p_partkey % 4 = 0 THEN replace(p_name, 'e', 'é') ELSE p_name END || CASE WHEN p_partkey % 3 = 0 THEN 's' ELSE '' END AS t FROM part))
-        UNION ALL SELECT p_partkey + 1000000, p_partkey % (SELECT count(*) FROM documents), p_name, p_size, NULL, false FROM part WHERE p_partkey % 50 = 1
-        UNION ALL SELECT p_partkey + 2000000, p_partkey % (SELECT count(*) FROM documents), p_name, p_size, NULL, false FROM part WHERE p_partkey % 50 = 1""",
+    "v_article": """SELECT id, CASE WHEN m % 23 = 5 THEN 0 ELSE m END AS magazine_id, title, start_page, end_page, sent, copy FROM (
+        SELECT p_partkey AS id, p_partkey % (SELECT count(*) FROM documents) AS m,
+          CASE WHEN p_partkey % 5 = 0 THEN replace(t, ' ', '  ') ELSE t END AS title, p_size AS start_page, CASE WHEN p_partkey % 6 = 0 THEN p_size + 3 END AS end_page, p_partkey % 20 = 0 AS sent, 0 AS copy
+        FROM (SELECT *, CASE WHEN p_partkey % 4 = 0 THEN replace(p_name, 'e', 'é') ELSE p_name END || CASE WHEN p_partkey % 3 = 0 THEN 's' ELSE '' END AS t FROM part)
+        UNION ALL SELECT p_partkey + copy * (SELECT max(p_partkey) + 1 FROM part), p_partkey % (SELECT count(*) FROM documents), p_name, p_size, NULL, false, copy FROM part, (VALUES (1), (2)) AS c(copy) WHERE p_partkey % 50 = 1)""",
     "v_toc_line": """SELECT magazine_id, page_number, line_no, line FROM (
         SELECT id {div} 10 AS magazine_id, CASE WHEN id % 10 >= 8 THEN 5 ELSE 4 END AS page_number, CAST((id % 10) * 4 + 1 AS INT) AS line_no, CASE id % 5 WHEN 0 THEN title || ' . . . . . p. ' || CAST(start_page AS STRING) WHEN 1 THEN title || '      ' || CAST(start_page AS STRING) || '-' || CAST(start_page + 2 AS STRING)
-          WHEN 2 THEN CAST(start_page AS STRING) || ' / ' || upper(substr(title, 1, 1)) || substr(title, 2) WHEN 3 THEN CAST(start_page AS STRING) ELSE title END AS line FROM v_article WHERE id < 1000000
-        UNION ALL SELECT id {div} 10, CASE WHEN id % 10 >= 8 THEN 5 ELSE 4 END, CAST((id % 10) * 4 + 2 AS INT), CASE id % 5 WHEN 3 THEN title WHEN 4 THEN CAST(start_page AS STRING) ELSE title || ' and more' END FROM v_article WHERE id < 1000000 AND (id % 5 >= 3 OR id % 4 = 0)
-        UNION ALL SELECT id {div} 10, CASE WHEN id % 10 >= 8 THEN 5 ELSE 4 END, CAST((id % 10) * 4 + 3 AS INT), CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN 'LE ZOOM' ELSE 'in short' END FROM v_article WHERE id < 1000000 AND id % 7 < 3
-        UNION ALL SELECT id {div} 10, 4, 0, 'SOMMAIRE' FROM v_article WHERE id < 1000000 AND id % 20 = 0
-        UNION ALL SELECT id {div} 10, CAST(1 + id % 10 AS INT), 1000, 'Archive ' || CAST(id {div} 10 AS STRING) || ' ... ' || CAST(1 + id % 10 AS STRING) FROM v_article WHERE id < 1000000
-        UNION ALL SELECT id {div} 10, CAST(1 + id % 10 AS INT), 900, 'prose about ' || title FROM v_article WHERE id < 1000000)""",
+          WHEN 2 THEN CAST(start_page AS STRING) || ' / ' || upper(substr(title, 1, 1)) || substr(title, 2) WHEN 3 THEN CAST(start_page AS STRING) ELSE title END AS line FROM v_article WHERE copy = 0
+        UNION ALL SELECT id {div} 10, CASE WHEN id % 10 >= 8 THEN 5 ELSE 4 END, CAST((id % 10) * 4 + 2 AS INT), CASE id % 5 WHEN 3 THEN title WHEN 4 THEN CAST(start_page AS STRING) ELSE title || ' and more' END FROM v_article WHERE copy = 0 AND (id % 5 >= 3 OR id % 4 = 0)
+        UNION ALL SELECT id {div} 10, CASE WHEN id % 10 >= 8 THEN 5 ELSE 4 END, CAST((id % 10) * 4 + 3 AS INT), CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN 'LE ZOOM' ELSE 'in short' END FROM v_article WHERE copy = 0 AND id % 7 < 3
+        UNION ALL SELECT id {div} 10, 4, 0, 'SOMMAIRE' FROM v_article WHERE copy = 0 AND id % 20 = 0
+        UNION ALL SELECT id {div} 10, CAST(1 + id % 10 AS INT), 1000, 'Archive ' || CAST(id {div} 10 AS STRING) || ' ... ' || CAST(1 + id % 10 AS STRING) FROM v_article WHERE copy = 0
+        UNION ALL SELECT id {div} 10, CAST(1 + id % 10 AS INT), 900, 'prose about ' || title FROM v_article WHERE copy = 0)""",
     "v_theme": "SELECT * FROM (VALUES (1, 'Hardware'), (2, 'Colour'), (3, 'Size'), (4, 'Temperature'), (5, 'Empty')) AS t(id, name)",
     "v_subtheme": """SELECT id, theme_id, name, {keywords} AS keywords FROM (SELECT * FROM (VALUES (10, 1, 'Rings', 'ring|anvil'), (11, 1, 'Bolts', 'bolt|rod'), (12, 1, 'Gear', 'géar|gizmo'),
         (20, 2, 'Red', 'red'), (21, 2, 'Blue', 'blue'), (30, 3, 'Small gizmo', 'small gizmo|Large  Bolt'), (40, 4, 'Hot', 'hot|zzz'), (41, 4, 'Sterile', 'quark|bol'), (42, 4, 'Blank', ' |cold')) AS t(id, theme_id, name, k)

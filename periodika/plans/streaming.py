@@ -2,28 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..streaming import jobs as J
-from .registry import query
+from .registry import query, shared_folder
+from .taxonomy import _KEYWORDS, _NORM
 
 _STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
-def shared_folder(spark) -> str:
-    """The shared folder of the cluster; a temporary one where none is set, as in tests."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="periodika-")
-
-
 def _events(v):
     e = v.table("events")
     return e.withColumn("ts", e["ts"].cast("timestamp"))
 
 
 def _event_stream(v):
-    e = v.spark.readStream.schema(v.table("events").schema).parquet(f"{v.sf_dir}/events.parquet*")
+    e = v.spark.readStream.schema(v.table("events").schema).option("maxFilesPerTrigger", 64).parquet(f"{v.sf_dir}/events.parquet*")
     return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -39,9 +33,12 @@ def _(v):
     return J.rate_windows(_requests(_events(v))).withColumn("minute", F.date_format("minute", _STAMP))
 
 
-@query("st1_rate_windows_stream", _MINUTES)
+_ENDED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"  # windows that the watermark has passed
+
+
+@query("st1_rate_windows_stream", f"SELECT * FROM ({_MINUTES}) WHERE CAST(minute AS TIMESTAMP) + INTERVAL 1 MINUTE <= {_ENDED}")
 def _(v):
-    out = J.run_available(v.spark, J.rate_windows(_requests(_event_stream(v))), shared_folder(v.spark), "complete")
+    out = J.run_available(v.spark, J.rate_windows(_requests(_event_stream(v))), shared_folder(v.spark))
     return out.withColumn("minute", F.date_format("minute", _STAMP))
 
 
@@ -70,20 +67,24 @@ def _observed(e):
     return e.select(F.concat(F.lit("f"), (F.col("event_id") % 2).cast("string")).alias("path"), F.floor(F.col("event_id") / 4).alias("size"), F.lit(0).alias("mtime"), "ts")
 
 
-@query("st3_stable_files", """SELECT strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M:%S') AS start, 'f' || CAST(event_id % 2 AS STRING) AS path, min(event_id // 4) AS size FROM events GROUP BY 1, 2 HAVING count(*) >= 2 AND min(event_id // 4) = max(event_id // 4)""")
+_STABLE = """SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, path, min(size) AS size FROM (SELECT unnest([time_bucket(INTERVAL '5 minutes', ts), time_bucket(INTERVAL '5 minutes', ts) - INTERVAL 5 MINUTE]) AS start, 'f' || CAST(event_id % 2 AS STRING) AS path, event_id // 4 AS size, ts FROM events)
+    GROUP BY start, path HAVING min(size) = max(size) AND max(ts) - min(ts) >= INTERVAL 8 SECOND"""
+
+
+@query("st3_stable_files", _STABLE)
 def _(v):
     return J.stable_file_stream(_observed(_events(v))).withColumn("start", F.date_format("start", _STAMP))
 
 
-@query("st3_stable_file_stream")
+@query("st3_stable_file_stream", f"SELECT * FROM ({_STABLE}) WHERE CAST(start AS TIMESTAMP) + INTERVAL 10 MINUTE <= {_ENDED}")
 def _(v):
-    return J.run_available(v.spark, J.stable_file_stream(_observed(_event_stream(v))), shared_folder(v.spark))
+    return J.run_available(v.spark, J.stable_file_stream(_observed(_event_stream(v))), shared_folder(v.spark)).withColumn("start", F.date_format("start", _STAMP))
 
 
 @query("st4_dedupe_stream", "SELECT DISTINCT sha256(event_type || CAST(user_id AS STRING)) AS file_hash FROM events")
 def _(v):
     files = _event_stream(v).select("ts", F.sha2(F.concat("event_type", F.col("user_id").cast("string")), 256).alias("file_hash"))
-    return J.run_available(v.spark, J.dedupe_stream(files), shared_folder(v.spark)).select("file_hash").distinct()
+    return J.run_available(v.spark, J.dedupe_stream(files), shared_folder(v.spark), only=J.unstored).select("file_hash")
 
 
 @query("st5_ingest_stream", """SELECT DISTINCT s.id AS subtheme_id, a.id AS article_id FROM (SELECT min(p_partkey) AS id, p_name AS title FROM part GROUP BY 2) a, (SELECT id, unnest(keywords) AS k FROM v_subtheme) s WHERE trim(k) <> ''
@@ -113,10 +114,10 @@ def _(v):
     return J.login_windows(_events(v).withColumn("key", F.col("user_id") % 10), 1).withColumn("start", F.date_format("start", _STAMP))
 
 
-@query("st6_login_windows_stream", _LOGINS)
+@query("st6_login_windows_stream", f"SELECT * FROM ({_LOGINS}) WHERE CAST(start AS TIMESTAMP) + INTERVAL 15 MINUTE <= {_ENDED}")
 def _(v):
     stream = J.login_windows(_event_stream(v).withColumn("key", F.col("user_id") % 10), 1)
-    return J.run_available(v.spark, stream, shared_folder(v.spark), "complete").withColumn("start", F.date_format("start", _STAMP))
+    return J.run_available(v.spark, stream, shared_folder(v.spark)).withColumn("start", F.date_format("start", _STAMP))
 
 
 _PROGRESS = "SELECT user_id AS document, arg_max(event_id % 100, (ts, event_id)) AS current, 100 AS total FROM events GROUP BY 1"
@@ -159,7 +160,9 @@ def _(v):
     return J.sessions(_events(v), "300 minutes").withColumn("start", F.date_format("start", _STAMP))
 
 
-@query("st5_incremental_links", "SELECT count(DISTINCT title) AS titles FROM v_article")
+@query("st5_incremental_links", f"""WITH {_KEYWORDS}, first AS (SELECT min(id) AS id, title FROM v_article WHERE id % 2 = 0 GROUP BY title HAVING title NOT IN (SELECT title FROM v_article WHERE id % 2 = 1))
+    SELECT DISTINCT subtheme_id, id AS article_id FROM kw JOIN first ON regexp_matches({_NORM.format('title')}, pattern)""")
 def _(v):
-    new, _ = J.ingest_batch(v("v_article").withColumn("file_hash", F.sha2("title", 256)), v("v_article").limit(0).select(F.lit("").alias("file_hash")), v("v_subtheme"))
-    return new.agg(F.count("*").alias("titles"))
+    """The second of two batches: what the first one stored isn't attached again."""
+    hashed = v("v_article").withColumn("file_hash", F.sha2("title", 256))
+    return J.ingest_batch(hashed.filter("id % 2 = 0"), hashed.filter("id % 2 = 1").select("file_hash"), v("v_subtheme"))[1]

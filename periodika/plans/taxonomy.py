@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import search as R
 from ..operators import taxonomy as K
 from ..sources import archive as S
-from .registry import query
+from .registry import query, shared_folder
 
 _NORM = "replace(strip_accents(lower({})), 'ß', 'ss')"
 _KEYWORDS = f"""kw AS (SELECT subtheme_id, place, keyword, '\\b' || array_to_string(list_transform(list_filter(string_split_regex({_NORM.format('keyword')}, '\\s+'), lambda x: x <> ''), lambda x: x || '[sx]?'), '\\s+') || '\\b' AS pattern
@@ -37,19 +39,22 @@ def _payload(v):
     name = F.when(F.col("id") == 30, "Large things").when(F.col("id") == 42, "").otherwise(F.col("name"))
     words = F.when(F.col("id") == 41, F.array().cast("array<string>")).when(F.col("id") == 20, F.array(F.lit("red"), F.lit(" small "))).otherwise(F.col("keywords"))
     subs = sub.filter("id <> 11").groupBy("theme").agg(F.array_sort(F.collect_list(F.struct(name.alias("nom"), words.alias("mots_cles")))).alias("sous_thematiques"))
-    return subs.agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(F.col("theme").alias("nom"), "sous_thematiques"))).alias("thematiques"))).alias("value"))
+    whole = F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(F.col("theme").alias("nom"), "sous_thematiques"))).alias("thematiques")))
+    more = """["stray", {"nom": "Alimentation ", "sous_thematiques": [7, {"nom": "Vin", "mots_cles": ["anvil"]}, {"nom": "Vin", "mots_cles": ["ring", "quarks"]}]}, """
+    return subs.agg(F.replace(whole, F.lit('{"thematiques":['), F.lit('{"thematiques":' + more)).alias("value"))
 
 
 _ENTRIES = """entries AS (SELECT upper(t.name) AS theme, CASE s.id WHEN 30 THEN 'Large things' WHEN 42 THEN '' ELSE s.name END AS subtheme,
     CASE s.id WHEN 41 THEN [] WHEN 20 THEN ['red', 'small'] ELSE list_filter(list_transform(s.keywords, lambda x: trim(x)), lambda x: x <> '') END AS keywords FROM v_subtheme s JOIN v_theme t ON t.id = s.theme_id WHERE s.id <> 11),
-    good AS (SELECT * FROM entries WHERE subtheme <> '' AND len(keywords) > 0)"""
-_IMPORTED = f"""{_ENTRIES}, now AS (SELECT s.id, lower(t.name) AS key, s.name AS subtheme, s.keywords AS old FROM v_subtheme s JOIN v_theme t ON t.id = s.theme_id),
-    imp AS (SELECT now.id, coalesce(now.key, lower(g.theme)) AS theme, coalesce(now.subtheme, g.subtheme) AS subtheme, coalesce(g.keywords, old) AS keywords, CASE WHEN now.id IS NULL THEN 'created' WHEN g.keywords IS NULL THEN 'kept' ELSE 'updated' END AS action
-    FROM now FULL JOIN good g ON now.key = lower(g.theme) AND now.subtheme = g.subtheme)"""
+    good AS (SELECT * FROM entries WHERE subtheme <> '' AND len(keywords) > 0 UNION ALL SELECT 'Alimentation', 'Vin', ['ring', 'quarks'])"""
+_IMPORTED = f"""{_ENTRIES}, now AS (SELECT s.id, lower(t.name) AS key, t.name AS theme, s.name AS subtheme, s.keywords AS old FROM v_subtheme s JOIN v_theme t ON t.id = s.theme_id),
+    imp AS (SELECT now.id, coalesce(now.theme, st.name, g.theme) AS theme, coalesce(now.subtheme, g.subtheme) AS subtheme, coalesce(g.keywords, old) AS keywords, CASE WHEN now.id IS NULL THEN 'created' WHEN g.keywords IS NULL THEN 'kept' ELSE 'updated' END AS action
+    FROM now FULL JOIN good g ON now.key = lower(g.theme) AND now.subtheme = g.subtheme LEFT JOIN v_theme st ON lower(st.name) = lower(g.theme))"""
 
 
 @query("s8_read_taxonomy_json", f"""WITH {_ENTRIES} SELECT theme, subtheme, array_to_string(keywords, '|') AS keywords, NULL AS reason FROM good
-    UNION ALL SELECT theme, subtheme, NULL, CASE WHEN subtheme = '' THEN 'subtheme without name' ELSE 'no keyword' END FROM entries WHERE subtheme = '' OR len(keywords) = 0""")
+    UNION ALL SELECT theme, subtheme, NULL, CASE WHEN subtheme = '' THEN 'subtheme without name' ELSE 'no keyword' END FROM entries WHERE subtheme = '' OR len(keywords) = 0
+    UNION ALL SELECT 'Alimentation', 'Vin', 'anvil', NULL UNION ALL SELECT '', '', NULL, 'theme without name' UNION ALL SELECT 'Alimentation', '', NULL, 'subtheme without name'""")
 def _(v):
     good, bad = K.parse_taxonomy(_payload(v))
     none = F.lit(None).cast("string")
@@ -63,10 +68,11 @@ def _(v):
 
 
 @query("k4_import_report", f"""WITH {_IMPORTED}, kk AS (SELECT theme || ' > ' || subtheme AS line, unnest(keywords) AS keyword FROM imp WHERE action <> 'kept'),
-    pat AS (SELECT line, '\\b' || array_to_string(list_transform(list_filter(string_split_regex({_NORM.format('keyword')}, '\\s+'), lambda x: x <> ''), lambda x: x || '[sx]?'), '\\s+') || '\\b' AS pattern FROM kk),
-    m AS (SELECT DISTINCT line, id FROM pat JOIN v_article ON regexp_matches({_NORM.format('title')}, pattern))
+    pat AS (SELECT line, keyword, '\\b' || array_to_string(list_transform(list_filter(string_split_regex({_NORM.format('keyword')}, '\\s+'), lambda x: x <> ''), lambda x: x || '[sx]?'), '\\s+') || '\\b' AS pattern FROM kk),
+    h AS (SELECT line, keyword, id FROM pat JOIN v_article ON regexp_matches({_NORM.format('title')}, pattern)), m AS (SELECT DISTINCT line, id FROM h)
     SELECT i.line, count(m.id) AS n FROM (SELECT theme || ' > ' || subtheme AS line FROM imp WHERE action <> 'kept') i LEFT JOIN m ON m.line = i.line GROUP BY 1
-    UNION ALL SELECT 'corpus', count(*) FROM v_article UNION ALL SELECT 'covered', count(DISTINCT id) FROM m""")
+    UNION ALL SELECT 'corpus', count(*) FROM v_article UNION ALL SELECT 'covered', count(DISTINCT id) FROM m UNION ALL SELECT 'uncovered', (SELECT count(*) FROM v_article) - count(DISTINCT id) FROM m
+    UNION ALL SELECT 'sterile > ' || line || ' > ' || keyword, 0 FROM pat WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.line = pat.line AND h.keyword = pat.keyword)""")
 def _(v):
     return K.import_report(v("v_article"), K.import_taxonomy(K.parse_taxonomy(_payload(v))[0], v("v_theme"), v("v_subtheme")))
 
@@ -176,28 +182,36 @@ def _(v):
 
 def _answers(v):
     """One JSON answer for each 100 articles: known ids, new names, unknown themes, repeats and strangers by id."""
-    a = v("v_article").filter("id < 1000000").select(F.floor(F.col("id") / 100).alias("batch_id"), F.col("id").alias("article_id"))
+    a = v("v_article").filter("copy = 0").select(F.floor(F.col("id") / 100).alias("batch_id"), F.col("id").alias("article_id"))
     known = F.when(F.col("article_id") % 5 == 0, F.lit(20)).when(F.col("article_id") % 5 == 1, F.lit(999)).cast("long")
-    theme = F.when(F.col("article_id") % 5 == 2, "COLOUR").when(F.col("article_id") % 5 == 3, "Nowhere").when(F.col("article_id") % 5 == 4, "Size")
-    name = F.when(F.col("article_id") % 5 == 2, "Deep  green").when(F.col("article_id") % 5 == 4, "small  gizmo").otherwise("x")
-    one = F.struct("article_id", known.alias("sous_thematique_id"), F.struct(theme.alias("thematique"), name.alias("nom")).alias("nouvelle"))
-    again = F.struct((F.col("article_id") + F.when(F.col("article_id") % 7 == 0, 100000).otherwise(0)).alias("article_id"), F.lit(21).cast("long").alias("sous_thematique_id"), F.struct(F.lit(None).cast("string").alias("thematique"), F.lit(None).cast("string").alias("nom")).alias("nouvelle"))
+    theme = F.when(F.col("article_id") % 5 == 2, " COLOUR ").when(F.col("article_id") % 5 == 3, "Nowhere").when(F.col("article_id") % 5 == 4, "Size")
+    name = F.when(F.col("article_id") % 10 == 7, "DÉEP green ").when(F.col("article_id") % 5 == 2, "Deep  green").when(F.col("article_id") % 5 == 4, "small  gizmo").otherwise("x")
+    one = F.struct("article_id", known.alias("sous_thematique_id"), F.struct(theme.alias("thematique"), name.alias("nom"), F.array(*map(F.lit, (" Quartz", "gizmo", "zz", "quartz", "topaz"))).alias("mots_cles")).alias("nouvelle"))
+    again = F.struct((F.col("article_id") + F.when(F.col("article_id") % 7 == 0, 100000).otherwise(0)).alias("article_id"), F.lit(21).cast("long").alias("sous_thematique_id"), F.struct(F.lit(None).cast("string").alias("thematique"), F.lit(None).cast("string").alias("nom"), F.lit(None).cast("array<string>").alias("mots_cles")).alias("nouvelle"))
     rows = a.select("batch_id", F.posexplode(F.array(one, again)).alias("turn", "x"))
     listed = rows.groupBy("batch_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", "x"))), lambda r: r["x"])).alias("answer"))
-    return a, listed
+    strays = F.concat(F.lit('["stray", 7, null, {"article_id": "x"}, {"nouvelle": []}, '), F.substring("answer", F.lit(2), F.length("answer")))
+    return a, listed.withColumn("answer", strays)
 
 
 @query("k16_apply_labels", """SELECT id AS article_id, CASE WHEN id % 5 = 0 THEN 20 WHEN id % 5 = 4 THEN 30 WHEN id % 5 IN (1, 3) THEN 21 END AS subtheme_id, CASE WHEN id % 5 = 2 THEN 2 END AS new_theme_id, CASE WHEN id % 5 = 2 THEN 'deep green' END AS new_key, 'gemini' AS source
-    FROM v_article WHERE id < 1000000 AND NOT (id % 5 IN (1, 3) AND id % 7 = 0)""")
+    FROM v_article WHERE copy = 0 AND NOT (id % 5 IN (1, 3) AND id % 7 = 0)""")
 def _(v):
     batch, answers = _answers(v)
     return K.apply_labels(batch, answers, v("v_theme"), v("v_subtheme"))[0]
 
 
-@query("k16_created_subthemes", "SELECT DISTINCT 2 AS theme_id, 'deep green' AS name_key, 'Deep  green' AS name FROM v_article WHERE id % 5 = 2 AND id < 1000000")
+@query("k16_created_subthemes", "SELECT DISTINCT 2 AS theme_id, 'deep green' AS name_key, 'Deep  green' AS name, 'quartz|topaz' AS keywords FROM v_article WHERE id % 5 = 2 AND copy = 0")
 def _(v):
     batch, answers = _answers(v)
-    return K.apply_labels(batch, answers, v("v_theme"), v("v_subtheme"))[1]
+    created = K.apply_labels(batch, answers, v("v_theme"), v("v_subtheme"), v("v_article"))[1]
+    return created.withColumn("keywords", F.array_join("keywords", "|"))
+
+
+@query("k16_stamp_batch", "SELECT id, sent OR copy = 0 AS sent, CASE WHEN copy = 0 THEN '2024-02-01' END AS sent_at FROM v_article")
+def _(v):
+    batch, _ = _answers(v)
+    return K.stamp_batch(v("v_article"), batch, F.lit("2024-02-01").cast("timestamp")).select("id", "sent", F.date_format("sent_at", "yyyy-MM-dd").alias("sent_at"))
 
 
 @query("k17_coverage_stats", """SELECT articles, covered, CASE WHEN articles > 0 THEN round(100 * covered / articles, 1) ELSE 0.0 END AS percent, covered / articles < 0.5 AS warn FROM (SELECT count(*) AS articles FROM v_article), (SELECT count(DISTINCT article_id) AS covered FROM v_link)""")
@@ -258,6 +272,23 @@ def _(v):
     return R.match_pages(R.build_inverted_index(_docs(v)), "tition", typos=True, limit=None).select("page_id")
 
 
+@query("r2_accents", f"WITH {_DOCS}, {_INDEX} SELECT DISTINCT page_id FROM idx WHERE starts_with(term, 'fur')")
+def _(v):
+    return R.match_pages(R.build_inverted_index(_docs(v)), "FÜR", limit=None).select("page_id")
+
+
+@query("r1_store_index", f"WITH {_HITS} SELECT * FROM hits WHERE rank <= 500")
+def _(v):
+    path = f"{shared_folder(v.spark)}/index-{uuid.uuid4().hex}"
+    R.store_index(R.build_inverted_index(_docs(v)), path)
+    return R.match_pages(v.spark.read.parquet(path), "The with")
+
+
+@query("r3_count_groups", f"WITH {_HITS} SELECT count(DISTINCT magazine_id) AS total FROM hits WHERE rank <= 500")
+def _(v):
+    return R.count_groups(_hits(v))
+
+
 @query("f5_search_filters", f"WITH {_DOCS} SELECT page_id FROM docs WHERE year = 1999 AND list_has_any(tag_ids, [2, 5]) AND collection_id IN (9, 4, 7, 19)")
 def _(v):
     return R.search_filters(_docs(v), year=1999, tags=[2, 5], collections=[9, 4, 7, 19]).select("page_id")
@@ -293,13 +324,21 @@ def _(v):
     return S.file_hash(v.table("documents"), "text").select("doc_id", "file_hash")
 
 
-@query("s3_classify_scan", """WITH kp AS (SELECT path, max_by(size, mtime) AS k_size, max(mtime) AS k_mtime, max_by(id, mtime) AS k_id FROM v_known GROUP BY 1), kh AS (SELECT file_hash, min(id) AS h_id, min(path) AS h_path FROM v_known GROUP BY 1),
-    s AS (SELECT s.*, kp.*, coalesce(s.size = k_size AND abs(s.mtime - k_mtime) < 1, false) AS same FROM (SELECT path AS p, file_hash, size, mtime FROM v_scan) s LEFT JOIN kp ON kp.path = s.p),
-    r AS (SELECT s.p, s.k_id, kh.h_id, kh.h_path, row_number() OVER (PARTITION BY s.file_hash ORDER BY s.p) AS r FROM s LEFT JOIN kh ON kh.file_hash = s.file_hash WHERE NOT same)
-    SELECT p AS path, k_id AS known_id, 'unchanged' AS class FROM s WHERE same UNION ALL SELECT p, coalesce(h_id, k_id), CASE WHEN h_id IS NOT NULL AND h_path = p THEN 'unchanged' WHEN h_id IS NOT NULL THEN 'relocated' WHEN r > 1 THEN 'duplicate' WHEN k_id IS NOT NULL THEN 'modified' ELSE 'new' END FROM r
-    UNION ALL SELECT path, id, 'missing' FROM v_known WHERE path NOT IN (SELECT path FROM v_scan)""")
+@query("s1_scan_files")
 def _(v):
-    return S.classify_scan(v("v_scan").drop("id"), v("v_known"))
+    return S.scan_files(v.spark, v.sf_dir, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+
+
+@query("s3_classify_scan", """WITH kp AS (SELECT path, max_by(size, mtime) AS k_size, max(mtime) AS k_mtime, max_by(id, mtime) AS k_id FROM v_known GROUP BY 1), kh AS (SELECT file_hash, min(id) AS h_id FROM v_known GROUP BY 1), ko AS (SELECT file_hash, path, min(id) AS own_id FROM v_known GROUP BY 1, 2),
+    s AS (SELECT s.*, kp.*, coalesce(s.size = k_size AND abs(s.mtime - k_mtime) < 1, false) AS same FROM (SELECT path AS p, file_hash, size, mtime FROM v_scan) s LEFT JOIN kp ON kp.path = s.p),
+    r AS (SELECT s.p, s.k_id, kh.h_id, ko.own_id, row_number() OVER (PARTITION BY s.file_hash ORDER BY s.p) AS r FROM s LEFT JOIN kh ON kh.file_hash = s.file_hash LEFT JOIN ko ON ko.file_hash = s.file_hash AND ko.path = s.p WHERE NOT same),
+    looked AS (SELECT p AS path, coalesce(own_id, h_id, k_id) AS known_id, CASE WHEN own_id IS NOT NULL THEN 'unchanged' WHEN h_id IS NOT NULL THEN 'relocated' WHEN r > 1 THEN 'duplicate' WHEN k_id IS NOT NULL THEN 'modified' ELSE 'new' END AS class FROM r)
+    SELECT p AS path, k_id AS known_id, 'unchanged' AS class FROM s WHERE same UNION ALL SELECT * FROM looked
+    UNION ALL SELECT path, id, 'missing' FROM v_known WHERE path NOT IN (SELECT path FROM v_scan) AND id NOT IN (SELECT known_id FROM looked WHERE class = 'relocated')""")
+def _(v):
+    scan = v("v_scan")
+    contents = scan.select("path", F.col("id").alias("doc_id")).join(v.table("documents").select("doc_id", F.col("text").alias("content")), "doc_id").select("path", "content")
+    return S.classify_scan(scan.drop("id", "file_hash"), v("v_known"), contents=contents)
 
 
 @query("s4_stable_files", "SELECT s.path FROM v_scan s WHERE EXISTS (SELECT 1 FROM v_magazine m WHERE m.file_path = s.path AND m.file_size = s.size AND m.created_s = s.mtime)")

@@ -17,27 +17,38 @@ def file_hash(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumn("file_hash", F.sha2(F.col(content).cast("binary"), 256))
 
 
-def classify_scan(files: DataFrame, known: DataFrame, tolerance: int = 1) -> DataFrame:
+def classify_scan(files: DataFrame, known: DataFrame, tolerance: int = 1, contents: DataFrame | None = None) -> DataFrame:
     """S3. What a scan found: unchanged, relocated, duplicate, modified or new for each file, missing for each known path that is gone.
 
-    A file of the same path, size and time (less than ``tolerance`` seconds apart) is unchanged and its hash isn't looked at;
-    with a lazy hash column it isn't computed either. Of new files with one hash the first path is new, the others duplicates.
-    A known path with several rows counts with its newest one.
+    A file of the same path, size and time (less than ``tolerance`` seconds apart) is unchanged, and its content isn't read: files are
+    classified by their listing first, and only the paths that are left are joined with ``contents`` (path, content) and hashed. Where hashes are
+    at hand, ``files`` has them as ``file_hash``. Of new files with one hash the first path is new, the others duplicates. A known path
+    with several rows counts with its newest one; of several known files of one hash the one at the file's own path counts, else the
+    one with the smallest id. A document that was found elsewhere is relocated and not missing.
     """
-    by_path = known.groupBy("path").agg(F.max_by("size", "mtime").alias("k_size"), F.max("mtime").alias("k_mtime"), F.max_by("id", "mtime").alias("k_id"))
+    by_path = known.groupBy("path").agg(F.max_by(F.struct("size", "id"), F.struct("mtime", "id")).alias("k"), F.max("mtime").alias("k_mtime"))
     seen = files.join(by_path, "path", "left")
-    same = (F.col("size") == F.col("k_size")) & (F.abs(F.col("mtime") - F.col("k_mtime")) < tolerance)
-    unchanged = seen.filter(F.coalesce(same, F.lit(False))).select("path", F.col("k_id").alias("known_id"), F.lit("unchanged").alias("class"))
-    rest = seen.filter(~F.coalesce(same, F.lit(False)))
-    by_hash = known.groupBy("file_hash").agg(F.min("id").alias("h_id"), F.min("path").alias("h_path"))
-    hashed = rest.join(by_hash, "file_hash", "left").withColumn("r", F.row_number().over(Window.partitionBy("file_hash").orderBy("path")))
+    same = F.coalesce((F.col("size") == F.col("k.size")) & (F.abs(F.col("mtime") - F.col("k_mtime")) < tolerance), F.lit(False))
+    unchanged = seen.filter(same).select("path", F.col("k.id").alias("known_id"), F.lit("unchanged").alias("class"))
+    rest = seen.filter(~same)
+    if contents is not None:
+        left = rest.drop("file_hash").join(contents.select("path", "content"), "path")
+        rest = file_hash(left).drop("content")
+    rest = rest.select("path", "file_hash", "k.id")
+    # the known document of a hash: the one at the file's own path, else the least id
+    hashes = known.groupBy("file_hash").agg(F.min(F.struct("id", "path")).alias("h"))
+    here = known.groupBy("file_hash", "path").agg(F.min("id").alias("own_id"))
+    found = rest.join(hashes, "file_hash", "left").join(here, ["file_hash", "path"], "left")
+    found = found.withColumn("r", F.row_number().over(Window.partitionBy("file_hash").orderBy("path")))
     kind = (
-        F.when(F.col("h_id").isNotNull() & (F.col("h_path") == F.col("path")), "unchanged").when(F.col("h_id").isNotNull(), "relocated").when(F.col("r") > 1, "duplicate")
-        .when(F.col("k_id").isNotNull(), "modified").otherwise("new")
+        F.when(F.col("own_id").isNotNull(), "unchanged").when(F.col("h.id").isNotNull(), "relocated").when(F.col("r") > 1, "duplicate")
+        .when(F.col("id").isNotNull(), "modified").otherwise("new")
     )
-    looked = hashed.select("path", F.coalesce("h_id", "k_id").alias("known_id"), kind.alias("class"))
-    gone = known.select("path", F.col("id").alias("known_id")).join(files.select("path"), "path", "left_anti").withColumn("class", F.lit("missing"))
-    return unchanged.unionByName(looked).unionByName(gone)
+    looked = found.select("path", F.coalesce("own_id", "h.id", "id").alias("known_id"), kind.alias("class"))
+    gone = known.select("path", F.col("id").alias("known_id")).join(files.select("path"), "path", "left_anti")
+    moved = looked.filter("class = 'relocated'").select("known_id").distinct()
+    missing = gone.join(moved, "known_id", "left_anti").select("path", "known_id", F.lit("missing").alias("class"))
+    return unchanged.unionByName(looked).unionByName(missing)
 
 
 def stable_files(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -61,7 +72,7 @@ def get_or_create_dimension(names: DataFrame, dim: DataFrame, any_case: bool = F
     """S6. ``dim`` (id, name) with a row more for each unseen name; new ids follow the greatest, in the order of the names."""
     key = (lambda c: F.lower(c)) if any_case else (lambda c: c)
     unseen = names.filter("name IS NOT NULL").select("name", key(F.col("name")).alias("k")).groupBy("k").agg(F.min("name").alias("name"))
-    unseen = unseen.join(dim.select(key(F.col("name")).alias("k")), "k", "left_anti")
+    unseen = unseen.join(dim.select(key(F.col("name")).alias("k")).hint("merge"), "k", "left_anti")
     top = dim.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).withColumn("one", F.lit(1))
     new = unseen.withColumn("r", F.row_number().over(Window.orderBy("name"))).withColumn("one", F.lit(1)).join(F.broadcast(top), "one")  # names of a small dimension, one row
     return dim.select("id", "name").unionByName(new.select((F.col("top") + F.col("r")).cast(dim.schema["id"].dataType).alias("id"), "name"))
@@ -71,8 +82,17 @@ LOG = T.StructType([T.StructField(n, T.StringType()) for n in ("timestamp", "lev
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """S7. Log records of JSON-line files; lines that aren't JSON are dropped."""
-    return spark.read.schema(LOG).option("mode", "DROPMALFORMED").json(path)
+    """S7. Log records of JSON-line files, rotated ones included; lines that aren't JSON are dropped.
+
+    ``component`` is the file's name up to its first full stop, whatever a record says of itself.
+    """
+    rows = spark.read.schema(LOG).option("mode", "DROPMALFORMED").json(path).drop("component")
+    return rows.withColumn("component", log_component(F.col("_metadata.file_name"))).select(LOG.names)
+
+
+def log_component(file_name: Column) -> Column:
+    """S7. ``worker`` of ``worker.log``, ``worker.log.1`` and so on."""
+    return F.regexp_extract(file_name, r"^([^.]+)", 1)
 
 
 def latest_logs(logs: DataFrame, level: str | None = None, component: str | None = None, limit: int = 200) -> DataFrame:
@@ -96,10 +116,16 @@ def corpus_json(df: DataFrame) -> DataFrame:
 
 
 def write_corpus_json(df: DataFrame, path: str) -> None:
-    """S9. One JSON object on each line below ``path``."""
+    """S9. One JSON object on each line below ``path``, in as many files as the table has partitions."""
     corpus_json(df).write.mode("overwrite").text(path)
 
 
+def write_export_json(df: DataFrame, path: str) -> None:
+    """S9. One readable JSON document in one file below ``path``: for exports that a person sends on, of a size that a request holds."""
+    rows = df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*sorted(df.columns)))), {"pretty": "true"}).alias("value"))
+    rows.write.mode("overwrite").text(path)
+
+
 def relative_words(words: DataFrame, width: float, height: float) -> DataFrame:
     """S12. Word boxes relative to the page, without NUL characters."""
     part = lambda a, b, whole: ((F.col(b) - F.col(a)) / whole)

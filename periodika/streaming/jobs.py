@@ -50,18 +50,25 @@ def violations(requests: DataFrame, per_minute: int, tokens_a_minute: int) -> Da
     return rate_windows(requests).filter((F.col("requests") > per_minute) | (F.col("tokens") > tokens_a_minute))
 
 
+#: Seconds that an account's counters are kept: a day and two hours.
+KEPT = 26 * 3600
 _STATE = "minute long, requests int, tokens long, day string, today int, pause long"
 ADMITTED = T.StructType([T.StructField("account", T.LongType()), T.StructField("id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("admitted", T.BooleanType()), T.StructField("reason", T.StringType()), T.StructField("until", T.TimestampType())])
 
 
 class Admission(StatefulProcessor):
-    """Quotas of one account: a pause that holds, then the day, then the minute's requests, then its tokens. A refusal isn't counted."""
+    """Quotas of one account: a pause that holds, then the day, then the minute's requests, then its tokens. A refusal isn't counted.
+
+    A request of a minute before the account's last one is late: it is refused as such and changes nothing. An account's state ends when the
+    watermark is ``KEPT`` past its last minute.
+    """
 
     def __init__(self, per_minute: int, tokens_a_minute: int, per_day: int, reserve: int = 2):
         self.per_minute, self.tokens_a_minute, self.per_day = per_minute, tokens_a_minute, max(per_day - reserve, 0)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("quota", _STATE)
+        self.handle = handle
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         part = pd.concat(list(rows)).sort_values(["ts", "id"])  # what one micro-batch has of one account
@@ -71,6 +78,9 @@ class Admission(StatefulProcessor):
             at = pd.Timestamp(r.ts)
             at = at.tz_localize("UTC") if at.tzinfo is None else at.tz_convert("UTC")
             local = at.tz_convert(PACIFIC)
+            if int(at.timestamp()) // 60 < minute:
+                out.append((key[0], r.id, at.tz_localize(None), False, "late", None))
+                continue
             if int(at.timestamp()) // 60 != minute:
                 minute, requests, tokens = int(at.timestamp()) // 60, 0, 0
             if str(local.date()) != day:
@@ -88,31 +98,57 @@ class Admission(StatefulProcessor):
                 pause = int(until.timestamp())
             out.append((key[0], r.id, at.tz_localize(None), reason is None, reason, None if until is None else until.tz_localize(None)))
         self.state.update((minute, requests, tokens, day, today, pause))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((minute * 60 + KEPT) * 1000)
         frame = pd.DataFrame(out, columns=ADMITTED.names)
         frame["until"] = pd.to_datetime(frame["until"])
         yield frame
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
 def admit(requests: DataFrame, per_minute: int, tokens_a_minute: int, per_day: int) -> DataFrame:
     """ST2. Each request of a stream (account, id, ts, tokens) admitted or refused, why, and until when."""
-    return requests.groupBy("account").transformWithStateInPandas(statefulProcessor=Admission(per_minute, tokens_a_minute, per_day), outputStructType=ADMITTED, outputMode="append", timeMode="none")
+    return requests.withWatermark("ts", LATE).groupBy("account").transformWithStateInPandas(statefulProcessor=Admission(per_minute, tokens_a_minute, per_day), outputStructType=ADMITTED, outputMode="append", timeMode="eventTime")
+
+
+#: Seconds that two observations of a stable file are apart at least.
+STABLE_AFTER = 8
 
 
 def stable_file_stream(observations: DataFrame) -> DataFrame:
-    """ST3. Paths seen twice or more (path, size, mtime, ts) in ten minutes, always with one size and time."""
+    """ST3. Paths observed (path, size, mtime, ts) over ``STABLE_AFTER`` seconds or more within ten minutes, always with one size and time.
+
+    Windows overlap by half, so any two observations up to five minutes apart share one, whatever borders lie between them; a path may
+    be stable in two windows.
+    """
     seen = F.struct("size", "mtime")
-    out = observations.withWatermark("ts", LATE).groupBy(F.window("ts", "10 minutes"), "path").agg(F.min(seen).alias("lo"), F.max(seen).alias("hi"), F.count("*").alias("n"))
-    return out.filter("n >= 2 AND lo = hi").select(F.col("window.start").alias("start"), "path", F.col("lo.size").alias("size"))
+    out = observations.withWatermark("ts", LATE).groupBy(F.window("ts", "10 minutes", "5 minutes"), "path").agg(
+        F.min(seen).alias("lo"), F.max(seen).alias("hi"), (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("apart")
+    )
+    return out.filter((F.col("lo") == F.col("hi")) & (F.col("apart") >= STABLE_AFTER * 1_000_000)).select(F.col("window.start").alias("start"), "path", F.col("lo.size").alias("size"))
 
 
 def dedupe_stream(files: DataFrame) -> DataFrame:
-    """ST4. The first file of each content hash within the watermark; older ones are checked where the batch is stored."""
+    """ST4. The first file of each content hash within the watermark; older ones are taken out by ``unstored``."""
     return files.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["file_hash"])
 
 
+def unstored(batch: DataFrame, number: int, place: str, key: str = "file_hash") -> DataFrame:
+    """ST4. What of a batch no earlier batch below ``place`` holds; a batch that is run again sees the same earlier ones."""
+    first = batch.dropDuplicates([key])
+    if number == 0:
+        return first
+    earlier = batch.sparkSession.read.option("basePath", f"{place}/data").parquet(*[f"{place}/data/batch={n}" for n in range(number)])
+    return first.join(earlier.select(key).hint("merge"), key, "left_anti").select(batch.columns)
+
+
 def ingest_batch(batch: DataFrame, stored_hashes: DataFrame, subthemes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """ST5. What one batch of articles (id, title, file_hash) adds: new articles, and their keyword links.
 
@@ -161,17 +197,17 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return events.withWatermark("ts", LATE).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("events")).select(F.col("session_window.start").alias("start"), "user_id", "events")
 
 
-def run_available(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+def run_available(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, only: Callable[[DataFrame, int, str], DataFrame] | None = None) -> DataFrame:
     """Runs ``stream`` over what its source has now; the table that it wrote below ``folder``.
 
     Each batch goes to a folder of its own by number, so a batch that is run again replaces itself; in mode ``complete`` the last
-    batch is the result.
+    batch is the result. ``only`` says what of a batch is written.
     """
     place = f"{folder}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         target = "all" if mode == "complete" else f"batch={number}"
-        batch.write.mode("overwrite").parquet(f"{place}/data/{target}")
+        (only(batch, number, place) if only else batch).write.mode("overwrite").parquet(f"{place}/data/{target}")
         if each:
             each(batch, number)
 

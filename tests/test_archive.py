@@ -122,42 +122,36 @@ def test_entries_of_each_style(spark):
     assert _parse(spark, "100La rénovation") == []
 
 
-def _automaton(kinds):
-    """Entries by walking the lines: (anchor line, title lines, own title) with texts named by line."""
-    out, page, own, lines, pending = [], None, None, [], []
-
-    def flush():
-        if page is not None and lines:
-            out.append((page, " ".join(lines)))
-
-    for i, k in enumerate(kinds):
-        if k in ("blank", "label"):
-            flush()
-            page, lines, pending = None, [], []
-        elif k == "trailing":
-            flush()
-            page, lines = None, []
-            out.append((i, " ".join([*pending, f"own{i}"])))
-            pending = []
-        elif k == "leading":
-            flush()
-            page, lines, pending = i, [f"own{i}"], []
-        elif k == "bare":
-            if pending and page is None:
-                out.append((i, " ".join(pending)))
-                pending = []
-                continue
-            flush()
-            page, lines = i, []
-        elif page is not None:
-            lines = [*lines, f"txt{i}"][-3:]
-        else:
-            pending = [*pending, f"txt{i}"][-3:]
-    flush()
-    return sorted(out)
-
-
-def test_windows_equal_the_automaton(spark):
+def _by_pattern(kinds):
+    """Entries (anchor line, title) of a page by regular expressions over a string with a letter for each line's kind.
+
+    Letters: e blank, l label, t trailing, n leading (number first), b bare, x text. The page falls into stretches that begin at any of e, l, t, n.
+    """
+    line = "".join({"blank": "e", "label": "l", "trailing": "t", "leading": "n", "bare": "b", "text": "x"}[k] for k in kinds)
+    out, loose = [], {}  # loose: for each stretch's end the texts that wait for a number
+    for stretch in re.finditer(r"[eltn]?[bx]*", line):
+        at, body = stretch.start(), stretch[0]
+        # texts before a number wait for it, as long as no number stood alone or in front
+        plain = re.match(r"[elt]?(?:x+b)*x*", body)[0] if not body.startswith("n") else ""
+        waits = plain[: len(plain) - len(re.search(r"x*$", plain)[0])]
+        for m in re.finditer(r"(x+)b", plain):
+            out.append((at + m.end() - 1, range(at + m.start(1), at + m.end(1))))
+        rest = body[len(waits) :] if "b" in body[len(plain) :] or body.startswith("n") else ""
+        first = len(body) - len(rest)
+        for m in re.finditer(r"[nb](x*)", rest):
+            if rest[m.start()] == "n" or m[1]:
+                if first + m.start() >= len(plain) or body.startswith("n"):
+                    out.append((at + first + m.start(), [at + first + m.start(), *range(at + first + m.start(1), at + first + m.end(1))][0 if rest[m.start()] == "n" else 1 :]))
+        if len(plain) == len(body):
+            loose[stretch.end()] = range(at + len(waits), at + len(plain)) if waits else range(at + len(re.match(r"[elt]?", body)[0]), at + len(plain))
+    for m in re.finditer("t", line):
+        before = loose.get(m.start(), ())
+        out.append((m.start(), [*before][-3:] + [m.start()]))
+    word = lambda i: f"own{i}" if kinds[i] in ("leading", "trailing") else f"txt{i}"
+    return sorted((a, " ".join(map(word, [*t][-4:] if kinds[a] == "trailing" else [*t][-3:]))) for a, t in out)
+
+
+def test_windows_equal_patterns_over_line_kinds(spark):
     rng = random.Random(2)
     kinds = ["blank", "label", "trailing", "leading", "bare", "text", "text", "text"]
     cases = [[rng.choice(kinds) for _ in range(rng.randrange(1, 14))] for _ in range(1500)]
@@ -168,7 +162,7 @@ def test_windows_equal_the_automaton(spark):
     for r in T.parse_entries(df).collect():
         got.setdefault(r["magazine_id"], []).append((r["line_no"], r["title"].replace("Own", "own")))
         assert r["start_page"] == r["line_no"] + 1
-    assert {m: sorted(v) for m, v in got.items()} == {m: a for m, c in enumerate(cases) if (a := _automaton(c))}
+    assert {m: sorted(v) for m, v in got.items()} == {m: a for m, c in enumerate(cases) if (a := _by_pattern(c))}
 
 
 def test_headings(spark):
@@ -244,7 +238,19 @@ def test_scan_classes(spark):
     files = spark.createDataFrame([("a", "h1", 1, 100), ("b", "h9", 2, 100), ("c", "h2", 3, 100), ("d", "h3", 4, 1), ("e", "h3", 4, 1), ("f", "h4", 5, 1)], "path string, file_hash string, size long, mtime long")
     known = spark.createDataFrame([(1, "a", "h1", 1, 100), (2, "b", "h8", 2, 50), (3, "old", "h2", 3, 100), (4, "gone", "h7", 1, 1)], "id long, path string, file_hash string, size long, mtime long")
     got = {(r["path"], r["class"]) for r in S.classify_scan(files, known).collect()}
-    assert got == {("a", "unchanged"), ("b", "modified"), ("c", "relocated"), ("d", "new"), ("e", "duplicate"), ("f", "new"), ("gone", "missing"), ("old", "missing")}
+    want = {("a", "unchanged"), ("b", "modified"), ("c", "relocated"), ("d", "new"), ("e", "duplicate"), ("f", "new"), ("gone", "missing")}
+    assert got == want
+    contents = files.select("path", F.col("file_hash").alias("content"))
+    hashed = known.withColumn("file_hash", F.sha2(F.col("file_hash").cast("binary"), 256))
+    out = S.classify_scan(files.drop("file_hash"), hashed, contents=contents)
+    assert {(r["path"], r["class"]) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # content is hashed above the join that follows the filter of what has changed
+    below = plan[plan.index("sha2(") :]
+    assert below.index("Join") < below.index("NOT coalesce") if "NOT coalesce" in below else "Filter" in below
+    twice = spark.createDataFrame([(1, "x", "h", 1, 1), (2, "a", "h", 1, 1)], known.schema)
+    own = spark.createDataFrame([("a", "h", 9, 9)], files.schema)
+    assert [tuple(r) for r in S.classify_scan(own, twice).filter("class <> 'missing'").collect()] == [("a", 2, "unchanged")]
 
 
 def test_files_logs_and_exports(spark, tmp_path):
@@ -254,8 +260,12 @@ def test_files_logs_and_exports(spark, tmp_path):
     rows = S.file_hash(S.scan_files(spark, str(tmp_path))).select("path", "length", "file_hash").collect()
     assert len(rows) == 1 and rows[0]["file_hash"].startswith("ba7816bf")
     (tmp_path / "w.log").write_text('{"timestamp": "2024-01-01T10:00:00+02:00", "level": "ERROR", "message": "late"}\nnot json\n{"timestamp": "2024-01-01T09:00:00", "level": "ERROR", "message": "later"}\n{"timestamp": "?", "level": "ERROR", "message": "last"}\n')
-    logs = S.latest_logs(S.read_logs(spark, str(tmp_path / "*.log")), "error").collect()
-    assert [r["message"] for r in logs] == ["later", "late", "last"]
+    (tmp_path / "api.log.1").write_text('{"timestamp": "2024-01-01T11:00:00", "level": "ERROR", "message": "other", "component": "worker"}\n')
+    read = S.read_logs(spark, str(tmp_path / "*.log*"))
+    assert [r["message"] for r in S.latest_logs(read, "error", "w").collect()] == ["later", "late", "last"]
+    assert [r["message"] for r in S.latest_logs(read, "error", "api").collect()] == ["other"]
+    S.write_export_json(spark.range(2), str(tmp_path / "export"))
+    assert [r["id"] for r in spark.read.option("multiLine", "true").json(str(tmp_path / "export")).orderBy("id").collect()] == [0, 1]
     S.write_corpus_json(spark.range(3), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 3
 
@@ -267,6 +277,29 @@ def test_taxonomy_files_are_checked(spark):
     assert sorted(r["reason"] for r in bad.collect()) == ["no keyword", "no list of themes", "no list of themes"]
 
 
+def test_malformed_elements_lose_nothing_else(spark):
+    doc = '{"thematiques": ["stray", 3, {"nom": "Énergie", "sous_thematiques": ["x", {"nom": "é", "mots_cles": ["a", {}, null]}]}, {"sous_thematiques": 4}]}'
+    good, bad = K.parse_taxonomy(spark.createDataFrame([(doc,)], "value string"))
+    assert [(r["theme"], r["subtheme"], r["keywords"][0]) for r in good.collect()] == [("Énergie", "é", "a")]
+    assert sorted(r["reason"] for r in bad.collect()) == ["subtheme without name", "theme without name", "theme without name", "theme without name"]
+    themes = spark.createDataFrame([(1, "T")], "id int, name string")
+    subthemes = spark.createDataFrame([(5, 1, "Energie", ["x"])], "id int, theme_id int, name string, keywords array<string>")
+    batch = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "batch_id long, article_id long")
+    answer = '["stray", {"article_id": 1, "sous_thematique_id": 5}, {"article_id": "no"}, {"article_id": 2, "nouvelle": {"thematique": " t ", "nom": "ÉNERGIE "}}, {"article_id": 3, "nouvelle": {"thematique": "T", "nom": "Neuf", "mots_cles": ["Vent", "le"]}}]'
+    links, created = K.apply_labels(batch, spark.createDataFrame([(0, answer), (1, "no json")], "batch_id long, answer string"), themes, subthemes, spark.createDataFrame([(1, "x")], "id long, title string"))
+    assert sorted((r["article_id"], r["subtheme_id"], r["new_key"]) for r in links.collect()) == [(1, 5, None), (2, 5, None), (3, None, "neuf")]
+    assert [(r["name"], r["keywords"]) for r in created.collect()] == [("Neuf", ["vent"])]
+
+
+def test_accents_in_queries_and_snippets(spark):
+    docs = spark.createDataFrame([("p1", 1, "la crème_brûlée", "t"), ("p2", 1, "creme", "t"), ("p3", 2, "rien", "t")], "page_id string, magazine_id long, raw_text string, magazine_title string")
+    index = R.build_inverted_index(docs)
+    found = lambda q: sorted(r["page_id"] for r in R.match_pages(index, q).collect())
+    assert found("crème") == found("CREME") == ["p1", "p2"] and found('"creme brulee"') == found("crème_brûlée") == ["p1"]
+    text = " ".join(f"mot{i}" for i in range(100)) + " été fini"
+    assert one(spark, [text], X.snippet(F.col("v"), ["hiver", "ÉTÉ"], 4)) == ["mot98 mot99 été fini"]
+
+
 def test_phrases_prefixes_and_typos(spark):
     docs = spark.createDataFrame([("p1", 1, "the red ring of fire", "t"), ("p2", 1, "ring the red", "t"), ("p3", 2, "rings are redder", "t")], "page_id string, magazine_id long, raw_text string, magazine_title string")
     index = R.build_inverted_index(docs)
@@ -297,6 +330,29 @@ def test_admission(spark, tmp_path):
     assert [out[20 + i]["admitted"] for i in range(12)] == [True] * 10 + [False, False] and out[30]["reason"] == "day" and str(out[30]["until"]) == "2026-01-16 08:00:00" and out[40]["admitted"]
 
 
+def test_late_requests_are_refused(spark, tmp_path):
+    import pandas as pd
+
+    at = pd.Timestamp("2026-01-15 10:00:00")
+    rows = [(1, 1, at + pd.Timedelta(seconds=61), 1), (1, 2, at + pd.Timedelta(seconds=62), 1)]
+    later = [(1, 3, at + pd.Timedelta(seconds=59), 1), (1, 4, at + pd.Timedelta(seconds=63), 1)]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for i, part in enumerate((rows, later)):
+        spark.createDataFrame(pd.DataFrame(part, columns=["account", "id", "ts", "tokens"])).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{i}"))
+    stream = spark.readStream.schema("account long, id long, ts timestamp, tokens long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+    out = {r["id"]: (r["admitted"], r["reason"]) for r in J.run_available(spark, J.admit(stream, 2, 100, 12), f"file://{tmp_path}/out").collect()}
+    assert out == {1: (True, None), 2: (True, None), 3: (False, "late"), 4: (False, "minute")}
+
+
+def test_hashes_of_earlier_batches_stay_out(spark, tmp_path):
+    for day, hashes in (("01", ["a", "b"]), ("02", ["b", "c"]), ("03", ["a"])):
+        df = spark.createDataFrame([(h,) for h in hashes], "file_hash string").withColumn("ts", F.lit(f"2026-01-{day} 00:00:00").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{day}"))
+    stream = spark.readStream.schema("file_hash string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+    out = J.run_available(spark, J.dedupe_stream(stream), f"file://{tmp_path}/out", only=J.unstored)
+    assert sorted(r["file_hash"] for r in out.collect()) == ["a", "b", "c"]
+
+
 def test_a_batch_run_again_changes_nothing(spark):
     batch = spark.createDataFrame([(1, "red ring", "h1"), (2, "red ring", "h1"), (3, "blue", "h2")], "id long, title string, file_hash string")
     sub = spark.createDataFrame([(1, ["ring"])], "id int, keywords array<string>")
