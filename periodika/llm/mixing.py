@@ -79,7 +79,7 @@ def lexical(words: tv.Words, odds: np.ndarray) -> np.ndarray:
     most = np.zeros(len(words.counts))
     if len(w):
         most[full] = np.maximum.reduceat(w, words.at[:-1][full])
-    strong = tv.sums_by_text((w > 3).astype(np.int64), words.at)
+    strong = tv.sums_by_text(w > 3, words.at)
     return np.stack([most, strong, strong / np.maximum(words.counts, 1)], axis=1)
 
 

@@ -71,12 +71,12 @@ def features(column: pa.Array) -> np.ndarray:
     if len(long):
         longest[full] = np.maximum.reduceat(long, words.at[:-1][full])
     out = [
-        np.log1p(size), np.log1p(words.counts), tv.sums_by_text(long, words.at) / some, tv.sums_by_text((long > 12).astype(np.int64), words.at) / some,
-        tv.sums_by_text((long < 4).astype(np.int64), words.at) / some, distinct(words.hash, owner) / some,
+        np.log1p(size), np.log1p(words.counts), tv.sums_by_text(long, words.at) / some, tv.sums_by_text(long > 12, words.at) / some,
+        tv.sums_by_text(long < 4, words.at) / some, distinct(words.hash, owner) / some,
         distinct(tv.span_hash(sums, lines_from, lines_to), line_owner) / np.maximum(lines, 1), words.counts / np.maximum(lines, 1),
         1 - distinct(window, owner[at]) / np.maximum(windows, 1), longest,
     ]
-    out += [tv.sums_by_text(member[data].astype(np.int64), offsets) / np.maximum(size, 1) for member in _CLASSES.values()]
+    out += [tv.sums_by_text(member[data], offsets) / np.maximum(size, 1) for member in _CLASSES.values()]
     return np.stack(out, axis=1).astype(np.float64)
 
 

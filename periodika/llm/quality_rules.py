@@ -37,8 +37,8 @@ def statistics(column: pa.Array) -> list[pa.Array]:
     sums, in_word = tv.prefix(data), ~tv.BLANK[data]
     words = tv.Words(data, offsets, in_word, sums)
     doc_of_word = np.repeat(np.arange(n), words.counts)
-    chars = tv.sums_by_text((in_word & ((data & 0xC0) != 0x80)).astype(np.int64), offsets)
-    symbols = tv.sums_by_text(_SYMBOL[data].astype(np.int64), offsets)
+    chars = tv.sums_by_text(in_word & ((data & 0xC0) != 0x80), offsets)
+    symbols = tv.sums_by_text(_SYMBOL[data], offsets)
 
     lines_from, lines_to = tv.runs(data != 10, offsets)
     first_word = np.searchsorted(words.starts, lines_from)

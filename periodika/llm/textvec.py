@@ -17,7 +17,9 @@ _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PRIME, _ROOT = (1 << 31) - 1, 1_220_703_125
-_POW: dict[str, np.ndarray] = {name: np.ones(1, U) for name in ("up", "down", "prime up", "prime down")}
+#: Powers are kept for one block of bytes; those beyond are a product with the block's own, so what a worker keeps doesn't grow with texts.
+BLOCK_BITS = 15
+BLOCK = 1 << BLOCK_BITS
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -42,20 +44,22 @@ def _folded(x: np.ndarray) -> np.ndarray:
     return (x & U(_PRIME)) + (x >> U(31))
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base, of its inverse, and of the root and its inverse modulo the prime."""
-    if len(_POW["up"]) < n:
-        size = max(n, 1 << 20)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, U)
-            steps[0] = 1
-            _POW[name] = np.multiply.accumulate(steps)
-        for name, base in (("prime up", _ROOT), ("prime down", pow(_ROOT, -1, _PRIME))):
-            got = np.ones(1, U)
-            while len(got) < size:  # doubling: the second half is the first times base^len
-                got = np.concatenate([got, _folded(got * U(pow(base, len(got), _PRIME)))])
-            _POW[name] = got[:size]
-    return [_POW[name][:n] for name in _POW]
+def _steps(base: int, modulus: int, n: int) -> np.ndarray:
+    """base^0 to base^(n - 1)."""
+    out = [1]
+    for _ in range(n - 1):
+        out.append(out[-1] * base % modulus)
+    return np.array(out, U)
+
+
+def _far(base: int, modulus: int, n: int) -> np.ndarray:
+    """Powers of the base by whole blocks: of 0, BLOCK, 2 BLOCK and so on below n."""
+    return _steps(pow(base, BLOCK, modulus), modulus, (n >> BLOCK_BITS) + 1)
+
+
+_INVERSE, _PRIME_INVERSE = pow(_BASE, -1, 1 << 64), pow(_ROOT, -1, _PRIME)
+_UP, _DOWN = _steps(_BASE, 1 << 64, BLOCK), _steps(_INVERSE, 1 << 64, BLOCK)
+_PRIME_UP, _PRIME_DOWN = _steps(_ROOT, _PRIME, BLOCK), _steps(_PRIME_INVERSE, _PRIME, BLOCK)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,19 +76,27 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums from which ``span_hash`` takes the hash of any run of bytes."""
-    up, _, prime_up, _ = _powers(len(data))
-    values = _BYTE[data]
-    out = np.zeros((2, len(data) + 1), U)
-    np.cumsum(values * up, out=out[0, 1:])
-    np.cumsum(_folded((values >> U(34)) * prime_up), out=out[1, 1:])
-    return out[0], out[1]
+    one, two = np.zeros(len(data) + 1, U), np.zeros(len(data) + 1, U)
+    far, prime_far = _far(_BASE, 1 << 64, len(data)), _far(_ROOT, _PRIME, len(data))
+    for i, begin in enumerate(range(0, len(data), BLOCK)):
+        values = _BYTE[data[begin : begin + BLOCK]]
+        n = len(values)
+        own, prime_own = one[begin + 1 : begin + n + 1], two[begin + 1 : begin + n + 1]
+        np.cumsum(values * _UP[:n], out=own)
+        own *= far[i]
+        own += one[begin]
+        np.cumsum(_folded((values >> U(34)) * _folded(_PRIME_UP[:n] * prime_far[i])), out=prime_own)
+        prime_own += two[begin]
+    return one, two
 
 
 def span_hash(sums: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     one, two = sums
-    _, down, _, prime_down = _powers(len(one))
-    first = (one[ends] - one[starts]) * down[starts] + (ends - starts).astype(U) * U(_BASE)
-    second = _folded(_folded(two[ends] - two[starts]) * prime_down[starts])
+    block, place = starts >> BLOCK_BITS, starts & (BLOCK - 1)
+    down = _DOWN[place] * _far(_INVERSE, 1 << 64, len(one))[block]
+    prime_down = _folded(_PRIME_DOWN[place] * _far(_PRIME_INVERSE, _PRIME, len(one))[block])
+    first = (one[ends] - one[starts]) * down + (ends - starts).astype(U) * U(_BASE)
+    second = _folded(_folded(two[ends] - two[starts]) * prime_down)
     second[second >= U(_PRIME)] -= U(_PRIME)
     return mix(first ^ mix(second + U(0x632BE59BD9B4E019)))
 
@@ -131,7 +143,8 @@ class Words:
 
 
 def sums_by_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Sum of values[at[i]:at[i + 1]] for each i."""
-    total = np.zeros(len(values) + 1, np.int64)
-    np.cumsum(values, out=total[1:])
-    return total[at[1:]] - total[at[:-1]]
+    """Sum of values[at[i]:at[i + 1]] (numbers or truth values) for each i."""
+    out, full = np.zeros(len(at) - 1, np.int64), at[1:] > at[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(values[: at[-1]], at[:-1][full], dtype=np.int64)
+    return out

@@ -7,6 +7,7 @@ import random
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ import brute
 
 from periodika.llm import decontaminate as dc
 from periodika.llm import components, language_id, license_scan, mixing, near_dedup, quality_classifier, quality_rules, queries, secret_scan, url_filter, warc
+from periodika.llm import textvec as tv
 from periodika.llm.common import one_label, table
 
 HEX = hashlib.sha256(b"x").hexdigest()
@@ -177,6 +179,26 @@ def test_hashes_of_structured_strings_differ():
     assert words.hash[0] == words.hash[2] != words.hash[1]
 
 
+def test_hashes_do_not_depend_on_the_place_in_a_long_text():
+    rng = np.random.default_rng(5)
+    for size in (tv.BLOCK - 1, tv.BLOCK, tv.BLOCK + 1, 7 * tv.BLOCK + 3):
+        data = rng.integers(97, 123, size).astype(np.uint8)
+        span = data[: min(size // 2, tv.BLOCK + 50)]
+        at = np.array([0, size // 2])
+        data[size // 2 : size // 2 + len(span)] = span
+        one, two = tv.span_hash(tv.prefix(data), at, at + len(span))
+        assert one == two == tv.span_hash(tv.prefix(span), np.array([0]), np.array([len(span)]))[0]
+        assert one != tv.span_hash(tv.prefix(data), at[:1], at[:1] + len(span) - 1)[0]
+
+
+def test_sums_by_text_with_empty_texts():
+    at = np.array([0, 0, 3, 3, 3, 5, 5])
+    assert tv.sums_by_text(np.array([1, 2, 3, 4, 5]), at).tolist() == [0, 6, 0, 0, 9, 0]
+    assert tv.sums_by_text(np.array([True, False, True, True, True]), at).tolist() == [0, 2, 0, 0, 2, 0]
+    assert tv.sums_by_text(np.zeros(0, bool), np.array([0, 0])).tolist() == [0]
+    assert tv.sums_by_text(np.zeros(0, bool), np.array([0])).tolist() == []
+
+
 def test_sketches_estimate_similarity_and_fill_every_bin():
     import numpy as np
 
