@@ -89,3 +89,55 @@ def op8_sql() -> str:
 
 
 ORACLES["op8_url_filter"] = op8_sql()
+
+OP11 = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+pos AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+neg AS (SELECT pos.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score FROM pos JOIN s USING (anchor_id)
+  WHERE s.label <> pos.own AND 100 * s.score BETWEEN 30 * positive_score AND 90 * positive_score),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS INTEGER) AS rank FROM neg)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 10
+"""
+
+
+def op13_sql(levels: int = 7, top_levels: int = 4) -> str:
+    """The tree level by level: 8^levels documents of a language, 8^top_levels languages."""
+
+    def spelt(*values: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(CAST(strlen(CAST({v} AS VARCHAR)) AS VARCHAR) || ':' || CAST({v} AS VARCHAR), '-')" for v in values) + ")"
+
+    lowered = "CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+    views = [
+        """k AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 0 AS step, CAST(4294967295 AS BIGINT) AS crc FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+UNION ALL SELECT doc_id, s, step + 1, CASE WHEN step % 9 = 0 THEN xor(crc, CAST(ascii(s[step // 9 + 1]) AS BIGINT)) ELSE xor(crc >> 1, CAST(3988292384 AS BIGINT) * (crc & 1)) END FROM k WHERE step < 9 * len(s))""",
+        "c AS (SELECT doc_id, xor(crc, CAST(4294967295 AS BIGINT)) AS crc FROM k WHERE step = 9 * len(s))",
+        f"d AS (SELECT documents.doc_id, lang, {spelt('documents.doc_id', 'source', 'lang', 'n_chars', 'text')} AS leaf, {spelt('documents.doc_id', 'source', 'lang', 'n_chars', lowered)} AS presented FROM documents LEFT JOIN c USING (doc_id))",
+        "n AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d)",
+        "t0 AS (SELECT lang, pos, n, leaf AS h FROM n)",
+        "x0 AS (SELECT doc_id, lang, leaf, pos, n, presented AS fold, '' AS proof FROM n)",
+    ]
+
+    def level(t: str, x: str, i: int, group: str, carried: str) -> None:
+        same = f"r.{group} IS NOT DISTINCT FROM x.{group} AND r.run = x.pos // 8 AND x.n > 1"
+        left, right = "coalesce(array_to_string(r.hs[1 : x.pos % 8], ''), '')", "coalesce(array_to_string(r.hs[x.pos % 8 + 2 :], ''), '')"
+        views.append(f"{t}r{i} AS MATERIALIZED (SELECT {group}, pos // 8 AS run, any_value(n) AS n, list(h ORDER BY pos) AS hs FROM {t}{i} WHERE n > 1 GROUP BY {group}, pos // 8)")
+        views.append(f"{t}{i + 1} AS (SELECT {group}, run AS pos, (n + 7) // 8 AS n, sha256(array_to_string(hs, '')) AS h FROM {t}r{i} UNION ALL SELECT * FROM {t}{i} WHERE n <= 1)")
+        views.append(
+            f"{x}{i + 1} AS MATERIALIZED (SELECT {carried}, x.pos // 8 AS pos, (x.n + 7) // 8 AS n, CASE WHEN x.n > 1 THEN sha256({left} || x.fold || {right}) ELSE x.fold END AS fold, x.proof || {left} || {right} AS proof "
+            f"FROM {x}{i} x LEFT JOIN {t}r{i} r ON {same})"
+        )
+
+    for i in range(levels):
+        level("t", "x", i, "lang", "x.doc_id, x.lang, x.leaf")
+    views.append(f"u0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, h, lang FROM t{levels})")
+    views.append("v0 AS (SELECT g, pos, n, h FROM u0)")
+    views.append(f"y0 AS (SELECT x.doc_id, x.leaf, u0.h AS subroot, 0 AS g, u0.pos, u0.n, x.fold, x.proof FROM x{levels} x JOIN u0 ON u0.lang IS NOT DISTINCT FROM x.lang)")
+    for i in range(top_levels):
+        level("v", "y", i, "g", "x.doc_id, x.leaf, x.subroot, x.g")
+    root = f"(SELECT h FROM v{top_levels})"
+    return "WITH RECURSIVE " + ",\n".join(views) + f"\nSELECT doc_id, leaf, subroot, {root} AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = {root} AS verified FROM y{top_levels}"
+
+
+ORACLES |= {"op11_hard_negatives": OP11, "op13_merkle_manifest": op13_sql()}
