@@ -1,8 +1,8 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams against all windows of every text.
 
 Words are ASCII-lower-cased runs of digits, letters a-z and characters beyond ASCII. The windows of an item are its runs
-of 13 words (an item with fewer words is one window). Up to ``BLOCK_WINDOWS`` windows, counted after they were written out, the set is
-broadcast whole, and a window whose hash hits is compared word by word before it counts. Beyond that, what is broadcast is
+of 13 words (an item with fewer words is one window). Up to ``BLOCK_WINDOWS`` windows and ``BLOCK_BYTES``, counted after they were written
+out, the set is broadcast whole as flat arrays sorted by hash, and a window whose hash hits is compared word by word before it counts. Beyond that, what is broadcast is
 a Bloom filter of the hashes with ``FILTER_BITS`` bits, whatever the number of windows; document windows that pass it are written out and
 joined with the table of windows on hash and words, which compares them word by word as well. Either way a task's memory has a bound
 that the benchmark doesn't move.
@@ -27,8 +27,8 @@ from . import textvec as tv
 from .common import Saved, with_text_columns
 
 WINDOW = 13
-#: About 150 bytes each in a task: 60 MB.
-BLOCK_WINDOWS = 400_000
+#: Windows that are broadcast, and their bytes: words, item ids and 20 bytes more for each.
+BLOCK_WINDOWS, BLOCK_BYTES = 400_000, 60 << 20
 #: 4 MB; a larger benchmark lets more windows through to the join.
 FILTER_BITS = 1 << 25
 
@@ -75,20 +75,43 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
     return with_text_columns(items, ["item"], compute, _ITEM_FIELDS).select("item", F.inline("windows")).distinct()
 
 
-def _scan(column: pa.Array, block: dict, keys: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[set]]:
+class WindowSet:
+    """Windows by number of words and hash, as flat arrays: a row for each window and item, sorted by hash."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by([("n", "ascending"), ("key", "ascending")])
+        self.n, self.key = (rows.column(c).to_numpy() for c in ("n", "key"))
+        self.words, self.item = (rows.column(c).combine_chunks() for c in ("words", "item"))
+        self.spans = {int(n): (int(np.searchsorted(self.n, n)), int(np.searchsorted(self.n, n, side="right"))) for n in np.unique(self.n)}
+
+    def meeting(self, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the ``keys`` are there, and the first row of each."""
+        begin, end = self.spans[n]
+        known = self.key[begin:end]
+        near = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        found = np.flatnonzero(known[near] == keys)
+        return found, near[found] + begin
+
+    def items(self, row: int, n: int, spelt: bytes) -> list[str]:
+        """Items of the rows from ``row`` on with that row's hash whose words are ``spelt``."""
+        out, key, end = [], self.key[row], self.spans[n][1]
+        while row < end and self.key[row] == key:
+            if self.words[row].as_py() == spelt:
+                out.append(self.item[row].as_py())
+            row += 1
+        return out
+
+
+def _scan(column: pa.Array, known: WindowSet) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set]]:
     """Words of each text, and its hit word positions and items."""
     text, words = _words(column)
     docs = len(words.counts)
     hit, items = np.zeros(len(words.hash) + 1, np.int32), [set() for _ in range(docs)]
-    for n, known in keys.items():
+    for n in known.spans:
         at, window = words.windows(n)
-        if not len(at):
-            continue
-        near = np.minimum(np.searchsorted(known, window), len(known) - 1)
-        found = np.flatnonzero(known[near] == window)
-        for i in found:
+        for i, row in zip(*known.meeting(n, window.view(np.int64)), strict=True):
             first = int(at[i])
-            got = block[n, int(window[i])].get(_spelt(text, words, first, n))
+            got = known.items(int(row), n, _spelt(text, words, first, n))
             if got:
                 hit[first : first + n] = 1
                 items[int(np.searchsorted(words.at, first, side="right")) - 1].update(got)
@@ -97,14 +120,10 @@ def _scan(column: pa.Array, block: dict, keys: dict[int, np.ndarray]) -> tuple[n
 
 def _whole_set(docs: DataFrame, windows: Saved, keep: list[str], text: str) -> DataFrame:
     """``keep`` with n_words, __hits and __items, by a broadcast of all ``windows``."""
-    block: dict = {}
-    for r in windows.df.collect():  # BLOCK_WINDOWS rows at most
-        block.setdefault((r["n"], r["key"] & (2**64 - 1)), {}).setdefault(bytes(r["words"]), set()).add(r["item"])
-    keys = {size: np.sort(np.array([k for m, k in block if m == size], tv.U)) for size in {m for m, _ in block}}
-    shipped = docs.sparkSession.sparkContext.broadcast((block, keys))
+    shipped = docs.sparkSession.sparkContext.broadcast(WindowSet(windows.df.toArrow()))  # counted: within BLOCK_WINDOWS and BLOCK_BYTES
 
     def compute(column: pa.Array) -> list[pa.Array]:
-        counts, at, hit, items = _scan(column, *shipped.value)
+        counts, at, hit, items = _scan(column, shipped.value)
         hits = [np.flatnonzero(hit[at[i] : at[i + 1]]) for i in range(len(counts))]
         flat = np.concatenate(hits).astype(np.int32) if hits else np.zeros(0, np.int32)
         listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, hits)]), pa.int32()), pa.array(flat))
@@ -171,7 +190,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], text:
     """
     keep = [c for c in keep if c not in _COLUMNS]
     windows = Saved(benchmark_windows(benchmark, item, "text", n), "windows")
-    found = (_whole_set if windows.count() <= block_windows else _by_join)(docs, windows, keep, text)
+    count, size = windows.df.agg(F.count("*"), F.coalesce(F.sum(F.length("words") + F.octet_length("item") + 20), F.lit(0))).first()
+    found = (_whole_set if count <= block_windows and size <= BLOCK_BYTES else _by_join)(docs, windows, keep, text)
     n_hit = F.size("__hits").cast("long")
     return found.select(
         *keep, "n_words", n_hit.alias("n_hit"), F.col("__hits").alias("hits"), F.col("__items").alias("items"),

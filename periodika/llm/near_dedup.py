@@ -20,7 +20,9 @@ Every comparison is exact, over the full sets of 64-bit shingle hashes.
 
 Defined results: a text without words, or null, has an empty set, size 0, and is its own component; so is a row without
 id, whose component is null and which is kept. Repeated rows have one component; the smallest id's rows are all ``kept``
-(``deduplicate`` leaves one of them). An empty table gives an empty result.
+(``deduplicate`` leaves one of them). Ids can be of any type with an order, negative numbers and strings too. Ties (a key's sets that share
+equally much) go to the smaller id, which moves work only. Very long texts are read whole. Further columns are ignored. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -244,8 +246,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
 
     # stars: each key's members against the one that shares most
     hubs = able.df.groupBy("key").agg(
-        F.max(F.struct((F.col("s") / F.col("n")).alias("share"), (-F.col("id")).alias("last"), F.col("n").alias("n"), F.col("s").alias("s"))).alias("hub"), F.count("*").alias("c")
-    ).filter("c > 1").select("key", (-F.col("hub.last")).alias("a"), F.col("hub.n").alias("hub_n"), F.col("hub.s").alias("hub_s"))
+        F.min(F.struct((-F.col("s") / F.col("n")).alias("share"), "id", "n", "s")).alias("hub"), F.count("*").alias("c")
+    ).filter("c > 1").select("key", F.col("hub.id").alias("a"), F.col("hub.n").alias("hub_n"), F.col("hub.s").alias("hub_s"))
     stars = able.df.join(hubs.hint("merge"), "key").filter((F.col("id") != F.col("a")) & _may_link(F.col("n"), F.col("s"), F.col("hub_n"), F.col("hub_s"), percent))
     stars = Saved(stars.select("a", F.col("id").alias("b")).distinct(), "stars")
     links = Saved(_verified(stars.df, sets.df, percent), "verified")
@@ -279,39 +281,23 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
     Of rows with one id and equal texts the least by all columns' hash stays. Rows with one id and different texts are different
     documents: each is grouped by its own text, so none goes because another row of its id is a copy.
     """
-    source = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL")
-    doubles = Saved(source.groupBy("id").agg(F.count_distinct(F.xxhash64(F.coalesce("text", F.lit("")))).alias("n")).filter("n > 1").select("id"), "doubles")
-    n_doubles = doubles.count()
-    plain = docs if not n_doubles else docs.join(sized(doubles.df.withColumnRenamed("id", id), n_doubles), id, "left_anti").select(docs.columns)
-    if n_doubles:
-        # every text of such an id by itself: its vertex is a number of its own, below 0
-        odd = docs.join(sized(doubles.df.withColumnRenamed("id", id), n_doubles), id, "left_semi").select(docs.columns)
-        texts = Saved(odd.select(F.col(id).alias("own"), F.col(text).alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t")).dropDuplicates(["own", "t"]).withColumn("v", -1 - F.monotonically_increasing_id()), "texts")
-        every = plain.select(F.col(id).cast("long").alias("v"), F.col(text).alias("text")).unionByName(texts.df.select("v", "text"))
-    else:
-        every = docs.select(F.col(id).alias("v"), F.col(text).alias("text"))
-    found = Saved(near_duplicates(every, "v", "text", k, percent).filter(F.col("v").isNotNull()).select("v", "component_id", "kept"), "near")
-    if n_doubles:
-        # components are named by their least vertex; the least document id among their members is what stays
-        named = found.df.distinct().join(texts.df.select("v", "own", "t").hint("merge"), "v", "left").withColumn("own", F.coalesce("own", "v"))
-        least = named.groupBy("component_id").agg(F.min(F.struct("own", "v")).alias("least"))
-        judged = Saved(named.join(least.hint("merge"), "component_id").select("v", "own", "t", (F.col("v") == F.col("least.v")).alias("kept")), "judged")
-        out_of = judged.df.filter("NOT kept")
-    else:
-        judged, out_of = None, found.df.filter("NOT kept").select("v", F.col("v").alias("own"), F.lit(None).cast("long").alias("t"))
-    gone = Saved(out_of.filter("t IS NULL").select(F.col("own").alias(id)).distinct(), "gone")
-    left = plain.join(sized(gone.df, gone.count()), id, "left_anti").select(docs.columns)
-    repeated = Saved(left.filter(F.col(id).isNotNull()).groupBy(id).agg(F.count("*").alias("c")).filter("c > 1").select(id), "repeated")
+    print_ = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    texts = docs.filter(F.col(id).isNotNull()).groupBy(id).agg(F.min(print_).alias("lo"), F.max(print_).alias("hi")).filter("lo <> hi")
+    several = bool(texts.limit(1).count())
+    # a vertex is an id, or an id and a text where some ids have several; the least one is in either case one of the least id
+    by = [id, "__print"] if several else [id]
+    rows = docs.withColumn("__print", print_) if several else docs
+    vertex = F.when(F.col(id).isNotNull(), F.struct(F.col(id).alias("id"), F.col("__print").alias("print"))) if several else F.col(id)
+    found = near_duplicates(rows.select(vertex.alias("v"), F.col(text).alias("text")), "v", "text", k, percent).filter("v IS NOT NULL AND NOT kept")
+    gone = Saved(found.select(*((F.col("v.id").alias(id), F.col("v.print").alias("__print")) if several else (F.col("v").alias(id),))).distinct(), "gone")
+    left = rows.join(sized(gone.df, gone.count()), by, "left_anti").select(rows.columns)
+    repeated = Saved(left.filter(F.col(id).isNotNull()).groupBy(*by).agg(F.count("*").alias("c")).filter("c > 1").select(*by), "repeated")
     n_repeated = repeated.count()
     if n_repeated:
         again = sized(repeated.df, n_repeated)
-        once = left.join(again, id, "left_semi").select(docs.columns)
-        left = left.join(again, id, "left_anti").select(docs.columns).unionByName(_once(once, [id]))
-    if n_doubles:
-        kept = judged.df.filter("kept AND t IS NOT NULL").select(F.col("own").alias(id), F.col("t").alias("__t"))
-        odd = odd.withColumn("__t", F.xxhash64(F.coalesce(text, F.lit("")))).join(kept.hint("merge"), [id, "__t"], "left_semi")
-        left = left.unionByName(_once(odd, [id, "__t"]).select(docs.columns))
-    return left
+        once = left.join(again, by, "left_semi").select(rows.columns)
+        left = left.join(again, by, "left_anti").select(rows.columns).unionByName(_once(once, by))
+    return left.select(docs.columns)
 
 
 def _once(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -310,3 +310,49 @@ def test_manifest_of_nothing_and_of_one(spark):
     assert merkle.manifest(spark.createDataFrame([], schema), "doc_id", "lang", names).count() == 0
     r = merkle.manifest(spark.createDataFrame([(1, None, None, 3, "abc")], schema), "doc_id", "lang", names).first()
     assert r["leaf"] == r["subroot"] == r["root"] == r["folded_root"] == h("1:1", "-", "-", "1:3", "3:abc") and r["proof_sha256"] == h() and r["verified"]
+
+
+# What other operators have in common with these
+
+
+@pytest.mark.parametrize("first", [-1, 1])
+def test_an_id_of_several_texts_never_meets_another_id(spark, first):
+    """A copy under the smallest id goes, and of an id with two texts that nobody else has both stay, below 0 as well."""
+    from periodika.llm import near_dedup
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(first, a), (3, a), (5, b), (5, c), (5, c), (None, a), (None, a), (-9, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash"))
+    got = sorted(((r["doc_id"], r["text"][0]) for r in near_dedup.deduplicate(df).collect()), key=str)
+    assert got == sorted([(first, "a"), (5, "c"), (None, "a"), (None, "a"), (-9, "b")], key=str)
+    assert near_dedup.deduplicate(df.limit(0)).count() == 0
+    named = spark.createDataFrame([(f"k{i}", t) for i, t in rows[:5]], "doc_id string, text string")
+    assert {(r["doc_id"], r["text"][0]) for r in near_dedup.deduplicate(named).collect()} == {(min(f"k{first}", "k3"), "a"), ("k5", "b"), ("k5", "c")}
+
+
+def test_a_broadcast_set_of_windows_has_its_stated_size(spark):
+    """400 000 windows of 13 words take less than ``BLOCK_BYTES`` and little more in a process; more bytes than that go by the join."""
+    import pyarrow as pa
+
+    from periodika.llm import decontaminate as dc
+
+    n = 400_000
+    words = pa.array([b" ".join(b"w%05d" % (i * 7 % 99_991) for _ in range(13)) for i in range(n)], pa.binary())
+    rows = pa.table({"item": [f"item-{i // 100}" for i in range(n)], "n": pa.array([13] * n, pa.int32()), "key": np.random.default_rng(1).integers(-(2**63), 2**63, n), "words": words})
+    known = dc.WindowSet(rows)
+    held = known.n.nbytes + known.key.nbytes + known.words.nbytes + known.item.nbytes
+    assert held < 1.1 * dc.BLOCK_BYTES
+    found, at = known.meeting(13, np.array([known.key[77], 5]))
+    assert found.tolist() == [0] and known.items(int(at[0]), 13, known.words[77].as_py()) == [known.item[77].as_py()] and known.items(int(at[0]), 13, b"other") == []
+
+
+def test_windows_of_many_bytes_go_by_the_join(spark, monkeypatch):
+    from periodika.llm import decontaminate as dc
+
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five six"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "one two"), (2, "two three"), (3, "one two")], "item_id long, text string")
+    plain = sorted(tuple(r) for r in dc.decontaminate(docs, bench, ["doc_id"]).collect())
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 10)
+    by_join = dc.decontaminate(docs, bench, ["doc_id"])
+    assert sorted(tuple(r) for r in by_join.collect()) == plain and plain[0][4] == ["1", "2", "3"]
+    assert "MapInArrow" not in by_join._jdf.queryExecution().executedPlan().toString()
