@@ -1,7 +1,7 @@
 """Text and date functions of the archive, as column expressions.
 
-Patterns follow the regex rules of the JVM with ``(?U)`` where Unicode classes matter. ``norm`` covers Latin letters with
-marks; other scripts pass through unchanged but for case.
+Patterns follow the regex rules of the JVM with ``(?U)`` where Unicode classes matter. ``norm`` is the one normal form of texts and of
+what is looked for in them.
 """
 
 from __future__ import annotations
@@ -12,22 +12,50 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and their bare forms, from the Unicode decomposition of U+00C0 to U+024F and U+1E00 to U+1EFF.
-_MARKED = [(chr(c), unicodedata.normalize("NFKD", chr(c))) for r in ((0xC0, 0x250), (0x1E00, 0x1F00)) for c in range(*r)]
-_PAIRS = [(c, d[0].lower()) for c, d in _MARKED if len(d) > 1 and d[0].isascii() and d[0].isalpha() and all(unicodedata.combining(x) for x in d[1:])]
+
+def _bare(c: str) -> str:
+    """The compatibility decomposition without its combining marks."""
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+
+
+def _ranges(codes: list[int]) -> str:
+    """A regular expression's class of these characters."""
+    out: list[list[int]] = []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in out) + "]"
+
+
+# Every sign of the basic plane whose bare form is one other sign, whatever its script. Hangul syllables stay whole: their parts are letters, not marks.
+_PLANE = [c for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and not 0xAC00 <= c < 0xD7A4]
+_PAIRS = [(chr(c), d) for c in _PLANE if len(d := _bare(chr(c))) == 1 and d != chr(c)]
 ACCENTED, BARE = "".join(c for c, _ in _PAIRS), "".join(d for _, d in _PAIRS)
+_TABLE = dict(zip(map(ord, ACCENTED), BARE, strict=True))
 #: Marks left over from decomposed text.
-_COMBINING = "[\\u0300-\\u036F]"
+_COMBINING = _ranges([c for c in _PLANE if unicodedata.combining(chr(c))])
+# Ligatures, sharp s and the final sigma: fixed values.
+_SPELT = [("ß", "ss"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ς", "σ")]
 
 
 def norm(c: Column) -> Column:
-    """Accent-free lower case; ligatures and sharp s are spelt out."""
+    """Lower case without accents and marks, in any script; ligatures and sharp s are spelt out. ``norm_text`` is the same in Python."""
     out = F.lower(F.translate(c, ACCENTED, BARE))
-    for one, many in (("ß", "ss"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff")):
+    for one, many in _SPELT:
         out = F.replace(out, F.lit(one), F.lit(many))
     return F.regexp_replace(out, _COMBINING, "")
 
 
+def norm_text(s: str) -> str:
+    """``norm`` of one string, by the same tables."""
+    out = s.translate(_TABLE).lower()
+    for one, many in _SPELT:
+        out = out.replace(one, many)
+    return re.sub(_COMBINING, "", out)
+
+
 def strip(c: Column) -> Column:
     """Without white space of any script at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -167,10 +195,14 @@ def highlight(c: Column, terms: list[str]) -> Column:
     return F.regexp_replace(out, f"(?iu)({pattern})", "<mark>$1</mark>")
 
 
+def terms(c: Column) -> Column:
+    """The words of a text in their normal form: runs of letters and digits of any script."""
+    return F.regexp_extract_all(norm(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
+
+
 def plain_terms(q: str) -> list[str]:
-    """The words of a query as the index has them: accent-free, in lower case, split at everything but letters and digits."""
-    out = "".join(c for c in unicodedata.normalize("NFKD", q.lower()) if not unicodedata.combining(c)).replace("ß", "ss")
-    return re.findall(r"[^\W_]+", out)
+    """``terms`` of a query."""
+    return "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in norm_text(q)).split()
 
 
 def snippet(c: Column, terms: str | list[str], width: int = 40) -> Column:

@@ -88,7 +88,7 @@ def without_repeated_lines(lines: DataFrame, keep_bare_numbers: bool = False) ->
     found = repeated_lines(lines).select("magazine_id", "template", F.lit(True).alias("__repeated"))
     if keep_bare_numbers:
         found = found.filter("template <> '#'")
-    marked = lines.withColumn("template", template(F.col("line"))).join(found, ["magazine_id", "template"], "left")
+    marked = lines.withColumn("template", template(F.col("line"))).join(found.hint("merge"), ["magazine_id", "template"], "left")
     return marked.select("magazine_id", "page_number", "line_no", F.when(F.col("__repeated"), "").otherwise(F.col("line")).alias("line"))
 
 

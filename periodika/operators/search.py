@@ -37,8 +37,7 @@ def build_inverted_index(docs: DataFrame) -> DataFrame:
     """R1. term, attr (0 text, 1 magazine title), page_id, magazine_id, tf and positions."""
     parts = None
     for attr, column in enumerate(("raw_text", "magazine_title")):
-        words = F.regexp_extract_all(X.norm(F.col(column)), F.lit(r"([\p{L}\p{N}]+)"), 1)
-        one = docs.select("page_id", "magazine_id", F.lit(attr).alias("attr"), F.posexplode(words).alias("position", "term"))
+        one = docs.select("page_id", "magazine_id", F.lit(attr).alias("attr"), F.posexplode(X.terms(F.col(column))).alias("position", "term"))
         parts = one if parts is None else parts.unionByName(one)
     return parts.groupBy("term", "attr", "page_id", "magazine_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
 

@@ -15,6 +15,7 @@ from pyspark.sql.types import BooleanType
 
 from ..functions import text as X
 from ..sources.archive import path_dimensions
+from ..sources.stored import stored
 from .quality import without_repeated_lines
 
 # Patterns of lines of a table of contents: fixed values.
@@ -81,14 +82,15 @@ def entry_density(classified: DataFrame) -> DataFrame:
     return classified.groupBy("magazine_id", "page_number").agg(F.count_if(entry).alias("entries"), F.count_if(F.col("kind") == "bare").alias("bare"))
 
 
-def find_toc_pages(lines: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """T5. magazine_id, page_number of the pages of each table of contents.
+def find_toc_pages(lines: DataFrame, fuzzy: bool = True, classified: DataFrame | None = None) -> DataFrame:
+    """T5. magazine_id, page_number of the pages of each table of contents. ``classified``: the classified lines where they are at hand.
 
     Headings first; else the first early page with something like a heading and three bare numbers (running headers count
     there); else the early page with most entry lines, four or more. The page after joins if it has three entry lines.
     """
-    classified = classify_lines(lines)
-    density = entry_density(classified)
+    # used three times below: written once
+    classified = stored(classify_lines(lines), "classified") if classified is None else classified
+    density = stored(entry_density(classified), "density")
     strict = classified.filter((F.col("page_number") <= HEADING_PAGES) & is_heading(F.col("line"))).select("magazine_id", "page_number", F.lit(1).alias("tier"), F.lit(0).alias("rank")).distinct()
     early = density.filter((F.col("page_number") <= TOC_PAGES) & (F.col("entries") >= MIN_DENSITY))
     w = Window.partitionBy("magazine_id")
@@ -102,7 +104,7 @@ def find_toc_pages(lines: DataFrame, fuzzy: bool = True) -> DataFrame:
     chosen = found.withColumn("least", F.min("tier").over(w)).filter("tier = least").select("magazine_id", "page_number")
     after = chosen.select("magazine_id", (F.col("page_number") + 1).alias("page_number"))
     full = density.filter(F.col("entries") >= MIN_NEXT).select("magazine_id", "page_number")
-    return chosen.unionByName(after.join(full, ["magazine_id", "page_number"], "left_semi")).distinct()
+    return chosen.unionByName(after.join(full.hint("merge"), ["magazine_id", "page_number"], "left_semi")).distinct()
 
 
 def parse_entries(classified: DataFrame) -> DataFrame:

@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.stored import shared_folder
 from .fixtures import duck, spark_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one where none is set and all runs on this machine, as in tests."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at and (not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return at or "file://" + tempfile.mkdtemp(prefix="periodika-")
-
-
 class Views:
     """``v("v_article")`` is that view over one folder of tables; ``v.table("events")`` one of the tables."""
 
@@ -42,3 +34,6 @@ def query(name: str, sql: str | None = None):
         return f
 
     return register
+
+
+__all__ = ["ORACLES", "QUERIES", "Views", "query", "shared_folder"]

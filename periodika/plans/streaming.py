@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources.stored import fresh_folder
 from ..streaming import jobs as J
+from ..streaming.ingest import Ingestion
+from .contents import _ENTRIES, _KINDS, _PAGES, _SCORES
+from .fixtures import _TITLE
 from .registry import query, shared_folder
 from .taxonomy import _KEYWORDS, _NORM
 
@@ -81,29 +85,88 @@ def _(v):
     return J.run_available(v.spark, J.stable_file_stream(_observed(_event_stream(v))), shared_folder(v.spark)).withColumn("start", F.date_format("start", _STAMP))
 
 
-@query("st4_dedupe_stream", "SELECT DISTINCT sha256(event_type || CAST(user_id AS STRING)) AS file_hash FROM events")
+@query("st4_dedupe_stream", "SELECT sha256(event_type || CAST(user_id AS STRING)) AS file_hash, min(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 END) AS scan FROM events GROUP BY 1")
 def _(v):
-    files = _event_stream(v).select("ts", F.sha2(F.concat("event_type", F.col("user_id").cast("string")), 256).alias("file_hash"))
-    return J.run_available(v.spark, J.dedupe_stream(files), shared_folder(v.spark), only=J.unstored).select("file_hash")
+    """Two scans of a folder that grows between them: what the first one found doesn't come again."""
+    folder = fresh_folder(v.spark, "scans")
+    files = _events(v).select("ts", F.sha2(F.concat("event_type", F.col("user_id").cast("string")), 256).alias("file_hash"), (F.col("event_id") % 3 == 0).alias("early"))
+    first = None
+    for early in (True, False):
+        files.filter(F.col("early") == early).drop("early").write.mode("append").parquet(f"{folder}/files")
+        stream = v.spark.readStream.schema("ts timestamp, file_hash string").parquet(f"{folder}/files")
+        found = J.dedupe_files(v.spark, stream, folder, "scan")
+        first = found.agg(F.max("batch")).first()[0] if early else first
+    return found.select("file_hash", F.when(F.col("batch") <= first, 1).otherwise(2).alias("scan"))
 
 
-@query("st5_ingest_stream", """SELECT DISTINCT s.id AS subtheme_id, a.id AS article_id FROM (SELECT min(p_partkey) AS id, p_name AS title FROM part GROUP BY 2) a, (SELECT id, unnest(keywords) AS k FROM v_subtheme) s WHERE trim(k) <> ''
-    AND regexp_matches(lower(a.title), '\\b' || regexp_replace(strip_accents(lower(trim(s.k))), '\\s+', '[sx]?\\\\s+', 'g') || '[sx]?\\b')""")
+def _ingest(v, parts=(None,)):
+    """The documents taken in by one run or, by their id's remainder, in several runs of one name."""
+    folder = fresh_folder(v.spark, "ingest")
+    contents = v("v_toc_line").groupBy("magazine_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("raw_text"))
+    pages = contents.unionByName(v("v_page").join(contents.select("magazine_id").distinct().hint("merge"), "magazine_id", "left_anti"))
+    title = F.expr(_TITLE)
+    docs = v.table("documents").select(F.col("doc_id").alias("id"), title.alias("title"), F.concat("source", F.lit("/"), title, F.lit(".pdf")).alias("file_path"), F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"))
+    intake = Ingestion(v.spark, f"{folder}/archive", lambda ids: pages.join(ids.hint("merge"), "magazine_id", "left_semi"), v("v_subtheme"), fuzzy=False)
+    for part in parts:
+        (docs if part is None else docs.filter(F.col("id") % len(parts) == part)).write.mode("append").parquet(f"{folder}/arrived")
+        intake.run(v.spark.readStream.schema(docs.schema).parquet(f"{folder}/arrived"), "intake")
+    return intake
+
+
+_INGESTED = f"""doc AS (SELECT m.* FROM v_magazine m JOIN (SELECT min(id) AS id FROM v_magazine WHERE file_hash IS NOT NULL GROUP BY file_hash) USING (id)),
+    ing_page AS (SELECT magazine_id, page_number, string_agg(line, chr(10) ORDER BY line_no) AS raw_text FROM v_toc_line JOIN doc ON doc.id = magazine_id GROUP BY 1, 2
+      UNION ALL SELECT magazine_id, page_number, raw_text FROM v_page JOIN doc ON doc.id = magazine_id WHERE magazine_id NOT IN (SELECT magazine_id FROM v_toc_line)),
+    ing_line AS (SELECT magazine_id, page_number, unnest(range(1, len(l) + 1)) AS line_no, regexp_replace(unnest(l), '^\\s+|\\s+$', '', 'g') AS line FROM (SELECT *, string_split(raw_text, chr(10)) AS l FROM ing_page)),
+    {_KINDS.replace("v_toc_line", "ing_line")}, {_PAGES}, {_ENTRIES},
+    pl AS (SELECT e.*, l.last_page FROM ent e JOIN tocp USING (magazine_id, page_number) JOIN (SELECT magazine_id, max(page_number) AS last_page FROM ing_page GROUP BY 1) l USING (magazine_id) WHERE title <> '' AND start_page BETWEEN 1 AND last_page),
+    art AS (SELECT magazine_id, CAST(magazine_id AS STRING) || '-' || CAST(row_number() OVER w AS STRING) AS article_id, CAST(row_number() OVER w AS INT) AS position, title, start_page, coalesce(end_page, greatest(start_page, lead(start_page) OVER w - 1), last_page) AS end_page
+      FROM pl WINDOW w AS (PARTITION BY magazine_id ORDER BY start_page, page_number, line_no)),
+    {_KEYWORDS}, lnk AS (SELECT DISTINCT subtheme_id, article_id, magazine_id FROM kw JOIN art ON regexp_matches({_NORM.format('title')}, pattern))"""
+
+
+@query("st5_ingest_documents", f"""WITH {_INGESTED} SELECT id AS magazine_id, split_part(file_path, '/', 1) AS collection, CASE id % 11 WHEN 0 THEN 'hs' WHEN 1 THEN 'sp' ELSE 'normal' END AS issue_type, CAST(100 + id % 800 AS STRING) AS issue_number,
+    strftime(CASE WHEN id % 6 = 5 THEN make_date(CAST(nullif(regexp_extract(first_page, '\\b((?:19|20)\\d{{2}})\\b', 1), '') AS INT), 1, 1) ELSE make_date(CAST(1990 + id % 30 AS INT), CASE WHEN id % 6 = 4 THEN 1 ELSE CAST(1 + id % 12 AS INT) END, 1) END, '%Y-%m-%d') AS publication_date,
+    CASE WHEN id % 6 IN (0, 2, 3) OR (id % 6 = 1 AND issue_month_label = 'Avril') THEN issue_month_label WHEN id % 6 = 1 THEN issue_month_label || '-Avril' END AS issue_month_label, 'done' AS scan_status
+    FROM doc LEFT JOIN (SELECT magazine_id, raw_text AS first_page FROM ing_page WHERE page_number = 1) c ON c.magazine_id = doc.id""")
+def _(v):
+    return _ingest(v).current("documents").select("magazine_id", "collection", "issue_type", "issue_number", F.date_format("publication_date", "yyyy-MM-dd").alias("publication_date"), "issue_month_label", "scan_status")
+
+
+@query("st5_ingest_pages", f"""WITH {_INGESTED}, c AS (SELECT magazine_id, page_number, raw_text, length(regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g')) < 20 AS short, list_reverse_sort([{_SCORES}]) AS s FROM (SELECT *, regexp_extract_all(lower(raw_text), '\\pL+') AS t FROM ing_page)),
+    r AS (SELECT *, greatest(list_sum(list_transform(s, lambda x: x.s)), 1) AS total FROM c)
+    SELECT magazine_id, page_number, raw_text, CASE WHEN short OR s[1].s = 0 THEN NULL WHEN s[1].l NOT IN ('fr', 'en') OR (s[2].l IN ('fr', 'en') AND s[2].s / total > 0.3) THEN 'mixed' ELSE s[1].l END AS language FROM r""")
+def _(v):
+    return _ingest(v).current("pages")
+
+
+@query("st5_ingest_contents", f"""WITH {_INGESTED}, p AS (SELECT magazine_id, string_agg(CAST(page_number AS STRING), ', ' ORDER BY page_number) AS pages FROM tocp GROUP BY 1), n AS (SELECT DISTINCT magazine_id, true AS has FROM pl)
+    SELECT id AS magazine_id, CASE WHEN has IS NULL AND pages IS NOT NULL THEN 'failed' ELSE 'done' END AS toc_status, CASE WHEN has THEN NULL WHEN pages IS NOT NULL THEN 'Sommaire détecté (page ' || pages || ') mais aucune entrée n''a pu en être lue.'
+    ELSE 'Aucune page de sommaire n''a été identifiée dans ce numéro.' END AS message FROM doc LEFT JOIN p ON p.magazine_id = id LEFT JOIN n ON n.magazine_id = id""")
 def _(v):
-    subthemes = v("v_subtheme")
-    parts = v.spark.readStream.schema(v.table("part").schema).parquet(f"{v.sf_dir}/part.parquet*")
-    articles = parts.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.sha2("p_name", 256).alias("file_hash"))
-    folder = f"{shared_folder(v.spark)}/ingest-{J.uuid.uuid4().hex}"
-    empty = v.table("part").select(F.sha2("p_name", 256).alias("file_hash")).limit(0)
+    return _ingest(v).current("contents")
 
-    def each(batch, number):
-        stored = empty if number == 0 else v.spark.read.parquet(f"{folder}/articles").filter(F.col("batch") < number)
-        new, links = J.ingest_batch(batch, stored, subthemes)
-        new.write.mode("overwrite").parquet(f"{folder}/articles/batch={number}")
-        links.write.mode("overwrite").parquet(f"{folder}/links/batch={number}")
 
-    J.run_available(v.spark, articles, shared_folder(v.spark), each=each)
-    return v.spark.read.parquet(f"{folder}/links").select("subtheme_id", "article_id")
+@query("st5_ingest_articles", f"WITH {_INGESTED} SELECT * FROM art")
+def _(v):
+    return _ingest(v).current("articles")
+
+
+@query("st5_ingest_stream", f"WITH {_INGESTED} SELECT subtheme_id, article_id FROM lnk")
+def _(v):
+    """The keyword links of all that was taken in."""
+    return _ingest(v).current("links").select("subtheme_id", "article_id")
+
+
+@query("st5_ingest_orphans", f"WITH {_INGESTED} SELECT magazine_id, article_id, title FROM art WHERE article_id NOT IN (SELECT article_id FROM lnk)")
+def _(v):
+    return _ingest(v).current("orphans")
+
+
+@query("st5_incremental_links", f"""WITH {_INGESTED.replace("SELECT min(id) AS id FROM", "SELECT CASE WHEN count(*) FILTER (id % 2 = 0) = 0 THEN min(id) END AS id FROM")} SELECT subtheme_id, article_id FROM lnk""")
+def _(v):
+    """The second of two runs: its new documents only, of which the first run has stored none by content."""
+    out = _ingest(v, (0, 1)).table("links")
+    return out.filter(F.col("batch") > 0).select("subtheme_id", "article_id")
 
 
 _LOGINS = "SELECT strftime(time_bucket(INTERVAL '15 minutes', ts), '%Y-%m-%d %H:%M:%S') AS start, user_id % 10 AS key, count(*) AS attempts, count(*) > 1 AS blocked FROM events GROUP BY 1, 2"
@@ -158,11 +221,3 @@ def _(v):
     SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS events FROM s GROUP BY user_id, s""")
 def _(v):
     return J.sessions(_events(v), "300 minutes").withColumn("start", F.date_format("start", _STAMP))
-
-
-@query("st5_incremental_links", f"""WITH {_KEYWORDS}, first AS (SELECT min(id) AS id, title FROM v_article WHERE id % 2 = 0 GROUP BY title HAVING title NOT IN (SELECT title FROM v_article WHERE id % 2 = 1))
-    SELECT DISTINCT subtheme_id, id AS article_id FROM kw JOIN first ON regexp_matches({_NORM.format('title')}, pattern)""")
-def _(v):
-    """The second of two batches: what the first one stored isn't attached again."""
-    hashed = v("v_article").withColumn("file_hash", F.sha2("title", 256))
-    return J.ingest_batch(hashed.filter("id % 2 = 0"), hashed.filter("id % 2 = 1").select("file_hash"), v("v_subtheme"))[1]

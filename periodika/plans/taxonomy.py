@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import search as R
 from ..operators import taxonomy as K
 from ..sources import archive as S
+from ..sources.stored import fresh_folder, stored
 from .registry import query, shared_folder
 
 _NORM = "replace(strip_accents(lower({})), 'ß', 'ss')"
@@ -324,21 +325,50 @@ def _(v):
     return S.file_hash(v.table("documents"), "text").select("doc_id", "file_hash")
 
 
-@query("s1_scan_files")
-def _(v):
-    return S.scan_files(v.spark, v.sf_dir, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
-
-
-@query("s3_classify_scan", """WITH kp AS (SELECT path, max_by(size, mtime) AS k_size, max(mtime) AS k_mtime, max_by(id, mtime) AS k_id FROM v_known GROUP BY 1), kh AS (SELECT file_hash, min(id) AS h_id FROM v_known GROUP BY 1), ko AS (SELECT file_hash, path, min(id) AS own_id FROM v_known GROUP BY 1, 2),
+_SCAN = """WITH kp AS (SELECT path, max_by(size, mtime) AS k_size, max(mtime) AS k_mtime, max_by(id, mtime) AS k_id FROM v_known GROUP BY 1), kh AS (SELECT file_hash, min(id) AS h_id FROM v_known GROUP BY 1), ko AS (SELECT file_hash, path, min(id) AS own_id FROM v_known GROUP BY 1, 2),
     s AS (SELECT s.*, kp.*, coalesce(s.size = k_size AND abs(s.mtime - k_mtime) < 1, false) AS same FROM (SELECT path AS p, file_hash, size, mtime FROM v_scan) s LEFT JOIN kp ON kp.path = s.p),
     r AS (SELECT s.p, s.k_id, kh.h_id, ko.own_id, row_number() OVER (PARTITION BY s.file_hash ORDER BY s.p) AS r FROM s LEFT JOIN kh ON kh.file_hash = s.file_hash LEFT JOIN ko ON ko.file_hash = s.file_hash AND ko.path = s.p WHERE NOT same),
     looked AS (SELECT p AS path, coalesce(own_id, h_id, k_id) AS known_id, CASE WHEN own_id IS NOT NULL THEN 'unchanged' WHEN h_id IS NOT NULL THEN 'relocated' WHEN r > 1 THEN 'duplicate' WHEN k_id IS NOT NULL THEN 'modified' ELSE 'new' END AS class FROM r)
     SELECT p AS path, k_id AS known_id, 'unchanged' AS class FROM s WHERE same UNION ALL SELECT * FROM looked
-    UNION ALL SELECT path, id, 'missing' FROM v_known WHERE path NOT IN (SELECT path FROM v_scan) AND id NOT IN (SELECT known_id FROM looked WHERE class = 'relocated')""")
+    UNION ALL SELECT path, id, 'missing' FROM v_known WHERE path NOT IN (SELECT path FROM v_scan) AND id NOT IN (SELECT known_id FROM looked WHERE class = 'relocated')"""
+
+
+@query("s3_classify_scan", _SCAN)
 def _(v):
     scan = v("v_scan")
-    contents = scan.select("path", F.col("id").alias("doc_id")).join(v.table("documents").select("doc_id", F.col("text").alias("content")), "doc_id").select("path", "content")
-    return S.classify_scan(scan.drop("id", "file_hash"), v("v_known"), contents=contents)
+    contents = scan.select("path", F.col("id").alias("doc_id")).join(v.table("documents").select("doc_id", F.col("text").alias("content")).hint("merge"), "doc_id")
+    hashes = lambda left: S.file_hash(contents.join(left.select("path").hint("merge"), "path", "left_semi")).select("path", "file_hash")
+    return S.classify_scan(scan.drop("id", "file_hash"), v("v_known"), hashes=hashes)
+
+
+# An archive with a file for each document; some have moved since they were stored, some are gone, some look newer than they were.
+_FOLDER = """f_scan AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'moved/m' ELSE 'm' END || CAST(doc_id AS STRING) || '.pdf' AS path, sha256(text) AS file_hash, strlen(text) AS size, 100 AS mtime, doc_id AS id FROM documents WHERE text IS NOT NULL AND doc_id % 13 <> 0),
+    f_known AS (SELECT doc_id AS id, 'm' || CAST(doc_id AS STRING) || '.pdf' AS path, sha256(text) AS file_hash, strlen(text) AS size, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 100 END AS mtime FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 0)"""
+
+
+def _folder(v):
+    """The folder's URI, its listing as S1 gives it, and what is known of it."""
+    root = fresh_folder(v.spark, "archive")
+    docs = v.table("documents").filter("text IS NOT NULL").withColumn("name", F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit(".pdf")))
+    S.write_files(docs.filter("doc_id % 13 <> 0").select(F.concat(F.when(F.col("doc_id") % 7 == 0, "moved/").otherwise(""), "name").alias("path"), F.col("text").alias("content")), root)
+    below = F.element_at(F.split("path", "/" + root.rpartition("/")[2] + "/"), -1)
+    listing = S.scan_files(v.spark, root).select(below.alias("path"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"))
+    times = stored(listing, "times")
+    known = docs.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.col("name").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"), F.octet_length("text").cast("long").alias("size"))
+    known = known.join(times.select("path", "mtime").hint("merge"), "path", "left").withColumn("mtime", F.when(F.col("id") % 5 == 0, 0).otherwise(F.coalesce("mtime", F.lit(100))))
+    return root, times, known
+
+
+@query("s1_scan_files", f"WITH {_FOLDER} SELECT path, size FROM f_scan")
+def _(v):
+    return _folder(v)[1].select("path", "size")
+
+
+@query("s3_scan_folder", f"""WITH {_FOLDER}, {_SCAN.strip().removeprefix("WITH ").replace("v_scan", "f_scan").replace("v_known", "f_known")}""")
+def _(v):
+    """Files of a folder, of which only those are opened that the listing leaves open."""
+    root, listing, known = _folder(v)
+    return S.classify_scan(listing, known, hashes=lambda left: S.hash_files(left, root))
 
 
 @query("s4_stable_files", "SELECT s.path FROM v_scan s WHERE EXISTS (SELECT 1 FROM v_magazine m WHERE m.file_path = s.path AND m.file_size = s.size AND m.created_s = s.mtime)")

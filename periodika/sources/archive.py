@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+from typing import BinaryIO
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stored import stored
+
 
 def scan_files(spark: SparkSession, root: str, glob: str = "*.pdf") -> DataFrame:
     """S1. path, modificationTime, length and content of all files below ``root``; content is read only where selected."""
@@ -17,37 +25,88 @@ def file_hash(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumn("file_hash", F.sha2(F.col(content).cast("binary"), 256))
 
 
-def classify_scan(files: DataFrame, known: DataFrame, tolerance: int = 1, contents: DataFrame | None = None) -> DataFrame:
+def _input(root: str) -> Callable[[str], BinaryIO]:
+    """Opens files by their paths below ``root``, through Arrow's file systems."""
+    system, base = FileSystem.from_uri(root)
+    return lambda path: system.open_input_stream(f"{base.rstrip('/')}/{path}")
+
+
+def hash_files(files: DataFrame, root: str, task_bytes: int = 64 << 20, opened: Callable[[str], Callable[[str], BinaryIO]] = _input) -> DataFrame:
+    """S2. path and file_hash (SHA-256) of ``files`` (path below ``root``, size): these are opened, once each, and read in pieces of 1 MB.
+
+    Tasks get about ``task_bytes`` each. A file that is gone by then isn't in the result. ``root`` is a URI that Arrow knows (file, hdfs, s3, gs).
+    """
+    n, size = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(1, min(n, max(-(-size // task_bytes), files.sparkSession.sparkContext.defaultParallelism)))
+
+    def run(batches):
+        at = opened(root)
+        for batch in batches:
+            paths, hashes = [], []
+            for path in batch.column(0).to_pylist():
+                digest = hashlib.sha256()
+                try:
+                    with at(path) as f:
+                        while piece := f.read(1 << 20):
+                            digest.update(piece)
+                except FileNotFoundError:
+                    continue
+                paths.append(path)
+                hashes.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(hashes, pa.string())], names=["path", "file_hash"])
+
+    # the number is given, so that adaptive execution doesn't put the few bytes of all these paths into one task
+    return files.select("path").repartition(tasks, "path").mapInArrow(run, "path string, file_hash string")
+
+
+def write_files(rows: DataFrame, root: str) -> None:
+    """A file below ``root`` for each row (path, content): for archives that are made from tables. A row that is run again writes the same file."""
+
+    def run(batches):
+        system, base = FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = f"{base.rstrip('/')}/{path}"
+                system.create_dir(at.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(at) as f:
+                    f.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows.select("path", F.col("content").cast("binary")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def classify_scan(files: DataFrame, known: DataFrame, tolerance: int = 1, hashes: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """S3. What a scan found: unchanged, relocated, duplicate, modified or new for each file, missing for each known path that is gone.
 
-    A file of the same path, size and time (less than ``tolerance`` seconds apart) is unchanged, and its content isn't read: files are
-    classified by their listing first, and only the paths that are left are joined with ``contents`` (path, content) and hashed. Where hashes are
-    at hand, ``files`` has them as ``file_hash``. Of new files with one hash the first path is new, the others duplicates. A known path
-    with several rows counts with its newest one; of several known files of one hash the one at the file's own path counts, else the
+    A file of the same path, size and time (less than ``tolerance`` seconds apart) is unchanged, and nobody opens it: files are classified by
+    their listing first, and ``hashes`` gets only those that are left (path, size) and gives path and file_hash, as ``hash_files`` does. Where
+    hashes are at hand, ``files`` has them as ``file_hash``. Of new files with one hash the first path is new, the others duplicates. A known
+    path with several rows counts with its newest one; of several known files of one hash the one at the file's own path counts, else the
     one with the smallest id. A document that was found elsewhere is relocated and not missing.
     """
     by_path = known.groupBy("path").agg(F.max_by(F.struct("size", "id"), F.struct("mtime", "id")).alias("k"), F.max("mtime").alias("k_mtime"))
-    seen = files.join(by_path, "path", "left")
     same = F.coalesce((F.col("size") == F.col("k.size")) & (F.abs(F.col("mtime") - F.col("k_mtime")) < tolerance), F.lit(False))
-    unchanged = seen.filter(same).select("path", F.col("k.id").alias("known_id"), F.lit("unchanged").alias("class"))
-    rest = seen.filter(~same)
-    if contents is not None:
-        left = rest.drop("file_hash").join(contents.select("path", "content"), "path")
-        rest = file_hash(left).drop("content")
+    seen = stored(files.join(by_path.hint("merge"), "path", "left").withColumn("same", same), "listing")
+    unchanged = seen.filter("same").select("path", F.col("k.id").alias("known_id"), F.lit("unchanged").alias("class"))
+    rest = seen.filter("NOT same")
+    if hashes is not None:
+        # written, as it is looked at twice: each file is opened once
+        found_hashes = stored(hashes(rest.select("path", "size")), "hashes")
+        rest = rest.drop("file_hash").join(found_hashes.hint("merge"), "path")
     rest = rest.select("path", "file_hash", "k.id")
-    # the known document of a hash: the one at the file's own path, else the least id
-    hashes = known.groupBy("file_hash").agg(F.min(F.struct("id", "path")).alias("h"))
+    # the known document of a hash: the one at the file's own path, else the least id; the first new path of it
+    at_hash = known.groupBy("file_hash").agg(F.min(F.struct("id", "path")).alias("h"))
     here = known.groupBy("file_hash", "path").agg(F.min("id").alias("own_id"))
-    found = rest.join(hashes, "file_hash", "left").join(here, ["file_hash", "path"], "left")
-    found = found.withColumn("r", F.row_number().over(Window.partitionBy("file_hash").orderBy("path")))
+    first = rest.groupBy("file_hash").agg(F.min("path").alias("first"))
+    found = rest.join(at_hash.hint("merge"), "file_hash", "left").join(here.hint("merge"), ["file_hash", "path"], "left").join(first.hint("merge"), "file_hash", "left")
     kind = (
-        F.when(F.col("own_id").isNotNull(), "unchanged").when(F.col("h.id").isNotNull(), "relocated").when(F.col("r") > 1, "duplicate")
+        F.when(F.col("own_id").isNotNull(), "unchanged").when(F.col("h.id").isNotNull(), "relocated").when(F.col("path") > F.col("first"), "duplicate")
         .when(F.col("id").isNotNull(), "modified").otherwise("new")
     )
-    looked = found.select("path", F.coalesce("own_id", "h.id", "id").alias("known_id"), kind.alias("class"))
-    gone = known.select("path", F.col("id").alias("known_id")).join(files.select("path"), "path", "left_anti")
+    looked = stored(found.select("path", F.coalesce("own_id", "h.id", "id").alias("known_id"), kind.alias("class")), "looked")
+    gone = known.select("path", F.col("id").alias("known_id")).join(seen.select("path").hint("merge"), "path", "left_anti")
     moved = looked.filter("class = 'relocated'").select("known_id").distinct()
-    missing = gone.join(moved, "known_id", "left_anti").select("path", "known_id", F.lit("missing").alias("class"))
+    missing = gone.join(moved.hint("merge"), "known_id", "left_anti").select("path", "known_id", F.lit("missing").alias("class"))
     return unchanged.unionByName(looked).unionByName(missing)
 
 

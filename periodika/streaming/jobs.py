@@ -10,12 +10,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.taxonomy import attach_keywords
+from ..sources.stored import Files, HashStore
 
 LATE = "10 minutes"
 PACIFIC = "America/Los_Angeles"
@@ -136,29 +136,10 @@ def stable_file_stream(observations: DataFrame) -> DataFrame:
 
 
 def dedupe_stream(files: DataFrame) -> DataFrame:
-    """ST4. The first file of each content hash within the watermark; older ones are taken out by ``unstored``."""
+    """ST4. The first file of each content hash within the watermark, for streams that go on; ``dedupe_files`` keeps hashes over all runs."""
     return files.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["file_hash"])
 
 
-def unstored(batch: DataFrame, number: int, place: str, key: str = "file_hash") -> DataFrame:
-    """ST4. What of a batch no earlier batch below ``place`` holds; a batch that is run again sees the same earlier ones."""
-    first = batch.dropDuplicates([key])
-    if number == 0:
-        return first
-    earlier = batch.sparkSession.read.option("basePath", f"{place}/data").parquet(*[f"{place}/data/batch={n}" for n in range(number)])
-    return first.join(earlier.select(key).hint("merge"), key, "left_anti").select(batch.columns)
-
-
-def ingest_batch(batch: DataFrame, stored_hashes: DataFrame, subthemes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """ST5. What one batch of articles (id, title, file_hash) adds: new articles, and their keyword links.
-
-    It depends on the batch and the stored hashes only, so a batch that is run again gives the same.
-    """
-    first = Window.partitionBy("file_hash").orderBy("id")
-    new = batch.withColumn("__r", F.row_number().over(first)).filter("__r = 1").drop("__r").join(stored_hashes.select("file_hash"), "file_hash", "left_anti")
-    return new, attach_keywords(new, subthemes)
-
-
 def login_windows(attempts: DataFrame, most: int = 5) -> DataFrame:
     """ST6. Attempts of each key in each quarter of an hour, and whether they are too many."""
     out = attempts.withWatermark("ts", LATE).groupBy(F.window("ts", "15 minutes"), "key").agg(F.count("*").alias("attempts"))
@@ -197,20 +178,41 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return events.withWatermark("ts", LATE).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("events")).select(F.col("session_window.start").alias("start"), "user_id", "events")
 
 
-def run_available(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, only: Callable[[DataFrame, int, str], DataFrame] | None = None) -> DataFrame:
-    """Runs ``stream`` over what its source has now; the table that it wrote below ``folder``.
+def run_available(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, only: Callable[[DataFrame, int], DataFrame] | None = None, name: str | None = None, keep: bool = True) -> DataFrame | None:
+    """Runs ``stream`` over what its source has now; the table that it has written below ``folder``, earlier runs of ``name`` included.
 
-    Each batch goes to a folder of its own by number, so a batch that is run again replaces itself; in mode ``complete`` the last
-    batch is the result. ``only`` says what of a batch is written.
+    With a ``name`` the checkpoint stays in place, and the next run of that name goes on where this one stopped: it reads new files only,
+    and its state and its numbers of batches continue. Without one the run stands alone. Each batch goes to a folder of its own by number,
+    so a batch that is run again replaces itself; in mode ``complete`` the last batch is the result. ``only`` says what of a batch is written,
+    ``each`` is called with each batch after it; nothing is written unless ``keep``.
     """
-    place = f"{folder}/stream-{uuid.uuid4().hex}"
+    place = f"{folder.rstrip('/')}/{name or 'stream-' + uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        target = "all" if mode == "complete" else f"batch={number}"
-        (only(batch, number, place) if only else batch).write.mode("overwrite").parquet(f"{place}/data/{target}")
+        if keep:
+            target = "batch=all" if mode == "complete" else f"batch={number}"
+            (only(batch, number) if only else batch).write.mode("overwrite").parquet(f"{place}/data/{target}")
         if each:
             each(batch, number)
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{place}/data/*")
+    if not keep:
+        return None
+    if not Files(spark, f"{place}/data").names():
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{place}/data")
+
+
+def dedupe_files(spark: SparkSession, files: DataFrame, folder: str, name: str) -> DataFrame:
+    """ST4. Takes in a stream of files (ts, file_hash, ...); every hash that any run of ``name`` has found, once, with the batch that found it.
+
+    No watermark is involved: a file that is found late is no less new, so it isn't dropped, and no hash is ever forgotten.
+    """
+    store = HashStore(spark, f"{folder.rstrip('/')}/{name}-hashes")
+
+    def each(batch: DataFrame, number: int) -> None:
+        store.add(store.unseen(batch, number), number)
+
+    run_available(spark, files, folder, name=name, each=each, keep=False)
+    return store.table()

@@ -15,7 +15,9 @@ from periodika.operators import search as R
 from periodika.operators import taxonomy as K
 from periodika.operators import toc as T
 from periodika.sources import archive as S
+from periodika.sources.stored import Files, HashStore, Unit
 from periodika.streaming import jobs as J
+from periodika.streaming.ingest import SCHEMAS, Ingestion
 
 
 def one(spark, values, f, schema="v string"):
@@ -240,19 +242,60 @@ def test_scan_classes(spark):
     got = {(r["path"], r["class"]) for r in S.classify_scan(files, known).collect()}
     want = {("a", "unchanged"), ("b", "modified"), ("c", "relocated"), ("d", "new"), ("e", "duplicate"), ("f", "new"), ("gone", "missing")}
     assert got == want
-    contents = files.select("path", F.col("file_hash").alias("content"))
-    hashed = known.withColumn("file_hash", F.sha2(F.col("file_hash").cast("binary"), 256))
-    out = S.classify_scan(files.drop("file_hash"), hashed, contents=contents)
-    assert {(r["path"], r["class"]) for r in out.collect()} == want
-    plan = out._jdf.queryExecution().optimizedPlan().toString()
-    # content is hashed above the join that follows the filter of what has changed
-    below = plan[plan.index("sha2(") :]
-    assert below.index("Join") < below.index("NOT coalesce") if "NOT coalesce" in below else "Filter" in below
+    asked = []
+
+    def hashes(left):
+        asked.extend(r["path"] for r in left.collect())
+        return left.join(files.select("path", F.col("file_hash")), "path").select("path", "file_hash")
+
+    out = S.classify_scan(files.drop("file_hash"), known, hashes=hashes)
+    assert {(r["path"], r["class"]) for r in out.collect()} == want and sorted(asked) == ["b", "c", "d", "e", "f"]
     twice = spark.createDataFrame([(1, "x", "h", 1, 1), (2, "a", "h", 1, 1)], known.schema)
     own = spark.createDataFrame([("a", "h", 9, 9)], files.schema)
     assert [tuple(r) for r in S.classify_scan(own, twice).filter("class <> 'missing'").collect()] == [("a", 2, "unchanged")]
 
 
+def test_a_scan_opens_what_has_changed_and_that_once(spark, tmp_path):
+    """40 files, of which 3 aren't as they were: three are opened, once each, and no scan of the plan reads contents."""
+    root = f"file://{tmp_path}/archive"
+    S.write_files(spark.createDataFrame([(f"d{i % 4}/f {i}%.pdf", b"x" * (1 + i)) for i in range(40)], "path string, content binary"), root)
+    listing = S.scan_files(spark, root).select(F.element_at(F.split("path", "/archive/"), -1).alias("path"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"))
+    assert listing.count() == 40
+    known = listing.withColumns({"id": F.xxhash64("path"), "file_hash": F.concat(F.lit("h"), F.col("path"))}).withColumn("size", F.when(F.col("path").isin("d0/f 0%.pdf", "d1/f 1%.pdf"), 0).otherwise(F.col("size"))).filter("path <> 'd3/f 3%.pdf'")
+    marks = tmp_path / "opened"
+    marks.mkdir()
+
+    def opened(at):
+        import uuid
+
+        real = S._input(at)
+
+        def one(path):
+            (marks / f"{uuid.uuid4().hex}").write_text(path)
+            return real(path)
+
+        return one
+
+    out = S.classify_scan(listing, known, hashes=lambda left: S.hash_files(left, root, opened=opened))
+    rows = {r["path"]: r["class"] for r in out.collect()}
+    out.count()
+    assert {p: c for p, c in rows.items() if c != "unchanged"} == {"d0/f 0%.pdf": "modified", "d1/f 1%.pdf": "modified", "d3/f 3%.pdf": "new"} and len(rows) == 40
+    assert sorted(m.read_text() for m in marks.iterdir()) == ["d0/f 0%.pdf", "d1/f 1%.pdf", "d3/f 3%.pdf"]
+    hashed = S.hash_files(listing.filter("path LIKE 'd0%'").unionByName(spark.createDataFrame([("gone.pdf", 1, 1)], listing.schema)), root).collect()
+    import hashlib
+
+    assert {r["path"]: r["file_hash"] for r in hashed} == {f"d0/f {i}%.pdf": hashlib.sha256(b"x" * (1 + i)).hexdigest() for i in range(0, 40, 4)}
+
+
+def test_files_of_one_hash_are_not_one_task(spark):
+    """Equal files: one is new, the others are duplicates, and no window orders them in one task."""
+    files = spark.range(500).select(F.format_string("p%03d", "id").alias("path"), F.lit("same").alias("file_hash"), F.lit(0).alias("size"), F.lit(1).alias("mtime"))
+    known = spark.createDataFrame([], "id long, path string, file_hash string, size long, mtime long")
+    out = S.classify_scan(files, known)
+    assert {(r["class"], r["n"]) for r in out.groupBy("class").agg(F.count("*").alias("n")).collect()} == {("new", 1), ("duplicate", 499)}
+    assert out.filter("class = 'new'").first()["path"] == "p000" and "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_files_logs_and_exports(spark, tmp_path):
     (tmp_path / "x/y").mkdir(parents=True)
     (tmp_path / "x/y/a.pdf").write_bytes(b"abc")
@@ -344,19 +387,144 @@ def test_late_requests_are_refused(spark, tmp_path):
     assert out == {1: (True, None), 2: (True, None), 3: (False, "late"), 4: (False, "minute")}
 
 
-def test_hashes_of_earlier_batches_stay_out(spark, tmp_path):
-    for day, hashes in (("01", ["a", "b"]), ("02", ["b", "c"]), ("03", ["a"])):
-        df = spark.createDataFrame([(h,) for h in hashes], "file_hash string").withColumn("ts", F.lit(f"2026-01-{day} 00:00:00").cast("timestamp"))
-        df.coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{day}"))
-    stream = spark.readStream.schema("file_hash string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
-    out = J.run_available(spark, J.dedupe_stream(stream), f"file://{tmp_path}/out", only=J.unstored)
-    assert sorted(r["file_hash"] for r in out.collect()) == ["a", "b", "c"]
-
-
-def test_a_batch_run_again_changes_nothing(spark):
-    batch = spark.createDataFrame([(1, "red ring", "h1"), (2, "red ring", "h1"), (3, "blue", "h2")], "id long, title string, file_hash string")
-    sub = spark.createDataFrame([(1, ["ring"])], "id int, keywords array<string>")
-    stored = spark.createDataFrame([("h2",)], "file_hash string")
-    for _ in range(2):
-        new, links = J.ingest_batch(batch, stored, sub)
-        assert [r["id"] for r in new.collect()] == [1] and [tuple(r) for r in links.collect()] == [(1, 1)]
+def _hashes(spark, tmp_path, *parts):
+    for name, hashes in parts:
+        df = spark.createDataFrame([(h,) for h in hashes], "file_hash string").withColumn("ts", F.lit(f"2026-01-{name} 00:00:00").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{name}"))
+    return spark.readStream.schema("file_hash string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+
+
+def test_a_run_of_one_name_goes_on_where_it_stopped(spark, tmp_path):
+    """The second run reads new files only, late ones too, and no hash comes twice."""
+    folder = f"file://{tmp_path}/out"
+    stream = _hashes(spark, tmp_path, ("05", ["a", "b"]), ("06", ["b", "c", None]))
+    assert {r["file_hash"]: r["batch"] for r in J.dedupe_files(spark, stream, folder, "scan").collect()} == {"a": 0, "b": 0, "c": 1}
+    again = J.run_available(spark, stream, folder, name="plain")
+    assert again.count() == 5
+    stream = _hashes(spark, tmp_path, ("01", ["a", "d"]))
+    assert {r["file_hash"]: r["batch"] for r in J.dedupe_files(spark, stream, folder, "scan").collect()} == {"a": 0, "b": 0, "c": 1, "d": 2}
+    seen = []
+    assert J.run_available(spark, stream, folder, name="plain", each=lambda b, n: seen.append((n, b.count()))).count() == 7 and seen == [(2, 2)]
+    assert J.dedupe_files(spark, stream, folder, "scan").count() == 4  # nothing new, nothing changes
+
+
+def test_hash_runs_merge_and_batches_can_come_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(HashStore, "MERGED", 3)
+    store = HashStore(spark, f"file://{tmp_path}/hashes")
+    want = {}
+    for n in range(11):
+        batch = spark.createDataFrame([(f"{x % 16:x}{x}",) for x in (n, n + 1, 3 * n)], "file_hash string")
+        for _ in range(2 if n % 2 else 1):  # odd batches are run twice
+            store.add(store.unseen(batch, n), n)
+        for x in (n, n + 1, 3 * n):
+            want.setdefault(f"{x % 16:x}{x}", n)
+    assert store.runs() == [(0, 8), (9, 9), (10, 10)]
+    assert {r["file_hash"]: r["batch"] for r in store.table().collect()} == want
+    assert {r["file_hash"] for r in store.table(prefixes=["1"]).collect()} == {h for h in want if h[0] == "1"}
+    plan = store.table(prefixes=["1"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "prefix" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+DOCUMENTS = "id long, title string, file_path string, file_hash string, extra string"
+SUBTHEMES = [(1, ["ring"]), (2, ["bolt"])]
+
+
+def _documents(*rows):
+    """Rows (id, title, hash): what a stream of documents has."""
+    return [(i, t, None if t is None else f"Rev/{t}.pdf", h, "x") for i, t, h in rows]
+
+
+def _pages(spark, ids):
+    """Four pages for each document with an id below 90: cover, contents and two of prose."""
+    text = F.concat(F.lit("SOMMAIRE\nThe small ring of "), F.col("magazine_id").cast("string"), F.lit(" ..... 3\nAnother great thing ..... 4\nA bolt for the gate ..... 2\n"))
+    page = F.array(F.lit("Revue n° 12, mars 1987"), text, F.lit("the ring and the bolt of that are for this"), F.lit(None).cast("string"))
+    return ids.filter("magazine_id < 90").select("magazine_id", F.posexplode(page).alias("at", "raw_text")).select("magazine_id", (F.col("at") + 1).alias("page_number"), "raw_text")
+
+
+def _intake(spark, root):
+    return Ingestion(spark, root, lambda ids: _pages(spark, ids), spark.createDataFrame(SUBTHEMES, "id int, keywords array<string>"), fuzzy=False)
+
+
+def _content(intake, how="current"):
+    return {t: sorted((tuple(r) for r in getattr(intake, how)(t).collect()), key=repr) for t in SCHEMAS}
+
+
+def test_ingestion_from_documents_to_orphans(spark, tmp_path):
+    root, arrived = f"file://{tmp_path}/archive", str(tmp_path / "arrived")
+    first = _documents((1, "Rev - 70 - Mars 1990", "h1"), (2, "copy", "h1"), (95, "no pages", "h2"), (None, "no id", "h3"), (4, "no hash", None))
+    spark.createDataFrame(first, DOCUMENTS).write.parquet(arrived)
+    intake = _intake(spark, root)
+    intake.run(spark.readStream.schema(DOCUMENTS).parquet(arrived), "intake")
+    got = _content(intake)
+    assert [(r[0], r[1], r[2], r[4], str(r[5]), r[7]) for r in got["documents"]] == [(1, "h1", "Rev", "70", "1990-03-01", "done"), (95, "h2", "Rev", None, "None", "failed")]
+    assert [r[:2] for r in got["pages"]] == [(1, n) for n in range(1, 5)] and got["pages"][2][3] == "en" and got["pages"][3][3] is None
+    assert got["contents"] == [(1, "done", None)]
+    assert got["articles"] == [(1, "1-1", 1, "A bolt for the gate", 2, 2), (1, "1-2", 2, "The small ring of 1", 3, 3), (1, "1-3", 3, "Another great thing", 4, 4)]
+    assert got["links"] == [(1, 1, "1-2"), (1, 2, "1-1")] and got["orphans"] == [(1, "1-3", "Another great thing")]
+
+    # later: a known content under another id, new content of a known id, a cover that says what the title doesn't
+    later = _documents((7, "again", "h1"), (1, "new version", "h9"), (8, "Plain title", "h8"))
+    spark.createDataFrame(later, DOCUMENTS).write.mode("append").parquet(arrived)
+    again = _intake(spark, root)
+    again.run(spark.readStream.schema(DOCUMENTS).parquet(arrived), "intake")
+    got = _content(again)
+    assert [(r[0], r[1], r[4], str(r[5])) for r in got["documents"]] == [(1, "h9", "12", "1987-01-01"), (8, "h8", "12", "1987-01-01"), (95, "h2", None, "None")]
+    assert len(got["articles"]) == 6 and len(_content(again, "table")["articles"]) == 9  # the first version is still stored
+    before = _content(again, "table")
+    again.run(spark.readStream.schema(DOCUMENTS).parquet(arrived), "intake")
+    assert _content(again, "table") == before and again.unit.committed() == [0, 1]
+
+
+def test_a_batch_that_breaks_off_is_taken_in_once(spark, tmp_path, monkeypatch):
+    """Failures between two tables, after the hashes and at the commit show nothing; the next run of that name writes the whole batch."""
+    arrived, root, clean = str(tmp_path / "arrived"), f"file://{tmp_path}/archive", f"file://{tmp_path}/clean"
+    spark.createDataFrame(_documents((1, "Rev - 70 - Mars 1990", "h1"), (2, "Rev - 80", "h2")), DOCUMENTS).write.parquet(arrived)
+    stream = lambda: spark.readStream.schema(DOCUMENTS).parquet(arrived)
+    for at in (root, clean):
+        _intake(spark, at).run(stream(), "intake")
+    spark.createDataFrame(_documents((3, "Rev - 90", "h3"), (1, "Rev - 70 - Avril 1990", "h4"), (5, "copy", "h2")), DOCUMENTS).write.mode("append").parquet(arrived)
+
+    real_put, real_add, real_mark = Unit.put, HashStore.add, Files.mark
+    for broken in ("links", "hashes", "commit"):
+
+        def put(self, df, name, number, broken=broken):
+            if name == broken:
+                raise RuntimeError("disk full")
+            return real_put(self, df, name, number)
+
+        def add(self, hashes, number, broken=broken):
+            real_add(self, hashes, number)
+            if broken == "hashes":
+                raise RuntimeError("disk full")  # after the hashes are there, before the commit
+
+        def mark(self, name, broken=broken):
+            if broken == "commit" and name.startswith("commits"):
+                raise RuntimeError("disk full")
+            real_mark(self, name)
+
+        with monkeypatch.context() as m:
+            m.setattr(Unit, "put", put)
+            m.setattr(HashStore, "add", add)
+            m.setattr(Files, "mark", mark)
+            with pytest.raises(Exception, match="disk full"):
+                _intake(spark, root).run(stream(), "intake")
+        assert _intake(spark, root).unit.committed() == [0]
+        assert {r[0] for r in _intake(spark, root).current("documents").collect()} == {1, 2}
+    for at in (root, clean):
+        _intake(spark, at).run(stream(), "intake")
+    assert _content(_intake(spark, root), "table") == _content(_intake(spark, clean), "table")
+    assert _intake(spark, root).unit.committed() == [0, 1]
+
+
+def test_an_empty_batch_and_texts_in_any_script(spark, tmp_path):
+    intake = _intake(spark, f"file://{tmp_path}/archive")
+    intake.batch(spark.createDataFrame([], DOCUMENTS), 0)
+    assert all(not rows for rows in _content(intake).values()) and intake.unit.committed() == [0]
+    words = ["Россий", "Ελλάδα", "한국", "m²", "crème", "ΣΑΣ", "Ｆｕｌｌ", "ﬁn", "Straße", "שָׁלוֹם", "й", "x_y"]
+    index = R.build_inverted_index(spark.createDataFrame([(str(i), i, w, "") for i, w in enumerate(words)], "page_id string, magazine_id int, raw_text string, magazine_title string"))
+    for i, w in enumerate(words):
+        for q in (w, w.upper(), unicodedata.normalize("NFD", w) if w != "한국" else w):
+            assert str(i) in {r["page_id"] for r in R.match_pages(index, q).collect()}, q
+        assert one(spark, [f"left {w} right"], X.snippet(F.col("v"), w, 2)) == [f"left {w}"]
+    assert one(spark, words, X.norm(F.col("v"))) == [X.norm_text(w) for w in words]
+    assert [" ".join(t) for t in one(spark, words, X.terms(F.col("v")))] == [" ".join(X.plain_terms(w)) for w in words]
