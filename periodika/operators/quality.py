@@ -83,9 +83,12 @@ def repeated_lines(lines: DataFrame, least: int = MIN_PAGES) -> DataFrame:
     return rows.groupBy("magazine_id", "template").agg(F.count_distinct("page_number").alias("pages")).filter(F.col("pages") >= least)
 
 
-def without_repeated_lines(lines: DataFrame, keep_bare_numbers: bool = False) -> DataFrame:
-    """``lines`` with those of ``repeated_lines`` blanked. Bare page numbers are among them unless ``keep_bare_numbers``."""
-    found = repeated_lines(lines).select("magazine_id", "template", F.lit(True).alias("__repeated"))
+def without_repeated_lines(lines: DataFrame, keep_bare_numbers: bool = False, repeated: DataFrame | None = None) -> DataFrame:
+    """``lines`` with those of ``repeated_lines`` blanked. Bare page numbers are among them unless ``keep_bare_numbers``.
+
+    ``repeated``: the templates of the whole document, where ``lines`` are a part or another reading of it.
+    """
+    found = (repeated_lines(lines) if repeated is None else repeated).select("magazine_id", "template", F.lit(True).alias("__repeated"))
     if keep_bare_numbers:
         found = found.filter("template <> '#'")
     marked = lines.withColumn("template", template(F.col("line"))).join(found.hint("merge"), ["magazine_id", "template"], "left")

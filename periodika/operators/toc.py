@@ -16,7 +16,7 @@ from pyspark.sql.types import BooleanType
 from ..functions import text as X
 from ..sources.archive import path_dimensions
 from ..sources.stored import stored
-from .quality import without_repeated_lines
+from .quality import reading_order_columns, reading_order_rows, repeated_lines, without_repeated_lines
 
 # Patterns of lines of a table of contents: fixed values.
 TRAILING = r"(?iu)^(.+?)(?:[.·…\s  ]{3,})(?:p\.?\s*)?([0-9]{1,4})(?:\s*[-–]\s*([0-9]{1,4}))?\s*$"
@@ -36,9 +36,9 @@ def line_kind(line: Column) -> Column:
     return F.when(line == "", "blank").when(line.rlike(TRAILING), "trailing").when(line.rlike(LEADING), "leading").when(line.rlike(BARE), "bare").when(label, "label").otherwise("text")
 
 
-def classify_lines(lines: DataFrame) -> DataFrame:
-    """T1. Lines with their kind; running headers count as blank."""
-    return without_repeated_lines(lines).withColumn("kind", line_kind(F.col("line")))
+def classify_lines(lines: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """T1. Lines with their kind; running headers (``repeated``, else those of the lines themselves) count as blank."""
+    return without_repeated_lines(lines, repeated=repeated).withColumn("kind", line_kind(F.col("line")))
 
 
 def collapsed(line: Column) -> Column:
@@ -155,16 +155,58 @@ def plausible_entries(entries: DataFrame, pages: DataFrame) -> DataFrame:
     return entries.join(last.hint("merge"), "magazine_id").filter((F.col("start_page") > 0) & (F.col("start_page") <= F.col("last_page")))
 
 
+#: The reading orders of a page, in order of preference.
+READINGS = ("as stored", "columns", "rows")
+
+
+def readings(words: DataFrame, page_width: float = 600.0) -> DataFrame:
+    """T8. The lines of each page in each of ``READINGS``: magazine_id, page_number, strategy (its place there), line_no, line.
+
+    From word boxes (block, line, n, text, x0, y0, x1, y1): lines as they are stored; D6's columns, where a line that crosses the gutter is
+    two; D7's bands of blocks, each block's lines as stored.
+    """
+    page = ["magazine_id", "page_number"]
+    spelt = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ")
+    plain = words.groupBy(*page, "block", "line").agg(F.min("n").alias("first"), spelt.alias("text"))
+    columns = reading_order_columns(words, page_width).withColumnRenamed("line_text", "text")
+    boxes = words.groupBy(*page, "block").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"))
+    bands = reading_order_rows(boxes).select(*page, "block", "band", "position")
+    rows = plain.join(bands.hint("merge"), [*page, "block"])
+    out = None
+    for i, (lines, order) in enumerate(((plain, ["first"]), (columns, ["side", "top", "block", "line"]), (rows, ["band", "position", "first"]))):
+        number = F.row_number().over(Window.partitionBy(*page).orderBy(*order))
+        one = lines.select(*page, F.lit(i).alias("strategy"), number.alias("line_no"), F.col("text").alias("line"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def entries_of_readings(words: DataFrame, lines: DataFrame, found: DataFrame, pages: DataFrame, page_width: float = 600.0) -> DataFrame:
+    """T8. The plausible entries (T7) of the pages ``found`` in each reading, with its ``strategy``.
+
+    ``lines`` are all lines of the documents as stored: their running headers count as blank in every reading. Only words of found pages are read.
+    """
+    near = stored(words.join(found.select("magazine_id", "page_number").distinct().hint("merge"), ["magazine_id", "page_number"], "left_semi"), "contents-words")
+    # a page in one reading is a page of its own to the parser
+    read = readings(near, page_width).withColumn("page_number", F.struct("strategy", "page_number"))
+    classified = stored(classify_lines(read, repeated_lines(lines)), "readings")
+    entries = parse_entries(classified).withColumns({"strategy": F.col("page_number.strategy"), "page_number": F.col("page_number.page_number")})
+    return plausible_entries(entries, pages)
+
+
+def best_reading(entries: DataFrame) -> DataFrame:
+    """T8. Of entries with their ``strategy`` those of the one with most entries for each magazine, the smallest on a tie."""
+    counts = entries.groupBy("magazine_id", "strategy").agg(F.count("*").alias("n"))
+    best = counts.groupBy("magazine_id").agg(F.max_by("strategy", F.struct("n", -F.col("strategy"))).alias("strategy"))
+    return entries.join(best.hint("merge"), ["magazine_id", "strategy"], "left_semi")
+
+
 def best_strategy(strategies: list[DataFrame]) -> DataFrame:
-    """T8. Of several readings' entries, in order of preference, the one with most entries for each magazine."""
+    """T8. The same for tables of entries, in order of preference."""
     union = None
     for i, entries in enumerate(strategies):
         one = entries.withColumn("strategy", F.lit(i))
         union = one if union is None else union.unionByName(one)
-    counts = union.groupBy("magazine_id", "strategy").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("magazine_id").orderBy(F.desc("n"), "strategy")
-    best = counts.withColumn("r", F.row_number().over(w)).filter("r = 1").select("magazine_id", "strategy")
-    return union.join(best.hint("merge"), ["magazine_id", "strategy"], "left_semi")
+    return best_reading(union)
 
 
 def article_ranges(entries: DataFrame) -> DataFrame:

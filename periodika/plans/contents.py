@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality as D
 from ..operators import toc as T
+from ..sources.stored import stored
 from .registry import query
 
 _WORDS = ", ".join(f"'{w}'" for w in D.COMMON_WORDS)
@@ -102,9 +103,10 @@ _ON_PAGES = "onp AS (SELECT e.* FROM ent e JOIN tocp t USING (magazine_id, page_
 
 
 def _on_pages(v):
-    lines = v("v_toc_line")
-    found = T.find_toc_pages(lines, fuzzy=False)
-    entries = T.parse_entries(T.classify_lines(lines)).join(found, ["magazine_id", "page_number"], "left_semi")
+    lines = stored(v("v_toc_line"), "lines")
+    classified = stored(T.classify_lines(lines), "classified")
+    found = stored(T.find_toc_pages(lines, False, classified), "found")
+    entries = T.parse_entries(classified.join(found.hint("merge"), ["magazine_id", "page_number"], "left_semi"))
     return lines, found, T.plausible_entries(entries, lines.withColumn("page_number", F.col("page_number") * 5))
 
 
@@ -153,12 +155,44 @@ def _(v):
     return _on_pages(v)[2]
 
 
-@query("t8_best_strategy", f"""WITH {_KINDS}, {_PAGES}, {_ENTRIES}, {_ON_PAGES}, st AS (SELECT magazine_id, title, start_page, 0 AS strategy FROM pl WHERE (magazine_id % 3 <> 0 OR line_no % 8 < 4) UNION ALL SELECT magazine_id, title, start_page, 1 FROM pl WHERE line_no < 25 UNION ALL SELECT magazine_id, title, start_page, 2 FROM pl WHERE magazine_id % 2 = 0),
-    n AS (SELECT magazine_id, strategy, row_number() OVER (PARTITION BY magazine_id ORDER BY count(*) DESC, strategy) AS r FROM st GROUP BY 1, 2) SELECT st.* FROM st JOIN n USING (magazine_id, strategy) WHERE r = 1""")
+_READ = """w AS (SELECT v_toc_word.* FROM v_toc_word JOIN tocp USING (magazine_id, page_number)),
+    l0 AS (SELECT magazine_id, page_number, block, line, min(n) AS first, string_agg(text, ' ' ORDER BY n) AS text FROM w GROUP BY ALL),
+    p1 AS (SELECT *, row_number() OVER l AS pos, lead(x0) OVER l - x1 AS gap FROM w WINDOW l AS (PARTITION BY magazine_id, page_number, block, line ORDER BY x0, n)),
+    c1 AS (SELECT *, max(gap) OVER g AS widest, min(y0) OVER g AS top, (min(x0) OVER g + max_by(x1, pos) OVER g) / 2 AS middle FROM p1 WINDOW g AS (PARTITION BY magazine_id, page_number, block, line)),
+    d1 AS (SELECT *, max(CASE WHEN gap = widest THEN pos END) OVER (PARTITION BY magazine_id, page_number, block, line) AS cut FROM c1),
+    l1 AS (SELECT magazine_id, page_number, side, top, block, line, string_agg(text, ' ' ORDER BY pos) AS text FROM (SELECT *, CASE WHEN coalesce(widest >= 60, false) THEN CASE WHEN pos <= cut THEN 0 ELSE 1 END WHEN middle < 300 THEN 0 ELSE 1 END AS side FROM d1) GROUP BY ALL),
+    b2 AS (SELECT magazine_id, page_number, block, min(y0) AS y0, max(y1) AS y1, min(x0) AS x0 FROM w GROUP BY ALL),
+    g2_ AS (SELECT *, CASE WHEN y0 < max(y1) OVER (PARTITION BY magazine_id, page_number ORDER BY y0, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM b2),
+    h2 AS (SELECT *, sum(new) OVER (PARTITION BY magazine_id, page_number ORDER BY y0, block ROWS UNBOUNDED PRECEDING) AS band FROM g2_),
+    rd AS (SELECT magazine_id * 3 AS magazine_id, page_number, row_number() OVER (PARTITION BY magazine_id, page_number ORDER BY first) AS line_no, text AS line FROM l0
+      UNION ALL SELECT magazine_id * 3 + 1, page_number, row_number() OVER (PARTITION BY magazine_id, page_number ORDER BY side, top, block, line), text FROM l1
+      UNION ALL SELECT magazine_id * 3 + 2, page_number, row_number() OVER (PARTITION BY magazine_id, page_number ORDER BY band, x0, y0, block, first), text FROM l0 JOIN h2 USING (magazine_id, page_number, block))"""
+_KINDS_READ = _KINDS[_KINDS.index("kinds AS (") :].replace("kinds AS (", "kinds2 AS (").replace("v_toc_line", "rd").replace("t.magazine_id = l.magazine_id", "t.magazine_id = l.magazine_id // 3")
+_PLAUSIBLE_READ = f"""{_KINDS_READ}, {_ENTRIES.replace("FROM kinds", "FROM kinds2")}, pl AS (SELECT e.magazine_id // 3 AS magazine_id, CAST(e.magazine_id % 3 AS INT) AS strategy, page_number, line_no, title, start_page, end_page FROM ent e
+    JOIN (SELECT magazine_id, max(page_number) * 5 AS last_page FROM v_toc_line GROUP BY 1) l ON l.magazine_id = e.magazine_id // 3 WHERE title <> '' AND start_page BETWEEN 1 AND last_page)"""
+
+
+@query("t8_readings", f"WITH {_KINDS}, {_PAGES}, {_READ} SELECT magazine_id // 3 AS magazine_id, CAST(magazine_id % 3 AS INT) AS strategy, page_number, line_no, line FROM rd")
+def _(v):
+    found = T.find_toc_pages(v("v_toc_line"), fuzzy=False)
+    return T.readings(v("v_toc_word").join(found.hint("merge"), ["magazine_id", "page_number"], "left_semi"))
+
+
+def _readings(v):
+    lines = stored(v("v_toc_line"), "lines")
+    return T.entries_of_readings(v("v_toc_word"), lines, T.find_toc_pages(lines, fuzzy=False), lines.withColumn("page_number", F.col("page_number") * 5))
+
+
+@query("t8_best_strategy", f"""WITH {_KINDS}, {_PAGES}, {_READ}, {_PLAUSIBLE_READ}, n AS (SELECT magazine_id, strategy, row_number() OVER (PARTITION BY magazine_id ORDER BY count(*) DESC, strategy) AS r FROM pl GROUP BY 1, 2)
+    SELECT pl.* FROM pl JOIN n USING (magazine_id, strategy) WHERE r = 1""")
+def _(v):
+    """Entries of the pages of contents, from their word boxes, in the reading that finds most."""
+    return T.best_reading(_readings(v)).select("magazine_id", "strategy", "page_number", "line_no", "title", "start_page", "end_page")
+
+
+@query("t8_entries_by_reading", f"WITH {_KINDS}, {_PAGES}, {_READ}, {_PLAUSIBLE_READ} SELECT magazine_id, strategy, count(*) AS entries FROM pl GROUP BY 1, 2")
 def _(v):
-    pl = _on_pages(v)[2]
-    readings = [pl.filter("magazine_id % 3 <> 0 OR line_no % 8 < 4"), pl.filter("line_no < 25"), pl.filter("magazine_id % 2 = 0")]
-    return T.best_strategy([r.select("magazine_id", "title", "start_page") for r in readings])
+    return _readings(v).groupBy("magazine_id", "strategy").agg(F.count("*").alias("entries"))
 
 
 @query("t9_article_ranges", f"""WITH {_KINDS}, {_PAGES}, {_ENTRIES}, {_ON_PAGES} SELECT magazine_id, title, start_page, row_number() OVER w AS position, coalesce(end_page, greatest(start_page, lead(start_page) OVER w - 1), last_page) AS end_page

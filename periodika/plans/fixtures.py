@@ -17,6 +17,7 @@ DIALECTS = {
         "doc_lines": "SELECT doc_id, split(text, '\\n', -1) AS l FROM documents",
         "pages": "SELECT doc_id, p, array_join(slice(l, 3 * p + 1, 3), '\\n') AS raw_text FROM doc_lines LATERAL VIEW explode(sequence(0, CAST((size(l) - 1) DIV 3 AS INT))) t AS p",
         "words": "SELECT magazine_id, page_number, pos AS n, w FROM v_page LATERAL VIEW posexplode(filter(split(raw_text, '[ \\n]'), x -> x <> '')) t AS pos, w",
+        "toc_words": "SELECT v_toc_place.*, i, w FROM v_toc_place LATERAL VIEW posexplode(filter(split(line, ' '), x -> x <> '')) t AS i, w",
         "keywords": "split(k, '[|]')",
         "nl": "'\\n'",
         "div": "DIV",
@@ -26,6 +27,7 @@ DIALECTS = {
         "doc_lines": "SELECT doc_id, string_split(text, chr(10)) AS l FROM documents",
         "pages": "SELECT doc_id, p, array_to_string(l[3 * p + 1 : 3 * p + 3], chr(10)) AS raw_text FROM (SELECT doc_id, l, unnest(range(0, CAST((len(l) - 1) // 3 + 1 AS BIGINT))) AS p FROM doc_lines)",
         "words": "SELECT magazine_id, page_number, n, w FROM (SELECT magazine_id, page_number, unnest(range(0, len(ws))) AS n, unnest(ws) AS w FROM (SELECT magazine_id, page_number, list_filter(string_split_regex(raw_text, '[ \\n]'), lambda x: x <> '') AS ws FROM v_page))",
+        "toc_words": "SELECT *, unnest(range(0, len(ws))) AS i, unnest(ws) AS w FROM (SELECT *, list_filter(string_split(line, ' '), lambda x: x <> '') AS ws FROM v_toc_place)",
         "keywords": "string_split(k, '|')",
         "nl": "chr(10)",
         "div": "//",
@@ -71,6 +73,12 @@ VIEWS = {
         UNION ALL SELECT id {div} 10, 4, 0, 'SOMMAIRE' FROM v_article WHERE copy = 0 AND id % 20 = 0
         UNION ALL SELECT id {div} 10, CAST(1 + id % 10 AS INT), 1000, 'Archive ' || CAST(id {div} 10 AS STRING) || ' ... ' || CAST(1 + id % 10 AS STRING) FROM v_article WHERE copy = 0
         UNION ALL SELECT id {div} 10, CAST(1 + id % 10 AS INT), 900, 'prose about ' || title FROM v_article WHERE copy = 0)""",
+    # pages of contents as word boxes: one column, two columns on common lines, or blocks side by side that are stored the wrong way round
+    "v_toc_place": """SELECT magazine_id, page_number, line, layout, r, CASE layout WHEN 1 THEN CASE WHEN r >= half THEN 1 ELSE 0 END WHEN 2 THEN (r {div} 4) % 2 ELSE 0 END AS side, CASE layout WHEN 1 THEN r % half ELSE r END AS row_no
+        FROM (SELECT magazine_id, page_number, line, magazine_id % 3 AS layout, row_number() OVER (PARTITION BY magazine_id, page_number ORDER BY line_no) - 1 AS r, (count(*) OVER (PARTITION BY magazine_id, page_number) + 1) {div} 2 AS half FROM v_toc_line WHERE page_number IN (4, 5))""",
+    "v_toc_word": """SELECT magazine_id, page_number, CAST(CASE layout WHEN 2 THEN (r {div} 8) * 2 + 1 - side ELSE 0 END AS INT) AS block, CAST(CASE layout WHEN 2 THEN r % 4 ELSE row_no END AS INT) AS line,
+        CAST(CASE layout WHEN 2 THEN ((r {div} 8) * 2 + 1 - side) * 1000 + (r % 4) * 100 ELSE row_no * 100 + side * 50 END + i AS INT) AS n, w AS text, CAST(side * 320 + i * 12 AS DOUBLE) AS x0, CAST(side * 320 + i * 12 + 10 AS DOUBLE) AS x1,
+        CAST(CASE layout WHEN 2 THEN (r {div} 8) * 60 + (r % 4) * 12 ELSE row_no * 12 END AS DOUBLE) AS y0, CAST(CASE layout WHEN 2 THEN (r {div} 8) * 60 + (r % 4) * 12 ELSE row_no * 12 END + 10 AS DOUBLE) AS y1 FROM ({toc_words})""",
     "v_theme": "SELECT * FROM (VALUES (1, 'Hardware'), (2, 'Colour'), (3, 'Size'), (4, 'Temperature'), (5, 'Empty')) AS t(id, name)",
     "v_subtheme": """SELECT id, theme_id, name, {keywords} AS keywords FROM (SELECT * FROM (VALUES (10, 1, 'Rings', 'ring|anvil'), (11, 1, 'Bolts', 'bolt|rod'), (12, 1, 'Gear', 'géar|gizmo'),
         (20, 2, 'Red', 'red'), (21, 2, 'Blue', 'blue'), (30, 3, 'Small gizmo', 'small gizmo|Large  Bolt'), (40, 4, 'Hot', 'hot|zzz'), (41, 4, 'Sterile', 'quark|bol'), (42, 4, 'Blank', ' |cold')) AS t(id, theme_id, name, k)
@@ -94,7 +102,7 @@ VIEWS = {
 def _needed(name: str) -> list[str]:
     """The views that ``name`` stands on, itself last."""
     out: list[str] = []
-    text = VIEWS[name] + (DIALECTS["spark"]["pages"] if "{pages}" in VIEWS[name] else "") + (DIALECTS["spark"]["words"] if "{words}" in VIEWS[name] else "")
+    text = VIEWS[name] + "".join(DIALECTS["spark"][part] for part in ("pages", "words", "toc_words") if "{" + part + "}" in VIEWS[name])
     for other in VIEWS:
         if other != name and re.search(rf"\b{other}\b", text.replace("{doc_lines}", "")):
             out += [x for x in _needed(other) if x not in out]

@@ -56,17 +56,33 @@ def _(v):
     return J.violations(_requests(_events(v)), 1, 15000).withColumn("minute", F.date_format("minute", _STAMP))
 
 
-@query("st2_admit_stream")
-def _(v):
+def _with_rocksdb(v, run):
+    """``run`` with the state store that processors of their own need."""
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = v.spark.conf.get(provider)
     v.spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return J.run_available(v.spark, J.admit(_requests(_event_stream(v)), 5, 15000, 6), shared_folder(v.spark))
+        return run()
     finally:
         v.spark.conf.set(provider, before)
 
 
+# Each account's requests in the order of time; a step knows the minute, the day, what they hold so far and the end of a pause.
+_ADMIT = """WITH RECURSIVE q AS (SELECT *, epoch(ts) // 60 AS m, CAST(timezone('America/Los_Angeles', timezone('UTC', ts)) AS DATE) AS d, row_number() OVER (PARTITION BY account ORDER BY ts, id) AS r FROM v_request),
+    st AS (SELECT account, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS id, CAST(-1 AS BIGINT) AS m, CAST(0 AS BIGINT) AS n, CAST(0 AS HUGEINT) AS tok, DATE '1970-01-01' AS d, CAST(0 AS BIGINT) AS today, TIMESTAMP '1970-01-01 00:00:00' AS pause, CAST(NULL AS VARCHAR) AS reason FROM v_request GROUP BY account
+      UNION ALL SELECT account, r, id, m, CASE WHEN reason IS NULL THEN n + 1 ELSE n END, CASE WHEN reason IS NULL THEN tok + tokens ELSE tok END, d, CASE WHEN reason IS NULL THEN today + 1 ELSE today END,
+        CASE reason WHEN 'day' THEN timezone('UTC', timezone('America/Los_Angeles', CAST(d + 1 AS TIMESTAMP))) WHEN 'minute' THEN date_trunc('minute', ts) + INTERVAL 1 MINUTE ELSE pause END, reason
+      FROM (SELECT *, CASE WHEN ts < pause THEN 'pause' WHEN today >= 4 THEN 'day' WHEN n >= 5 OR tok + tokens > 15000 THEN 'minute' END AS reason
+        FROM (SELECT q.account, q.r, q.id, q.m, q.d, q.ts, q.tokens, CASE WHEN q.m = st.m THEN st.n ELSE 0 END AS n, CASE WHEN q.m = st.m THEN st.tok ELSE 0 END AS tok, CASE WHEN q.d = st.d THEN st.today ELSE 0 END AS today, st.pause FROM st JOIN q ON q.account = st.account AND q.r = st.r + 1)))
+    SELECT account, id, reason IS NULL AS admitted, reason, CASE WHEN reason IS NOT NULL THEN strftime(pause, '%Y-%m-%d %H:%M:%S') END AS until FROM st WHERE r > 0"""
+
+
+@query("st2_admit_stream", _ADMIT)
+def _(v):
+    out = _with_rocksdb(v, lambda: J.run_available(v.spark, J.admit(_requests(_event_stream(v)), 5, 15000, 6), shared_folder(v.spark)))
+    return out.select("account", "id", "admitted", "reason", F.date_format("until", _STAMP).alias("until"))
+
+
 def _observed(e):
     return e.select(F.concat(F.lit("f"), (F.col("event_id") % 2).cast("string")).alias("path"), F.floor(F.col("event_id") / 4).alias("size"), F.lit(0).alias("mtime"), "ts")
 
@@ -200,6 +216,29 @@ def _(v):
     return J.run_available(v.spark, J.progress(_updates(_event_stream(v))), shared_folder(v.spark), "complete")
 
 
+_LASTS = "SELECT user_id AS document, max(ts) AS ts, arg_max(event_id % 100, (ts, event_id)) AS current FROM events GROUP BY 1"
+
+
+@query("st7_progress_states", f"""WITH l AS ({_LASTS}) SELECT document, current, 90 AS total, CASE WHEN current >= 90 THEN 'done' ELSE 'running' END AS state FROM l
+    UNION ALL SELECT document, current, 90, 'forgotten' FROM l WHERE current < 90 AND ts + INTERVAL 1 HOUR <= {_ENDED}""")
+def _(v):
+    """What becomes of each document: running or done, and forgotten an hour of event time after its last update."""
+    updates = _updates(_event_stream(v)).select("document", "id", "ts", "current", F.lit(90).cast("long").alias("total"))
+    return _with_rocksdb(v, lambda: J.run_available(v.spark, J.progress_stream(updates), shared_folder(v.spark), "update"))
+
+
+@query("st1_late_rows", """WITH p AS (SELECT ts, event_id * 7919 % 1000 // 250 AS batch FROM events), w AS (SELECT batch, max(ts) AS last FROM p GROUP BY 1), m AS (SELECT batch, max(last) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 10 MINUTE AS mark FROM w)
+    SELECT batch, count(*) AS rows, count(*) FILTER (NOT coalesce(time_bucket(INTERVAL '1 minute', ts) + INTERVAL 1 MINUTE <= mark, false)) AS kept, count(*) FILTER (time_bucket(INTERVAL '1 minute', ts) + INTERVAL 1 MINUTE <= mark) AS late FROM p JOIN m USING (batch) GROUP BY 1""")
+def _(v):
+    """Events that arrive in four files in no order of time, one after another, and what windows of a minute keep of them."""
+    folder, part = fresh_folder(v.spark, "late"), F.floor(F.col("event_id") * 7919 % 1000 / 250)
+    for i in range(4):
+        _events(v).filter(part == i).select("ts").coalesce(1).write.mode("append").parquet(f"{folder}/events")
+        stream = v.spark.readStream.schema("ts timestamp").parquet(f"{folder}/events")
+        out = J.count_late(v.spark, stream, folder, "minutes")
+    return out.select("batch", "rows", "kept", "late")
+
+
 @query("st8_job_pauses", """SELECT id, reason, strftime(CASE reason WHEN 'quota_day' THEN CAST(CAST(ts - INTERVAL 8 HOUR AS DATE) + 1 AS TIMESTAMP) + INTERVAL 8 HOUR WHEN 'quota_minute' THEN CASE WHEN id % 2 = 0 THEN ts + INTERVAL '8.5 seconds' ELSE date_trunc('minute', ts) + INTERVAL 1 MINUTE END
     WHEN 'api_error' THEN ts + INTERVAL 15 MINUTE ELSE ts + INTERVAL 60 MINUTE END, '%Y-%m-%d %H:%M:%S') AS until FROM (SELECT event_id AS id, ts, CASE event_id % 7 WHEN 0 THEN 'quota_day' WHEN 1 THEN 'quota_minute' WHEN 2 THEN 'model_unknown' WHEN 3 THEN 'key_refused' WHEN 4 THEN 'key_refused' WHEN 5 THEN CASE WHEN event_id % 4 = 3 THEN 'bad_format' END ELSE 'api_error' END AS reason FROM events)
     WHERE reason IS NOT NULL""")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import search as R
 from ..operators import taxonomy as K
+from ..operators.search_store import SearchStore
 from ..sources import archive as S
 from ..sources.stored import fresh_folder, stored
 from .registry import query, shared_folder
@@ -243,6 +246,30 @@ def _(v):
     return R.refresh_search_documents(docs.withColumn("raw_text", F.lit("old")), docs, changed).select("page_id", "raw_text")
 
 
+def _store(v):
+    """A stored search whose magazines with a remainder of 3 and 7 by 10 were refreshed, in two generations; those of 7 lose their first page."""
+    docs = stored(_docs(v), "docs")
+    store = SearchStore(v.spark, fresh_folder(v.spark, "search"), buckets=16, partitions=8)
+    store.build(docs.withColumns({"raw_text": F.when(F.col("magazine_id") % 10 == 3, F.lit("old text of the with")).otherwise(F.col("raw_text"))}))
+    for rest, fresh in ((3, docs), (7, docs.filter("page_number > 1"))):
+        store.refresh(fresh, v("v_magazine").filter(F.col("id") % 10 == rest).select(F.col("id").alias("magazine_id")))
+    return store
+
+
+_REFRESHED = "docs_ AS (SELECT * FROM docs WHERE magazine_id % 10 <> 7 OR page_number > 1)"
+
+
+@query("s11_refresh_in_place", f"WITH {_DOCS}, {_REFRESHED} SELECT page_id, magazine_id, raw_text FROM docs_")
+def _(v):
+    return _store(v).documents().select("page_id", "magazine_id", "raw_text")
+
+
+@query("r1_refreshed_index", f"WITH {_DOCS}, {_REFRESHED}, {_INDEX.replace('FROM docs', 'FROM docs_')} SELECT term, attr, page_id, tf, array_to_string(positions, ',') AS positions FROM idx")
+def _(v):
+    """The index of two generations over a base, as a rebuild would have it."""
+    return _store(v).index().select("term", "attr", "page_id", "tf", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+
+
 @query("r1_build_inverted_index", f"WITH {_DOCS}, {_INDEX} SELECT term, attr, page_id, tf, array_to_string(positions, ',') AS positions FROM idx")
 def _(v):
     out = R.build_inverted_index(_docs(v))
@@ -265,12 +292,53 @@ def _(v):
 
 @query("r2_phrase", f"""WITH {_DOCS}, {_INDEX}, a AS (SELECT page_id, magazine_id, unnest(positions) AS p FROM idx WHERE term = 'of' AND attr = 0), b AS (SELECT page_id, unnest(positions) AS p FROM idx WHERE term = 'the' AND attr = 0) SELECT DISTINCT a.page_id, a.magazine_id FROM a JOIN b ON a.page_id = b.page_id AND b.p = a.p + 1""")
 def _(v):
-    return R.match_pages(R.build_inverted_index(_docs(v)), '"of the"', limit=None).select("page_id", "magazine_id")
+    return R.matching_pages(R.build_inverted_index(_docs(v)), '"of the"').select("page_id", "magazine_id")
 
 
 @query("r2_typos", f"WITH {_DOCS}, {_INDEX} SELECT DISTINCT page_id FROM idx WHERE levenshtein(term, 'tition') <= 1 OR starts_with(term, 'tition')")
 def _(v):
-    return R.match_pages(R.build_inverted_index(_docs(v)), "tition", typos=True, limit=None).select("page_id")
+    return R.matching_pages(R.build_inverted_index(_docs(v)), "tition", typos=True).select("page_id")
+
+
+@query("r2_typo_index", f"WITH {_DOCS}, {_INDEX} SELECT DISTINCT page_id FROM idx WHERE levenshtein(term, 'tition') <= 1 OR starts_with(term, 'tition')")
+def _(v):
+    """The same by a table of variants."""
+    index = stored(R.build_inverted_index(_docs(v)), "index")
+    return R.matching_pages(index, "tition", True, R.term_variants(index.select("term").distinct())).select("page_id")
+
+
+@query("r2_term_variants", f"""WITH {_DOCS}, {_INDEX}, t AS (SELECT DISTINCT term, length(term) AS n FROM idx), one AS (SELECT term, n, substr(term, 1, i - 1) || substr(term, i + 1) AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM t WHERE n BETWEEN 4 AND 40)),
+    two AS (SELECT term, substr(v, 1, i - 1) || substr(v, i + 1) AS v FROM (SELECT *, unnest(range(1, n)) AS i FROM one WHERE n >= 7)) SELECT term, count(DISTINCT v) AS variants FROM (SELECT term, term AS v FROM t WHERE n BETWEEN 4 AND 40 UNION ALL SELECT term, v FROM one UNION ALL SELECT * FROM two) GROUP BY 1""")
+def _(v):
+    return R.term_variants(R.build_inverted_index(_docs(v)).select("term").distinct()).filter("variant IS NOT NULL").groupBy("term").agg(F.count("*").alias("variants"))
+
+
+@query("r2_ranks_of_all", f"WITH {_HITS} SELECT * FROM hits")
+def _(v):
+    """All matching pages, numbered in ranges and not in one task."""
+    return R.match_pages(stored(R.build_inverted_index(_docs(v)), "index"), "The with", limit=None)
+
+
+# Words of several scripts, each on the pages of one remainder, written in a form that the query doesn't use.
+_SCRIPTS = ["Россий", "Ελλάδα", "한국", "m²", "crème"]
+
+
+@query("r2_scripts", "SELECT word, CAST(magazine_id AS STRING) || '-' || CAST(page_number AS STRING) AS page_id FROM v_page JOIN (VALUES " + ", ".join(f"({i}, '{w}')" for i, w in enumerate(_SCRIPTS)) + ") AS s(i, word) ON magazine_id % 5 = i")
+def _(v):
+    docs = _docs(v).withColumn("raw_text", F.concat("raw_text", F.lit(" "), F.element_at(F.array(*map(F.lit, _SCRIPTS)), (F.col("magazine_id") % 5 + 1).cast("int"))))
+    index, out = stored(R.build_inverted_index(docs), "index"), None
+    for w in _SCRIPTS:
+        bare = w if w == _SCRIPTS[2] else unicodedata.normalize("NFD", w.upper())
+        one = R.matching_pages(index, bare).select(F.lit(w).alias("word"), "page_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("x9_snippet_scripts", "SELECT magazine_id, page_number, 'it ' || CASE magazine_id % 5 " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(_SCRIPTS)) + " END AS snippet FROM v_page")
+def _(v):
+    word = F.element_at(F.array(*map(F.lit, _SCRIPTS)), (F.col("magazine_id") % 5 + 1).cast("int"))
+    text = F.concat_ws(" ", F.lit("start of it"), word, F.lit("end"))
+    return v("v_page").select("magazine_id", "page_number", X.snippet(text, [w.upper() for w in _SCRIPTS], 2).alias("snippet"))
 
 
 @query("r2_accents", f"WITH {_DOCS}, {_INDEX} SELECT DISTINCT page_id FROM idx WHERE starts_with(term, 'fur')")
@@ -306,8 +374,8 @@ _BOXES = "SELECT magazine_id, page_number, n FROM v_word WHERE regexp_replace(lo
 
 @query("r4_find_in_document", f"WITH {_HITS} SELECT h.page_id, CAST(split_part(h.page_id, '-', 2) AS INT) AS page_number, greatest(count(b.n), 1) AS occurrence_count FROM hits h LEFT JOIN ({_BOXES}) b ON b.magazine_id = h.magazine_id AND b.page_number = CAST(split_part(h.page_id, '-', 2) AS INT) WHERE h.magazine_id = 1 AND h.rank <= 100000 GROUP BY 1, 2")
 def _(v):
-    hits = R.match_pages(R.build_inverted_index(_docs(v)), "The with", limit=None)
-    return R.find_in_document(hits, v("v_word"), ["the", "with"], 1)
+    index = R.build_inverted_index(_docs(v).filter("magazine_id = 1"))
+    return R.find_in_document(R.matching_pages(index, "The with"), v("v_word"), ["the", "with"], 1)
 
 
 @query("r5_hit_boxes", _BOXES)

@@ -8,10 +8,11 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranks import ranks
 from .stored import stored
 
 
@@ -132,9 +133,9 @@ def get_or_create_dimension(names: DataFrame, dim: DataFrame, any_case: bool = F
     key = (lambda c: F.lower(c)) if any_case else (lambda c: c)
     unseen = names.filter("name IS NOT NULL").select("name", key(F.col("name")).alias("k")).groupBy("k").agg(F.min("name").alias("name"))
     unseen = unseen.join(dim.select(key(F.col("name")).alias("k")).hint("merge"), "k", "left_anti")
-    top = dim.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).withColumn("one", F.lit(1))
-    new = unseen.withColumn("r", F.row_number().over(Window.orderBy("name"))).withColumn("one", F.lit(1)).join(F.broadcast(top), "one")  # names of a small dimension, one row
-    return dim.select("id", "name").unionByName(new.select((F.col("top") + F.col("r")).cast(dim.schema["id"].dataType).alias("id"), "name"))
+    top = dim.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    new = ranks(unseen.select("name"), F.col("name"), name="r")
+    return dim.select("id", "name").unionByName(new.select((F.lit(top) + F.col("r")).cast(dim.schema["id"].dataType).alias("id"), "name"))
 
 
 LOG = T.StructType([T.StructField(n, T.StringType()) for n in ("timestamp", "level", "logger", "message", "component")])

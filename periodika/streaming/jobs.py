@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..sources.stored import Files, HashStore
+from ..sources.stored import Files, HashStore, Unit
 
 LATE = "10 minutes"
 PACIFIC = "America/Los_Angeles"
@@ -147,10 +147,93 @@ def login_windows(attempts: DataFrame, most: int = 5) -> DataFrame:
 
 
 def progress(updates: DataFrame) -> DataFrame:
-    """ST7. The last state (current, total) of each document."""
+    """ST7. The last state (current, total) of each document, of a table of updates."""
     return updates.groupBy("document").agg(F.max_by(F.struct("current", "total"), F.struct("ts", "id")).alias("p")).select("document", "p.current", "p.total")
 
 
+#: Seconds after its last update that a document's progress is forgotten.
+FORGOTTEN = 3600
+PROGRESS = T.StructType([*(T.StructField(c, T.LongType()) for c in ("document", "current", "total")), T.StructField("state", T.StringType())])
+_LAST = "ts long, id long, current long, total long"
+
+
+class Progress(StatefulProcessor):
+    """Where one document stands: its last update, until it is complete or ``FORGOTTEN`` seconds of event time have passed without one.
+
+    Of each micro-batch the last update goes out, as ``running`` or ``done``; what is forgotten goes out once more as such. Both ends
+    remove the document's state, so state is as large as what runs. An update older than the last one changes nothing.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state, self.handle = handle.getValueState("last", _LAST), handle
+
+    def _timer(self, at: int | None) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if at is not None:
+            self.handle.registerTimer(at // 1000 + FORGOTTEN * 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = self.state.get() if self.state.exists() else None
+        last = before
+        for part in rows:  # one row of each frame is kept
+            part = part.assign(at=part["ts"].astype("datetime64[us]").astype("int64")).sort_values(["at", "id"])
+            r = part.iloc[-1]
+            if last is None or (int(r["at"]), int(r["id"])) > (last[0], last[1]):
+                last = (int(r["at"]), int(r["id"]), int(r["current"]), int(r["total"]))
+        if last is before:
+            return
+        done = last[2] >= last[3]
+        if done:
+            self.state.clear()
+        else:
+            self.state.update(last)
+        self._timer(None if done else last[0])
+        yield pd.DataFrame([(key[0], last[2], last[3], "done" if done else "running")], columns=PROGRESS.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            last = self.state.get()
+            self.state.clear()
+            yield pd.DataFrame([(key[0], last[2], last[3], "forgotten")], columns=PROGRESS.names)
+
+    def close(self) -> None:
+        pass
+
+
+def progress_stream(updates: DataFrame) -> DataFrame:
+    """ST7. What becomes of each document of a stream of updates (document, id, ts, current, total): ``PROGRESS``, by ``Progress``."""
+    return updates.withWatermark("ts", LATE).groupBy("document").transformWithStateInPandas(statefulProcessor=Progress(), outputStructType=PROGRESS, outputMode="update", timeMode="eventTime")
+
+
+LATENESS = "batch long, rows long, kept long, late long, last_ts timestamp, watermark timestamp"
+
+
+def count_late(spark: SparkSession, stream: DataFrame, folder: str, name: str, width: str = "1 minute", delay: str = LATE) -> DataFrame:
+    """How many rows of each micro-batch a windowed job of this watermark keeps, and how many come too late for it: ``LATENESS``.
+
+    The watermark of a batch is ``delay`` before the latest time of all earlier batches; a row is late if its window (``width``) had ended by then.
+    Both are known from a table with a row for each batch, so that counting goes on over restarts, and a batch that comes again
+    counts once. Rows without a time are neither.
+    """
+    unit = Unit(spark, f"{folder.rstrip('/')}/{name}-late")
+
+    def each(batch: DataFrame, number: int) -> None:
+        def body() -> None:
+            last = unit.table("lateness", LATENESS.removeprefix("batch long, "), before=number).agg(F.max("last_ts")).first()[0]
+            mark = F.lit(last).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+            # windows of rows without a time aren't asked for: Spark would leave these rows out
+            late = F.coalesce(F.window(F.coalesce("ts", F.lit(0).cast("timestamp")), width)["end"] <= mark, F.lit(False))
+            timed = batch.withColumn("late", F.when(F.col("ts").isNotNull(), late))
+            counts = timed.agg(F.count("*").alias("rows"), F.count_if(~F.col("late")).alias("kept"), F.count_if("late").alias("late"), F.max("ts").alias("last_ts"))
+            unit.put(counts.select("rows", "kept", "late", "last_ts", mark.alias("watermark")), "lateness", number)
+
+        unit.write(number, body)
+
+    run_available(spark, stream, folder, name=name, each=each, keep=False)
+    return unit.table("lateness", LATENESS.removeprefix("batch long, ")).select(*(c.split()[0] for c in LATENESS.split(", ")))
+
+
 def job_pauses(attempts: DataFrame) -> DataFrame:
     """ST8. For failed attempts (at, code, message, streak): the reason of the pause and when work goes on."""
     at, text = F.col("at"), F.col("message")
@@ -178,13 +261,13 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return events.withWatermark("ts", LATE).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("events")).select(F.col("session_window.start").alias("start"), "user_id", "events")
 
 
-def run_available(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, only: Callable[[DataFrame, int], DataFrame] | None = None, name: str | None = None, keep: bool = True) -> DataFrame | None:
+def run_available(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, only: Callable[[DataFrame, int], DataFrame] | None = None, name: str | None = None, keep: bool = True, told: Callable[[list], None] | None = None) -> DataFrame | None:
     """Runs ``stream`` over what its source has now; the table that it has written below ``folder``, earlier runs of ``name`` included.
 
     With a ``name`` the checkpoint stays in place, and the next run of that name goes on where this one stopped: it reads new files only,
     and its state and its numbers of batches continue. Without one the run stands alone. Each batch goes to a folder of its own by number,
     so a batch that is run again replaces itself; in mode ``complete`` the last batch is the result. ``only`` says what of a batch is written,
-    ``each`` is called with each batch after it; nothing is written unless ``keep``.
+    ``each`` is called with each batch after it; nothing is written unless ``keep``. ``told`` gets what Spark says of the run's batches.
     """
     place = f"{folder.rstrip('/')}/{name or 'stream-' + uuid.uuid4().hex}"
 
@@ -197,11 +280,13 @@ def run_available(spark: SparkSession, stream: DataFrame, folder: str, mode: str
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
+    if told:
+        told(list(query.recentProgress))
     if not keep:
         return None
     if not Files(spark, f"{place}/data").names():
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{place}/data")
+    return spark.read.schema(stream.schema).parquet(f"{place}/data").select(stream.columns)
 
 
 def dedupe_files(spark: SparkSession, files: DataFrame, folder: str, name: str) -> DataFrame:

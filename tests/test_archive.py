@@ -14,6 +14,7 @@ from periodika.operators import quality as D
 from periodika.operators import search as R
 from periodika.operators import taxonomy as K
 from periodika.operators import toc as T
+from periodika.operators.ranks import ranks
 from periodika.sources import archive as S
 from periodika.sources.stored import Files, HashStore, Unit
 from periodika.streaming import jobs as J
@@ -528,3 +529,172 @@ def test_an_empty_batch_and_texts_in_any_script(spark, tmp_path):
         assert one(spark, [f"left {w} right"], X.snippet(F.col("v"), w, 2)) == [f"left {w}"]
     assert one(spark, words, X.norm(F.col("v"))) == [X.norm_text(w) for w in words]
     assert [" ".join(t) for t in one(spark, words, X.terms(F.col("v")))] == [" ".join(X.plain_terms(w)) for w in words]
+
+
+def test_a_stored_search_is_refreshed_in_place(spark, tmp_path, monkeypatch):
+    """Changed magazines rewrite their buckets only, the index sees changes at once, and compacting changes nothing but its files."""
+    from periodika.operators import search_store
+
+    monkeypatch.setattr(search_store, "MOST_GENERATIONS", 3)
+    store = search_store.SearchStore(spark, f"file://{tmp_path}/search", buckets=8, partitions=2)
+    schema = "page_id string, magazine_id int, page_number int, raw_text string, magazine_title string"
+    pages = {(m, p): f"word{m} common text{p}" for m in range(12) for p in (1, 2)}
+    table = lambda rows: spark.createDataFrame([(f"{m}-{p}", m, p, t, f"Title {m}") for (m, p), t in rows.items()], schema)
+    changed = lambda *ids: spark.createDataFrame([(i,) for i in ids], "magazine_id int")
+    store.build(table(pages))
+
+    def files():
+        return {p: p.stat().st_mtime_ns for p in (tmp_path / "search/documents").rglob("*.parquet")}
+
+    def same():
+        rebuilt = R.build_inverted_index(store.documents())
+        row = lambda r: (r["term"], r["attr"], r["page_id"], r["tf"], tuple(r["positions"]))
+        assert sorted(map(row, store.index().collect())) == sorted(map(row, rebuilt.collect()))
+        assert {(r["magazine_id"], r["page_number"]): r["raw_text"] for r in store.documents().collect()} == pages
+
+    same()
+    before = files()
+    for step, (ids, new) in enumerate([((3,), {(3, 1): "fresh wörd", (3, 7): "more"}), ((5, 40), {(40, 1): "entirely new"}), ((), {}), ((3,), {(3, 1): "fresh again"})]):
+        pages = {k: t for k, t in pages.items() if k[0] not in ids} | new
+        store.refresh(table(pages | {(0, 1): "not asked for"}), changed(*ids))
+        pages = pages | {}
+        same()
+        if step == 0:
+            kept = files()
+            bucket = store._bucketed(changed(3)).first()["bucket"]
+            assert {p for p in before if before[p] == kept.get(p)} == {p for p in before if f"bucket={bucket}" not in str(p)}
+    assert store.unit.committed() == [0, 1, 2, 3, 4, 5] and store._since() == 4  # compacted after three, then one more
+    assert {r["page_id"] for r in R.match_pages(store.index(), "comon", typos=True, variants=store.variants()).collect()} == {f"{m}-{p}" for m, p in pages if m not in (3, 40)}
+    store.clean()
+    assert store.unit.committed() == [4, 5]
+    same()
+    plan = R.matching_pages(store.index(), "fresh")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "StartsWith(term,fresh)" in plan
+
+
+def test_terms_near_a_word_are_those_that_comparing_all_finds(spark):
+    rng = random.Random(11)
+    letters = "abcdé"
+    words = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(1500)} | {"x" * n for n in range(36, 46)} | {"ab" * 30}
+    words |= {w[:3] + w[4:] for w in list(words)[:300]} | {w[:2] + "z" + w[2:] for w in list(words)[:300]}
+    terms = spark.createDataFrame([(w,) for w in sorted(words) if w], "term string")
+    variants = R.term_variants(terms).cache()
+    asked = ["abcde", "abcdabcd", "abcdabcda", "ab", "x" * 38, "x" * 40, "x" * 42, "aedcbabcde"] + rng.sample(sorted(words), 12)
+    got = {(r["i"], r["term"]) for r in R.near_terms(variants, asked).collect()}
+    pairs = terms.crossJoin(spark.createDataFrame([(i, w, R._typos(w)) for i, w in enumerate(asked) if R._typos(w)], "i int, w string, d int"))
+    assert got == {(r["i"], r["term"]) for r in pairs.filter(F.levenshtein("term", "w") <= F.col("d")).collect()}
+    plan = R.near_terms(variants, asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_many_near_terms_are_joined(spark, monkeypatch):
+    index = R.build_inverted_index(spark.createDataFrame([(str(i), i, w, "") for i, w in enumerate(["magazine", "magazines", "magasine", "other", "magazone paper", "papers"])], "page_id string, magazine_id int, raw_text string, magazine_title string"))
+    variants = R.term_variants(index.select("term").distinct())
+    want = {r["page_id"] for r in R.match_pages(index, "magazine", typos=True).collect()}
+    assert want == {"0", "1", "2", "4"}
+    assert {r["page_id"] for r in R.match_pages(index, "magazine", typos=True, variants=variants).collect()} == want
+    monkeypatch.setattr(R, "LITERAL_TERMS", 1)
+    assert {r["page_id"] for r in R.match_pages(index, "magazine", typos=True, variants=variants).collect()} == want
+    assert {r["page_id"] for r in R.match_pages(index, "magazine paper", typos=True, variants=variants).collect()} == {"4"}
+
+
+def test_ranks_need_no_task_that_holds_all(spark):
+    df = spark.range(3000).select((F.col("id") * 7919 % 1000).alias("k"), F.format_string("p%05d", "id").alias("page"))
+    out = ranks(df, F.desc("k"), F.col("page"))
+    got = [(r["k"], r["page"]) for r in out.orderBy("rank").collect()]
+    assert got == sorted(got, key=lambda x: (-x[0], x[1])) and sorted(r["rank"] for r in out.collect()) == list(range(1, 3001))
+    assert ranks(df.limit(0), F.col("k")).count() == 0
+    index = spark.createDataFrame([("a", 0, str(i), i, 1 + i % 3, [0]) for i in range(20)], "term string, attr int, page_id string, magazine_id int, tf long, positions array<int>")
+    for limit in (None, 5):
+        got = R.match_pages(index, "a", limit=limit)
+        assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert [r["rank"] for r in got.orderBy("rank").collect()] == list(range(1, (limit or 20) + 1))
+    names = spark.createDataFrame([("b",), ("a",), ("b",), (None,), ("c",)], "name string")
+    out = S.get_or_create_dimension(names, spark.createDataFrame([(5, "c")], "id int, name string"))
+    assert sorted((r["id"], r["name"]) for r in out.collect()) == [(5, "c"), (6, "a"), (7, "b")]
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _boxes(page: int, rows: list[list[tuple[float, str]]]) -> list[tuple]:
+    """Word boxes of physical lines, each a list of (left edge, text) of its columns; the stored order is that of the lines."""
+    out = []
+    for line, columns in enumerate(rows):
+        for x, text in columns:
+            for i, w in enumerate(text.split()):
+                out.append((1, page, 0, line, len(out), w, x + 12.0 * i, x + 12.0 * i + 10, 12.0 * line, 12.0 * line + 10))
+    return out
+
+
+def test_two_columns_on_common_lines_are_read_by_columns(spark):
+    """Read as stored, two entries on a line become one with a wrong title; by columns all are found, without the running header."""
+    left = [f"A tale of number {i} . . . . . {i + 2}" for i in range(6)]
+    right = [f"Another story {i} . . . . . {i + 20}" for i in range(6)]
+    boxes = _boxes(2, [[(0.0, "SOMMAIRE")], *([(0.0, a), (320.0, b)] for a, b in zip(left, right, strict=True)), [(0.0, "Revue 1 . . . . . 7")]])
+    words = spark.createDataFrame(boxes, "magazine_id int, page_number int, block int, line int, n int, text string, x0 double, x1 double, y0 double, y1 double")
+    stored_lines = [(1, 2, i + 1, t) for i, t in enumerate(["SOMMAIRE", *(f"{a} {b}" for a, b in zip(left, right, strict=True)), "Revue 1 . . . . . 7"])]
+    stored_lines += [(1, p, 1, f"Revue 1 . . . . . {p}") for p in (3, 4, 30)]
+    lines = spark.createDataFrame(stored_lines, "magazine_id int, page_number int, line_no int, line string")
+    found = T.find_toc_pages(lines, fuzzy=False)
+    entries = T.entries_of_readings(words, lines, found, lines)
+    counts = {r["strategy"]: r["n"] for r in entries.groupBy("strategy").agg(F.count("*").alias("n")).collect()}
+    assert counts == {0: 6, 1: 12, 2: 6}
+    best = T.best_reading(entries).orderBy("line_no").collect()
+    assert [(r["strategy"], r["title"], r["start_page"]) for r in best] == [(1, f"A tale of number {i}", i + 2) for i in range(6)] + [(1, f"Another story {i}", i + 20) for i in range(6)]
+
+
+def test_blocks_stored_the_wrong_way_round_are_read_by_rows(spark):
+    """A title in the left block whose page number stands in the right one, which is stored first."""
+    rows = []
+    for k in range(4):
+        for side, text in ((1, str(3 + k)), (0, f"The story that begins number {'abcd'[k]}")):
+            for i, w in enumerate(text.split()):
+                rows.append((1, 2, 2 * k + (1 - side), 0, len(rows), w, 320.0 * side + 12 * i, 320.0 * side + 12 * i + 10, 30.0 * k, 30.0 * k + 10))
+    words = spark.createDataFrame(rows, "magazine_id int, page_number int, block int, line int, n int, text string, x0 double, x1 double, y0 double, y1 double")
+    read = {s: [r["line"] for r in T.readings(words).filter(F.col("strategy") == s).orderBy("line_no").collect()] for s in range(3)}
+    assert read[0][:2] == ["3", "The story that begins number a"] and read[2][:2] == ["The story that begins number a", "3"]
+    assert read[1] == [f"The story that begins number {c}" for c in "abcd"] + ["3", "4", "5", "6"]
+
+
+def test_progress_is_forgotten(spark, tmp_path):
+    """State ends on completion, and an hour of event time after the last update."""
+    import pandas as pd
+
+    at = pd.Timestamp("2026-01-15 10:00:00")
+    parts = [
+        [(1, 1, at, 3, 10), (1, 2, at + pd.Timedelta(minutes=1), 4, 10), (2, 3, at, 10, 10), (3, 4, at, 1, 10)],
+        [(1, 5, at - pd.Timedelta(minutes=5), 2, 10), (3, 6, at + pd.Timedelta(minutes=30), 2, 10)],
+        [(4, 7, at + pd.Timedelta(minutes=75), 9, 9)],  # the watermark passes 11:01, not 11:30
+        [(5, 8, at + pd.Timedelta(hours=5), 9, 9)],
+    ]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema, seen, states = "document long, id long, ts timestamp, current long, total long", [], []
+    for i, part in enumerate(parts):
+        spark.createDataFrame(pd.DataFrame(part, columns=["document", "id", "ts", "current", "total"])).coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+    J.run_available(spark, J.progress_stream(stream), f"file://{tmp_path}/out", "update", each=lambda b, n: seen.append(sorted((r["document"], r["current"], r["state"]) for r in b.collect())), told=states.append)
+    assert seen[0] == [(1, 4, "running"), (2, 10, "done"), (3, 1, "running")] and seen[1] == [(3, 2, "running")]
+    assert [x for s in seen[2:] for x in s] == [(4, 9, "done"), (1, 4, "forgotten"), (5, 9, "done"), (3, 2, "forgotten")]
+    assert states[0][-1]["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def test_late_rows_are_counted_over_restarts(spark, tmp_path):
+    """Two runs of one name; the windowed job keeps what is counted as kept."""
+    import pandas as pd
+
+    at, folder = pd.Timestamp("2026-01-15 10:00:00"), f"file://{tmp_path}/out"
+    minutes = [[0, 1, 30], [5, 21, 40, None], [5, 29, 31, 90], [200, 100, 79]]
+    want, last = {}, None
+    for i, part in enumerate(minutes):
+        late = sum(1 for m in part if m is not None and last is not None and m + 1 <= last - 10)
+        want[i] = (len(part), len([m for m in part if m is not None]) - late, late)
+        last = max([m for m in part if m is not None] + ([last] if last is not None else []))
+    for i, part in enumerate(minutes):
+        rows = [(None if m is None else (at + pd.Timedelta(minutes=m)).to_pydatetime(), 1) for m in part]
+        spark.createDataFrame(rows, "ts timestamp, account long").withColumn("tokens", F.lit(1)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("ts timestamp, account long, tokens int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        if i % 2:
+            counts = J.count_late(spark, stream, folder, "counted")
+            windows = J.run_available(spark, J.rate_windows(stream), folder, name="windows")
+    assert {r["batch"]: (r["rows"], r["kept"], r["late"]) for r in counts.collect()} == want
+    ended = 200 - 10
+    assert windows.agg(F.sum("requests")).first()[0] == sum(k for _, k, _ in want.values()) - sum(1 for p in minutes for m in p if m is not None and m + 1 > ended)
