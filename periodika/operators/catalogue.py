@@ -10,6 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.stored import stored
+from .ranks import ranks
+
+#: Magazines on one page of a list up to which the page is broadcast.
+BROADCAST_ROWS = 10_000
 
 
 def filter_magazines(
@@ -93,8 +98,10 @@ def list_magazines(magazines: DataFrame, pages: DataFrame, articles: DataFrame,
     """A1. Magazines with their numbers of pages and articles; sort is date, added or updated."""
     keys = {"date": F.desc_nulls_last("publication_date"), "added": F.desc("created_s"), "updated": F.desc("updated_s")}
     top = magazines.orderBy(keys[sort], "title", "id").offset((page - 1) * limit).limit(limit)
-    # only the pages and articles of these magazines are counted: a page of the list is at most ``limit`` rows
-    shown = F.broadcast(top.select(F.col("id").alias("magazine_id")))
+    # written, as it is used four times; only the pages and articles of these magazines are counted
+    top = stored(top, "listed")
+    shown = top.select(F.col("id").alias("magazine_id"))
+    shown = F.broadcast(shown) if limit <= BROADCAST_ROWS else shown.hint("merge")
     n_pages = pages.join(shown, "magazine_id", "left_semi").groupBy("magazine_id").agg(F.count("*").alias("page_count"))
     n_articles = articles.join(shown, "magazine_id", "left_semi").groupBy("magazine_id").agg(F.count("*").alias("article_count"))
     out = top.withColumnRenamed("id", "magazine_id").join(n_pages.hint("merge"), "magazine_id", "left").join(n_articles.hint("merge"), "magazine_id", "left")
@@ -142,9 +149,11 @@ def taxonomy_level3(links: DataFrame, articles: DataFrame, magazines: DataFrame,
     where = magazines.select(F.col("id").alias("magazine_id"), F.col("title").alias("magazine"), "publication_date", "collection_id")
     rows = articles.join(wanted, "id", "left_semi").join(where, "magazine_id")
     rows = rows.join(collections.select(F.col("id").alias("collection_id"), F.col("name").alias("collection")), "collection_id", "left").withColumn("collection", F.coalesce("collection", F.lit("Sans collection")))
-    sized = rows.withColumn("group_size", F.count("*").over(Window.partitionBy("collection")))
-    inside = Window.partitionBy("collection").orderBy(F.desc_nulls_last("publication_date"), "magazine", "start_page", "id")
-    return sized.withColumn("position", F.row_number().over(inside)).select("collection", "group_size", "position", F.col("id").alias("article_id"), "title", "magazine", "start_page")
+    # ranks over all in ranges; a collection's own begin at its first
+    numbered = stored(ranks(rows, F.col("collection"), F.desc_nulls_last("publication_date"), F.col("magazine"), F.col("start_page"), F.col("id"), name="at"), "ranked")
+    groups = numbered.groupBy(F.col("collection").alias("c")).agg(F.count("*").alias("group_size"), F.min("at").alias("first"))
+    sized = numbered.join(groups.hint("merge"), F.col("collection") == F.col("c"))
+    return sized.select("collection", "group_size", (F.col("at") - F.col("first") + 1).alias("position"), F.col("id").alias("article_id"), "title", "magazine", "start_page")
 
 
 def dashboard_stats(magazines: DataFrame, articles: DataFrame, links: DataFrame, users: DataFrame, days: int = 7) -> DataFrame:
@@ -202,11 +211,9 @@ def group_by_issue_type(magazines: DataFrame, collection_id: int) -> DataFrame:
 
 
 def articles_by_magazine(rows: DataFrame, order: str) -> DataFrame:
-    """A12. Articles with the place of their magazine's group (in the order of its first article) and their place inside it."""
-    first = F.min(order).over(Window.partitionBy("magazine_id"))
-    ranked = rows.withColumn("first", first).withColumn("position", F.row_number().over(Window.partitionBy("magazine_id").orderBy(order)))
-    groups = ranked.select("magazine_id", "first").distinct()
-    return ranked.join(groups.withColumn("group_rank", F.col("first")).hint("merge"), ["magazine_id", "first"]).drop("first")
+    """A12. Articles with the first place of their magazine's group, by which groups are ordered, and their place inside it."""
+    by_magazine = Window.partitionBy("magazine_id")
+    return rows.withColumns({"group_rank": F.min(order).over(by_magazine), "position": F.row_number().over(by_magazine.orderBy(order))})
 
 
 def set_collection_tags(collection_tags: DataFrame, tags: DataFrame, magazines: DataFrame, collection_id: int, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

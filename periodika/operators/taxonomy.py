@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from .ranks import ranks
 
 MAX_TAXONOMY_BYTES = 2 * 1024 * 1024
 
@@ -216,18 +217,6 @@ def coverage_stats(articles: DataFrame, links: DataFrame, warn_below: float = 50
     return a.join(c, "k").drop("k").withColumn("percent", percent).withColumn("warn", warn)
 
 
-def ranked(df: DataFrame, key: str, width: int = 4096) -> DataFrame:
-    """``df`` with ``rn``, its row number in the order of the integer ``key``, without sorting everything in one task.
-
-    Rows are numbered inside ranges of ``width`` keys; the ranges' sizes give the offsets.
-    """
-    ranged = df.withColumn("__range", F.floor(F.col(key) / width))
-    sizes = ranged.groupBy("__range").agg(F.count("*").alias("n"))
-    offsets = sizes.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("__before"))  # a row for 4096 keys
-    inside = Window.partitionBy("__range").orderBy(key)
-    return ranged.withColumn("rn", F.row_number().over(inside)).join(offsets.hint("merge"), "__range").withColumn("rn", F.col("rn") + F.col("__before")).drop("__range", "__before")
-
-
 def fold_batches(costs: Column, most_items: int, most_cost: int) -> Column:
     """Batch numbers of items in an array, by greedy packing: an array as long as ``costs``."""
     start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("cost"), F.array().cast("array<int>").alias("out"))
@@ -243,7 +232,7 @@ def fold_batches(costs: Column, most_items: int, most_cost: int) -> Column:
     return F.aggregate(costs, start, step, lambda acc: acc["out"])
 
 
-MAX_ITEMS, MAX_TOKENS, MAX_TITLE = 300, 100_000, 500
+MAX_ITEMS, MAX_TOKENS = 300, 100_000
 #: Rows that one task packs at a time.
 PACK_ROWS = 1 << 16
 
@@ -316,18 +305,39 @@ def pack_ranges(rows: DataFrame, by: str, most_items: int, most_cost: int, width
     return known.groupBy(by, "range").applyInPandas(number, f"`{by}` {kind}, id {rows.schema['id'].dataType.simpleString()}, batch int")
 
 
-def pack_batches(articles: DataFrame, base_cost: int, partition_by: str | None = None) -> DataFrame:
-    """K13. Articles in batches of 300 items and 100 000 tokens at most, in the order of their ids.
+def json_length(c: Column) -> Column:
+    """Signs of a text as a JSON string, quotes included; 4 for null. Signs beyond ASCII stand for themselves."""
+    short, control = F.regexp_count(c, F.lit(r'["\\\\\n\r\t\x08\x0C]')), F.regexp_count(c, F.lit(r"[\x00-\x07\x0B\x0E-\x1F]"))
+    return F.when(c.isNull(), 4).otherwise(F.length(c) + 2 + short + 5 * control)
+
+
+# What a request has around the values of an item: a fixed value.
+ITEM = '{"article_id": , "titre": , "collection": }'
+
+
+def item_cost(id: Column, title: Column, collection: Column, empty_request: int = 0) -> Column:
+    """K13. Tokens that an item adds to a request: a quarter of its JSON with id, title and collection, rounded as the whole is.
+
+    ``empty_request``: signs of the request without items and without taxonomy; its remainder by 4 decides how an item is rounded.
+    """
+    n = len(ITEM) + F.length(id.cast("string")) + json_length(title) + json_length(collection)
+    return (F.floor((n + (empty_request + 3)) / 4) - (empty_request + 3) // 4).cast("int")
+
+
+def pack_batches(articles: DataFrame, base_cost: int, partition_by: str | None = None, empty_request: int = 0) -> DataFrame:
+    """K13. Articles (id, title, collection) in batches of 300 items and 100 000 tokens at most, in the order of their ids.
 
-    While 300 of the longest titles fit beside ``base_cost``, only the count can close a batch, and row numbers give the batch.
-    Otherwise packing depends on all that came before; it is done inside each value of ``partition_by``, in ranges of rows.
+    ``base_cost`` are the tokens of a request without items, its taxonomy included. While 300 of the costliest items fit beside it, only the
+    count can close a batch, and row numbers give the batch. Otherwise packing depends on all that came before; it goes on in ranges
+    of rows, inside each value of ``partition_by`` or over all.
     """
-    worst = MAX_ITEMS * ((MAX_TITLE + 3) // 4)
+    collection = F.col("collection") if "collection" in articles.columns else F.lit(None).cast("string")
+    rows = articles.select(F.col(partition_by) if partition_by else F.lit(0).alias("__all"), "id", item_cost(F.col("id"), F.col("title"), collection, empty_request).alias("cost"))
     if partition_by is None:
-        if base_cost + worst > MAX_TOKENS:
-            raise ValueError("the fixed cost leaves no room for 300 long titles: pack by a column")
-        return ranked(articles, "id").select("id", F.floor((F.col("rn") - 1) / MAX_ITEMS).alias("batch"))
-    rows = articles.select(partition_by, "id", F.coalesce(X.estimate_tokens(F.col("title")).cast("int"), F.lit(0)).alias("cost"))
+        most = rows.agg(F.coalesce(F.max("cost"), F.lit(0))).first()[0]
+        if base_cost + MAX_ITEMS * most <= MAX_TOKENS:
+            return ranks(articles.select("id"), F.col("id"), name="rn").select("id", F.floor((F.col("rn") - 1) / MAX_ITEMS).alias("batch"))
+        return pack_ranges(rows, "__all", MAX_ITEMS, MAX_TOKENS - base_cost).select("id", F.col("batch").cast("long").alias("batch"))
     return pack_ranges(rows, partition_by, MAX_ITEMS, MAX_TOKENS - base_cost)
 
 

@@ -272,3 +272,9 @@ def dedupe_articles(articles: DataFrame) -> DataFrame:
     """T13. Articles without the later ones of equal magazine, title and start."""
     w = Window.partitionBy("magazine_id", "title", "start_page").orderBy("id")
     return articles.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+
+
+def count_duplicates(articles: DataFrame) -> DataFrame:
+    """T13, dry run. ``duplicates``: how many articles ``dedupe_articles`` would take out, and ``groups``: of how many groups."""
+    n = articles.groupBy("magazine_id", "title", "start_page").agg(F.count("*").alias("n")).filter("n > 1")
+    return n.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"), F.count("*").alias("groups"))

@@ -236,3 +236,8 @@ def _(v):
 @query("t13_dedupe_articles", "SELECT min(id) AS id, magazine_id, title, start_page FROM v_article GROUP BY 2, 3, 4")
 def _(v):
     return T.dedupe_articles(v("v_article")).select("id", "magazine_id", "title", "start_page")
+
+
+@query("t13_count_duplicates", "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates, count(*) AS groups FROM (SELECT count(*) AS n FROM v_article GROUP BY magazine_id, title, start_page HAVING count(*) > 1)")
+def _(v):
+    return T.count_duplicates(v("v_article"))

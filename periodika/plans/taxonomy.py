@@ -152,12 +152,22 @@ def _(v):
     return K.pack_batches(v("v_article"), 5000)
 
 
-@query("k13_pack_by_collection", """WITH RECURSIVE a AS (SELECT m.collection_id AS c, a.id, CAST(ceil(length(a.title) / 4.0) AS INT) AS cost, row_number() OVER (PARTITION BY m.collection_id ORDER BY a.id) AS r FROM v_article a JOIN v_magazine m ON m.id = a.magazine_id WHERE m.collection_id IS NOT NULL),
+@query("k13_pack_by_collection", """WITH RECURSIVE a AS (SELECT m.collection_id AS c, a.id, CAST(ceil((1021 + length('{"article_id": ' || CAST(a.id AS STRING) || ', "titre": ' || CAST(to_json(a.title) AS STRING) || ', "collection": ' || coalesce(CAST(to_json(k.name) AS STRING), 'null') || '}')) / 4.0) - ceil(1021 / 4.0) AS INT) AS cost,
+      row_number() OVER (PARTITION BY m.collection_id ORDER BY a.id) AS r FROM v_article a JOIN v_magazine m ON m.id = a.magazine_id LEFT JOIN v_collection k ON k.id = m.collection_id WHERE m.collection_id IS NOT NULL),
     f AS (SELECT c, id, r, 0 AS batch, cost AS total FROM a WHERE r = 1 UNION ALL SELECT a.c, a.id, a.r, CASE WHEN f.total + a.cost > 100 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.total + a.cost > 100 THEN a.cost ELSE f.total + a.cost END FROM f JOIN a ON a.c = f.c AND a.r = f.r + 1)
     SELECT c AS collection_id, id, batch FROM f""")
 def _(v):
-    rows = v("v_article").join(v("v_magazine").filter("collection_id IS NOT NULL").select(F.col("id").alias("magazine_id"), "collection_id"), "magazine_id")
-    return K.pack_batches(rows, 99_900, "collection_id")
+    where = v("v_magazine").filter("collection_id IS NOT NULL").select(F.col("id").alias("magazine_id"), "collection_id")
+    rows = v("v_article").join(where.hint("merge"), "magazine_id").join(v("v_collection").select(F.col("id").alias("collection_id"), F.col("name").alias("collection")).hint("merge"), "collection_id", "left")
+    return K.pack_batches(rows, 99_900, "collection_id", 1021)
+
+
+@query("k13_pack_by_tokens", """WITH RECURSIVE a AS (SELECT id, CAST(ceil(length('{"article_id": ' || CAST(id AS STRING) || ', "titre": ' || CAST(to_json(title) AS STRING) || ', "collection": null}') / 4.0) AS INT) AS cost, row_number() OVER (ORDER BY id) AS r FROM v_article),
+    f AS (SELECT id, r, 0 AS batch, 1 AS n, cost AS total FROM a WHERE r = 1 UNION ALL SELECT a.id, a.r, CASE WHEN n >= 300 OR total + cost > 5500 THEN batch + 1 ELSE batch END, CASE WHEN n >= 300 OR total + cost > 5500 THEN 1 ELSE n + 1 END, CASE WHEN n >= 300 OR total + cost > 5500 THEN cost ELSE total + cost END FROM f JOIN a ON a.r = f.r + 1)
+    SELECT id, batch FROM f""")
+def _(v):
+    """Over all articles, where the taxonomy takes so much of a request that tokens close a batch and not the count."""
+    return K.pack_batches(v("v_article"), 94_500)
 
 
 @query("k14_split_failed_batch", "SELECT id, batch, CASE WHEN row_number() OVER (PARTITION BY batch ORDER BY id) <= greatest(count(*) OVER (PARTITION BY batch) // 2, 1) THEN 0 ELSE 1 END AS half FROM (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 300 AS batch FROM v_article)")
@@ -458,14 +468,20 @@ def _(v):
 _LOG_TIME = "CASE WHEN event_id % 10 = 7 THEN 'broken' WHEN event_id % 10 < 5 THEN strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || '+00:00' ELSE strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') END"
 
 
-@query("s7_read_logs", """SELECT event_id AS id, event_type AS message FROM events WHERE event_type IN ('error', 'view') AND user_id % 2 = 0 AND event_type = 'error'
+@query("s7_read_logs", """SELECT event_id AS id, CASE WHEN event_id % 10 <> 7 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE 'broken' END AS timestamp FROM events WHERE event_type = 'error' AND user_id % 2 = 0
     ORDER BY CASE WHEN event_id % 10 <> 7 THEN date_trunc('second', ts) END DESC NULLS LAST, CAST(event_id AS STRING) LIMIT 200""")
 def _(v):
+    """The newest errors of one component, from rotated files of JSON lines, a few of which are no JSON."""
     e = v.table("events")
-    plain = F.date_format(e["ts"], "yyyy-MM-dd'T'HH:mm:ss")
-    stamp = F.when(F.col("event_id") % 10 == 7, "broken").when(F.col("event_id") % 10 < 5, F.concat(plain, F.lit("+00:00"))).otherwise(plain)
-    logs = e.select(stamp.alias("timestamp"), F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("level"), F.when(F.col("user_id") % 2 == 0, "worker").otherwise("api").alias("component"), F.col("event_id").cast("string").alias("message"), "event_type")
-    return S.latest_logs(logs, "error", "worker").select(F.col("message").cast("long").alias("id"), F.col("event_type").alias("message"))
+    stamp = F.when(F.col("event_id") % 10 == 7, "broken").otherwise(F.date_format(e["ts"], "yyyy-MM-dd'T'HH:mm:ss"))
+    record = F.struct(stamp.alias("timestamp"), F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("level"), F.lit("events").alias("logger"), F.col("event_id").cast("string").alias("message"), F.lit("itself").alias("component"))
+    line = F.when(F.col("event_id") % 50 == 49, F.concat(F.to_json(record), F.lit("\n  Traceback: not a record"))).otherwise(F.to_json(record))
+    name = F.when(F.col("user_id") % 2 == 0, "worker.log").otherwise("api.log")
+    turn = F.floor(F.col("event_id") / 5000)  # a file holds so many events at most
+    lines = e.select(F.when(turn == 0, name).otherwise(F.concat(name, F.lit("."), turn.cast("string"))).alias("path"), line.alias("line"))
+    root = fresh_folder(v.spark, "logs")
+    S.write_files(lines.groupBy("path").agg(F.array_join(F.collect_list("line"), "\n").alias("content")), root)
+    return S.latest_logs(S.read_logs(v.spark, root), "error", "worker").select(F.col("message").cast("long").alias("id"), "timestamp")
 
 
 @query("s9_corpus_json", f"""SELECT CAST(to_json({{'chars': chars, 'collection': collection, 'magazines': magazines, 'titles': titles}}) AS STRING) AS value FROM (SELECT collection, count(*) FILTER (r = 1) AS titles,

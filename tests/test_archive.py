@@ -214,12 +214,26 @@ def test_batches(spark):
     articles = spark.range(1000).select("id", F.lit("a title").alias("title"))
     got = K.pack_batches(articles, 1000).groupBy("batch").count().orderBy("batch").collect()
     assert [r["count"] for r in got] == [300, 300, 300, 100]
-    with pytest.raises(ValueError, match="pack by a column"):
-        K.pack_batches(articles, 99_000)
+    # '{"article_id": 7, "titre": "a title", "collection": null}' and two digits more are 15 tokens, 66 of which fit
+    got = [r["count"] for r in K.pack_batches(articles, 99_000).groupBy("batch").count().orderBy("batch").collect()]
+    assert sum(got) == 1000 and got[:15] == [66] * 15
     costs = spark.createDataFrame([([50, 60, 10, 200, 5],)], "c array<int>")
     assert costs.select(K.fold_batches(F.col("c"), 2, 100).alias("b")).first()["b"] == [0, 1, 1, 2, 3]
 
 
+def test_an_item_costs_what_its_json_adds_to_a_request(spark):
+    import json
+    import math
+
+    texts = ["plain", "", 'with "quotes" and \\ back', "line\nend\ttab\r\x0c\x08", "\x01\x1f", "accents é 한 \U0001f600", None]
+    rows = [(i * 37, a, b) for i, (a, b) in enumerate((a, b) for a in texts for b in texts)]
+    df = spark.createDataFrame(rows, "id long, title string, collection string")
+    for empty in (0, 1, 2, 3, 1021):
+        got = {r["id"]: r["cost"] for r in df.select("id", K.item_cost(F.col("id"), F.col("title"), F.col("collection"), empty).alias("cost")).collect()}
+        whole = lambda items: math.ceil((empty - 2 + len(json.dumps(items, ensure_ascii=False))) / 4)  # noqa: B023, E731
+        assert got == {i: whole([{"article_id": i, "titre": a, "collection": b}]) - whole([]) for i, a, b in rows}
+
+
 def test_packing_in_ranges_is_greedy_packing(spark):
     import random
 
