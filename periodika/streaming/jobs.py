@@ -210,11 +210,12 @@ LATENESS = "batch long, rows long, kept long, late long, last_ts timestamp, wate
 
 
 def count_late(spark: SparkSession, stream: DataFrame, folder: str, name: str, width: str = "1 minute", delay: str = LATE) -> DataFrame:
-    """How many rows of each micro-batch a windowed job of this watermark keeps, and how many come too late for it: ``LATENESS``.
+    """How many rows of each micro-batch are in time for a windowed job of this watermark, and how many are late: ``LATENESS``.
 
     The watermark of a batch is ``delay`` before the latest time of all earlier batches; a row is late if its window (``width``) had ended by then.
     Both are known from a table with a row for each batch, so that counting goes on over restarts, and a batch that comes again
-    counts once. Rows without a time are neither.
+    counts once. Rows without a time are neither. Spark's own filter applies the watermark of the batch before, so a windowed job keeps at
+    least what is counted as kept and may keep late rows of the batch that follows.
     """
     unit = Unit(spark, f"{folder.rstrip('/')}/{name}-late")
 
