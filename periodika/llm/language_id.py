@@ -32,6 +32,7 @@ from .common import bounded_batches, bounded_sample, slices, with_text_columns
 SAMPLE = 1500
 GRAMS = 20_000
 NEAR = 0.5
+#: Times that a gram must come in a language's sample, where any comes so often.
 LEAST = 3
 SIZE = 4
 CELLS = 1 << 20
@@ -113,7 +114,8 @@ def _gram_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
 def learn(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
     """A model of the languages of ``labelled``; None if it has none."""
     rows = bounded_sample(labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()), id, sample, lang)
-    counts = _gram_counts(rows, text, lang).filter(F.col("n") >= LEAST)
+    # a language of so few texts that no gram comes LEAST times keeps those that come most often
+    counts = _gram_counts(rows, text, lang).withColumn("top", F.max("n").over(Window.partitionBy("lang"))).filter(F.col("n") >= F.least(F.lit(LEAST), "top")).drop("top")
     share = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     near = share.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).filter(F.col("share") >= NEAR * F.col("most"))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= GRAMS)

@@ -356,3 +356,29 @@ def test_windows_of_many_bytes_go_by_the_join(spark, monkeypatch):
     by_join = dc.decontaminate(docs, bench, ["doc_id"])
     assert sorted(tuple(r) for r in by_join.collect()) == plain and plain[0][4] == ["1", "2", "3"]
     assert "MapInArrow" not in by_join._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_language_of_one_text_can_be_predicted(spark):
+    from periodika.llm import language_id
+
+    english = [(i, f"the quick brown fox number {i} jumps over the lazy dog and the other one of them", "en") for i in range(40)]
+    czech = (99, "příliš žluťoučký kůň úpěl ďábelské ódy", "cs")
+    labelled = spark.createDataFrame([*english, czech], "doc_id long, text string, lang string")
+    model = language_id.learn(labelled)
+    assert model.languages == ["cs", "en"]
+    out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(labelled.select("doc_id", "text"), model, ["doc_id"]).collect()}
+    assert out[99][0] == "cs" and out[99][1] > 0.5 and all(out[i][0] == "en" for i in range(40))
+
+
+def test_a_frequent_text_is_in_the_sample_once(spark):
+    from periodika.llm import secret_scan
+    from periodika.llm.common import bounded_sample
+
+    for i in range(12):  # until the frequent text is one of those that are chosen
+        frequent = f"the same text again and again {i} with words enough to be cut into pieces of a certain length"
+        df = spark.range(4000).select(F.when(F.col("id") % 2 == 0, frequent).otherwise(F.format_string("text %s", F.col("id").cast("string"))).alias("text"))
+        if bounded_sample(df, "text", 400).count() > 1000:
+            assert bounded_sample(df, "text", 400).dropDuplicates(["text"]).count() < 1000
+            secret_scan.measure(df, sample=400)
+            break
+    assert secret_scan.measure(df.limit(0)).__class__.__name__ == "Natural"
