@@ -83,6 +83,13 @@ def _(v):
     return out.select("account", "id", "admitted", "reason", F.date_format("until", _STAMP).alias("until"))
 
 
+@query("st2_admit_batches", _ADMIT)
+def _(v):
+    """The same by sorted batches, for accounts of any size."""
+    out = J.admit_batches(v.spark, _requests(_event_stream(v)), fresh_folder(v.spark, "admission"), "quota", 5, 15000, 6)
+    return out.select("account", "id", "admitted", "reason", F.date_format("until", _STAMP).alias("until"))
+
+
 def _observed(e):
     return e.select(F.concat(F.lit("f"), (F.col("event_id") % 2).cast("string")).alias("path"), F.floor(F.col("event_id") / 4).alias("size"), F.lit(0).alias("mtime"), "ts")
 

@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,6 +119,87 @@ def admit(requests: DataFrame, per_minute: int, tokens_a_minute: int, per_day: i
     return requests.withWatermark("ts", LATE).groupBy("account").transformWithStateInPandas(statefulProcessor=Admission(per_minute, tokens_a_minute, per_day), outputStructType=ADMITTED, outputMode="append", timeMode="eventTime")
 
 
+_QUOTA = "account long, minute long, requests long, tokens long, day long, today long, pause long"
+DECISIONS = "account long, id long, ts timestamp, admitted boolean, reason string, until timestamp"
+_MINUTE = 60_000_000
+
+
+def _decided(per_minute: int, tokens_a_minute: int, per_day: int):
+    """The body of a task over rows sorted by account and time: decisions (kind 0), and each account's state after its last row (kind 1)."""
+
+    def run(batches):
+        account, state = None, (-1, 0, 0, -1, 0, 0)
+        for batch in batches:
+            out: list[tuple] = []
+            for who, id, at, cost, day, midnight, *stored_state in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if who != account:
+                    if account is not None:
+                        out.append((1, account, None, None, None, None, None, *state))
+                    account, state = who, (-1, 0, 0, -1, 0, 0) if stored_state[0] is None else tuple(stored_state)
+                minute, requests, tokens, last_day, today, pause = state
+                if at // _MINUTE < minute:
+                    out.append((0, who, id, at, False, "late", None, *(None,) * 6))
+                    continue
+                if at // _MINUTE != minute:
+                    minute, requests, tokens = at // _MINUTE, 0, 0
+                if day != last_day:
+                    last_day, today = day, 0
+                reason = "pause" if at < pause else "day" if today >= per_day else "minute" if requests >= per_minute or tokens + cost > tokens_a_minute else None
+                if reason is None:
+                    requests, tokens, today = requests + 1, tokens + cost, today + 1
+                elif reason != "pause":
+                    pause = midnight if reason == "day" else (minute + 1) * _MINUTE
+                out.append((0, who, id, at, reason is None, reason, pause if reason else None, *(None,) * 6))
+                state = (minute, requests, tokens, last_day, today, pause)
+            if out:
+                yield _decision_batch(out)
+        if account is not None:
+            yield _decision_batch([(1, account, None, None, None, None, None, *state)])
+
+    return run
+
+
+_DECIDED = {"kind": "int", "who": "long", "id": "long", "at": "long", "admitted": "boolean", "reason": "string", "until": "long"} | dict.fromkeys(("minute", "requests", "tokens", "day", "today", "pause"), "long")
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def _decision_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[kind]) for c, kind in zip(zip(*rows, strict=True), _DECIDED.values(), strict=True)], names=list(_DECIDED))
+
+
+def admit_batches(spark: SparkSession, requests: DataFrame, folder: str, name: str, per_minute: int, tokens_a_minute: int, per_day: int, reserve: int = 2) -> DataFrame:
+    """ST2. The decisions (``DECISIONS``) on all requests of a stream (account, id, ts, tokens) that any run of ``name`` has seen.
+
+    As ``admit``, for accounts of any size: each micro-batch is sorted by account and time, which spills to disk, and a task goes through the sorted rows
+    Arrow batch by Arrow batch with one account's counters in hand. Counters go from batch to batch in a table, written as one unit with
+    the decisions, so a batch that comes again decides the same. An account's counters end ``KEPT`` seconds after its last minute.
+    Rows without account or time are left out.
+    """
+    unit = Unit(spark, f"{folder.rstrip('/')}/{name}-admission")
+
+    def each(batch: DataFrame, number: int) -> None:
+        def body() -> None:
+            before = [n for n in unit.committed() if n < number]
+            states = unit.table("state", _QUOTA, before=number).filter(F.col("batch") == (before[-1] if before else -1)).drop("batch")
+            rows = batch.filter("account IS NOT NULL AND ts IS NOT NULL").select(
+                "account", "id", F.unix_micros("ts").alias("at"), F.coalesce("tokens", F.lit(0)).cast("long").alias("cost"), F.unix_date(pacific_day(F.col("ts"))).cast("long").alias("on"), F.unix_micros(next_pacific_midnight(F.col("ts"))).alias("midnight")
+            )
+            both = rows.join(states.hint("merge"), "account", "left").select("account", "id", "at", "cost", "on", "midnight", "minute", "requests", "tokens", "day", "today", "pause")
+            ordered = both.repartition("account").sortWithinPartitions("account", "at", "id")
+            schema = ", ".join(f"{c} {kind}" for c, kind in _DECIDED.items())
+            decided = unit.put(ordered.mapInArrow(_decided(per_minute, tokens_a_minute, max(per_day - reserve, 0)), schema), "decided", number)
+            unit.put(decided.filter("kind = 0").select(F.col("who").alias("account"), "id", F.timestamp_micros("at").alias("ts"), "admitted", "reason", F.timestamp_micros("until").alias("until")), "decisions", number)
+            new = decided.filter("kind = 1").select(F.col("who").alias("account"), *(c.split()[0] for c in _QUOTA.split(", ")[1:]))
+            every = new.unionByName(states.join(new.select("account").hint("merge"), "account", "left_anti"))
+            last = new.agg(F.max("minute")).first()[0]
+            unit.put(every if last is None else every.filter(F.col("minute") >= last - KEPT // 60), "state", number)
+
+        unit.write(number, body)
+
+    run_available(spark, requests, folder, name=name, each=each, keep=False)
+    return unit.table("decisions", DECISIONS).drop("batch")
+
+
 #: Seconds that two observations of a stable file are apart at least.
 STABLE_AFTER = 8
 

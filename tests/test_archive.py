@@ -714,3 +714,66 @@ def test_late_rows_are_counted_over_restarts(spark, tmp_path):
     still_open = sum(1 for p in minutes for m in p if m is not None and m + 1 > ended)
     kept, late = (sum(x[i] for x in want.values()) for i in (1, 2))
     assert kept - still_open <= windows.agg(F.sum("requests")).first()[0] <= kept + late - still_open
+
+
+def _quota(rows, per_minute, tokens_a_minute, per_day, state=None):
+    """The contract of admission, row by row, for one account."""
+    from datetime import datetime, timedelta, timezone
+    from zoneinfo import ZoneInfo
+
+    minute, requests, tokens, day, today, pause = state or (-1, 0, 0, None, 0, datetime(1970, 1, 1))
+    out = {}
+    for id, ts, cost in rows:
+        m, local = int(ts.replace(tzinfo=timezone.utc).timestamp()) // 60, ts.replace(tzinfo=timezone.utc).astimezone(ZoneInfo("America/Los_Angeles"))
+        if m < minute:
+            out[id] = (False, "late", None)
+            continue
+        if m != minute:
+            minute, requests, tokens = m, 0, 0
+        if local.date() != day:
+            day, today = local.date(), 0
+        reason = "pause" if ts < pause else "day" if today >= per_day - 2 else "minute" if requests >= per_minute or tokens + cost > tokens_a_minute else None
+        if reason is None:
+            requests, tokens, today = requests + 1, tokens + cost, today + 1
+        elif reason == "day":
+            pause = (datetime(day.year, day.month, day.day) + timedelta(days=1)).replace(tzinfo=ZoneInfo("America/Los_Angeles")).astimezone(timezone.utc).replace(tzinfo=None)
+        elif reason == "minute":
+            pause = ts.replace(second=0, microsecond=0) + timedelta(minutes=1)
+        out[id] = (reason is None, reason, pause if reason else None)
+    return out, (minute, requests, tokens, day, today, pause)
+
+
+def test_admission_of_a_hot_account_in_bounded_memory(spark, tmp_path):
+    """300 000 requests of one account in one micro-batch go through a task Arrow batch by Arrow batch; a second run goes on with its counters."""
+    from datetime import datetime, timedelta
+
+    n, folder = 300_000, f"file://{tmp_path}/out"
+    at = F.timestamp_micros(F.lit(1_768_400_000_000_000) + F.col("id") * 1_300_000)
+    hot = spark.range(n).select(F.lit(7).cast("long").alias("account"), "id", at.alias("ts"), (F.col("id") % 90).alias("tokens"))
+    few = spark.range(200).select((F.col("id") % 5 + 100).alias("account"), (F.col("id") + 1_000_000).alias("id"), at.alias("ts"), F.lit(10).cast("long").alias("tokens"))
+    hot.unionByName(few).orderBy(F.rand(3)).coalesce(1).write.parquet(str(tmp_path / "in0"))
+    stream = lambda: spark.readStream.schema("account long, id long, ts timestamp, tokens long").parquet(str(tmp_path / "in*"))
+    J.admit_batches(spark, stream(), folder, "quota", 20, 800, 15_000)
+    end = 1_768_400_000 + int(n * 1.3)
+    more = [(7, 2_000_000 + i, datetime(1970, 1, 1) + timedelta(seconds=end + x), 30) for i, x in enumerate([-500, 0, 1, 2, 100])] + [(None, 1, datetime(2026, 1, 20), 1), (7, 2, None, 1)]
+    spark.createDataFrame(more, "account long, id long, ts timestamp, tokens long").coalesce(1).write.parquet(str(tmp_path / "in1"))
+    out = J.admit_batches(spark, stream(), folder, "quota", 20, 800, 15_000)
+    got = {(r["account"], r["id"]): (r["admitted"], r["reason"], r["until"]) for r in out.collect()}
+    first = [(i, datetime(1970, 1, 1) + timedelta(microseconds=1_768_400_000_000_000 + i * 1_300_000), i % 90) for i in range(n)]
+    want, state = _quota(first, 20, 800, 15_000)
+    again, _ = _quota([(i, t, c) for _, i, t, c in more[:5]], 20, 800, 15_000, state)
+    assert {i: v for (a, i), v in got.items() if a == 7} == want | again and len(got) == n + 205
+    assert {v[1] for v in want.values()} == {None, "minute", "pause", "day"} and again[2_000_000][1] == "late"
+
+    frames = []  # what a task holds at a time
+    run = J._decided(20, 800, 15_000)
+    sorted_rows = [[(7, i, 1_768_400_000_000_000 + i, 1, 1, 1, None, None, None, None, None, None) for i in range(k, k + 1000)] for k in range(0, 10_000, 1000)]
+    import pyarrow as pa
+
+    def batches():
+        for rows in sorted_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[f"c{i}" for i in range(12)])
+
+    for b in run(batches()):
+        frames.append(b.num_rows)
+    assert frames == [1000] * 10 + [1]
