@@ -17,7 +17,7 @@ driver. Then every document takes part in each round, one distributed sum of the
 
 Defined results: null and empty texts have 0 tokens, a posterior and a rate; without labels every document is ``clean`` for
 lack of anything else; of labels that disagree on a document the majority holds (``one_label``); repeated rows are equal; an
-empty table gives an empty result. Domains without any tokens are left out of the fit and their target is shared out among the
+empty table gives an empty result; documents that tie, with equal posteriors, have equal rates. Domains without any tokens are left out of the fit and their target is shared out among the
 others; without any tokens at all every rate is 1. Texts are read whole. Columns n_tokens, p_clean, p_low, p_toxic, rate and converged of the
 input give way to the operator's.
 """

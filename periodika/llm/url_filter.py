@@ -3,7 +3,8 @@
 A rule (host, path) fits its host and all subdomains where the url's path starts with the rule's; the longest rule wins,
 by host and then by path. Urls without a rule are judged by their host: personalised PageRank spreads trust from the
 hosts that rules allow, along links; distrust spreads from the hosts that rules block, against the links (who links to a
-bad host is suspect). A host is blocked if its distrust is over ``RATIO`` times its trust and over ``LEAST`` of the mean.
+bad host is suspect). A host is blocked if its distrust is over ``RATIO`` times its trust and over ``LEAST`` of the mean; at
+exactly that it is allowed.
 
 Rounds go on until the ranks' summed change is below ``TOLERANCE``. Each round shrinks the change by ``DAMPING`` at least, so that
 takes ``MOST_ROUNDS`` rounds at most, whatever the graph. What hosts without links would pass on goes back to the seeds; the
