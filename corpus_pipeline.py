@@ -45,7 +45,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced by a mark, ``n_chars`` (if there) follows; all rows stay, null texts as they are, repeated rows each."""
+    """Secrets in the texts are replaced by a mark, ``n_chars`` (if there) follows; all rows stay, null texts as they are, repeated rows each.
+
+    Spans that overlap are one mark; of candidates with equal p-values all are found or none; an empty table stays empty.
+    """
     return secret_scan.redact(docs)
 
 
