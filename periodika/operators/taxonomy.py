@@ -132,7 +132,7 @@ def import_report(articles: DataFrame, imported: DataFrame) -> DataFrame:
     sterile = sterile.join(named.select(F.col("id").alias("subtheme_id"), "theme", "subtheme").hint("merge"), "subtheme_id").select(F.concat_ws(" > ", F.lit("sterile"), "theme", "subtheme", "keyword").alias("line"), F.lit(0).cast("long").alias("n"))
     total = articles.agg(F.count("*").alias("n")).withColumn("k", F.lit(1))
     covered = links.agg(F.count_distinct("article_id").alias("c")).withColumn("k", F.lit(1))
-    figures = total.join(covered, "k").select(F.inline(F.array(*(F.struct(F.lit(name).alias("line"), n.alias("n")) for name, n in (("corpus", F.col("n")), ("covered", F.col("c")), ("uncovered", F.col("n") - F.col("c")))))))
+    figures = total.join(F.broadcast(covered), "k").select(F.inline(F.array(*(F.struct(F.lit(name).alias("line"), n.alias("n")) for name, n in (("corpus", F.col("n")), ("covered", F.col("c")), ("uncovered", F.col("n") - F.col("c")))))))
     return lines.unionByName(sterile).unionByName(figures)
 
 

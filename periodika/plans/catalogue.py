@@ -129,7 +129,7 @@ def _(v):
     FROM v_magazine m LEFT JOIN v_page p ON p.magazine_id = m.id AND p.page_number = 1""")
 def _(v):
     first = v("v_page").filter("page_number = 1").select(F.col("magazine_id").alias("id"), "raw_text")
-    rows = v("v_magazine").join(first, "id", "left")
+    rows = v("v_magazine").join(first.hint("merge"), "id", "left")
     year = X.cover_year(F.concat("raw_text", F.lit(" "), (1900 + F.col("id") % 120).cast("string")))
     number = X.cover_number(F.concat("raw_text", F.lit(" N° "), (F.col("id") % 500).cast("string")))
     return rows.select("id", F.coalesce(F.col("publication_date").cast("string"), F.make_date(year, F.lit(1), F.lit(1)).cast("string")).alias("publication_date"), F.coalesce("issue_number", number).alias("issue_number"))
@@ -325,6 +325,14 @@ def _(v):
     return out.withColumn("until", F.date_format("until", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query("a16_run_figures", """SELECT (SELECT count(DISTINCT article_id) FROM v_link WHERE article_id % 20 = 0 AND article_id IN (SELECT id FROM v_article WHERE id % 10 = 0)) AS attached, (SELECT count(*) FROM v_subtheme WHERE id >= 100) AS created,
+    (SELECT count(*) FROM v_article WHERE NOT sent AND id % 10 <> 0 AND id NOT IN (SELECT article_id FROM v_link)) AS remaining""")
+def _(v):
+    links = v("v_link")
+    batch = v("v_article").filter("id % 10 = 0").select(F.col("id").alias("article_id"))
+    return C.run_figures(batch, links.filter("article_id % 20 = 0"), v("v_subtheme").filter("id >= 100"), v("v_article"), links.filter("article_id % 20 <> 0"))
+
+
 @query("a12_articles_by_magazine", "SELECT id, magazine_id, min(id) OVER (PARTITION BY magazine_id) AS group_rank, row_number() OVER (PARTITION BY magazine_id ORDER BY id) AS position FROM v_article")
 def _(v):
     return C.articles_by_magazine(v("v_article").select("id", "magazine_id"), "id").select("id", "magazine_id", "group_rank", "position")
