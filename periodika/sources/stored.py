@@ -162,6 +162,13 @@ class Unit:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def last(self, name: str, schema: str, before: int) -> DataFrame:
+        """What the last committed batch below ``before`` has of a table, without looking at any other; an empty table if there is none."""
+        earlier = [n for n in self.committed() if n < before]
+        if not earlier:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/batch={earlier[-1]}")
+
     def table(self, name: str, schema: T.StructType | str, before: int | None = None) -> DataFrame:
         """All committed rows of a table with their ``batch``; ``before``: of batches below it only."""
         schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)

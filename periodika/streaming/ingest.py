@@ -37,6 +37,9 @@ SCHEMAS = {
     "orphans": "magazine_id long, article_id string, title string",
 }
 
+#: What is only written to be read again inside a batch.
+STEPS = ("arrived", "text", "lines", "classified", "contents-pages", "entries")
+
 
 class Ingestion:
     """``pages_of``: for a batch's documents (magazine_id), their pages (magazine_id, page_number, raw_text). Reading files is the caller's.
@@ -50,7 +53,9 @@ class Ingestion:
 
     def batch(self, docs: DataFrame, number: int) -> None:
         """One micro-batch of documents (id, title, file_path, file_hash): the body of ``foreachBatch``."""
-        self.unit.write(number, lambda: self._tables(docs, number))
+        if self.unit.write(number, lambda: self._tables(docs, number)):
+            for name in STEPS:
+                self.unit.files.delete(f"{name}/batch={number}")
 
     def _tables(self, docs: DataFrame, number: int) -> None:
         put = lambda name, df: self.unit.put(df.select(*(f.name for f in self._schema(name))), name, number)

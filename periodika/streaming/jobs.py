@@ -179,8 +179,7 @@ def admit_batches(spark: SparkSession, requests: DataFrame, folder: str, name: s
 
     def each(batch: DataFrame, number: int) -> None:
         def body() -> None:
-            before = [n for n in unit.committed() if n < number]
-            states = unit.table("state", _QUOTA, before=number).filter(F.col("batch") == (before[-1] if before else -1)).drop("batch")
+            states = unit.last("state", _QUOTA, number)
             rows = batch.filter("account IS NOT NULL AND ts IS NOT NULL").select(
                 "account", "id", F.unix_micros("ts").alias("at"), F.coalesce("tokens", F.lit(0)).cast("long").alias("cost"), F.unix_date(pacific_day(F.col("ts"))).cast("long").alias("on"), F.unix_micros(next_pacific_midnight(F.col("ts"))).alias("midnight")
             )
@@ -288,11 +287,12 @@ def progress_stream(updates: DataFrame) -> DataFrame:
     return updates.withWatermark("ts", LATE).groupBy("document").transformWithStateInPandas(statefulProcessor=Progress(), outputStructType=PROGRESS, outputMode="update", timeMode="eventTime")
 
 
-LATENESS = "batch long, rows long, kept long, late long, last_ts timestamp, watermark timestamp"
+#: last_ts: the latest time of all batches up to this one.
+_LATENESS = "rows long, kept long, late long, last_ts timestamp, watermark timestamp"
 
 
 def count_late(spark: SparkSession, stream: DataFrame, folder: str, name: str, width: str = "1 minute", delay: str = LATE) -> DataFrame:
-    """How many rows of each micro-batch are in time for a windowed job of this watermark, and how many are late: ``LATENESS``.
+    """How many rows of each micro-batch are in time for a windowed job of this watermark, and how many are late, with the watermark.
 
     The watermark of a batch is ``delay`` before the latest time of all earlier batches; a row is late if its window (``width``) had ended by then.
     Both are known from a table with a row for each batch, so that counting goes on over restarts, and a batch that comes again
@@ -303,18 +303,19 @@ def count_late(spark: SparkSession, stream: DataFrame, folder: str, name: str, w
 
     def each(batch: DataFrame, number: int) -> None:
         def body() -> None:
-            last = unit.table("lateness", LATENESS.removeprefix("batch long, "), before=number).agg(F.max("last_ts")).first()[0]
-            mark = F.lit(last).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+            before = unit.last("lateness", _LATENESS, number).first()  # one row
+            last = F.lit(before["last_ts"] if before else None).cast("timestamp")
+            mark = last - F.expr(f"INTERVAL {delay}")
             # windows of rows without a time aren't asked for: Spark would leave these rows out
             late = F.coalesce(F.window(F.coalesce("ts", F.lit(0).cast("timestamp")), width)["end"] <= mark, F.lit(False))
             timed = batch.withColumn("late", F.when(F.col("ts").isNotNull(), late))
-            counts = timed.agg(F.count("*").alias("rows"), F.count_if(~F.col("late")).alias("kept"), F.count_if("late").alias("late"), F.max("ts").alias("last_ts"))
+            counts = timed.agg(F.count("*").alias("rows"), F.count_if(~F.col("late")).alias("kept"), F.count_if("late").alias("late"), F.greatest(F.max("ts"), last).alias("last_ts"))
             unit.put(counts.select("rows", "kept", "late", "last_ts", mark.alias("watermark")), "lateness", number)
 
         unit.write(number, body)
 
     run_available(spark, stream, folder, name=name, each=each, keep=False)
-    return unit.table("lateness", LATENESS.removeprefix("batch long, ")).select(*(c.split()[0] for c in LATENESS.split(", ")))
+    return unit.table("lateness", _LATENESS).select("batch", *(c.split()[0] for c in _LATENESS.split(", ")))
 
 
 def job_pauses(attempts: DataFrame) -> DataFrame:
