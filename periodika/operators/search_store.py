@@ -30,7 +30,10 @@ MOST_GENERATIONS = 16
 
 
 class SearchStore:
-    """``partitions``: ranges of terms that a base is written in; a delta has as many as its rows call for."""
+    """``buckets``: folders of the documents; as a refresh rewrites whole ones, take so many that one has a few hundred MB.
+
+    ``partitions``: ranges of terms that a base is written in; a delta has as many as its rows call for.
+    """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64, partitions: int = 64):
         self.spark, self.root, self.buckets, self.partitions = spark, root.rstrip("/"), buckets, partitions
@@ -40,8 +43,8 @@ class SearchStore:
         return docs.withColumn("bucket", F.pmod(F.xxhash64(F.col("magazine_id").cast("long")), F.lit(self.buckets)).cast("int"))
 
     def _write_documents(self, docs: DataFrame) -> None:
-        rows = self._bucketed(docs).repartition(self.buckets, "bucket")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/documents")
+        rows = self._bucketed(docs).repartitionByRange("bucket", "magazine_id", "page_id")  # a large bucket is many tasks
+        rows.sortWithinPartitions("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/documents")
 
     def _write_generation(self, index: DataFrame, changed: DataFrame, base: bool) -> int:
         number = (self.unit.committed() or [-1])[-1] + 1

@@ -114,7 +114,8 @@ class HashStore:
     def _write(self, rows: DataFrame, first: int, last: int) -> None:
         name = f"{first}-{last}"
         self.files.delete(f"{name}.done")
-        rows.withColumn("prefix", self._prefix()).repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(f"{self.root}/run={name}")
+        # by ranges, so that a folder of very many hashes has many files, and these have bounds of their own
+        rows.withColumn("prefix", self._prefix()).repartitionByRange("prefix", self.key).sortWithinPartitions("prefix", self.key).write.mode("overwrite").partitionBy("prefix").parquet(f"{self.root}/run={name}")
         self.files.mark(f"{name}.done")
 
     def add(self, hashes: DataFrame, number: int) -> None:
