@@ -333,7 +333,11 @@ def _(v):
 _SCRIPTS = ["Россий", "Ελλάδα", "한국", "m²", "crème"]
 
 
-@query("r2_scripts", "SELECT word, CAST(magazine_id AS STRING) || '-' || CAST(page_number AS STRING) AS page_id FROM v_page JOIN (VALUES " + ", ".join(f"({i}, '{w}')" for i, w in enumerate(_SCRIPTS)) + ") AS s(i, word) ON magazine_id % 5 = i")
+# Two of them may stand in the pages' own texts, as the beginning of a word at least.
+_OWN = " UNION ".join(f"SELECT '{w}', page_id FROM idx WHERE starts_with(term, '{bare}')" for w, bare in ((_SCRIPTS[3], "m2"), (_SCRIPTS[4], "creme")))
+
+
+@query("r2_scripts", f"WITH {_DOCS}, {_INDEX} SELECT word, CAST(magazine_id AS STRING) || '-' || CAST(page_number AS STRING) AS page_id FROM v_page JOIN (VALUES " + ", ".join(f"({i}, '{w}')" for i, w in enumerate(_SCRIPTS)) + f") AS s(i, word) ON magazine_id % 5 = i UNION {_OWN}")
 def _(v):
     docs = _docs(v).withColumn("raw_text", F.concat("raw_text", F.lit(" "), F.element_at(F.array(*map(F.lit, _SCRIPTS)), (F.col("magazine_id") % 5 + 1).cast("int"))))
     index, out = stored(R.build_inverted_index(docs), "index"), None
