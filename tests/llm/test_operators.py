@@ -510,6 +510,18 @@ def test_licences_equal_a_walk_over_all_paragraphs(spark, small, texts, docs):
         assert (r["n_notices"], r["n_unknown"], r["licences"]) == (notices, unknown, ",".join(sorted(names[f - 1] for f in families))), cases[r["doc_id"]]
 
 
+def test_licence_lines_of_long_blocks_are_placed(spark):
+    """Words before each line, over several pieces of lines, with empty lines of text and a text that comes twice."""
+    lines = [" ".join(f"w{k}" for k in range(i % 7)) or "-" for i in range(2 * license_scan.PIECE + 9)]
+    rows = [(1, "\n".join(lines)), (1, "\n".join(lines)), (2, lines[5]), (3, ""), (4, None)]
+    got = license_scan.paragraphs(spark.createDataFrame(rows, "id long, text string")).filter("unit = 0").select("id", "no", "begin", "end").distinct().collect()
+    at, expected = 0, {(2, 0, 0, 5), (3, 0, 0, 0)}
+    for i in range(len(lines)):
+        expected.add((1, i, at, at + i % 7))
+        at += i % 7
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+
+
 def test_licences_in_documents(spark, small, texts):
     lines = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC": "Licensed under CC BY-NC 4.0."}
     for r in queries.op9_license_scan(spark, small).collect():
