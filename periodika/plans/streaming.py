@@ -68,7 +68,7 @@ def _with_rocksdb(v, run):
 
 
 # Each account's requests in the order of time; a step knows the minute, the day, what they hold so far and the end of a pause.
-_ADMIT = """WITH RECURSIVE q AS (SELECT *, epoch(ts) // 60 AS m, CAST(timezone('America/Los_Angeles', timezone('UTC', ts)) AS DATE) AS d, row_number() OVER (PARTITION BY account ORDER BY ts, id) AS r FROM v_request),
+_ADMIT = """WITH RECURSIVE q AS (SELECT *, epoch_us(ts) // 60000000 AS m, CAST(timezone('America/Los_Angeles', timezone('UTC', ts)) AS DATE) AS d, row_number() OVER (PARTITION BY account ORDER BY ts, id) AS r FROM v_request),
     st AS (SELECT account, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS id, CAST(-1 AS BIGINT) AS m, CAST(0 AS BIGINT) AS n, CAST(0 AS HUGEINT) AS tok, DATE '1970-01-01' AS d, CAST(0 AS BIGINT) AS today, TIMESTAMP '1970-01-01 00:00:00' AS pause, CAST(NULL AS VARCHAR) AS reason FROM v_request GROUP BY account
       UNION ALL SELECT account, r, id, m, CASE WHEN reason IS NULL THEN n + 1 ELSE n END, CASE WHEN reason IS NULL THEN tok + tokens ELSE tok END, d, CASE WHEN reason IS NULL THEN today + 1 ELSE today END,
         CASE reason WHEN 'day' THEN timezone('UTC', timezone('America/Los_Angeles', CAST(d + 1 AS TIMESTAMP))) WHEN 'minute' THEN date_trunc('minute', ts) + INTERVAL 1 MINUTE ELSE pause END, reason

@@ -417,10 +417,10 @@ _SCAN = """WITH kp AS (SELECT path, max_by(size, mtime) AS k_size, max(mtime) AS
 
 @query("s3_classify_scan", _SCAN)
 def _(v):
-    scan = v("v_scan")
-    contents = scan.select("path", F.col("id").alias("doc_id")).join(v.table("documents").select("doc_id", F.col("text").alias("content")).hint("merge"), "doc_id")
-    hashes = lambda left: S.file_hash(contents.join(left.select("path").hint("merge"), "path", "left_semi")).select("path", "file_hash")
-    return S.classify_scan(scan.drop("id", "file_hash"), v("v_known"), hashes=hashes)
+    """Titles come again among many documents, so that a path may be that of several files: each counts by itself."""
+    contents = v.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    hashes = lambda left: S.file_hash(contents.join(left.select("id").hint("merge"), "id", "left_semi")).select("id", "file_hash")
+    return S.classify_scan(v("v_scan").drop("file_hash"), v("v_known"), hashes=hashes, entry="id")
 
 
 # An archive with a file for each document; some have moved since they were stored, some are gone, some look newer than they were.

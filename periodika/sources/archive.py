@@ -76,32 +76,34 @@ def write_files(rows: DataFrame, root: str) -> None:
     rows.select("path", F.col("content").cast("binary")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
-def classify_scan(files: DataFrame, known: DataFrame, tolerance: int = 1, hashes: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def classify_scan(files: DataFrame, known: DataFrame, tolerance: int = 1, hashes: Callable[[DataFrame], DataFrame] | None = None, entry: str = "path") -> DataFrame:
     """S3. What a scan found: unchanged, relocated, duplicate, modified or new for each file, missing for each known path that is gone.
 
     A file of the same path, size and time (less than ``tolerance`` seconds apart) is unchanged, and nobody opens it: files are classified by
     their listing first, and ``hashes`` gets only those that are left (path, size) and gives path and file_hash, as ``hash_files`` does. Where
-    hashes are at hand, ``files`` has them as ``file_hash``. Of new files with one hash the first path is new, the others duplicates. A known
+    hashes are at hand, ``files`` has them as ``file_hash``. A listing with several files at one path (of several discs) has a column ``entry``
+    that tells them apart; ``hashes`` then gets and gives that as well, and of equal paths the least entry is first. Of new files with one hash the first path is new, the others duplicates. A known
     path with several rows counts with its newest one; of several known files of one hash the one at the file's own path counts, else the
     one with the smallest id. A document that was found elsewhere is relocated and not missing.
     """
     by_path = known.groupBy("path").agg(F.max_by(F.struct("size", "id"), F.struct("mtime", "id")).alias("k"), F.max("mtime").alias("k_mtime"))
     same = F.coalesce((F.col("size") == F.col("k.size")) & (F.abs(F.col("mtime") - F.col("k_mtime")) < tolerance), F.lit(False))
+    own = list(dict.fromkeys(["path", entry]))
     seen = stored(files.join(by_path.hint("merge"), "path", "left").withColumn("same", same), "listing")
     unchanged = seen.filter("same").select("path", F.col("k.id").alias("known_id"), F.lit("unchanged").alias("class"))
     rest = seen.filter("NOT same")
     if hashes is not None:
         # written, as it is looked at twice: each file is opened once
-        found_hashes = stored(hashes(rest.select("path", "size")), "hashes")
-        rest = rest.drop("file_hash").join(found_hashes.hint("merge"), "path")
-    rest = rest.select("path", "file_hash", "k.id")
+        found_hashes = stored(hashes(rest.select(*own, "size")).select(entry, "file_hash"), "hashes")
+        rest = rest.drop("file_hash").join(found_hashes.hint("merge"), entry)
+    rest = rest.select(F.struct(*own).alias("at"), "path", "file_hash", "k.id")
     # the known document of a hash: the one at the file's own path, else the least id; the first new path of it
     at_hash = known.groupBy("file_hash").agg(F.min(F.struct("id", "path")).alias("h"))
     here = known.groupBy("file_hash", "path").agg(F.min("id").alias("own_id"))
-    first = rest.groupBy("file_hash").agg(F.min("path").alias("first"))
+    first = rest.groupBy("file_hash").agg(F.min("at").alias("first"))
     found = rest.join(at_hash.hint("merge"), "file_hash", "left").join(here.hint("merge"), ["file_hash", "path"], "left").join(first.hint("merge"), "file_hash", "left")
     kind = (
-        F.when(F.col("own_id").isNotNull(), "unchanged").when(F.col("h.id").isNotNull(), "relocated").when(F.col("path") > F.col("first"), "duplicate")
+        F.when(F.col("own_id").isNotNull(), "unchanged").when(F.col("h.id").isNotNull(), "relocated").when(F.col("at") > F.col("first"), "duplicate")
         .when(F.col("id").isNotNull(), "modified").otherwise("new")
     )
     looked = stored(found.select("path", F.coalesce("own_id", "h.id", "id").alias("known_id"), kind.alias("class")), "looked")

@@ -270,6 +270,14 @@ def test_scan_classes(spark):
     assert [tuple(r) for r in S.classify_scan(own, twice).filter("class <> 'missing'").collect()] == [("a", 2, "unchanged")]
 
 
+def test_several_files_at_one_path_count_each(spark):
+    """Three files of one path (two of equal content) and a copy elsewhere: four rows, each with its own hash."""
+    files = spark.createDataFrame([(1, "a", "h1", 1, 1), (2, "a", "h2", 1, 2), (3, "a", "h2", 1, 3), (4, "b", "h1", 1, 4)], "id long, path string, file_hash string, size long, mtime long")
+    known = spark.createDataFrame([], files.schema)
+    out = S.classify_scan(files.drop("file_hash"), known, hashes=lambda left: left.join(files.select("id", "file_hash"), "id").select("id", "file_hash"), entry="id")
+    assert sorted((r["path"], r["class"]) for r in out.collect()) == [("a", "duplicate"), ("a", "new"), ("a", "new"), ("b", "duplicate")]
+
+
 def test_a_scan_opens_what_has_changed_and_that_once(spark, tmp_path):
     """40 files, of which 3 aren't as they were: three are opened, once each, and no scan of the plan reads contents."""
     root = f"file://{tmp_path}/archive"
