@@ -20,8 +20,10 @@ def _events(v):
     return e.withColumn("ts", e["ts"].cast("timestamp"))
 
 
-def _event_stream(v):
-    e = v.spark.readStream.schema(v.table("events").schema).option("maxFilesPerTrigger", 64).parquet(f"{v.sf_dir}/events.parquet*")
+def _event_stream(v, files: int | None = 64):
+    """``files``: those of a micro-batch; all are one where None is given, for what goes by the order of time, which files need not have."""
+    e = v.spark.readStream.schema(v.table("events").schema)
+    e = (e.option("maxFilesPerTrigger", files) if files else e).parquet(f"{v.sf_dir}/events.parquet*")
     return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -79,14 +81,14 @@ _ADMIT = """WITH RECURSIVE q AS (SELECT *, epoch_us(ts) // 60000000 AS m, CAST(t
 
 @query("st2_admit_stream", _ADMIT)
 def _(v):
-    out = _with_rocksdb(v, lambda: J.run_available(v.spark, J.admit(_requests(_event_stream(v)), 5, 15000, 6), shared_folder(v.spark)))
+    out = _with_rocksdb(v, lambda: J.run_available(v.spark, J.admit(_requests(_event_stream(v, None)), 5, 15000, 6), shared_folder(v.spark)))
     return out.select("account", "id", "admitted", "reason", F.date_format("until", _STAMP).alias("until"))
 
 
 @query("st2_admit_batches", _ADMIT)
 def _(v):
     """The same by sorted batches, for accounts of any size."""
-    out = J.admit_batches(v.spark, _requests(_event_stream(v)), fresh_folder(v.spark, "admission"), "quota", 5, 15000, 6)
+    out = J.admit_batches(v.spark, _requests(_event_stream(v, None)), fresh_folder(v.spark, "admission"), "quota", 5, 15000, 6)
     return out.select("account", "id", "admitted", "reason", F.date_format("until", _STAMP).alias("until"))
 
 
