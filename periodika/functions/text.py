@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ ACCENTED, BARE = "".join(c for c, _ in _PAIRS), "".join(d for _, d in _PAIRS)
 _TABLE = dict(zip(map(ord, ACCENTED), BARE, strict=True))
 #: Marks left over from decomposed text.
 _COMBINING = _ranges([c for c in _PLANE if unicodedata.combining(chr(c))])
+# The class is a long chain of ranges to the JVM: what can't be a mark (nor a sign that the JVM's tables don't know yet) is told by one look before it.
+_MARKS = r"(?=[^\x00-\u02FF])(?=[\p{M}\p{Cn}])" + _COMBINING
 # Ligatures, sharp s and the final sigma: fixed values.
 _SPELT = [("ß", "ss"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ς", "σ")]
 
@@ -45,7 +48,12 @@ def norm(c: Column) -> Column:
     out = F.lower(F.translate(c, ACCENTED, BARE))
     for one, many in _SPELT:
         out = F.replace(out, F.lit(one), F.lit(many))
-    return F.regexp_replace(out, _COMBINING, "")
+    return F.regexp_replace(out, _MARKS, "")
+
+
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``c``, which is evaluated once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
 
 
 def norm_text(s: str) -> str:
@@ -213,12 +221,16 @@ def snippet(c: Column, terms: str | list[str], width: int = 40) -> Column:
     def holds(w: Column) -> Column:
         out = F.lit(False)
         for t in wanted:
-            out = out | norm(w).contains(F.lit(t))
+            out = out | w.contains(F.lit(t))
         return out
 
-    at = F.array_position(F.transform(words, holds), F.lit(True)).cast("int")
-    first = F.greatest(F.lit(1), at - F.lit(width // 2))
-    return F.when(at > 0, F.array_join(F.slice(words, first, F.lit(width)), " ")).otherwise(F.array_join(F.slice(words, F.lit(1), F.lit(width)), " "))
+    def around(words: Column) -> Column:
+        # words have no line ends, so their normal forms are those of the lines of all words in one text
+        bare = F.split(norm(F.array_join(words, "\n")), "\n", -1)
+        at = F.array_position(F.transform(bare, holds), F.lit(True)).cast("int")
+        return F.array_join(F.slice(words, bound(at, lambda x: F.greatest(F.lit(1), x - F.lit(width // 2))), F.lit(width)), " ")
+
+    return bound(words, around)
 
 
 def occurrence_scale(count: Column, most: Column) -> Column:
