@@ -17,7 +17,8 @@ MIN_CHARS, MIN_TOKENS, MIN_SHARE, MIN_PAGES, MIN_PAGE_SHARE = 20, 15, 0.10, 3, 0
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """One row for each line of each page: magazine_id, page_number, line_no from 1, line (stripped)."""
-    rows = pages.select("magazine_id", "page_number", F.posexplode(X.lines(F.col("raw_text"))).alias("at", "raw"))
+    # outer, as Spark would filter by the split text before it splits it once more
+    rows = pages.select("magazine_id", "page_number", F.posexplode_outer(X.lines(F.col("raw_text"))).alias("at", "raw")).filter("at IS NOT NULL")
     return rows.select("magazine_id", "page_number", (F.col("at") + 1).alias("line_no"), X.strip(F.col("raw")).alias("line"))
 
 
@@ -55,11 +56,17 @@ MIXED_SHARE = 0.3
 
 def language_scores(c: Column) -> Column:
     """Array of struct(share, lang), the likeliest first: each language's part of all profile words found."""
-    tokens = F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}]+)"), 1)
-    found = lambda words: F.size(F.filter(tokens, lambda t: F.array_contains(F.array(*map(F.lit, words)), t)))
-    counts = F.array(*(F.struct(found(words).alias("n"), F.lit(lang).alias("lang")) for lang, words in PROFILES.items()))
-    total = F.greatest(F.aggregate(counts, F.lit(0), lambda a, x: a + x["n"]), F.lit(1))
-    return F.reverse(F.array_sort(F.transform(counts, lambda x: F.struct((x["n"] / total).alias("share"), x["lang"].alias("lang")))))
+    # each step is bound, so that it is done once; words of no profile go first, by one look into a set
+    every = sorted({w for words in PROFILES.values() for w in words})
+    tokens = F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}]+)"), 1), lambda t: t.isin(every))
+    found = lambda tokens, words: F.size(F.filter(tokens, lambda t: t.isin(words)))
+    counts = X.bound(tokens, lambda tokens: F.array(*(F.struct(found(tokens, words).alias("n"), F.lit(lang).alias("lang")) for lang, words in PROFILES.items())))
+
+    def shares(counts: Column) -> Column:
+        total = F.greatest(F.aggregate(counts, F.lit(0), lambda a, x: a + x["n"]), F.lit(1))
+        return X.bound(total, lambda n: F.transform(counts, lambda x: F.struct((x["n"] / n).alias("share"), x["lang"].alias("lang"))))
+
+    return F.reverse(F.array_sort(X.bound(counts, shares)))
 
 
 def page_language(pages: DataFrame) -> DataFrame:
