@@ -8,8 +8,12 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..sources.stored import stored
@@ -37,11 +41,39 @@ def refresh_search_documents(old: DataFrame, fresh: DataFrame, changed: DataFram
 
 def build_inverted_index(docs: DataFrame) -> DataFrame:
     """R1. term, attr (0 text, 1 magazine title), page_id, magazine_id, tf and positions."""
-    parts = None
-    for attr, column in enumerate(("raw_text", "magazine_title")):
-        one = docs.select("page_id", "magazine_id", F.lit(attr).alias("attr"), F.posexplode(X.terms(F.col(column))).alias("position", "term"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.groupBy("term", "attr", "page_id", "magazine_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+    fields = [docs.schema[c] for c in ("page_id", "magazine_id")]
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("attr", T.IntegerType()), *fields, T.StructField("tf", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+    # words are counted within their page's row, so that texts are grouped and not each word
+    pages = docs.groupBy("page_id", "magazine_id").agg(*(F.collect_list(c).alias(c) for c in ("raw_text", "magazine_title")))
+    words = pages.select("page_id", "magazine_id", *(F.transform(c, X.terms).alias(c) for c in ("raw_text", "magazine_title")))
+    return words.mapInArrow(_postings, schema)
+
+
+def _postings(batches):
+    """For each page (id, magazine, lists of words of its texts and of its titles) and word: tf and positions."""
+    for batch in batches:
+        for attr in (0, 1):
+            texts = batch.column(2 + attr)
+            lists = texts.flatten()
+            words = lists.flatten()
+            if not len(words):
+                continue
+            of = pc.list_parent_indices(lists).to_numpy()
+            row = pc.list_parent_indices(texts).to_numpy()[of]
+            at = np.arange(len(words)) - np.searchsorted(of, of)
+            known = words.dictionary_encode()
+            code = known.indices.to_numpy()
+            order = np.lexsort((at, code, row))
+            row, code = row[order], code[order]
+            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])]))
+            ends = np.append(first, len(words))
+            page = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    known.dictionary.take(pa.array(code[first])), pa.array(np.full(len(first), attr, np.int32)), batch.column(0).take(page), batch.column(1).take(page),
+                    pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[order].astype(np.int32))),
+                ], names=["term", "attr", "page_id", "magazine_id", "tf", "positions"],
+            )
 
 
 def store_index(index: DataFrame, path: str, partitions: int = 64) -> None:

@@ -270,6 +270,35 @@ def test_scan_classes(spark):
     assert [tuple(r) for r in S.classify_scan(own, twice).filter("class <> 'missing'").collect()] == [("a", 2, "unchanged")]
 
 
+def _times(df, function: str) -> int:
+    """How often an optimized plan calls a function."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(function + "(")
+
+
+def test_page_language_splits_a_text_once(spark):
+    pages = spark.createDataFrame([(1, 1, "the house and the garden of the king")], "magazine_id long, page_number int, raw_text string")
+    assert _times(D.page_language(pages), "regexp_extract_all") == 1
+    assert [r["language"] for r in D.page_language(pages).collect()] == ["en"]
+
+
+def test_snippet_splits_a_text_once_and_marks_are_told_by_one_look(spark):
+    texts = spark.createDataFrame([("one two Ete\u0301 three",)], "v string").repartition(1)
+    out = texts.select(X.snippet(F.col("v"), "ete", 2).alias("x"))
+    assert _times(out, "split") <= 2 and out.first()["x"] == "two Ete\u0301"
+    marks = [chr(c) for c in range(0x80, 0x10000) if unicodedata.combining(chr(c))]
+    assert one(spark, ["x" + m + "y" for m in marks], X.norm(F.col("v"))) == [X.norm_text("x" + m + "y") for m in marks] == ["xy"] * len(marks)
+
+
+def test_index_counts_words_within_their_pages(spark):
+    """Words are made once, no row for each of them is shuffled, and pages of several rows are one page."""
+    docs = spark.createDataFrame([("1-1", 1, "b a b", "T a"), ("2-1", 2, None, "T"), ("3-1", 3, "", None), ("1-1", 1, "b c", "T a")], "page_id string, magazine_id int, raw_text string, magazine_title string")
+    index = R.build_inverted_index(docs)
+    assert _times(index, "regexp_extract_all") == 2 and "Generate" not in index._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["term"], r["attr"], r["page_id"]): (r["tf"], sorted(r["positions"])) for r in index.collect()}
+    assert got == {("b", 0, "1-1"): (3, [0, 0, 2]), ("a", 0, "1-1"): (1, [1]), ("c", 0, "1-1"): (1, [1]), ("t", 1, "1-1"): (2, [0, 0]), ("a", 1, "1-1"): (2, [1, 1]), ("t", 1, "2-1"): (1, [0])}
+    assert all(list(r["positions"]) == sorted(r["positions"]) for r in index.collect())
+
+
 def test_several_files_at_one_path_count_each(spark):
     """Three files of one path (two of equal content) and a copy elsewhere: four rows, each with its own hash."""
     files = spark.createDataFrame([(1, "a", "h1", 1, 1), (2, "a", "h2", 1, 2), (3, "a", "h2", 1, 3), (4, "b", "h1", 1, 4)], "id long, path string, file_hash string, size long, mtime long")
