@@ -52,10 +52,8 @@ class SearchStore:
         def body() -> None:
             rows = index.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in INDEX))
             ranged = rows.repartitionByRange(self.partitions, "term", "page_id") if base else rows.repartitionByRange("term", "page_id")
-            written = self.unit.put(ranged.sortWithinPartitions("term", "page_id"), "index", number)
+            self.unit.put(ranged.sortWithinPartitions("term", "page_id"), "index", number)
             self.unit.put(changed.select(F.col("magazine_id").cast("long").alias("magazine_id")).distinct(), "tombstones", number)
-            variants = search.term_variants(written.select("term").distinct())
-            self.unit.put(variants.repartitionByRange("variant", "term").sortWithinPartitions("variant"), "variants", number)
             if base:
                 self.files.mark(f"bases/{number}")
 
@@ -97,7 +95,7 @@ class SearchStore:
     def clean(self) -> None:
         """Deletes the generations before the base. Not while queries run that were planned on them."""
         for n in [n for n in self.unit.committed() if n < self._since()]:
-            for name in (f"commits/{n}", f"bases/{n}", f"index/batch={n}", f"tombstones/batch={n}", f"variants/batch={n}"):
+            for name in (f"commits/{n}", f"bases/{n}", f"index/batch={n}", f"tombstones/batch={n}", f"variants/batch={n}", f"spelt/{n}"):
                 self.files.delete(name)
 
     def stored_documents(self) -> DataFrame:
@@ -118,5 +116,16 @@ class SearchStore:
         return rows.join(dead, (rows["magazine_id"] == dead["magazine_id"]) & (rows["batch"] < dead["last"]), "left_anti").drop("batch")
 
     def variants(self) -> DataFrame:
-        """(variant, term) of all generations since the base; a term that has died finds nothing in the index."""
+        """(variant, term) of all generations since the base; a term that has died finds nothing in the index.
+
+        Variants are many times the terms, so a generation's are written when they are first asked for, and only those of terms that no generation before
+        it has; ``spelt/n`` is there when they are whole.
+        """
+        terms = self._generations("index", INDEX).select("term", "batch")
+        for n in [n for n in self.unit.committed() if n >= self._since()]:
+            if not self.files.exists(f"spelt/{n}"):
+                new = terms.filter(F.col("batch") == n).select("term").distinct()
+                new = new.join(terms.filter(F.col("batch") < n).select("term").distinct().hint("merge"), "term", "left_anti")
+                self.unit.put(search.term_variants(new).repartitionByRange("variant", "term").sortWithinPartitions("variant"), "variants", n)
+                self.files.mark(f"spelt/{n}")
         return self._generations("variants", VARIANTS).select("variant", "term").distinct()

@@ -299,6 +299,20 @@ def test_index_counts_words_within_their_pages(spark):
     assert all(list(r["positions"]) == sorted(r["positions"]) for r in index.collect())
 
 
+def test_variants_are_written_when_they_are_asked_for(spark, tmp_path):
+    from periodika.operators.search_store import SearchStore
+
+    schema = "page_id string, magazine_id long, page_number int, raw_text string, magazine_title string"
+    store = SearchStore(spark, f"file://{tmp_path}/store", buckets=2, partitions=2)
+    store.build(spark.createDataFrame([("1-1", 1, 1, "alpha", "title"), ("2-1", 2, 1, "gamma", "title")], schema))
+    store.refresh(spark.createDataFrame([("2-1", 2, 1, "delta", "title")], schema), spark.createDataFrame([(2,)], "magazine_id long"))
+    assert not store.files.names("variants")
+    want = {tuple(r) for r in R.term_variants(spark.createDataFrame([(t,) for t in ("alpha", "gamma", "delta", "title")], "term string")).collect()}
+    assert {tuple(r) for r in store.variants().collect()} == want and store.variants().count() == len(want)
+    delta = spark.read.parquet(f"{store.root}/variants/batch=1")
+    assert {r["term"] for r in delta.collect()} == {"delta"}
+
+
 def test_several_files_at_one_path_count_each(spark):
     """Three files of one path (two of equal content) and a copy elsewhere: four rows, each with its own hash."""
     files = spark.createDataFrame([(1, "a", "h1", 1, 1), (2, "a", "h2", 1, 2), (3, "a", "h2", 1, 3), (4, "b", "h1", 1, 4)], "id long, path string, file_hash string, size long, mtime long")
