@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.stored import sized, stored
 
 # Frequent French and English words that real prose can't do without: fixed values.
 COMMON_WORDS = [
@@ -69,14 +70,20 @@ def language_scores(c: Column) -> Column:
     return F.reverse(F.array_sort(X.bound(counts, shares)))
 
 
-def page_language(pages: DataFrame) -> DataFrame:
-    """D4. fr, en or mixed; null for pages under 20 characters. Profiles of frequent words stand in for a detector library."""
-    s = F.col("s")
+def with_language(pages: DataFrame) -> DataFrame:
+    """D4. ``pages`` with ``language``: fr, en or mixed; null for pages under 20 characters. Profiles of frequent words stand in for a detector library."""
+    s = F.col("__s")
     first, second = F.element_at(s, 1), F.element_at(s, 2)
     mixed = ~first["lang"].isin("fr", "en") | (second["lang"].isin("fr", "en") & (second["share"] > MIXED_SHARE))
     short = F.length(X.strip(F.coalesce("raw_text", F.lit("")))) < MIN_CHARS
-    rows = pages.select("magazine_id", "page_number", short.alias("short"), language_scores(F.coalesce("raw_text", F.lit(""))).alias("s"))
-    return rows.select("magazine_id", "page_number", F.when(F.col("short") | (first["share"] == 0), None).when(mixed, "mixed").otherwise(first["lang"]).alias("language"))
+    kept = [c for c in pages.columns if c != "language"]
+    rows = pages.select(*kept, short.alias("__short"), language_scores(F.coalesce("raw_text", F.lit(""))).alias("__s"))
+    return rows.select(*kept, F.when(F.col("__short") | (first["share"] == 0), None).when(mixed, "mixed").otherwise(first["lang"]).alias("language"))
+
+
+def page_language(pages: DataFrame) -> DataFrame:
+    """D4. magazine_id, page_number and ``language`` of each page, as ``with_language`` has it."""
+    return with_language(pages).select("magazine_id", "page_number", "language")
 
 
 def template(line: Column) -> Column:
@@ -87,18 +94,20 @@ def template(line: Column) -> Column:
 def repeated_lines(lines: DataFrame, least: int = MIN_PAGES) -> DataFrame:
     """D5. Templates of lines that stand on ``least`` pages of a document or more: running headers and footers."""
     rows = lines.filter("line <> ''").select("magazine_id", template(F.col("line")).alias("template"), "page_number")
-    return rows.groupBy("magazine_id", "template").agg(F.count_distinct("page_number").alias("pages")).filter(F.col("pages") >= least)
+    # dealt by what is counted on, so that the pages of a template are told apart where they are counted
+    return rows.repartition("magazine_id", "template").groupBy("magazine_id", "template").agg(F.count_distinct("page_number").alias("pages")).filter(F.col("pages") >= least)
 
 
 def without_repeated_lines(lines: DataFrame, keep_bare_numbers: bool = False, repeated: DataFrame | None = None) -> DataFrame:
     """``lines`` with those of ``repeated_lines`` blanked. Bare page numbers are among them unless ``keep_bare_numbers``.
 
-    ``repeated``: the templates of the whole document, where ``lines`` are a part or another reading of it.
+    ``repeated``: the templates of the whole document as a written table, where ``lines`` are a part or another reading of it or it is at hand.
     """
-    found = (repeated_lines(lines) if repeated is None else repeated).select("magazine_id", "template", F.lit(True).alias("__repeated"))
+    found = stored(repeated_lines(lines), "repeated") if repeated is None else repeated
+    found = found.select("magazine_id", "template", F.lit(True).alias("__repeated"))
     if keep_bare_numbers:
         found = found.filter("template <> '#'")
-    marked = lines.withColumn("template", template(F.col("line"))).join(found.hint("merge"), ["magazine_id", "template"], "left")
+    marked = lines.withColumn("template", template(F.col("line"))).join(sized(found, "template"), ["magazine_id", "template"], "left")
     return marked.select("magazine_id", "page_number", "line_no", F.when(F.col("__repeated"), "").otherwise(F.col("line")).alias("line"))
 
 

@@ -20,6 +20,7 @@ from .quality import reading_order_columns, reading_order_rows, repeated_lines,
 
 # Patterns of lines of a table of contents: fixed values.
 TRAILING = r"(?iu)^(.+?)(?:[.·…\s  ]{3,})(?:p\.?\s*)?([0-9]{1,4})(?:\s*[-–]\s*([0-9]{1,4}))?\s*$"
+LAST_DIGIT = r"[0-9]\s*$"  # of any line that TRAILING fits
 LEADING = r"^([0-9]{1,3})(?:[\s  ]+|\s*[/|·–—-]\s*)([A-ZÀ-Ý].{1,})$"
 BARE = r"^([0-9]{1,3})$"
 LABEL = r"^[A-ZÀ-Ý0-9][A-ZÀ-Ý0-9 ?!'’.-]{0,30}$"
@@ -31,9 +32,10 @@ UNREADABLE = "Sommaire détecté (page {}) mais aucune entrée n'a pu en être l
 
 def line_kind(line: Column) -> Column:
     """T1. blank, trailing, leading, bare, label or text; the first that fits."""
+    # what is told by a look at one place of a line is asked before what walks along it
     words = F.size(F.filter(F.split(line, r"(?U)\s+"), lambda w: w != ""))
-    label = (words <= 4) & line.rlike(LABEL) & line.rlike(r"\p{L}")
-    return F.when(line == "", "blank").when(line.rlike(TRAILING), "trailing").when(line.rlike(LEADING), "leading").when(line.rlike(BARE), "bare").when(label, "label").otherwise("text")
+    label = line.rlike(LABEL) & line.rlike(r"\p{L}") & (words <= 4)
+    return F.when(line == "", "blank").when(line.rlike(LAST_DIGIT) & line.rlike(TRAILING), "trailing").when(line.rlike(LEADING), "leading").when(line.rlike(BARE), "bare").when(label, "label").otherwise("text")
 
 
 def classify_lines(lines: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
@@ -49,9 +51,11 @@ def collapsed(line: Column) -> Column:
 
 def is_heading(line: Column) -> Column:
     """T2. Whether a line is the heading of a table of contents."""
-    c = collapsed(line)
     starts = "(?iu)^(?:" + "|".join(HEADINGS) + r")(?!\p{L})"
-    return c.rlike(r"^\p{Lu}") & (F.length(c) <= MAX_HEADING) & c.rlike(starts)
+    # by its first letters, white space aside, a line is hardly ever one, and need not be taken apart
+    first = r"(?iu)^(?U:\s*)(?:" + "|".join(r"(?U:\s*)".join(h.replace(" ", "")) for h in HEADINGS) + ")"
+    whole = X.bound(collapsed(line), lambda c: c.rlike(r"^\p{Lu}") & (F.length(c) <= MAX_HEADING) & c.rlike(starts))
+    return line.rlike(first) & whole
 
 
 @F.pandas_udf(BooleanType())
@@ -188,7 +192,7 @@ def entries_of_readings(words: DataFrame, lines: DataFrame, found: DataFrame, pa
     near = stored(words.join(found.select("magazine_id", "page_number").distinct().hint("merge"), ["magazine_id", "page_number"], "left_semi"), "contents-words")
     # a page in one reading is a page of its own to the parser
     read = readings(near, page_width).withColumn("page_number", F.struct("strategy", "page_number"))
-    classified = stored(classify_lines(read, repeated_lines(lines)), "readings")
+    classified = stored(classify_lines(read, stored(repeated_lines(lines), "repeated")), "readings")
     entries = parse_entries(classified).withColumns({"strategy": F.col("page_number.strategy"), "page_number": F.col("page_number.page_number")})
     return plausible_entries(entries, pages)
 

@@ -35,6 +35,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Written tables of at most so many rows and bytes of text are broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
+
+
+def sized(written: DataFrame, *texts: str) -> DataFrame:
+    """A written table with the join strategy that its rows, which are counted, and the bytes of its columns ``texts`` allow: broadcast, else sort-merge."""
+    size = F.lit(0)
+    for c in texts:
+        size = size + F.coalesce(F.sum(F.octet_length(c)), F.lit(0))
+    rows, size = written.agg(F.count("*"), size).first()
+    return F.broadcast(written) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else written.hint("merge")
+
+
 class Files:
     """The few file system calls that Spark's own API lacks, through Hadoop, so that any store will do."""
 

@@ -24,7 +24,7 @@ from ..functions import text as X
 from ..operators import quality, toc
 from ..operators.taxonomy import attach_keywords
 from ..sources.archive import path_dimensions
-from ..sources.stored import HashStore, Unit
+from ..sources.stored import HashStore, Unit, sized
 from .jobs import run_available
 
 UNREAD = "No page of this document could be read."
@@ -38,7 +38,7 @@ SCHEMAS = {
 }
 
 #: What is only written to be read again inside a batch.
-STEPS = ("arrived", "text", "lines", "classified", "contents-pages", "entries")
+STEPS = ("arrived", "text", "lines", "repeated", "classified", "contents-pages", "entries")
 
 
 class Ingestion:
@@ -68,13 +68,14 @@ class Ingestion:
 
         text = self.pages_of(ids).select("magazine_id", F.col("page_number").cast("int").alias("page_number"), "raw_text")
         text = self.unit.put(text.join(ids.hint("merge"), "magazine_id", "left_semi"), "text", number)
-        pages = put("pages", text.join(quality.page_language(text).hint("merge"), ["magazine_id", "page_number"], "left"))
+        pages = put("pages", quality.with_language(text))
         documents = put("documents", self._documents(new, pages))
 
         lines = self.unit.put(quality.page_lines(pages.filter("raw_text IS NOT NULL")), "lines", number)
-        classified = self.unit.put(toc.classify_lines(lines), "classified", number)
+        repeated = self.unit.put(quality.repeated_lines(lines), "repeated", number)
+        classified = self.unit.put(toc.classify_lines(lines, repeated), "classified", number)
         found = self.unit.put(toc.find_toc_pages(lines, self.fuzzy, classified), "contents-pages", number)
-        entries = toc.parse_entries(classified.join(found.hint("merge"), ["magazine_id", "page_number"], "left_semi"))
+        entries = toc.parse_entries(classified.join(sized(found), ["magazine_id", "page_number"], "left_semi"))
         entries = self.unit.put(toc.plausible_entries(entries, pages), "entries", number)
         read = documents.filter("scan_status = 'done'").select(F.col("magazine_id").alias("id"))
         put("contents", toc.toc_status(read, found, entries))

@@ -281,6 +281,34 @@ def test_page_language_splits_a_text_once(spark):
     assert [r["language"] for r in D.page_language(pages).collect()] == ["en"]
 
 
+def test_what_pages_are_read_by_is_made_once(spark):
+    """Language stands in the page's own row, white space goes without a pattern, a title's normal form and a repeated line are looked up once."""
+    pages = spark.createDataFrame([(1, 1, "the house and the garden of the king", 7)], "magazine_id long, page_number int, raw_text string, more int")
+    out = D.with_language(pages)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString() and [tuple(r) for r in out.collect()] == [(1, 1, "the house and the garden of the king", 7, "en")]
+    titles = spark.createDataFrame([("Revue 03-04-2021 n 77", "x")], "v string, c string").repartition(1)
+    assert _times(titles.select(X.issue_metadata(F.col("v"), F.col("c")).alias("m")), "translate") == 1
+    lines = spark.createDataFrame([(1, p, 1, "Revue ... " + str(p)) for p in range(3)] + [(1, 1, 2, "prose")], "magazine_id long, page_number int, line_no int, line string")
+    cleared = D.without_repeated_lines(lines)
+    assert "strategy=broadcast" in cleared._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["line"] for r in cleared.collect()) == ["", "", "", "prose"]
+
+
+def test_white_space_lines_and_headings_are_those_of_the_plain_patterns(spark):
+    rng = random.Random(5)
+    signs = ["\r", "\n", "\x0b", "\x1c", "\x85", "\u2028", " ", "\t", "\xa0", "\u3000", "\u200b", "\u180e", "a", "é", "7"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(9))) for _ in range(600)] + [None]
+    assert one(spark, texts, X.strip(F.col("v"))) == one(spark, texts, F.regexp_replace(F.col("v"), r"(?U)^\s+|\s+$", ""))
+    assert one(spark, texts, X.lines(F.col("v"))) == one(spark, texts, F.split(F.col("v"), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]", -1))
+    heads = ["".join(rng.choice([w, w.upper(), w.title(), " ".join(w.upper()), "\u0130" + w[1:], w + "x"]) for w in [rng.choice(T.HEADINGS)]) + rng.choice(["", " 3", "é", ".", "  of all that is in this issue"]) for _ in range(300)]
+    heads = [rng.choice(["", " ", "\xa0", "("]) + h for h in heads] + [None, ""]
+    c = T.collapsed(F.col("v"))
+    plain = c.rlike(r"^\p{Lu}") & (F.length(c) <= T.MAX_HEADING) & c.rlike("(?iu)^(?:" + "|".join(T.HEADINGS) + r")(?!\p{L})")
+    assert one(spark, heads, T.is_heading(F.col("v"))) == one(spark, heads, plain)
+    ends = ["A title ... p. 12", "A title    3-5  ", "Title 12", "A title ..... 12345", "a .... 7 x", "Text … … 8\n", None, "", "12", "LABEL 9"]
+    assert one(spark, ends, F.col("v").rlike(T.LAST_DIGIT) & F.col("v").rlike(T.TRAILING)) == one(spark, ends, F.col("v").rlike(T.TRAILING))
+
+
 def test_snippet_splits_a_text_once_and_marks_are_told_by_one_look(spark):
     texts = spark.createDataFrame([("one two Ete\u0301 three",)], "v string").repartition(1)
     out = texts.select(X.snippet(F.col("v"), "ete", 2).alias("x"))
