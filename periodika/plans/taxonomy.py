@@ -434,7 +434,7 @@ def _folder(v):
     docs = v.table("documents").filter("text IS NOT NULL").withColumn("name", F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit(".pdf")))
     S.write_files(docs.filter("doc_id % 13 <> 0").select(F.concat(F.when(F.col("doc_id") % 7 == 0, "moved/").otherwise(""), "name").alias("path"), F.col("text").alias("content")), root)
     below = F.element_at(F.split("path", "/" + root.rpartition("/")[2] + "/"), -1)
-    listing = S.scan_files(v.spark, root).select(below.alias("path"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"))
+    listing = S.list_files(v.spark, root).select(below.alias("path"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"))
     times = stored(listing, "times")
     known = docs.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.col("name").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"), F.octet_length("text").cast("long").alias("size"))
     known = known.join(times.select("path", "mtime").hint("merge"), "path", "left").withColumn("mtime", F.when(F.col("id") % 5 == 0, 0).otherwise(F.coalesce("mtime", F.lit(100))))

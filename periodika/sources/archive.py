@@ -21,6 +21,17 @@ def scan_files(spark: SparkSession, root: str, glob: str = "*.pdf") -> DataFrame
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
 
 
+#: Partitions of a listing that one task takes: Spark counts a file as 4 MB, so these are some two thousand files.
+LISTED = 64
+
+
+def list_files(spark: SparkSession, root: str, glob: str = "*.pdf") -> DataFrame:
+    """S1. path, modificationTime and length of all files below ``root``. None is opened, so a task takes many."""
+    files = scan_files(spark, root, glob).drop("content")
+    here = files.rdd.getNumPartitions()
+    return files.coalesce(max(-(-here // LISTED), min(here, spark.sparkContext.defaultParallelism)))
+
+
 def file_hash(df: DataFrame, content: str = "content") -> DataFrame:
     """S2."""
     return df.withColumn("file_hash", F.sha2(F.col(content).cast("binary"), 256))

@@ -327,6 +327,13 @@ def test_index_counts_words_within_their_pages(spark):
     assert all(list(r["positions"]) == sorted(r["positions"]) for r in index.collect())
 
 
+def test_listing_of_many_files_takes_few_tasks(spark, tmp_path):
+    S.write_files(spark.range(700).select(F.concat("id", F.lit(".pdf")).alias("path"), F.col("id").cast("string").alias("content")), f"file://{tmp_path}/many")
+    listing = S.list_files(spark, f"file://{tmp_path}/many")
+    assert S.scan_files(spark, f"file://{tmp_path}/many").rdd.getNumPartitions() > listing.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert listing.columns == ["path", "modificationTime", "length"] and listing.agg(F.count_distinct("path"), F.sum("length")).first()[:] == (700, sum(len(str(i)) for i in range(700)))
+
+
 def test_variants_are_written_when_they_are_asked_for(spark, tmp_path):
     from periodika.operators.search_store import SearchStore
 
