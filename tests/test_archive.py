@@ -334,6 +334,12 @@ def test_listing_of_many_files_takes_few_tasks(spark, tmp_path):
     assert listing.columns == ["path", "modificationTime", "length"] and listing.agg(F.count_distinct("path"), F.sum("length")).first()[:] == (700, sum(len(str(i)) for i in range(700)))
 
 
+def test_ascii_texts_are_only_lowered(spark):
+    texts = [chr(c) + "Aa" for c in range(128)] + ["É" + chr(c) for c in range(128)] + [None]
+    assert one(spark, texts, X.norm(F.col("v"))) == [None if t is None else X.norm_text(t) for t in texts]
+    assert _times(spark.createDataFrame([("a",)], "v string").repartition(1).select(X.norm(F.col("v")).alias("n")), "octet_length") == 1
+
+
 def test_variants_are_written_when_they_are_asked_for(spark, tmp_path):
     from periodika.operators.search_store import SearchStore
 
