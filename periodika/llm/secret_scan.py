@@ -13,8 +13,8 @@ tests look at its symbols:
 They are asked twice. A candidate must pass for random: the harmonic mean of their three p-values under uniform symbols is
 ``LEAST_P`` or more, else p = 1. And it must not pass for text: each statistic has a p-value under natural text of the same
 length and encoding (the chance that such text looks as even as the candidate), and Fisher's method combines the three to p. What
-natural text looks like is measured on pieces of a bounded sample of the corpus' own texts for each encoding (``Natural``);
-``DEFAULT`` stands in for encodings that the sample lacks.
+natural text looks like is measured on the pieces of all of the corpus' own texts for each encoding (``Natural``), equal texts once;
+``DEFAULT`` stands in for encodings that the corpus lacks.
 
 All candidates of the corpus form one family under Benjamini-Hochberg control with length weights
 (longer classes weigh more, the mean weight over all candidates is 1); the threshold comes from a histogram of the
@@ -46,10 +46,9 @@ from .common import Saved, bounded_sample, set_apart, with_text_columns
 FDR = 0.001
 #: Below this harmonic mean a candidate doesn't pass for random.
 LEAST_P = 0.001
-#: Texts of the sample that natural text is measured on, the length of its pieces, and the length of words that stay out.
-SAMPLE, PIECE = 1000, 32
-WORD = 11
-#: Non-centrality for each symbol of natural text over an alphabet of k symbols, as a share of k - 1, where the sample has no such text.
+#: The length of the pieces that natural text is measured on, and the length of words that stay out.
+PIECE, WORD = 32, 11
+#: Non-centrality for each symbol of natural text over an alphabet of k symbols, as a share of k - 1, where the corpus has no such text.
 DEFAULT = {10: 0.9, 16: 0.5, 26: 0.029, 32: 0.035, 36: 0.028, 52: 0.031, 62: 0.035, 64: 0.035}
 #: The same of numbers in groups (dates, telephone numbers) or of fewer digits than ``NUMBER``, whose digits are more even.
 NATURAL_NUMBER, NUMBER = 0.1, 20
@@ -70,6 +69,8 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _IN_RUN = _DIGIT.copy()
 _IN_RUN[[*range(65, 91), *range(97, 123), *map(ord, "+/_=-")]] = True
+_IN_WORD = _IN_RUN.copy()
+_IN_WORD[list(map(ord, "+/_=-"))] = False
 _PART = re.compile(r"[A-Za-z0-9]+")
 _ALPHABETS = [
     (10, re.compile(r"[0-9]+"), "0123456789"),
@@ -204,33 +205,86 @@ class Battery:
         return [(0, len(run), whole), *((m.start(), m.end(), self.p(m[0])) for m in parts if len(m[0]) >= SHORTEST)]
 
 
-def _piece_statistics(column: pa.Array) -> list[pa.Array]:
-    """Of each text's words put together, in pieces of PIECE characters: encoding and statistics. Words of WORD characters or more are left out: they may be keys."""
-    out = []
-    for text in column.to_pylist():
-        bare = "".join(w for w in _PART.findall(text or "") if len(w) < WORD)
-        own = []
-        for i in range(0, len(bare) - PIECE + 1, PIECE):
-            k, symbols = encoding(bare[i : i + PIECE])
-            x = np.array([_RANKS[k][c] for c in symbols], np.int64)
-            chi, runs, serial = statistics(x, k)
-            own.append({"k": k, "away": (chi - (k - 1)) / PIECE, "runs": runs / math.sqrt(PIECE), "serial": serial / math.sqrt(PIECE)})
-        out.append(own)
-    return [pa.array(out, pa.list_(pa.struct([("k", pa.int32()), ("away", pa.float64()), ("runs", pa.float64()), ("serial", pa.float64())])))]
-
-
-def measure(docs: DataFrame, text: str = "text", sample: int = SAMPLE, least: int = 30) -> Natural:
-    """What natural text of each encoding looks like in a sample of the texts: medians, which a few secrets don't move."""
-    # a text that very many rows have is in the sample once or not at all
-    some = bounded_sample(docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("text")), "text", sample).dropDuplicates(["text"])
-    fields = [T.StructField("pieces", T.ArrayType(T.StructType([T.StructField("k", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in ("away", "runs", "serial"))])))]
-    pieces = with_text_columns(some, [], _piece_statistics, fields).select(F.inline("pieces"))
-    cuts = F.lit([0.16, 0.5, 0.84])
-    rows = pieces.groupBy("k").agg(F.count("*").alias("n"), F.median("away").alias("away"), *(F.percentile(c, cuts).alias(c) for c in ("runs", "serial"))).filter(F.col("n") >= least).collect()
+# What bytes a piece has: digits, capitals, small letters, small and capital letters beyond f, digits that base 32 lacks.
+_HAS = np.zeros(256, np.uint8)
+for _bit, _chars in enumerate(("0123456789", _ALPHABETS[5][2][:26], _ALPHABETS[5][2][26:], "ghijklmnopqrstuvwxyz", "GHIJKLMNOPQRSTUVWXYZ", "0189")):
+    _HAS[[ord(c) for c in _chars]] |= 1 << _bit
+#: Encodings that are measured. Digits, hexadecimal and base 32 are hardly ever prose: their pieces are numbers and keys, so the default stays.
+MEASURED = (26, 36, 52, 62)
+_RANK_OF = np.zeros((len(MEASURED), 256), np.int64)
+for _i, _k in enumerate(MEASURED):
+    for _c, _rank in _RANKS[_k].items():
+        _RANK_OF[_i, [ord(_c), ord(_c.upper())] if _k in (26, 36) else ord(_c)] = _rank
+#: Cells of a statistic for each unit, and what is added to a cell's number so that none is negative.
+STEPS, MIDDLE = 4096, 1 << 19
+
+
+def _encodings(pieces: np.ndarray) -> np.ndarray:
+    """``encoding``'s alphabet of each row of bytes, which are digits and letters."""
+    has = np.bitwise_or.reduce(_HAS[pieces], axis=1)
+    digit, upper, lower, beyond_lower, beyond_upper, beyond_digit = ((has >> i) & 1 == 1 for i in range(6))
+    one_case = ~upper | ~lower
+    hexadecimal = digit & (~upper & ~beyond_lower | ~lower & ~beyond_upper)
+    return np.select([~upper & ~lower, hexadecimal, ~digit & one_case, ~beyond_digit & one_case, one_case, ~digit], [10, 16, 26, 32, 36, 52], 62)
+
+
+def _piece_cells(column: pa.Array) -> list[pa.Array]:
+    """Of each text's words put together, in pieces of PIECE characters: the cells of each piece's three statistics.
+
+    Words of WORD characters or more are left out: they may be keys.
+    """
+    data, offsets = tv.utf8(column)
+    starts, ends = tv.runs(_IN_WORD[data], offsets)
+    short = ends - starts < WORD
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts[short]] += 1
+    edge[ends[short]] -= 1
+    kept = np.cumsum(edge[:-1]) > 0
+    at = np.concatenate([[0], np.cumsum(kept)])[offsets]
+    n = np.diff(at) // PIECE
+    owner = np.repeat(np.arange(len(n)), n)
+    first = at[owner] + PIECE * (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n))
+    pieces = data[kept][first[:, None] + np.arange(PIECE)]
+    k = _encodings(pieces)
+    place = np.searchsorted(MEASURED, k)
+    known = np.isin(k, MEASURED)
+    pieces, k, place, owner = pieces[known], k[known], place[known], owner[known]
+    x = _RANK_OF[place[:, None], pieces]
+    symbols = max(MEASURED)
+    counts = np.bincount((x + symbols * np.arange(len(x))[:, None]).reshape(-1), minlength=symbols * len(x)).reshape(-1, symbols)
+    chi = (counts * counts).sum(1) * k / PIECE - PIECE
+    high = x >= k[:, None] / 2
+    a = high.sum(1)
+    b = PIECE - a
+    mean = 1 + 2 * a * b / PIECE
+    spread = np.sqrt(np.maximum((mean - 1) * (mean - 2) / (PIECE - 1), 1e-9))
+    runs = np.where((a > 0) & (b > 0), (1 + (high[:, 1:] != high[:, :-1]).sum(1) - mean) / spread, -math.sqrt(PIECE))
+    c = x - x.mean(1, keepdims=True)
+    serial = ((c[:, 1:] * c[:, :-1]).sum(1) / np.maximum((c * c).sum(1), 1e-9) + 1 / PIECE) * math.sqrt(PIECE)
+    values = np.stack([(chi - (k - 1)) / PIECE, runs / math.sqrt(PIECE), serial / math.sqrt(PIECE)], axis=1)
+    cells = ((3 * place[:, None] + np.arange(3)) << 20) + np.rint(values * STEPS).astype(np.int64) + MIDDLE
+    ends = 3 * np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(n)))])
+    return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cells.reshape(-1), pa.int32()))]
+
+
+def measure(docs: DataFrame, text: str = "text", sample: int | None = None, least: int = 30) -> Natural:
+    """What natural text of each encoding looks like in all texts: medians, which a few secrets don't move. ``sample``: in so many of them only.
+
+    A text that several rows have counts once. Statistics are counted in cells of 1/STEPS, so every piece counts and none is collected.
+    """
+    texts = docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    if sample is not None:
+        texts = bounded_sample(texts, "text", sample)
+    fields = [T.StructField("cells", T.ArrayType(T.IntegerType()))]
+    pieces = with_text_columns(texts.select("text", F.md5("text").alias("hash")), ["hash"], _piece_cells, fields).groupBy("hash").agg(F.first("cells").alias("cells"))
+    cells = pieces.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+    value = (F.col("cell") % (1 << 20) - MIDDLE) / STEPS
+    cuts = F.percentile(value, F.lit([0.16, 0.5, 0.84]), F.col("n"))
+    rows = cells.groupBy(F.shiftright("cell", 20).alias("what")).agg(F.sum("n").alias("n"), cuts.alias("q")).filter(F.col("n") >= least).collect()
+    found = {r["what"]: r["q"] for r in rows}
     spread = lambda q: max((q[2] - q[0]) / 2 * math.sqrt(PIECE), 1.0)
-    # digits, hexadecimal and base 32 are hardly ever prose: their pieces are numbers and keys, so the default stays
-    known = [r for r in rows if r["k"] in (26, 36, 52, 62)]
-    return Natural({r["k"]: max(r["away"], 0.0) for r in known}, {r["k"]: ((r["runs"][1], spread(r["runs"])), (r["serial"][1], spread(r["serial"]))) for r in known})
+    known = [(k, *(found[3 * i + j] for j in range(3))) for i, k in enumerate(MEASURED) if 3 * i in found]
+    return Natural({k: max(away[1], 0.0) for k, away, _, _ in known}, {k: ((runs[1], spread(runs)), (serial[1], spread(serial))) for k, _, runs, serial in known})
 
 
 def _length_class(n: int) -> int:

@@ -242,6 +242,32 @@ def test_random_spans_equal_a_step_up_over_all_candidates(spark, docs, texts):
     assert sum(map(bool, got.values())) > 40
 
 
+def test_natural_text_is_measured_on_every_text(spark):
+    """Against a walk over all pieces of all different texts: each text counts, also beyond the first thousands, and equal ones count once."""
+    import math
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("etaoinshrdlu" * 3 + "bcdfgkmpvwy") + rng.choice(["", "", " ", " ", "é", "-"]) for _ in range(rng.randrange(60, 160))) for _ in range(1500)]
+    texts += [t.title() for t in texts[:700]] + ["".join(rng.choice(["Ab", "zz9", "q", "Ω ", "k_"]) for _ in range(90)) for _ in range(700)]
+    texts += [f"ba{i % 7}na" * 30 + " the end" for i in range(5)] + ["", "é"]
+    natural = secret_scan.measure(spark.createDataFrame([(t,) for t in [*texts, *[texts[0]] * 3000, None]], "text string"))
+    seen: dict = {}
+    for t in set(texts):
+        bare = "".join(w for w in secret_scan._PART.findall(t) if len(w) < secret_scan.WORD)
+        for i in range(0, len(bare) - 31, 32):
+            k, symbols = secret_scan.encoding(bare[i : i + 32])
+            chi, runs, serial = secret_scan.statistics(np.array([secret_scan._RANKS[k][c] for c in symbols]), k)
+            seen.setdefault(k, []).append(((chi - (k - 1)) / 32, runs / math.sqrt(32), serial / math.sqrt(32)))
+    known = {k: np.percentile(np.array(v), [16, 50, 84], axis=0) for k, v in seen.items() if k in (26, 36, 52, 62) and len(v) >= 30}
+    assert len(known) >= 3 and set(natural.away) == set(natural.scores) == set(known)
+    near = {"abs": 1.5 / secret_scan.STEPS}
+    for k, q in known.items():
+        assert natural.away[k] == pytest.approx(max(q[1][0], 0.0), **near)
+        for (mean, spread), j in zip(natural.scores[k], (1, 2), strict=True):
+            assert mean == pytest.approx(q[1][j], **near)
+            assert spread == pytest.approx(max((q[2][j] - q[0][j]) / 2 * math.sqrt(32), 1.0), abs=6 / secret_scan.STEPS)
+
+
 def test_added_spans_of_the_given_documents_are_keys(docs, texts):
     """No false discovery in the documents at hand: what the battery adds also looks like a key to the eye of a pattern."""
     import re
