@@ -3,12 +3,13 @@
 Paragraphs are all lines of a text and, for notices that run over several lines, windows of ``WINDOW`` words, half a window
 apart, over each block of lines between blank ones. The classifier is a multinomial logistic regression (``spark.ml``) over the word 1- to
 3-grams of templates and distractors; other words have no weight. It learns from pieces of the templates, from the paragraphs of
-a bounded sample of whole texts that hold a template (their family), and, as class ``unknown``, from the sample's other paragraphs,
-also with cues put in, and from distracting sentences. Half of the sample is held out, and the least probability that names a family is the
-99.5 % quantile of the unknown ones there. A named paragraph is confirmed if it holds ``CONFIRM`` of the word pairs of one of the family's
+all texts that hold a template (their family), and, as class ``unknown``, from all other paragraphs,
+as they are and with each cue put in, and from distracting sentences; paragraphs with the same grams are one example. Half of the texts are held out, and the least
+probability that names a family is the 99.5 % quantile of the unknown ones there, to one of ``CELLS`` parts. A named paragraph is confirmed if it holds ``CONFIRM`` of the word pairs of one of the family's
 templates.
 
-Grams are looked up and summed within a paragraph's row, so only paragraphs that count, and what overlaps them, are shuffled.
+Grams are looked up and summed within a paragraph's row, so only the different sets of grams that the model learns from, and paragraphs that count
+with what overlaps them, are shuffled. ``scan`` looks paragraphs up once, writes their grams out, and learns from and judges these.
 Most paragraphs can't be named whatever the arithmetic says: grams count once, so a family's score is at most its intercept and the
 sum of the weights that speak for it. ``LicenceModel.anchors`` are words without which that bound stays below the least
 probability for every family (a property of the fitted weights, not a list), and texts, blocks, lines and windows without any are ruled
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Saved, bounded_sample, sized
+from .common import Saved, sized
 
 # Notices of well-known licence families.
 TEMPLATES = {
@@ -84,8 +85,8 @@ DISTRACTORS = [
 CUES = r"licen[cs]|copyright|permission|permitted|warrant|redistribut|released under|creative commons|\bcc[ -]by|\bgpl|\bapache 2"
 #: Plain strings, one of which is in whatever a cue matches; they rule most lines out faster than the pattern does.
 CUE_PARTS = ("licen", "copyright", "permi", "warrant", "redistribut", "released under", "creative commons", "cc by", "cc-by", "gpl", "apache 2")
-#: Texts to learn from; rows of them that one task of the fit takes.
-SAMPLE, FIT_ROWS = 2000, 20_000
+#: Examples that one task of the fit takes; parts of a probability that it is counted in.
+FIT_ROWS, CELLS = 200_000, 1 << 16
 #: Weight of the sum of absolute weights in the fit, which leaves most grams without any.
 REGULAR = 1e-3
 #: Lines whose words are counted on in one array.
@@ -171,58 +172,82 @@ def _before(ns: Column, sums: Column) -> Column:
 
 
 KEYS = ["id", "t", "block", "unit", "no", "begin", "end", "cue"]
+#: The grams of templates, distractors and cues.
+VOCABULARY = sorted(set().union(*(grams_of(words_of(t)) for t in (*(t for family in TEMPLATES.values() for t in family), *DISTRACTORS, *_PUT_IN))))
+_PLACE = {g: i for i, g in enumerate(VOCABULARY)}
+
+
+def known() -> Column:
+    """The grams of ``words`` that the vocabulary has, each once, as their places in it."""
+    listed = F.split(F.lit("\n".join(VOCABULARY)), "\n")
+    return F.array_sort(F.transform(grams_among(F.col("words"), VOCABULARY), lambda g: (F.array_position(listed, g) - 1).cast("smallint")))
+
+
+def places_of(text: str) -> list[int]:
+    return sorted(_PLACE[g] for g in grams_of(words_of(text)))
+
+
+def known_grams(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Saved:
+    """KEYS and ``known`` grams of every paragraph of ``docs``, written out."""
+    rows = docs.filter(F.col(text).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
+    return Saved(paragraphs(rows).select(*KEYS, known().alias("grams")), "licence-grams")
 
 
 class LicenceModel:
-    """weights: gram -> a weight for unknown and each family; bias: their intercepts; least: the least probability that names a family."""
+    """weights: gram -> a weight for unknown and each family; bias: their intercepts; least: the least probability that names a family.
+
+    ``grams``: the table of ``known_grams`` for ``docs``, if it is there already.
+    """
 
-    def __init__(self, docs: DataFrame, id: str = "doc_id", text: str = "text"):
+    def __init__(self, docs: DataFrame, id: str = "doc_id", text: str = "text", grams: DataFrame | None = None):
         self.spark = spark = docs.sparkSession
         given = [t for family in TEMPLATES.values() for t in family]
-        self.vocabulary = sorted(set().union(*(grams_of(words_of(t)) for t in (*given, *DISTRACTORS, *_PUT_IN))))
+        self.vocabulary = VOCABULARY
         self.weights = {g: [0.0] * (len(FAMILIES) + 1) for g in self.vocabulary}
         self.pairs = [{" ".join(ws[i : i + 2]) for i in range(len(ws) - 1)} for ws in map(words_of, given)]
         self.family = [k for k, family in enumerate(TEMPLATES.values(), 1) for _ in family]
 
-        rows = bounded_sample(docs.filter(F.col(text).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text")), "id", SAMPLE)
+        own = known_grams(docs, id, text) if grams is None else None
         held = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(2)) == 1
-        found = Saved(paragraphs(rows).select(held.alias("held"), F.array_sort(self._known()).alias("grams")).distinct(), "licence-sample")
+        found = Saved((own.df if own else grams).select(held.alias("held"), "grams").distinct(), "licence-sets")
+        if own:
+            own.drop()
         label = F.when(self._best_share() >= CONFIRM, self._best_family()).otherwise(0)
         seen = Saved(self._summed(found.df).select("held", label.cast("double").alias("label"), "grams"), "licence-labelled")
 
-        pieces = [(float(k), sorted(grams_of(ws[a:b]))) for k, t in zip(self.family, given, strict=True) for ws in [words_of(t)] for a, b in ((0, None), (0, max(len(ws) - 1, 1)), (min(1, len(ws) - 1), None))]
-        pieces += [(0.0, sorted(grams_of(words_of(t)))) for t in (*DISTRACTORS, *_PUT_IN)] + [(0.0, [])]
-        learnt = seen.df.filter("NOT held").select("label", "grams")
-        put_in = F.array(*(F.array(*map(F.lit, sorted(grams_of(words_of(t))))) for t in _PUT_IN))
-        cued = learnt.filter("label = 0").select("label", F.explode(F.transform(put_in, lambda p: F.array_sort(F.array_union("grams", p)))).alias("grams"))
-        given_rows = spark.createDataFrame(pieces, "label double, grams array<string>")
-        examples = Saved(learnt.unionByName(cued).unionByName(given_rows).distinct(), "licence-examples")
-        n = {bool(r["known"]): r["count"] for r in examples.df.groupBy((F.col("label") > 0).alias("known")).count().collect()}
-        weighted = examples.df.withColumn("weight", F.when(F.col("label") > 0, n.get(False, 1) / n[True]).otherwise(1.0))
+        pieces = [(float(k), " ".join(ws[a:b])) for k, t in zip(self.family, given, strict=True) for ws in [words_of(t)] for a, b in ((0, None), (0, max(len(ws) - 1, 1)), (min(1, len(ws) - 1), None))]
+        pieces += [(0.0, t) for t in (*DISTRACTORS, *_PUT_IN, "")]
+        given_rows = spark.createDataFrame([(k, places_of(t)) for k, t in pieces], "label double, grams array<smallint>")
+        learnt = seen.df.filter("NOT held").select("label", "grams").unionByName(given_rows)
+        n = {bool(r["known"]): r["count"] for r in learnt.groupBy((F.col("label") > 0).alias("known")).count().collect()}
+        unknown = n.get(False, 0) * (1 + len(_PUT_IN))
+        # each unknown set is an example as it is and with each cue put in; dealt out before that, so that copies aren't shuffled
+        parts = max(1 + (unknown + n[True]) // FIT_ROWS, min(spark.sparkContext.defaultParallelism, 1 + unknown // 20_000))
+        cues = F.array(*(F.array(*map(F.lit, places_of(t))).cast("array<smallint>") for t in _PUT_IN))
+        copies = F.when(F.col("label") == 0, F.concat(F.array("grams"), F.transform(cues, lambda p: F.array_union("grams", p)))).otherwise(F.array("grams"))
+        listed = F.split(F.lit("\n".join(self.vocabulary)), "\n")
+        examples = learnt.repartition(parts).select("label", F.explode(copies).alias("places")).select("label", F.transform("places", lambda i: F.get(listed, i.cast("int"))).alias("grams"))
+        weighted = examples.withColumn("weight", F.when(F.col("label") > 0, unknown / n[True]).otherwise(1.0))
         vectors = CountVectorizerModel.from_vocabulary(self.vocabulary, inputCol="grams", outputCol="features").setBinary(True).transform(weighted)
-        fitted = LogisticRegression(maxIter=60, regParam=REGULAR, elasticNetParam=1.0, family="multinomial", weightCol="weight").fit(vectors.repartition(1 + sum(n.values()) // FIT_ROWS))
+        fitted = LogisticRegression(maxIter=60, regParam=REGULAR, elasticNetParam=1.0, family="multinomial", weightCol="weight").fit(vectors)
         matrix = fitted.coefficientMatrix.toArray()
         self.weights = {g: [float(x) for x in matrix[:, i]] for i, g in enumerate(self.vocabulary)}
         self.bias = [float(x) for x in fitted.interceptVector.toArray()]
-        chances = self._summed(seen.df.filter("held AND label = 0")).select(self._probability().alias("p"))
-        quantile = chances.agg(F.percentile("p", 0.995).alias("q")).first()["q"]
+        chances = self._summed(seen.df.filter("held AND label = 0")).select((F.ceil(self._probability() * CELLS) / CELLS).alias("p")).groupBy("p").count()
+        quantile = chances.agg(F.percentile("p", 0.995, F.col("count")).alias("q")).first()["q"]
         self.least = max(0.5, quantile or 0.0)
-        single = F.explode(F.filter("grams", lambda g: F.instr(g, " ") == 0)).alias("word")
-        self.anchors = self._anchors({r["word"]: r["count"] for r in seen.df.select(single).groupBy("word").count().collect()})  # words of the vocabulary
-        for written in (found, seen, examples):
+        common = {self.vocabulary[r["place"]]: r["count"] for r in seen.df.select(F.explode("grams").alias("place")).groupBy("place").count().collect()}  # grams of the vocabulary
+        self.anchors = self._anchors({g: n for g, n in common.items() if " " not in g})
+        for written in (found, seen):
             written.drop()
 
     # The vocabulary is that of the templates, whose number of grams is fixed: it and the numbers of each gram are literals of the plan.
-    def _known(self) -> Column:
-        """The grams of ``words`` that the vocabulary has, each once."""
-        return grams_among(F.col("words"), self.vocabulary)
-
     def _summed(self, found: DataFrame) -> DataFrame:
         """``found`` with ``sums`` over its column ``grams``: the weights of unknown and each family, then of each template the share of its word pairs."""
-        listed, n = F.split(F.lit("\n".join(self.vocabulary)), "\n"), len(FAMILIES) + 1 + len(self.pairs)
+        n = len(FAMILIES) + 1 + len(self.pairs)
         rows = [[*self.weights[g], *(1.0 / len(p) if g in p else 0.0 for p in self.pairs)] for g in self.vocabulary]
         numbers = F.split(F.lit(",".join(repr(x) for row in rows for x in row)), ",").cast("array<double>")
-        of = lambda g: F.slice(numbers, F.array_position(listed, g).cast("int") * n - (n - 1), F.lit(n))
+        of = lambda g: F.slice(numbers, g.cast("int") * n + 1, F.lit(n))
         none = F.array_repeat(F.lit(0.0), n)
         total = F.aggregate("grams", none, lambda s, g: F.zip_with(s, of(g), lambda a, b: a + b))
         return found.select("*", F.explode(F.array(total)).alias("sums"))  # what a generator returns isn't computed again for each use
@@ -280,7 +305,12 @@ class LicenceModel:
 
     def judge(self, docs: DataFrame) -> DataFrame:
         """KEYS of the paragraphs of ``docs`` (id, text) that count, once each, with family (its number), named, sure and held."""
-        found = self._summed(paragraphs(docs, self.anchors).withColumn("grams", self._known()))
+        return self.judge_grams(paragraphs(docs, self.anchors).withColumn("grams", known()))
+
+    def judge_grams(self, grams: DataFrame) -> DataFrame:
+        """The same from KEYS and grams of paragraphs; those that can't be named or unknown are left out before anything is summed."""
+        anchored = F.exists("grams", lambda g: g.isin([_PLACE[a] for a in self.anchors])) if self.anchors else F.lit(False)
+        found = self._summed(grams.filter(anchored | F.col("cue")))
         family = F.array_position(F.array(*self._scores()[1:]), self._most()).cast("int")
         out = found.select(*KEYS, family.alias("family"), (self._probability() >= self.least).alias("named"), self._held().alias("held"))
         out = out.withColumn("sure", F.col("named") & (F.element_at("held", F.col("family")) >= CONFIRM))
@@ -289,8 +319,12 @@ class LicenceModel:
 
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", model: LicenceModel | None = None) -> DataFrame:
     """id, n_notices, n_unknown and licences (confirmed families, sorted, comma-joined) of each row of ``docs``."""
-    model = model or LicenceModel(docs, id, text)
-    judged = Saved(model.judge(docs.select(F.col(id).alias("id"), F.col(text).alias("text"))), "licence-paragraphs")
+    if model:
+        judged = Saved(model.judge(docs.select(F.col(id).alias("id"), F.col(text).alias("text"))), "licence-paragraphs")
+    else:
+        grams = known_grams(docs, id, text)
+        judged = Saved(LicenceModel(docs, id, text, grams.df).judge_grams(grams.df), "licence-paragraphs")
+        grams.drop()
     lines, windows = (judged.df.filter(F.col("unit") == unit) for unit in (0, 1))
     sure = lines.filter("sure")
     place = ["id", "t", "block"]

@@ -536,6 +536,23 @@ def test_licences_equal_a_walk_over_all_paragraphs(spark, small, texts, docs):
         assert (r["n_notices"], r["n_unknown"], r["licences"]) == (notices, unknown, ",".join(sorted(names[f - 1] for f in families))), cases[r["doc_id"]]
 
 
+def test_the_licence_model_learns_from_every_text(spark, monkeypatch):
+    """Words of the vocabulary that one text alone has are among what is learnt, however many texts there are."""
+    rows = [(i, f"plain talk number {i}") for i in range(6000)] + [(10_000 + i, f"{w} apart") for i, w in enumerate(sorted(set(license_scan.words_of(" ".join(license_scan.DISTRACTORS)))))]
+    seen = []
+    monkeypatch.setattr(license_scan.LicenceModel, "_anchors", lambda self, common: seen.append(common) or ["license"])
+    license_scan.LicenceModel(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {w for _, t in rows for w in license_scan.words_of(t)} & set(license_scan.VOCABULARY) == set(seen[0])
+
+
+def test_licence_judgements_of_written_grams_are_those_of_texts(spark, docs):
+    df = docs.select(F.col("doc_id").alias("id"), "text")
+    model, grams = license_scan.LicenceModel(docs), license_scan.known_grams(docs)
+    plain = lambda rows: sorted(str(r) for r in rows.drop("held").collect())
+    assert plain(model.judge_grams(grams.df)) == plain(model.judge(df)) != []
+    grams.drop()
+
+
 def test_licence_lines_of_long_blocks_are_placed(spark):
     """Words before each line, over several pieces of lines, with empty lines of text and a text that comes twice."""
     lines = [" ".join(f"w{k}" for k in range(i % 7)) or "-" for i in range(2 * license_scan.PIECE + 9)]
