@@ -4,7 +4,8 @@ Paragraphs are all lines of a text and, for notices that run over several lines,
 apart, over each block of lines between blank ones. The classifier is a multinomial logistic regression (``spark.ml``) over the word 1- to
 3-grams of templates and distractors; other words have no weight. It learns from pieces of the templates, from the paragraphs of
 all texts that hold a template (their family), and, as class ``unknown``, from all other paragraphs,
-as they are and with each cue put in, and from distracting sentences; paragraphs with the same grams are one example. Half of the texts are held out, and the least
+as they are and with each cue put in, and from distracting sentences; paragraphs with the same grams are one example, and
+examples that differ only in grams without weight are fitted as one (``LicenceModel._fit``). Half of the texts are held out, and the least
 probability that names a family is the 99.5 % quantile of the unknown ones there, to one of ``CELLS`` parts. A named paragraph is confirmed if it holds ``CONFIRM`` of the word pairs of one of the family's
 templates.
 
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterable
 from functools import reduce
 from operator import or_
@@ -85,8 +87,10 @@ DISTRACTORS = [
 CUES = r"licen[cs]|copyright|permission|permitted|warrant|redistribut|released under|creative commons|\bcc[ -]by|\bgpl|\bapache 2"
 #: Plain strings, one of which is in whatever a cue matches; they rule most lines out faster than the pattern does.
 CUE_PARTS = ("licen", "copyright", "permi", "warrant", "redistribut", "released under", "creative commons", "cc by", "cc-by", "gpl", "apache 2")
-#: Examples that one task of the fit takes; parts of a probability that it is counted in.
+#: Groups of examples that one task of the fit takes; parts of a probability that it is counted in.
 FIT_ROWS, CELLS = 200_000, 1 << 16
+#: Grams that join the fit at a time; what a slope may exceed the penalty by, as the fit's rounds are limited.
+MORE, SLACK = 64, 0.05
 #: Weight of the sum of absolute weights in the fit, which leaves most grams without any.
 REGULAR = 1e-3
 #: Lines whose words are counted on in one array.
@@ -121,20 +125,27 @@ def cued(lowered: Column) -> Column:
     return has_any(lowered, CUE_PARTS) & lowered.rlike(CUES)
 
 
-def grams_among(ws: Column, known: list[str]) -> Column:
-    """Those of an array's 1- to 3-grams, each once, that ``known`` has (it has every word of its grams)."""
-    of = {n: [g for g in known if g.count(" ") == n - 1] for n in (1, 2, 3)}
-    joined = lambda marked, n: F.transform(marked, lambda w, i: F.concat(w, *(x for k in range(1, n) for x in (F.lit(" "), F.get(marked, i + k)))))
-    among = lambda marked, n: F.filter(joined(marked, n), lambda g: g.isin(of[n])) if of[n] else F.array().cast("array<string>")
-    # Other words become null, and so does what is joined with them; the array of one array has them marked once.
-    marked = F.array(F.transform(ws, lambda w: F.when(w.isin(of[1]), w)))
-    return F.get(F.transform(marked, lambda m: F.array_distinct(F.concat(F.filter(m, lambda w: w.isNotNull()), among(m, 2), among(m, 3)))), F.lit(0))
+def spots(marked: Column, n: int, shorter: Column | None = None) -> Column:
+    """Where each ``n``-gram of an array of words begins: its place in the vocabulary, -1 for others; ``shorter``: the places of the grams one word shorter."""
+    of = [g for g in VOCABULARY if g.count(" ") == n - 1]
+    place = lambda g: F.when(g.isin(of), F.get(_listed(_SPOTS), F.crc32(g.cast("binary")) % len(_SPOTS))).otherwise(F.lit(-1)).cast("smallint")
+    if shorter is None:
+        return F.transform(marked, place)
+    # a gram of the vocabulary has its shorter ones there, so only what they leave open is joined
+    joined = lambda i: F.concat_ws(" ", *(F.get(marked, i + k) for k in range(n)))
+    return F.transform(shorter, lambda p, i: F.when((p >= 0) & (F.get(shorter, i + 1) >= 0), place(joined(i))).otherwise(F.lit(-1).cast("smallint")))
+
+
+def grams_within(begin: Column, end: Column) -> Column:
+    """The grams of a block's words ``begin`` to ``end``, each once, as sorted places in the vocabulary."""
+    parts = (F.slice(f"spots_{n}", begin + 1, F.greatest(end - begin - (n - 1), F.lit(0))) for n in (1, 2, 3))
+    return F.sort_array(F.array_remove(F.array_distinct(F.concat(*parts)), F.lit(-1).cast("smallint")))
 
 
 def paragraphs(docs: DataFrame, anchors: list[str] | None = None) -> DataFrame:
-    """The lines (unit 0) and windows (unit 1) of each different text of ``docs`` (id, text): id, t, block, unit, no, begin, end, cue, words.
+    """The lines (unit 0) and windows (unit 1) of each different text of ``docs`` (id, text): id, t, block, unit, no, begin, end, cue, grams.
 
-    ``begin`` and ``end`` count words in the block; rows that repeat a text repeat its paragraphs. With ``anchors``, only lines
+    ``grams`` are places in ``VOCABULARY``; a block's are looked up once and dealt to its lines and windows. ``begin`` and ``end`` count words in the block; rows that repeat a text repeat its paragraphs. With ``anchors``, only lines
     with a cue or one of these words (or a longer one that holds it) come, and windows with one of the words.
     """
     matches = (lambda c: F.lit(True)) if anchors is None else (lambda c: has_any(c, anchors) | cued(c))
@@ -145,15 +156,18 @@ def paragraphs(docs: DataFrame, anchors: list[str] | None = None) -> DataFrame:
     said = lambda x: F.struct(words(x).alias("words"), matches(x).alias("keep"), cued(x).alias("cue"))
     read = blocks.select("id", "t", "block", F.transform(F.split("body", "\n", -1), said).alias("said"))
     # Columns of their own where more than one expression reads them, so that each is computed once.
-    read = read.withColumn("all_words", F.flatten("said.words")).withColumn("ns", F.transform("said", lambda x: F.size(x["words"])))
+    read = read.withColumn("ns", F.transform("said", lambda x: F.size(x["words"]))).withColumn("all_words", F.flatten("said.words"))
     read = read.withColumn("sums", _piece_sums(F.col("ns"))).withColumn("before", _before(F.col("ns"), F.col("sums")))
-    unit = lambda u, no, begin, end, cue, ws: F.struct(F.lit(u).alias("unit"), no.alias("no"), begin.alias("begin"), end.alias("end"), cue.alias("cue"), ws.alias("words"))
-    kept = F.filter(F.transform("said", lambda x, i: F.when(x["keep"], unit(0, i, F.get("before", i), F.get("before", i) + F.size(x["words"]), x["cue"], x["words"]))), lambda x: x.isNotNull())
     ws = F.col("all_words")
+    read = read.withColumn("spots_1", spots(ws, 1))
+    read = read.withColumn("spots_2", spots(ws, 2, F.col("spots_1")))
+    read = read.withColumn("spots_3", spots(ws, 3, F.col("spots_2")))
+    unit = lambda u, no, begin, end, cue: F.struct(F.lit(u).alias("unit"), no.alias("no"), begin.alias("begin"), end.alias("end"), cue.alias("cue"), grams_within(begin, end).alias("grams"))
+    kept = F.filter(F.transform("said", lambda x, i: F.when(x["keep"], unit(0, i, F.get("before", i), F.get("before", i) + F.get("ns", i), x["cue"]))), lambda x: x.isNotNull())
     numbers = F.sequence(F.lit(0), (F.greatest(F.ceil(F.size(ws) / half) - 1, F.lit(1)) - 1).cast("int"))
-    windows = F.transform(numbers, lambda k: unit(1, k, half * k, half * k + F.least(F.size(ws) - half * k, F.lit(WINDOW)), F.lit(False), F.slice(ws, half * k + 1, F.lit(WINDOW))))
+    windows = F.transform(numbers, lambda k: unit(1, k, half * k, half * k + F.least(F.size(ws) - half * k, F.lit(WINDOW)), F.lit(False)))
     if anchors is not None:
-        windows = F.filter(windows, lambda w: F.arrays_overlap(w["words"], F.array(*map(F.lit, anchors)))) if anchors else F.filter(windows, lambda w: F.lit(False))
+        windows = F.filter(windows, lambda w: F.arrays_overlap(w["grams"], _listed([_PLACE[a] for a in anchors]))) if anchors else F.filter(windows, lambda w: F.lit(False))
     return read.select("id", "t", "block", F.explode(F.concat(kept, windows)).alias("p")).select("id", "t", "block", "p.*")
 
 
@@ -177,10 +191,24 @@ VOCABULARY = sorted(set().union(*(grams_of(words_of(t)) for t in (*(t for family
 _PLACE = {g: i for i, g in enumerate(VOCABULARY)}
 
 
-def known() -> Column:
-    """The grams of ``words`` that the vocabulary has, each once, as their places in it."""
-    listed = F.split(F.lit("\n".join(VOCABULARY)), "\n")
-    return F.array_sort(F.transform(grams_among(F.col("words"), VOCABULARY), lambda g: (F.array_position(listed, g) - 1).cast("smallint")))
+def _spread(grams: list[str]) -> list[int]:
+    """Their places, each at its CRC-32 modulo the list's length, the first length at which no two meet; -1 elsewhere."""
+    sums = [zlib.crc32(g.encode()) for g in grams]
+    size = len(grams)
+    while len({c % size for c in sums}) < len(grams):
+        size += 1
+    out = [-1] * size
+    for i, c in enumerate(sums):
+        out[c % size] = i
+    return out
+
+
+_SPOTS = _spread(VOCABULARY)
+
+
+def _listed(places: list[int]) -> Column:
+    """A literal array of places."""
+    return F.split(F.lit(",".join(map(str, places))), ",").cast("array<smallint>")
 
 
 def places_of(text: str) -> list[int]:
@@ -188,9 +216,9 @@ def places_of(text: str) -> list[int]:
 
 
 def known_grams(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Saved:
-    """KEYS and ``known`` grams of every paragraph of ``docs``, written out."""
+    """KEYS and grams of every paragraph of ``docs``, written out."""
     rows = docs.filter(F.col(text).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
-    return Saved(paragraphs(rows).select(*KEYS, known().alias("grams")), "licence-grams")
+    return Saved(paragraphs(rows).select(*KEYS, "grams"), "licence-grams")
 
 
 class LicenceModel:
@@ -219,20 +247,7 @@ class LicenceModel:
         pieces += [(0.0, t) for t in (*DISTRACTORS, *_PUT_IN, "")]
         given_rows = spark.createDataFrame([(k, places_of(t)) for k, t in pieces], "label double, grams array<smallint>")
         learnt = seen.df.filter("NOT held").select("label", "grams").unionByName(given_rows)
-        n = {bool(r["known"]): r["count"] for r in learnt.groupBy((F.col("label") > 0).alias("known")).count().collect()}
-        unknown = n.get(False, 0) * (1 + len(_PUT_IN))
-        # each unknown set is an example as it is and with each cue put in; dealt out before that, so that copies aren't shuffled
-        parts = max(1 + (unknown + n[True]) // FIT_ROWS, min(spark.sparkContext.defaultParallelism, 1 + unknown // 20_000))
-        cues = F.array(*(F.array(*map(F.lit, places_of(t))).cast("array<smallint>") for t in _PUT_IN))
-        copies = F.when(F.col("label") == 0, F.concat(F.array("grams"), F.transform(cues, lambda p: F.array_union("grams", p)))).otherwise(F.array("grams"))
-        listed = F.split(F.lit("\n".join(self.vocabulary)), "\n")
-        examples = learnt.repartition(parts).select("label", F.explode(copies).alias("places")).select("label", F.transform("places", lambda i: F.get(listed, i.cast("int"))).alias("grams"))
-        weighted = examples.withColumn("weight", F.when(F.col("label") > 0, unknown / n[True]).otherwise(1.0))
-        vectors = CountVectorizerModel.from_vocabulary(self.vocabulary, inputCol="grams", outputCol="features").setBinary(True).transform(weighted)
-        fitted = LogisticRegression(maxIter=60, regParam=REGULAR, elasticNetParam=1.0, family="multinomial", weightCol="weight").fit(vectors)
-        matrix = fitted.coefficientMatrix.toArray()
-        self.weights = {g: [float(x) for x in matrix[:, i]] for i, g in enumerate(self.vocabulary)}
-        self.bias = [float(x) for x in fitted.interceptVector.toArray()]
+        self._fit(learnt)
         chances = self._summed(seen.df.filter("held AND label = 0")).select((F.ceil(self._probability() * CELLS) / CELLS).alias("p")).groupBy("p").count()
         quantile = chances.agg(F.percentile("p", 0.995, F.col("count")).alias("q")).first()["q"]
         self.least = max(0.5, quantile or 0.0)
@@ -241,6 +256,74 @@ class LicenceModel:
         for written in (found, seen):
             written.drop()
 
+    def _fit(self, learnt: DataFrame) -> None:
+        """Weights and bias of the regression over all examples: each set of ``learnt`` (label, grams), unknown ones also with each cue put in.
+
+        The penalty leaves most grams without weight, and examples that agree on the others are one to the fit. So it runs on few grams and
+        grouped examples, and then the gradient over all examples tells which other grams would get a weight; ``MORE`` of them join until none is
+        left. Grams without weight leave before the next fit; one that comes back stays.
+        """
+        per = {int(r["label"]): r["count"] for r in learnt.groupBy("label").count().collect()}
+        unknown = per[0] * (1 + len(_PUT_IN))
+        heavy, total = unknown / (sum(per.values()) - per[0]), 2.0 * unknown
+        self.bias = [math.log((unknown if k == 0 else heavy * per[k]) / total) for k in range(len(FAMILIES) + 1)]
+        none, weight = F.array().cast("array<smallint>"), F.col("count") * F.when(F.col("label") > 0, heavy).otherwise(1.0)
+        put_in = F.array(none, *(_listed(places_of(t)) for t in _PUT_IN))
+        fitted: list[int] = []
+        gone: set[int] = set()
+        back: set[int] = set()
+        while True:
+            among = lambda c: F.filter(c, lambda g: g.isin(fitted)) if fitted else none  # noqa: E731, B023
+            place = F.explode(F.concat(F.array(F.lit(-1).cast("smallint")), "grams")).alias("place")  # -1 counts the group's examples
+            groups = Saved(learnt.select("label", among("grams").alias("seen"), place).groupBy("label", "seen", "place").count(), "licence-groups")
+            copies = groups.df.select("label", "seen", "place", weight.alias("weight"), F.explode(F.when(F.col("label") == 0, put_in).otherwise(F.array(none))).alias("cue"))
+            copies = copies.select("*", F.sort_array(F.array_union("seen", among("cue"))).alias("grams"))
+            if fitted:
+                self._fit_grouped(copies.filter("place = -1").groupBy("label", "grams").agg(F.sum("weight").alias("weight")), fitted)
+            pulls = self._pulls(copies, total)
+            groups.drop()
+            more = sorted((g for g, x in pulls.items() if x > REGULAR * (1 + SLACK) and g not in fitted), key=lambda g: (-pulls[g], g))
+            if not more:
+                return
+            # those that got no weight leave again, once
+            left = {g for g in fitted if g not in back and not any(self.weights[self.vocabulary[g]])}
+            back |= gone & set(more[:MORE])
+            gone |= left
+            fitted = sorted({*fitted, *more[:MORE]} - left)
+
+    def _fit_grouped(self, examples: DataFrame, fitted: list[int]) -> None:
+        """Weights of the grams ``fitted`` (others have none) and bias from examples (label, grams, weight)."""
+        examples = Saved(examples, "licence-examples")
+        sums = examples.df.agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.sum(F.col("weight") ** 2).alias("squares")).first()
+        known = [self.vocabulary[i] for i in fitted]
+        listed = F.split(F.lit("\n".join(self.vocabulary)), "\n")
+        rows = examples.df.coalesce(1 + sums["n"] // FIT_ROWS).select("label", "weight", F.transform("grams", lambda i: F.get(listed, i.cast("int"))).alias("grams"))
+        vectors = CountVectorizerModel.from_vocabulary(known, inputCol="grams", outputCol="features").setBinary(True).transform(rows)
+        # deviations, by which the fit scales the penalty, are unbiased for single examples and too large for groups
+        penalty = REGULAR * math.sqrt(1 - sums["squares"] / sums["w"] ** 2)
+        model = LogisticRegression(maxIter=60, regParam=penalty, elasticNetParam=1.0, family="multinomial", weightCol="weight").fit(vectors)
+        matrix = model.coefficientMatrix.toArray()
+        self.weights = {g: [0.0] * (len(FAMILIES) + 1) for g in self.vocabulary} | {g: [float(x) for x in matrix[:, i]] for i, g in enumerate(known)}
+        self.bias = [float(x) for x in model.interceptVector.toArray()]
+        examples.drop()
+
+    def _pulls(self, copies: DataFrame, total: float) -> dict[int, float]:
+        """The greatest slope of the loss over all examples along each gram's weights, in the scale of the penalty."""
+        scores = self._scores()
+        # each step behind a generator, so that what follows doesn't compute it again
+        rows = self._summed(copies).select("label", "place", "cue", "weight", F.explode(F.array(F.array(*scores))).alias("scores"))
+        rows = rows.select("label", "place", "cue", "weight", F.explode(F.array(F.transform("scores", lambda z: F.exp(z - F.array_max("scores"))))).alias("parts"))
+        said = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x)
+        to = F.when(F.col("place") < 0, F.col("cue")).otherwise(F.array_except(F.array("place"), "cue"))
+        rows = rows.select("label", "parts", "weight", said.alias("said"), F.explode(to).alias("place"))
+        off = [F.sum((F.get("parts", F.lit(k)) / F.col("said") - (F.col("label") == k).cast("double")) * F.col("weight")).alias(f"off_{k}") for k in range(len(scores))]
+        out = {}
+        for r in rows.groupBy("place").agg(F.sum("weight").alias("w"), *off).collect():  # grams of the vocabulary
+            share = r["w"] / total
+            if 0 < share < 1:
+                out[r["place"]] = max(abs(r[f"off_{k}"]) for k in range(len(scores))) / total / math.sqrt(share * (1 - share))
+        return out
+
     # The vocabulary is that of the templates, whose number of grams is fixed: it and the numbers of each gram are literals of the plan.
     def _summed(self, found: DataFrame) -> DataFrame:
         """``found`` with ``sums`` over its column ``grams``: the weights of unknown and each family, then of each template the share of its word pairs."""
@@ -305,7 +388,7 @@ class LicenceModel:
 
     def judge(self, docs: DataFrame) -> DataFrame:
         """KEYS of the paragraphs of ``docs`` (id, text) that count, once each, with family (its number), named, sure and held."""
-        return self.judge_grams(paragraphs(docs, self.anchors).withColumn("grams", known()))
+        return self.judge_grams(paragraphs(docs, self.anchors))
 
     def judge_grams(self, grams: DataFrame) -> DataFrame:
         """The same from KEYS and grams of paragraphs; those that can't be named or unknown are left out before anything is summed."""

@@ -545,6 +545,31 @@ def test_the_licence_model_learns_from_every_text(spark, monkeypatch):
     assert {w for _, t in rows for w in license_scan.words_of(t)} & set(license_scan.VOCABULARY) == set(seen[0])
 
 
+def test_the_licence_fit_groups_examples_and_holds_over_all(spark, monkeypatch):
+    rng = random.Random(5)
+    plain = sorted(set(license_scan.words_of(" ".join(license_scan.DISTRACTORS[5:9]))) - {"license", "licensed"})
+    docs = spark.createDataFrame([(i, " ".join(rng.sample(plain, 6))) for i in range(400)], "doc_id long, text string")
+    rows, learnt = [], []
+    plain_fit = license_scan.LogisticRegression.fit
+    monkeypatch.setattr(license_scan.LogisticRegression, "fit", lambda self, vectors: rows.append(vectors.count()) or plain_fit(self, vectors))
+    regression = license_scan.LicenceModel._fit
+    monkeypatch.setattr(license_scan.LicenceModel, "_fit", lambda self, df: learnt.extend(df.collect()) or regression(self, df))
+    model = license_scan.LicenceModel(docs)
+    given = [license_scan.places_of(t) for t in license_scan._PUT_IN]
+    cases = [(int(r["label"]), set(r["grams"]) | set(cue)) for r in learnt for cue in ([[], *given] if r["label"] == 0 else [[]])]
+    assert max(rows) < 0.8 * len(cases)
+    y = np.array([k for k, _ in cases])
+    x = np.array([[g in grams for g in range(len(license_scan.VOCABULARY))] for _, grams in cases], float)
+    w = np.where(y > 0, (y == 0).sum() / (y > 0).sum(), 1.0)
+    z = x @ np.array([model.weights[g] for g in license_scan.VOCABULARY]) + model.bias
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    off = p / p.sum(axis=1, keepdims=True) - np.eye(z.shape[1])[y]
+    share = w @ x / w.sum()
+    some = share > 0
+    slope = np.abs(x.T @ (off * w[:, None]) / w.sum()).max(axis=1)[some] / np.sqrt(share * (1 - share))[some]
+    assert slope.max() < 1.2 * license_scan.REGULAR
+
+
 def test_licence_judgements_of_written_grams_are_those_of_texts(spark, docs):
     df = docs.select(F.col("doc_id").alias("id"), "text")
     model, grams = license_scan.LicenceModel(docs), license_scan.known_grams(docs)
