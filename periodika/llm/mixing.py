@@ -34,11 +34,10 @@ from pyspark.sql import types as T
 
 from . import quality_classifier as qc
 from . import textvec as tv
-from .common import Saved, bounded_sample, one_label, with_text_columns
+from .common import Saved, one_label, sized, with_text_columns
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.95, "low": 0.04, "toxic": 0.01}
-SAMPLE = 10_000
 BUCKETS = 1 << 18
 ROUNDS, TOLERANCE, NEARNESS = 200, 1e-6, 3e-4
 CELLS = 40_000
@@ -83,10 +82,10 @@ def lexical(words: tv.Words, odds: np.ndarray) -> np.ndarray:
     return np.stack([most, strong, strong / np.maximum(words.counts, 1)], axis=1)
 
 
-def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Posteriors:
+def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> Posteriors:
     known = one_label(labels, id, "quality", "toxic").filter(F.col("quality").isNotNull() | F.col("toxic").isNotNull())
-    rows = bounded_sample(known, id, sample)
-    chosen = Saved(docs.select(id, F.col(text).alias("text")).join(F.broadcast(rows), id), "mixing-sample")  # sample rows or so
+    rows = Saved(known, "mixing-labels")
+    chosen = docs.select(id, F.col(text).alias("text")).join(sized(rows.df, rows.count()), id)
 
     def described(column: pa.Array) -> list[pa.Array]:
         x, words = qc.features(column), _words(column)
@@ -98,8 +97,8 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
         ]
 
     fields = [T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("buckets", T.ArrayType(T.LongType()))]
-    seen = Saved(with_text_columns(chosen.df, [id, "quality", "toxic"], described, fields), "mixing-features")
-    # log-odds of toxicity of words in five sampled documents or more
+    seen = Saved(with_text_columns(chosen, [id, "quality", "toxic"], described, fields), "mixing-features")
+    # log-odds of toxicity of words in five labelled documents or more
     n = seen.df.agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("n")).first()
     per = seen.df.select("toxic", F.explode("buckets").alias("b")).groupBy("b").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("n")).filter("t + n >= 5")
     odds = np.zeros(BUCKETS)
@@ -107,20 +106,20 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
         odds[r["b"]] = np.log((r["t"] + 0.5) / ((n["t"] or 0) + 1)) - np.log((r["n"] + 0.5) / ((n["n"] or 0) + 1))
     if not n["t"]:
         odds[:] = 0
-    low = seen.df.filter(F.col("quality").isNotNull()).orderBy(id).select("x", "quality").collect()
-    low_trees = qc.grow(np.array([r["x"] for r in low]).reshape(-1, len(qc.FEATURES)), np.array([1.0 - r["quality"] for r in low]), trees=40)
+    low = seen.df.filter(F.col("quality").isNotNull()).select((1.0 - F.col("quality")).alias("y"), "x")
+    low_trees = qc.grow_table(low, len(qc.FEATURES), trees=40)
 
     def strong(column: pa.Array) -> list[pa.Array]:
         x = lexical(_words(column), odds)
         return [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * 3, pa.int32()), pa.array(x.reshape(-1)))]
 
-    toxic = with_text_columns(chosen.df.filter(F.col("toxic").isNotNull()), [id, "toxic"], strong, [fields[0]]).orderBy(id).collect()
-    toxic_trees = qc.grow(np.array([r["x"] for r in toxic]).reshape(-1, 3), np.array([float(r["toxic"]) for r in toxic]), trees=60, depth=3)
-    for empty, trees in ((low, low_trees), (toxic, toxic_trees)):
-        if not empty:
+    toxic = Saved(with_text_columns(chosen.filter(F.col("toxic").isNotNull()), ["toxic"], strong, [fields[0]]).select(F.col("toxic").cast("double").alias("y"), "x"), "mixing-toxic")
+    toxic_trees = qc.grow_table(toxic.df, 3, trees=60, depth=3)
+    for learnt, trees in ((low, low_trees), (toxic.df, toxic_trees)):
+        if learnt.isEmpty():
             trees.base = -40.0
-    chosen.drop()
-    seen.drop()
+    for written in (rows, seen, toxic):
+        written.drop()
     return Posteriors(odds.astype(np.float32), low_trees, toxic_trees)
 
 

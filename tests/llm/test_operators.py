@@ -545,6 +545,18 @@ def test_the_licence_model_learns_from_every_text(spark, monkeypatch):
     assert {w for _, t in rows for w in license_scan.words_of(t)} & set(license_scan.VOCABULARY) == set(seen[0])
 
 
+def test_trees_of_a_table_are_those_of_all_its_rows(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = np.round(rng.random((900, 3)), 1)
+    y = ((x[:, 0] > 0.4) ^ (x[:, 1] > 0.7) ^ (rng.random(900) < 0.1)).astype(float)
+    rows = spark.createDataFrame([(float(b), [float(v) for v in a]) for a, b in zip(x, y, strict=True)], "y double, x array<double>")
+    monkeypatch.setattr(quality_classifier, "LOCAL", 100)
+    monkeypatch.setattr(quality_classifier, "TASK_ROWS", 300)
+    got, want = quality_classifier.grow_table(rows, 3, trees=12, depth=3), quality_classifier.grow(x, y, trees=12, depth=3)
+    assert (got.feature == want.feature).all() and (got.threshold == want.threshold).all()
+    assert np.abs(got.score(x) - want.score(x)).max() < 1e-6
+
+
 def test_the_licence_fit_groups_examples_and_holds_over_all(spark, monkeypatch):
     rng = random.Random(5)
     plain = sorted(set(license_scan.words_of(" ".join(license_scan.DISTRACTORS[5:9]))) - {"license", "licensed"})
