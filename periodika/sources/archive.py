@@ -2,34 +2,92 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
-from collections.abc import Callable
+import os
+import re
+from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyarrow.fs import FileSystem
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ranks import ranks
-from .stored import stored
+from .stored import Files, stored
 
 
 def scan_files(spark: SparkSession, root: str, glob: str = "*.pdf") -> DataFrame:
-    """S1. path, modificationTime, length and content of all files below ``root``; content is read only where selected."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    """S1. path, modificationTime, length and content of all files below ``root``, empty ones included; content is read only where selected.
 
+    Spark's reader lists in the driver: ``list_files`` is for more files than that holds.
+    """
+    filled = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    # that reader passes over empty files
+    empty = list_files(spark, root, glob).filter("length = 0").withColumn("content", F.lit(bytearray()))
+    return filled.unionByName(empty)
+
+
+#: Files that a partition of a listing has, and folders' entries that a task gives on at once.
+LISTED = 50_000
 
-#: Partitions of a listing that one task takes: Spark counts a file as 4 MB, so these are some two thousand files.
-LISTED = 64
+
+def _entries(system: FileSystem, folder: str) -> Iterator[tuple[str, bool, int, int]]:
+    """Name, whether it is a folder, size and time in milliseconds of what lies in a folder. A local one is read entry by entry, others at once."""
+    if system.type_name == "local":
+        with os.scandir(folder) as found:
+            for x in found:
+                with contextlib.suppress(FileNotFoundError):  # gone by now
+                    s = x.stat()
+                    yield x.name, x.is_dir(), s.st_size, s.st_mtime_ns // 1_000_000
+    else:
+        for x in system.get_file_info(FileSelector(folder)):
+            yield x.base_name, x.type == FileType.Directory, x.size or 0, (x.mtime_ns or 0) // 1_000_000
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*.pdf") -> DataFrame:
-    """S1. path, modificationTime and length of all files below ``root``. None is opened, so a task takes many."""
-    files = scan_files(spark, root, glob).drop("content")
-    here = files.rdd.getNumPartitions()
-    return files.coalesce(max(-(-here // LISTED), min(here, spark.sparkContext.defaultParallelism)))
+    """S1. path, modificationTime and length of all files below ``root``, empty ones included. None is opened.
+
+    Tasks list the folders, level by level, and write what they find as they go, so that the driver holds no file of it. Names that
+    Spark's readers take for hidden are left out.
+    """
+    at = Files(spark, root)
+    if not at.exists(""):
+        raise FileNotFoundError(root)
+    uri, shown = at.qualified()
+    wanted = re.compile(spark._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern())
+    names = ["path", "ms", "length", "folder"]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else ((),) * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=names)
+
+    def run(batches):
+        system, base = FileSystem.from_uri(uri)
+        rows = []
+        for folder in (f for b in batches for f in b.column(0).to_pylist()):
+            with contextlib.suppress(FileNotFoundError):  # a folder that is gone by now
+                for name, inside, size, ms in _entries(system, f"{base.rstrip('/')}/{folder}"):
+                    hidden = name[0] == "." or name[0] == "_" and "=" not in name or name.endswith("._COPYING_")
+                    if not hidden and (inside or wanted.fullmatch(name)):
+                        rows.append((f"{folder}/{name}" if folder else name, ms, size, inside))
+                    if len(rows) == LISTED:
+                        yield batch(rows)
+                        rows = []
+        yield batch(rows)
+
+    tasks, total, out = spark.sparkContext.defaultParallelism, 0, None
+    folders = spark.createDataFrame([("",)], "path string")
+    while folders is not None:
+        found = stored(folders.mapInArrow(run, "path string, ms long, length long, folder boolean"), "listed")
+        out = found if out is None else out.unionByName(found)
+        below, files = found.agg(F.count_if("folder"), F.count_if(~F.col("folder"))).first()
+        total += files
+        folders = found.filter("folder").select("path").repartition(min(below, 8 * tasks), "path") if below else None
+    rows = out.filter("NOT folder").repartition(max(tasks, -(-total // LISTED)))
+    return rows.select(F.concat(F.lit(f"{shown.rstrip('/')}/"), "path").alias("path"), F.timestamp_millis("ms").alias("modificationTime"), "length")
 
 
 def file_hash(df: DataFrame, content: str = "content") -> DataFrame:

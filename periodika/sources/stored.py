@@ -59,6 +59,11 @@ class Files:
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
+    def qualified(self) -> tuple[str, str]:
+        """The root with its scheme: as a URI, and as Spark's readers show it in paths."""
+        at = self.system.makeQualified(self._path(""))
+        return at.toUri().toString(), at.toString()
+
     def names(self, name: str = "") -> list[str]:
         """What lies in a folder; nothing if it isn't there."""
         at = self._path(name)

@@ -334,6 +334,44 @@ def test_listing_of_many_files_takes_few_tasks(spark, tmp_path):
     assert listing.columns == ["path", "modificationTime", "length"] and listing.agg(F.count_distinct("path"), F.sum("length")).first()[:] == (700, sum(len(str(i)) for i in range(700)))
 
 
+def test_a_listing_has_empty_files_and_leaves_the_driver_none(spark, tmp_path):
+    """Empty files are files; folders of any depth are listed by tasks, no scan of the plan is over the files, and hidden names stay out."""
+    names = {"a.pdf": b"", "x/b 1%.pdf": b"abc", "x/y/z/c.pdf": b"", "x/y/d.pdf": b"d", "x/e.txt": b"no", "_hidden/f.pdf": b"no", ".g.pdf": b"no", "x/é=1/h.pdf": b"hh"}
+    for name, content in names.items():
+        (tmp_path / "deep" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "deep" / name).write_bytes(content)
+    (tmp_path / "deep/none").mkdir()
+    listing = S.list_files(spark, f"file://{tmp_path}/deep")
+    want = {f"file:{tmp_path}/deep/{n}": c for n, c in names.items() if c != b"no"}
+    assert {r["path"]: r["length"] for r in listing.collect()} == {p: len(c) for p, c in want.items()}
+    assert "binaryFile" not in listing._jdf.queryExecution().toString() and all("/deep/" not in f for f in listing.inputFiles())
+    read = S.scan_files(spark, f"file://{tmp_path}/deep")
+    assert {r["path"]: bytes(r["content"]) for r in read.collect()} == want
+    times = {r["path"]: r["modificationTime"] for r in read.filter("length > 0").collect()}
+    assert {r["path"]: r["modificationTime"] for r in listing.filter("length > 0").collect()} == times
+    assert [r["path"].rpartition("/")[2] for r in S.list_files(spark, f"{tmp_path}/deep", "[cd].p?f").orderBy("path").collect()] == ["d.pdf", "c.pdf"]
+    with pytest.raises(FileNotFoundError):
+        S.list_files(spark, f"file://{tmp_path}/nowhere")
+
+
+def test_documents_without_text_are_files_of_a_scan(spark, tmp_path):
+    """An empty text is a file of no bytes, for s1_scan_files and s3_scan_folder as for their SQL."""
+    from pathlib import Path
+
+    import duckdb
+
+    from periodika import plans
+
+    duckdb.sql(f"COPY (SELECT i AS doc_id, CASE WHEN i % 4 = 0 THEN '' WHEN i % 9 = 5 THEN NULL ELSE 'text ' || (i % 20) END AS text, 'en' AS lang, 'src1' AS source, 5 AS n_chars FROM range(60) t(i)) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    for name in ("part", "events", "customer"):
+        (tmp_path / f"{name}.parquet").write_bytes(Path(f"/root/testdata/sf0.001/{name}.parquet").read_bytes())
+    for name in ("s1_scan_files", "s3_scan_folder"):
+        got, want = plans.QUERIES[name](spark, str(tmp_path)), con.execute(plans.ORACLES[name]).df()
+        assert sorted(map(str, got.select(*want.columns).toPandas().itertuples(index=False, name=None))) == sorted(map(str, want.itertuples(index=False, name=None))), name
+
+
 def test_ascii_texts_are_only_lowered(spark):
     texts = [chr(c) + "Aa" for c in range(128)] + ["É" + chr(c) for c in range(128)] + [None]
     assert one(spark, texts, X.norm(F.col("v"))) == [None if t is None else X.norm_text(t) for t in texts]
