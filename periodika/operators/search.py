@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..sources.stored import stored
+from ..sources.stored import sized, stored
 from .ranks import ranks
 
 MAX_RANKED = 500
@@ -41,12 +41,31 @@ def refresh_search_documents(old: DataFrame, fresh: DataFrame, changed: DataFram
 
 def build_inverted_index(docs: DataFrame) -> DataFrame:
     """R1. term, attr (0 text, 1 magazine title), page_id, magazine_id, tf and positions."""
-    fields = [docs.schema[c] for c in ("page_id", "magazine_id")]
-    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("attr", T.IntegerType()), *fields, T.StructField("tf", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
     # words are counted within their page's row, so that texts are grouped and not each word
-    pages = docs.groupBy("page_id", "magazine_id").agg(*(F.collect_list(c).alias(c) for c in ("raw_text", "magazine_title")))
-    words = pages.select("page_id", "magazine_id", *(F.transform(c, X.terms).alias(c) for c in ("raw_text", "magazine_title")))
-    return words.mapInArrow(_postings, schema)
+    return _index(docs.groupBy("page_id", "magazine_id").agg(*(F.collect_list(c).alias(c) for c in _TEXTS)), _postings)
+
+
+_TEXTS = ("raw_text", "magazine_title")
+
+
+def index_runs(docs: DataFrame) -> DataFrame:
+    """R1. The rows of ``build_inverted_index`` of a written table, in runs sorted by term; only pages of several rows are shuffled, the others are whole as they are."""
+    page = ["page_id", "magazine_id"]
+    repeated = stored(docs.groupBy(page).agg(F.count("*").alias("n")).filter("n > 1").select(page), "repeated")
+    one, some = docs, None
+    if not repeated.isEmpty():
+        again, same = sized(repeated, "page_id").alias("r"), F.expr("d.page_id <=> r.page_id AND d.magazine_id <=> r.magazine_id")
+        one, some = (docs.alias("d").join(again, same, kind).select("d.*") for kind in ("left_anti", "left_semi"))
+    runs = lambda batches: _sorted_runs(_postings(batches))
+    out = _index(one.select(*page, *(F.array_compact(F.array(c)).alias(c) for c in _TEXTS)), runs)
+    return out if some is None else out.unionByName(build_inverted_index(some).sortWithinPartitions("term"))
+
+
+def _index(pages: DataFrame, postings) -> DataFrame:
+    """Postings of pages that have arrays of their texts and titles."""
+    fields = [pages.schema[c] for c in ("page_id", "magazine_id")]
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("attr", T.IntegerType()), *fields, T.StructField("tf", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+    return pages.select("page_id", "magazine_id", *(F.transform(c, X.terms).alias(c) for c in _TEXTS)).mapInArrow(postings, schema)
 
 
 def _postings(batches):
@@ -76,6 +95,34 @@ def _postings(batches):
             )
 
 
+#: Bytes of postings that are sorted at once, and rows that go out at once.
+RUN_BYTES, RUN_ROWS = 64 << 20, 1 << 16
+
+
+def _sorted_runs(batches):
+    """The batches' rows, sorted by term within runs of about ``RUN_BYTES``."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= RUN_BYTES:
+            yield from _by_term(held)
+            held, size = [], 0
+    yield from _by_term(held)
+
+
+def _by_term(batches):
+    if not batches:
+        return
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    known = rows["term"].combine_chunks().dictionary_encode()
+    place = np.empty(len(known.dictionary), np.int64)
+    place[pc.sort_indices(known.dictionary).to_numpy()] = np.arange(len(place))
+    order = np.argsort(place[known.indices.to_numpy()], kind="stable")
+    for at in range(0, len(order), RUN_ROWS):
+        yield from rows.take(pa.array(order[at : at + RUN_ROWS])).combine_chunks().to_batches()
+
+
 def store_index(index: DataFrame, path: str, partitions: int = 64) -> None:
     """R1. Writes the index sorted by term in ``partitions`` ranges of terms: a query's literal terms skip files and row groups by their bounds."""
     index.repartitionByRange(partitions, "term", "page_id").sortWithinPartitions("term", "page_id").write.mode("overwrite").parquet(path)

@@ -72,6 +72,13 @@ class Files:
     def exists(self, name: str) -> bool:
         return self.system.exists(self._path(name))
 
+    def held(self, name: str) -> tuple[int, int]:
+        """Files and bytes below a folder; none if it isn't there."""
+        if not self.exists(name):
+            return 0, 0
+        summary = self.system.getContentSummary(self._path(name))
+        return summary.getFileCount(), summary.getLength()
+
     def delete(self, name: str) -> None:
         self.system.delete(self._path(name), True)
 
@@ -175,10 +182,10 @@ class Unit:
         self.files.mark(f"commits/{number}")
         return True
 
-    def put(self, df: DataFrame, name: str, number: int) -> DataFrame:
-        """One table of a batch that isn't committed yet, read again."""
+    def put(self, df: DataFrame, name: str, number: int, **options) -> DataFrame:
+        """One table of a batch that isn't committed yet, read again. ``options``: of Spark's writer."""
         path = f"{self.root}/{name}/batch={number}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def last(self, name: str, schema: str, before: int) -> DataFrame:

@@ -716,6 +716,53 @@ def test_a_stored_search_is_refreshed_in_place(spark, tmp_path, monkeypatch):
     assert "PushedFilters" in plan and "StartsWith(term,fresh)" in plan
 
 
+def test_generations_are_sorted_runs_and_texts_are_not_shuffled_for_them(spark, tmp_path, monkeypatch):
+    """The index of whole pages has no exchange, in runs that are sorted by term; pages of several rows are one page, whatever the join."""
+    from periodika.sources import stored as stored_module
+
+    rng = random.Random(3)
+    schema = "page_id string, magazine_id int, raw_text string, magazine_title string"
+    rows = [(f"{i}-1", i, None if i % 50 == 7 else " ".join(rng.choice(["é", "b", "le", "zoo", "Ωx", f"w{i}"]) for _ in range(rng.randint(0, 60))), None if i % 9 == 4 else f"Title {i % 5}") for i in range(400)]
+    row = lambda r: (r["term"], r["attr"], r["page_id"], r["magazine_id"], r["tf"], tuple(r["positions"]))
+    for name, extra in (("whole", []), ("repeated", [("3-1", 3, "b zoo", "T"), ("3-1", 3, "b", None), (None, 5, "b", "x"), (None, 5, "b c", "x"), ("4-1", 40, "other", "x")])):
+        spark.createDataFrame(rows + extra, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        want = sorted(map(str, map(row, R.build_inverted_index(docs).collect())))
+        for most in (stored_module.BROADCAST_ROWS, -1):
+            monkeypatch.setattr(stored_module, "BROADCAST_ROWS", most)
+            runs = R.index_runs(docs)
+            assert sorted(map(str, map(row, runs.collect()))) == want
+        if not extra:
+            assert "Exchange" not in runs._jdf.queryExecution().executedPlan().toString()
+            terms = [r["term"] for r in runs.collect()]
+            assert terms == sorted(terms, key=lambda t: t.encode())
+        monkeypatch.undo()
+
+
+def test_a_refresh_stages_no_copy_and_small_files_are_dealt_anew(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from periodika.operators import search_store
+
+    monkeypatch.setattr(search_store, "BUCKET_FILES", 2)
+    shared = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://"))
+    kept = {p.name for p in shared.glob("kept-*")}
+    schema = "page_id string, magazine_id int, page_number int, raw_text string, magazine_title string"
+    pages = {m: f"word{m}" for m in range(40)}
+    table = lambda rows: spark.createDataFrame([(f"{m}-1", m, 1, t, "T") for m, t in rows.items()], schema)
+    store = search_store.SearchStore(spark, f"file://{tmp_path}/search", buckets=2, partitions=2)
+    store.build(table(pages))
+    most = 0
+    for turn in range(4):
+        new = {m: f"turn{turn} of{m}" for m in range(turn, 40, 3)}
+        pages |= new
+        store.refresh(table(new), spark.createDataFrame([(m,) for m in new], "magazine_id int"))
+        assert {r["magazine_id"]: r["raw_text"] for r in store.documents().collect()} == pages and store.documents().count() == 40
+        most = max(most, len(list((tmp_path / "search/documents").rglob("*.parquet"))))
+    assert {p.name for p in shared.glob("kept-*")} == kept and most <= 3 * 2 * 4  # buckets, their files, and tasks that write one of each
+    assert {r["page_id"] for r in R.match_pages(store.index(), "turn3").collect()} == {f"{m}-1" for m in range(3, 40, 3)}
+
+
 def test_terms_near_a_word_are_those_that_comparing_all_finds(spark):
     rng = random.Random(11)
     letters = "abcdé"
