@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,13 +74,22 @@ class Posteriors:
 
 def lexical(words: tv.Words, odds: np.ndarray) -> np.ndarray:
     """Greatest log-odds, number and share of words with strong ones."""
-    w = odds[_buckets(words)]
-    full = words.counts > 0
-    most = np.zeros(len(words.counts))
-    if len(w):
-        most[full] = np.maximum.reduceat(w, words.at[:-1][full])
-    strong = tv.sums_by_text(w > 3, words.at)
-    return np.stack([most, strong, strong / np.maximum(words.counts, 1)], axis=1)
+    return _strength(odds[_buckets(words)], np.ones(len(words.hash), np.int64), words.at)
+
+
+def _strength(odds: np.ndarray, times: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``lexical`` of texts whose words, from at[i] to at[i + 1], have ``odds`` and stand there so many ``times``."""
+    full = at[1:] > at[:-1]
+    most = np.zeros(len(full))
+    if len(odds):
+        most[full] = np.maximum.reduceat(odds, at[:-1][full])
+    strong = tv.sums_by_text(np.where(odds > 3, times, 0), at)
+    return np.stack([most, strong, strong / np.maximum(tv.sums_by_text(times, at), 1)], axis=1)
+
+
+def _listed(x: np.ndarray) -> pa.Array:
+    """An array of each row."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> Posteriors:
@@ -90,13 +100,10 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     def described(column: pa.Array) -> list[pa.Array]:
         x, words = qc.features(column), _words(column)
         b = _buckets(words)
-        own = [np.unique(b[words.at[i] : words.at[i + 1]]) for i in range(len(words.counts))]
-        return [
-            pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1))),
-            pa.array(own, pa.list_(pa.int64())),
-        ]
+        own = [np.unique(b[words.at[i] : words.at[i + 1]], return_counts=True) for i in range(len(words.counts))]
+        return [_listed(x), *(pa.array([o[k] for o in own], pa.list_(pa.int64())) for k in (0, 1))]
 
-    fields = [T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("buckets", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("x", T.ArrayType(T.DoubleType())), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("buckets", "times"))]
     seen = Saved(with_text_columns(chosen, [id, "quality", "toxic"], described, fields), "mixing-features")
     # log-odds of toxicity of words in five labelled documents or more
     n = seen.df.agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("n")).first()
@@ -109,11 +116,15 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     low = seen.df.filter(F.col("quality").isNotNull()).select((1.0 - F.col("quality")).alias("y"), "x")
     low_trees = qc.grow_table(low, len(qc.FEATURES), trees=40)
 
-    def strong(column: pa.Array) -> list[pa.Array]:
-        x = lexical(_words(column), odds)
-        return [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * 3, pa.int32()), pa.array(x.reshape(-1)))]
+    def strong(batches):  # from the counted words, so that texts are read once
+        for batch in batches:
+            buckets, times = batch.column("buckets"), batch.column("times").flatten().to_numpy()
+            at = np.concatenate([[0], np.cumsum(pc.list_value_length(buckets).to_numpy())])
+            x = _strength(odds[buckets.flatten().to_numpy()], times, at)
+            yield pa.RecordBatch.from_arrays([batch.column("y"), _listed(x)], names=["y", "x"])
 
-    toxic = Saved(with_text_columns(chosen.filter(F.col("toxic").isNotNull()), ["toxic"], strong, [fields[0]]).select(F.col("toxic").cast("double").alias("y"), "x"), "mixing-toxic")
+    counted = seen.df.filter(F.col("toxic").isNotNull()).select(F.col("toxic").cast("double").alias("y"), "buckets", "times")
+    toxic = Saved(counted.mapInArrow(strong, "y double, x array<double>"), "mixing-toxic")
     toxic_trees = qc.grow_table(toxic.df, 3, trees=60, depth=3)
     for learnt, trees in ((low, low_trees), (toxic.df, toxic_trees)):
         if learnt.isEmpty():

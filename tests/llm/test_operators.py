@@ -445,6 +445,39 @@ def test_mixing_finds_the_best_rates(spark, small, docs, odd):
     assert {round(r["p_clean"], 6) for r in mixing.mix(docs, labels.limit(0), ["doc_id"]).select("p_clean").distinct().collect()} == {1.0}
 
 
+def test_statistics_of_texts_equal_plain_ones():
+    """Bytes by class and distinct words, lines and windows, for texts of all lengths in one piece."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    some = [None, "", "\n", "one", "É|é\tB. b! B\n\nB. b! B", *("".join(rng.choice("aB1 .,!|#é\n\"") for _ in range(rng.randint(0, 400))) for _ in range(300))]
+    got = quality_classifier.features(pa.array(some, pa.string()))
+    for text, row in zip(some, got, strict=True):
+        data = (text or "").encode()
+        words, lines = [w for w in data.translate(bytes(32 if tv.BLANK[b] else b for b in range(256))).split(b" ") if w], [x for x in data.split(b"\n") if x]
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        want = {
+            "distinct_words": len(set(words)) / max(len(words), 1), "distinct_lines": len(set(lines)) / max(len(lines), 1), "repeated_windows": 1 - len(set(windows)) / max(len(windows), 1),
+            **{k: sum(bool(member[b]) for b in data) / max(len(data), 1) for k, member in quality_classifier._CLASSES.items()},
+        }
+        assert {k: row[quality_classifier.FEATURES.index(k)] for k in want} == want
+
+
+def test_toxic_words_are_counted_while_texts_are_read(spark, small, docs, monkeypatch):
+    """Learning reads the labelled texts once; from the counted words follow the statistics that the texts themselves have."""
+    import pyarrow as pa
+
+    texts = pa.array([None, "", "bad word bad bad", "fine words here", "word"], pa.string())
+    words, odds = mixing._words(texts), np.random.default_rng(1).normal(0, 4, mixing.BUCKETS)
+    own = [np.unique(mixing._buckets(words)[words.at[i] : words.at[i + 1]], return_counts=True) for i in range(len(texts))]
+    at = np.concatenate([[0], np.cumsum([len(o[0]) for o in own])])
+    assert (mixing._strength(odds[np.concatenate([o[0] for o in own])], np.concatenate([o[1] for o in own]), at) == mixing.lexical(words, odds)).all()
+    read = []
+    monkeypatch.setattr(mixing, "with_text_columns", lambda *a, f=mixing.with_text_columns: read.append(1) or f(*a))
+    mixing.learn(docs, table(spark, small, "labels"))
+    assert len(read) == 1
+
+
 def test_reachable_targets_are_met(spark):
     import numpy as np
 
